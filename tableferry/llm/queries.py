@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compaction, mixing, pii, sketches, url_templates
+from . import bpe, compaction, hyperminhash, mixing, pii, sketches, url_templates
 from .common import documents, scratch_path
 
 #: The rules of op3 as (verdict, host, path).
@@ -29,6 +29,10 @@ def op3_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES)
 
 
+def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four arrivals of documents, compacted; the rows as the committed manifest has them."""
     docs = documents(spark, sf_dir)
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_threshold_sketch,
         op3_path_templates,
+        op4_hyperminhash,
         op6_size_tiered_compaction,
         op7_prefix_bpe,
         op9_disguised_pii,
