@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compaction, hyperminhash, mixing, pii, sketches, url_templates
+from . import bpe, compaction, hyperminhash, mixing, pii, pu_quality, sketches, url_templates
 from .common import documents, scratch_path
 
 #: The rules of op3 as (verdict, host, path).
@@ -33,6 +33,11 @@ def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return pu_quality.quality(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
 def op6_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four arrivals of documents, compacted; the rows as the committed manifest has them."""
     docs = documents(spark, sf_dir)
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_threshold_sketch,
         op3_path_templates,
         op4_hyperminhash,
+        op5_pu_quality,
         op6_size_tiered_compaction,
         op7_prefix_bpe,
         op9_disguised_pii,
