@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compaction, hyperminhash, mixing, pii, pu_quality, sketches, url_templates
+from . import bpe, compaction, hyperminhash, kd_search, mixing, pii, pu_quality, sketches, url_templates
 from .common import documents, scratch_path
 
 #: The rules of op3 as (verdict, host, path).
@@ -21,6 +21,11 @@ def rank_file() -> bytes:
         return f.read()
 
 
+def op1_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = kd_search.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return kd_search.top_k(base, base.where("id % 100 = 0"))
+
+
 def op2_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_fingerprints(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -64,6 +69,7 @@ def op10_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_kd_top_k,
         op2_threshold_sketch,
         op3_path_templates,
         op4_hyperminhash,
@@ -76,5 +82,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_kd_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, b.vec_id, list_inner_product(q.e, b.e)::BIGINT AS score
+            FROM v q JOIN v b ON b.vec_id <> q.vec_id AND len(b.e) = len(q.e) WHERE q.vec_id % 100 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op6_size_tiered_compaction": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, lang, source, n_chars FROM documents",
 }
