@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compaction, hyperminhash, kd_search, mixing, pii, pu_quality, sketches, url_templates
+from . import bpe, compaction, hyperminhash, kd_search, mixing, pii, pu_quality, repeats, sketches, url_templates
 from .common import documents, scratch_path
 
 #: The rules of op3 as (verdict, host, path).
@@ -57,6 +57,10 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"), rank_file(), public_tokenizers.PATTERN)
 
 
+def op8_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_pu_quality,
         op6_size_tiered_compaction,
         op7_prefix_bpe,
+        op8_prefix_doubling,
         op9_disguised_pii,
         op10_raked_mixture,
     )
