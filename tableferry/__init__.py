@@ -1,0 +1 @@
+"""Move tables and keep them in step, as Spark jobs."""
