@@ -1,6 +1,6 @@
 """The library's queries over the given tables, and SQL for the same rows."""
 
-from . import loads, scans  # noqa: F401
+from . import following, loads, quality, scalars, scans  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
