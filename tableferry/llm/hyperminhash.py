@@ -5,8 +5,9 @@ mantissa bits of its bucket's least hash. Bands of registers propose pairs, a co
 estimate of the Jaccard similarity drops most wrong ones, and the full sets decide.
 
 Documents with equal sets are one node, so copies, however many, are summed before anything is paired.
-In a band's bucket every node is first paired with the bucket's least node. Only where that leaves more
-than one component in a bucket are the other pairs across components tested; pairs within a component
+In a band's bucket every node is paired with the bucket's least node, and those that this leaves in other
+components with the least of them. For buckets that still hold several components, prefix filtering
+over the rarest shingles finds all pairs across components that can be linked; pairs within a component
 can't change a result. No bucket is collected, capped or dropped.
 
 Null and empty texts have the empty set and are linked with nothing. Rows that share a doc_id are one
@@ -34,6 +35,8 @@ BITS = REGISTERS.bit_length() - 1
 THRESHOLD = 85
 #: Standard errors below the threshold at which an estimate still goes to the full sets.
 SLACK = 6.0
+#: Rounds of hubs before the pairs across components.
+STARS = 2
 #: Ids (16 MB of them) up to which texts are picked by a broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 2_000_000
 
@@ -181,9 +184,50 @@ def components(nodes: DataFrame, edges: DataFrame, name: str = "labels") -> Data
             return label
 
 
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """node, s (a hash of the text), n (size of the set), h: a row for each distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for start, data in chunks(batch.column(2).to_pylist()):
+                d, h = shingle_hashes(data)
+                n = np.bincount(d, minlength=len(data))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[start + d]), pa.array(sets[start + d]), pa.array(n[d], pa.int64()), pa.array(h.view(np.int64))], names=["node", "s", "n", "h"])
+
+    return texts.select("node", F.xxhash64("text").alias("s"), "text").mapInArrow(run, "node long, s long, n long, h long")
+
+
+def across(texts: DataFrame, label: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of nodes of different components whose sets may be alike, by prefix filtering.
+
+    The shingles of each set are put in order of rarity. Two alike sets of n and m shingles share at least
+    ``need = ceil(t / (100 + t) * (n + m))``, so the first shared one stands before the last ``need`` of
+    both. A set whose own edits fill these places meets nothing, however many copies its origin has.
+    """
+    rows = written(shingle_rows(texts).join(label, "node"), "shingles")
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("df > 1")
+    known = rows.join(shared.select("h", "df"), "h")
+    least = F.ceil(F.col("n") * threshold / 100)  # shared with the smallest set that is alike
+    prefix = (
+        known.groupBy("node", "s", "n", "component").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("hs"))
+        .withColumn("own", F.col("n") - F.size("hs"))
+        .select("node", "n", "component", "own", F.posexplode("hs").alias("i", "x"))
+        .select("node", "n", "component", (F.col("i") + F.col("own")).alias("i"), "x.h")
+        .where(F.col("i") + least <= F.col("n"))
+    )
+    prefix = written(prefix, "prefixes")
+    lead = prefix.groupBy("h").agg(F.min("component").alias("lead"), F.max("component").alias("last")).where("lead < last").select("h", "lead")
+    mixed = written(prefix.join(lead, "h"), "mixed")
+    x = mixed.where("component <> lead").select("h", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "i")))
+    y = mixed.select("h", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "component", "i")))
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * threshold / (100 + threshold))
+    meets = (F.col("component_x") != F.col("component_y")) & (F.col("i_x") + need <= F.col("n_x")) & (F.col("i_y") + need <= F.col("n_y"))
+    return x.join(y, "h").where(meets).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """key, n_shingles, component_id, kept, n_links (verified links of its set to other sets)."""
-    spark = docs.sparkSession
+    """key, n_shingles, component_id, kept."""
     signed = written(signatures(docs, key, text), "signatures")
     sets = ["n", "s1", "s2"]
     has = F.col("id").isNotNull() & (F.col("n") > 0)
@@ -191,36 +235,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     banded = bands(classes)
     crowd = banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "value", "hub")
     crowded = written(banded.join(crowd, ["band", "value"]), "crowded")
-    stars = written(likely(crowded.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), classes, threshold), "stars")
-
-    asked = crowded.select("node").distinct()
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
-    picked = docs.select(F.col(key).cast("long").alias("node"), text).where(F.col(text).isNotNull())
-    texts = written(picked.join(asked, "node", "left_semi").withColumnRenamed(text, "text"), "texts")
 
     touched = written(crowded.select("node").distinct(), "touched")
-    links = written(confirmed(stars, texts, threshold), "links")
-    label = components(touched, links)
-    # Members outside the hub's component, against all members of other components in the bucket. After
-    # that every pair across components of a bucket has been tested.
-    mine = crowded.join(label, "node").select("band", "value", "hub", "node", "component")
-    hubs = label.select(F.col("node").alias("hub"), F.col("component").alias("main"))
-    apart = mine.join(hubs, "hub").where("component <> main").select("band", "value", F.col("node").alias("x"), F.col("component").alias("cx"))
-    others = mine.where("node <> hub").select("band", "value", F.col("node").alias("y"), F.col("component").alias("cy"))
-    left = apart.join(others, ["band", "value"]).where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(confirmed(written(likely(left, classes, threshold), "rest"), texts, threshold), "links")
-    if not more.isEmpty():
-        links = links.union(more)
+    texts = written(picked(docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).where("text IS NOT NULL"), touched), "texts")
+    links, label, asked = None, None, crowded.where("node <> hub")
+    for _ in range(STARS):
+        # Each bucket's hub with its other members; then, of those outside its component, the least is the hub.
+        stars = asked.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        found = written(confirmed(written(likely(stars, classes, threshold), "likely"), texts, threshold), "links")
+        links = found if links is None else links.union(found)
         label = components(touched, links)
+        mine = crowded.select("band", "value", "hub", "node").join(label, "node")
+        main = label.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+        apart = written(mine.join(main, "hub").where("component <> main").select("band", "value", "node", "component"), "apart")
+        hubs = apart.groupBy("band", "value").agg(F.min(F.struct("node", "component")).alias("h")).select("band", "value", F.col("h.node").alias("hub"), F.col("h.component").alias("main"))
+        asked = apart.join(hubs, ["band", "value"]).where("component <> main")
+
+    # All members of buckets that still hold several components, by the shingles they share.
+    rest = written(crowded.join(apart.select("band", "value").distinct(), ["band", "value"], "left_semi").select("node").distinct(), "rest")
+    pairs = across(picked(texts, rest), label, threshold)
+    more = written(confirmed(written(likely(pairs, classes, threshold), "likely"), texts, threshold), "links")
+    if not more.isEmpty():
+        label = components(touched, links.union(more))
 
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    by_class = (
-        classes.select(*sets, "node")
-        .join(label, "node", "left")
-        .join(degree, "node", "left")
-        .select(*sets, F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    )
+    by_class = classes.select(*sets, "node").join(label, "node", "left").select(*sets, F.coalesce("component", "node").alias("component"))
     linked = signed.select("id", *sets).join(by_class, sets, "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
-    return linked.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return linked.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def picked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Texts of the nodes; the nodes are broadcast if they are few."""
+    return texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node", "left_semi")
