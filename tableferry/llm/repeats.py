@@ -5,7 +5,7 @@ string of that length) is named by an anchor inside it: the position with the le
 200-byte strings that the window holds, so equal windows have their anchors at the same place. Ranks of
 anchors and of the windows around them are hashes of the text they span; Spark counts equal ranks:
 
-* rank pairs start with (the anchor's 200 bytes, all windows at the anchor at once: 600 bytes);
+* rank pairs start with (the anchor's 200 bytes, all windows that it names at once: up to 600 bytes);
 * an anchor, or later a range of windows, whose common part has a unique rank drops out;
 * one whose whole span has an equal elsewhere is past the threshold: all its windows repeat;
 * the rest are split, so that the common part grows and the whole shrinks, and are ranked again, until
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, written
@@ -35,12 +35,12 @@ from .shingling import chunks, mix, prefix_sums
 LENGTH, GRAM = 400, 200
 #: Widths of the ranges of windows at an anchor, level by level.
 WIDTHS = (LENGTH - GRAM + 1, 15, 1)
-#: Ids up to which documents are picked by a broadcast (32 MB); beyond, by a shuffled join.
-BROADCAST_IDS = 2_000_000
+#: Rows up to which a small side (ranks, ids, or the runs of documents) is broadcast; beyond, it is shuffled.
+BROADCAST_ROWS = 1_500_000
 
 #: What tells documents apart: their id and a hash of their text.
 KEY = ("id", "h")
-NODES = "array<struct<at:int,low:int>>"
+RANKED = "id long, h long, w long, common long, whole long"
 
 
 def _hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,11 +54,15 @@ def _span(s: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
     return mix((s[b] - s[a]) * q[a] ^ ((b - a).astype(np.uint64) << np.uint64(50)))
 
 
-def anchors(s: np.ndarray, q: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Positions with the least hash in some window, the leftmost of equal ones."""
+def anchors(s: np.ndarray, q: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors with the first and the last start of the windows that each names.
+
+    A window's anchor is the position with the least hash among its 200-byte strings, the leftmost of
+    equal ones. Windows of one anchor follow each other.
+    """
     n = int(end[-1]) if len(end) else 0
     if n < LENGTH:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     p = np.arange(n - GRAM + 1)
     bits = np.uint64(int(n).bit_length())
     best = (_span(s, q, p, p + GRAM) >> bits << bits) | p.astype(np.uint64)
@@ -73,29 +77,36 @@ def anchors(s: np.ndarray, q: np.ndarray, begin: np.ndarray, end: np.ndarray) ->
     np.add.at(inside, begin[fit], 1)
     np.add.at(inside, end[fit] - LENGTH + 1, -1)
     windows = np.flatnonzero(np.cumsum(inside)[: len(best)] > 0)
-    return np.unique(best[windows] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = (best[windows] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1))))
+    last = np.concatenate((new[1:], [len(at)])) - 1
+    return at[new], windows[new], windows[last]
 
 
-def _ranked(s, q, begin, end, at: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """For ranges of windows that start ``low`` to ``low + width - 1`` bytes before an anchor, cut to the
-    text: which are not empty, first and last start, rank of the common part, rank of the whole span."""
+def _ranked(s, q, at: np.ndarray, low: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of ranges of windows, ``first`` to ``last``, at anchors: of the part that all windows starting
+    ``low`` to ``low + width - 1`` bytes before an anchor have in common, and of the range's whole span."""
     high = np.minimum(low + width - 1, LENGTH - GRAM)
-    first, last = np.maximum(at - high, begin), np.minimum(at - low, end - LENGTH)
-    some = first <= last
-    at, low, high, first, last = (x[some] for x in (at, low, high, first, last))
     level = np.uint64(width)
     common = mix(_span(s, q, at - low, at - high + LENGTH) ^ (low.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + level))
     cut = ((at - first).astype(np.uint64) << np.uint64(10)) + (at - last).astype(np.uint64)
     whole = mix(_span(s, q, first, last + LENGTH) ^ (cut * np.uint64(0xA24BAED4963EE407) + level)) ^ common
-    return some, first, last, common, whole
+    return common, whole
+
+
+def _pack(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """An anchor's place in its text and its range of windows, as one integer."""
+    return at << 16 | (at - first) << 8 | (at - last)
 
 
-RANKED = "id long, h long, at int, low int, first int, last int, common long, whole long"
+def _unpack(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = w >> 16
+    return at, at - (w >> 8 & 255), at - (w & 255)
 
 
 def _rank(rows: DataFrame, level: int) -> DataFrame:
     """Ranks of the ranges of one level. ``rows``: id, h, text and, past the first level, nodes to split."""
-    width, wide = WIDTHS[level], WIDTHS[max(0, level - 1)]
+    width = WIDTHS[level]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,39 +115,40 @@ def _rank(rows: DataFrame, level: int) -> DataFrame:
             for start, data in chunks(batch.column(2).to_pylist()):
                 s, q, begin, end = _hashes(data)
                 if level == 0:
-                    at = anchors(s, q, begin, end)
+                    at, first, last = anchors(s, q, begin, end)
                     doc, low = np.searchsorted(end, at, "right"), np.zeros(len(at), np.int64)
                 else:
                     part = nodes.slice(start, len(data))
                     doc = np.repeat(np.arange(len(data)), part.value_lengths().to_numpy(zero_copy_only=False))
-                    flat = part.flatten()
-                    at, low = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-                    at = at + begin[doc]
-                    splits = -(-min(wide, LENGTH - GRAM + 1) // width)
-                    doc, at = np.repeat(doc, splits), np.repeat(at, splits)
-                    low = np.repeat(low, splits) + np.tile(np.arange(splits) * width, len(low))
-                    good = low <= LENGTH - GRAM
-                    doc, at, low = doc[good], at[good], low[good]
-                some, first, last, common, whole = _ranked(s, q, begin[doc], end[doc], at, low, width)
-                doc, at, low = doc[some], at[some], low[some]
-                base = begin[doc]
-                small = (pa.array(x, pa.int32()) for x in (at - base, low, first - base, last - base))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[start + doc]), pa.array(hs[start + doc]), *small, pa.array(common.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "h", "at", "low", "first", "last", "common", "whole"])
+                    at, first, last = _unpack(part.flatten().to_numpy(zero_copy_only=False))
+                    cells = (at - first) // width - (at - last) // width + 1
+                    nth = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
+                    low = np.repeat((at - last) // width, cells) * width + nth * width
+                    doc, at, first, last = (np.repeat(x, cells) for x in (doc, at, first, last))
+                    first, last = np.maximum(first, at - low - (width - 1)), np.minimum(last, at - low)
+                    at, first, last = (x + begin[doc] for x in (at, first, last))
+                common, whole = _ranked(s, q, at, low, first, last, width)
+                w = _pack(at, first, last) - (begin[doc] << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[start + doc], hs[start + doc], w, common.view(np.int64), whole.view(np.int64))], names=["id", "h", "w", "common", "whole"])
 
     return rows.select(*KEY, "text", *(["nodes"] if level else [])).mapInArrow(run, RANKED)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _decided(ranked: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(id, h, first, last) of ranges that repeat; (id, h, nodes) of those to rank again, each with one
+    """(id, h, w) of ranges that repeat; (id, h, nodes) of those to rank again, each with one
     representative of every repeated span that shares its common part."""
     ranked = written(ranked, f"ranked-{name}")
-    spans = ranked.groupBy("common", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "at", "low")).alias("one"))
-    open_ = F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")
-    spans = written(spans.withColumn("single", F.col("n") == 1), f"spans-{name}")
-    groups = spans.groupBy("common").agg(F.sum("n").alias("all"), open_).where("all > 1 AND single > 0").select("common")
-    again = spans.join(groups, "common").select("one.*")
-    nodes = again.groupBy(*KEY).agg(F.collect_list(F.struct("at", "low")).alias("nodes"))
-    repeated = ranked.join(spans.where("n > 1").select("common", "whole"), ["common", "whole"], "left_semi").select(*KEY, "first", "last")
+    shared = written(ranked.groupBy("common").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("common"), f"shared-{name}")
+    alive = written(ranked.join(_few(shared), "common", "left_semi").select(*KEY, "w", "common", "whole"), f"alive-{name}")
+    spans = written(alive.groupBy("common", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "w")).alias("one")), f"spans-{name}")
+    open_ = spans.where("n = 1").select("common").distinct()
+    nodes = spans.join(open_, "common", "left_semi").select("one.*").groupBy(*KEY).agg(F.collect_list("w").alias("nodes"))
+    repeated = alive.join(spans.where("n > 1").select("common", "whole"), ["common", "whole"], "left_semi").select(*KEY, "w")
     return repeated, nodes
 
 
@@ -144,53 +156,57 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "h": F.xxhash64("text")})
 
 
-def _picked(docs: DataFrame, keys: DataFrame) -> Column | DataFrame:
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, list(KEY), "left_semi")
+def removed_runs(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that the windows from first to last starts cover."""
+    runs: list[list[int]] = []
+    for first, last in sorted(ranges):
+        if runs and first <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], last + LENGTH)
+        else:
+            runs.append([first, last + LENGTH])
+    return [(a, b) for a, b in runs]
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """id, h, ranges: sorted (first, last) starts of windows that repeat. ``docs``: id, h, text."""
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """id, h, runs: the bytes to remove, as sorted runs from a to b. ``docs``: id, h, text."""
     found, nodes = _decided(_rank(docs, 0), "0")
     out, nodes = written(found, "found-0"), written(nodes, "nodes-0")
-    texts = written(_picked(docs, nodes.select(*KEY)), "texts")
+    texts = written(docs.join(_few(nodes.select(*KEY)), list(KEY), "left_semi"), "texts")
     for level in range(1, len(WIDTHS)):
         found, nodes = _decided(_rank(texts.join(nodes, list(KEY)), level), str(level))
         out = out.union(written(found, f"found-{level}"))
         nodes = written(nodes, f"nodes-{level}") if level + 1 < len(WIDTHS) else nodes
-    return out.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("ranges"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = []
+            for w in batch.column(2):
+                _, first, last = _unpack(np.array(w.as_py(), np.int64))
+                runs.append([{"a": a, "b": b} for a, b in removed_runs(list(zip(first.tolist(), last.tolist(), strict=True)))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["id", "h", "runs"])
 
-def removed_runs(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that the windows cover."""
-    runs: list[list[int]] = []
-    for first, last in sorted(ranges):
-        if runs and first <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], last + LENGTH)
-        else:
-            runs.append([first, last + LENGTH])
-    return [(a, b) for a, b in runs]
+    return out.groupBy(*KEY).agg(F.collect_list("w").alias("ws")).mapInArrow(run, "id long, h long, runs array<struct<a:long,b:long>>")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = _keyed(docs.select("doc_id", text_of().alias("text")))
-    ranges = written(repeated_ranges(rows.where(F.octet_length("text") >= LENGTH).select(*KEY, "text")), "ranges")
-    few = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0] <= BROADCAST_IDS
-    joined = rows.join(F.broadcast(ranges) if few else ranges, list(KEY), "left").select("doc_id", "text", "ranges")
+    runs = written(repeated_runs(rows.where(F.octet_length("text") >= LENGTH).select(*KEY, "text")), "runs")
+    joined = rows.join(_few(runs), list(KEY), "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, spans, sha = [], [], [], []
-            for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, at, digest = t.encode("utf-8"), 0, hashlib.sha256()
-                runs = removed_runs([(x["first"], x["last"]) for x in r or ()])
-                for a, b in runs:
-                    digest.update(data[at:a])
-                    at = b
+            for t, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data, at, digest, gone = t.encode("utf-8"), 0, hashlib.sha256(), 0
+                for cut in cuts or ():
+                    digest.update(data[at : cut["a"]])
+                    at = cut["b"]
+                    gone += at - cut["a"]
                 digest.update(data[at:])
                 n.append(len(data))
-                removed.append(sum(b - a for a, b in runs))
-                spans.append(len(runs))
+                removed.append(gone)
+                spans.append(len(cuts or ()))
                 sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
