@@ -25,9 +25,10 @@ def test_all_but_the_last_return_documents(spark, steps):
         assert new.dtypes == spark.read.parquet(f"{SF}/documents.parquet").dtypes and 0 < new.count() <= docs.count()
 
 
-def test_quality_keeps_labelled_good_documents(spark, steps):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    docs, new = steps[0]
+def test_quality_keeps_labelled_good_documents(spark):
+    sf = "/root/testdata/sf0.01"  # sf0.001 has eleven bad documents
+    labels, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "documents"))
+    new = corpus_pipeline.quality(spark, docs, sf).cache()
     good, bad = (docs.join(labels.where(f"quality = {q}"), "doc_id") for q in (1, 0))
     kept = lambda df: df.join(new.select("doc_id"), "doc_id", "left_semi").count() / max(1, df.count())
     assert kept(good) > 0.95 and kept(bad) < 0.3
