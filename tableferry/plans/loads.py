@@ -7,10 +7,9 @@ from pyspark.sql.window import Window
 
 from ..operators import load
 from ..operators import mapping as mp
-from ..sources.scan import tables
 from ..spec import ColumnMapping, Mapping
-from ..storage import SnapshotTable, new_root
-from .fixtures import MEMBER, MEMBER_OUT, MERGED, RUN_TS, WITH, member_out, members
+from ..storage import new_root
+from .fixtures import MEMBER_OUT, MERGED, RUN_TS, WITH, member_out, members
 from .registry import query
 
 KEY = ["member_id"]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import SEPARATOR, hash32
+from ..functions.text import hash32, normalised_key
 from ..operators import catalog as cat
-from ..operators import load, mapping, profile, reconcile, validate
+from ..operators import load, profile, reconcile, validate
 from ..sources.scan import sample_n, tables
-from .fixtures import MERGED, SRC, WITH, members
+from .fixtures import MEMBER, MERGED, SRC, WITH, members
 from .registry import query
 
 KEY = ["member_id"]
@@ -149,8 +149,6 @@ DIFF = """s AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0),
 
 
 def _reconciled(spark, sf_dir):
-    from ..functions.text import normalised_key
-
     m = members(spark, sf_dir)
     source = m.source.where("c_custkey % 7 <> 0").select(normalised_key([(F.col("c_custkey"), "bigint")]).alias("k"))
     key = normalised_key([(F.col("member_id"), "bigint")])
@@ -284,7 +282,7 @@ def pre_volume(spark, sf_dir):
 def pre_format(spark, sf_dir):
     """Measured lengths and digits of the mapped columns against the target's, with the verdict."""
     m = members(spark, sf_dir)
-    spec = {c.target: c for c in m_columns()}
+    spec = {c.target: c for c in MEMBER.columns}
     prof = profile.column_profile(m.mapped, ["member_name", "member_grade", "balance"])
     limits = spark.createDataFrame([(n, "string" if c.type == "string" else "decimal", c.max_len, c.max_digits) for n, c in spec.items() if n in ("member_name", "member_grade", "balance")], "column_name string, source_type string, target_len int, target_digits int")
     digits = F.char_length(F.floor("max_abs").cast("decimal(38,0)").cast("string")).cast("bigint")
@@ -292,12 +290,6 @@ def pre_format(spark, sf_dir):
     return cat.compatibility(pairs).select("column_name", "max_chars", "int_digits", "level", "kind")
 
 
-def m_columns():
-    from .fixtures import MEMBER
-
-    return MEMBER.columns
-
-
 # -- catalog ----------------------------------------------------------------------------------
 _CAT = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "nation": ["n_nationkey", "n_name", "n_regionkey"]}
 
