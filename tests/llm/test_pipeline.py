@@ -2,7 +2,6 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 
 from tableferry.llm import bpe, hyperminhash, pii, queries
 
