@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 KEPT_PIECES = 400_000
 #: Pieces of up to so many bytes share the stored last tokens of their prefixes, so many at once.
 SHORT, KEPT_PREFIXES = 48, 1_000_000
+SHORT_ENDS = (2, 1)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -37,7 +38,12 @@ class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        ends: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                ends.setdefault(token[-3:], set()).add(len(token))
+        #: Lengths of the tokens with the same last three bytes, the longest first.
+        self.lengths = {e: (*sorted(n, reverse=True), *SHORT_ENDS) for e, n in ends.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._joins: dict[tuple[int, int], bool] = {}
         self._prefixes: dict[bytes, int] = {}
@@ -60,9 +66,7 @@ class PrefixBpe:
         """Whether the merges leave these two tokens side by side: undoing them from the later one
         on, no merge across the border may come earlier than those that formed the tokens."""
         key = (left, right)
-        if key in self._joins:
-            return self._joins[key]
-        bound, good = 1 << 60, None
+        bound, good = 1 << 60, None if self.halves(right) else False
         while good is None:
             across = self.ranks.get(self.tokens[left] + self.tokens[right])
             if across is not None and across < bound:
@@ -83,13 +87,22 @@ class PrefixBpe:
 
     def extend(self, piece: bytes, last: list[int], start: int, end: int) -> list[int]:
         """``last[k]`` is the last token of prefix k; fills start+1..end."""
-        get = self.ranks.get
+        get, lengths, joins = self.ranks.get, self.lengths.get, self._joins
         for k in range(start + 1, end + 1):
-            for begin in range(max(0, k - self.longest), k):
+            for n in lengths(piece[k - 3 : k], SHORT_ENDS) if k > 2 else SHORT_ENDS:
+                begin = k - n
+                if begin < 0:
+                    continue
                 token = get(piece[begin:k])
-                if token is None or self.halves(token) is None:
+                if token is None:
                     continue
-                if begin == 0 or self.follows(last[begin], token):
+                if begin == 0:
+                    good = self.halves(token) is not None
+                else:
+                    good = joins.get((last[begin], token))
+                    if good is None:
+                        good = self.follows(last[begin], token)
+                if good:
                     last[k] = token
                     break
             else:
