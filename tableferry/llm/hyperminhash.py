@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import written
@@ -35,8 +35,6 @@ BITS = REGISTERS.bit_length() - 1
 THRESHOLD = 85
 #: Standard errors below the threshold at which an estimate still goes to the full sets.
 SLACK = 6.0
-#: Rounds of hubs before the pairs across components.
-STARS = 2
 #: Ids (16 MB of them) up to which texts are picked by a broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 2_000_000
 
@@ -178,9 +176,11 @@ def components(nodes: DataFrame, edges: DataFrame, name: str = "labels") -> Data
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("least"))
         step = label.join(near, label.node == near.a, "left").select("node", "component", F.least("component", "least").alias("least"))
         other = label.select(F.col("node").alias("least"), F.col("component").alias("beyond"))
-        new = written(step.join(other, "least").select("node", F.least("least", "beyond").alias("component"), (F.least("least", "beyond") < F.col("component")).alias("moved")), name)
-        label = new.select("node", "component")
-        if new.where("moved").isEmpty():
+        new = step.join(other, "least").select("node", F.least("least", "beyond").alias("new"), "component")
+        moved = Observation()
+        new = new.observe(moved, F.count(F.when(F.col("new") < F.col("component"), 1)).alias("n"))
+        label = written(new.select("node", F.col("new").alias("component")), name)
+        if not moved.get["n"]:
             return label
 
 
@@ -238,23 +238,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     touched = written(crowded.select("node").distinct(), "touched")
     texts = written(picked(docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).where("text IS NOT NULL"), touched), "texts")
-    links, label, asked = None, None, crowded.where("node <> hub")
-    for _ in range(STARS):
-        # Each bucket's hub with its other members; then, of those outside its component, the least is the hub.
-        stars = asked.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        found = written(confirmed(written(likely(stars, classes, threshold), "likely"), texts, threshold), "links")
-        links = found if links is None else links.union(found)
-        label = components(touched, links)
-        mine = crowded.select("band", "value", "hub", "node").join(label, "node")
-        main = label.select(F.col("node").alias("hub"), F.col("component").alias("main"))
-        apart = written(mine.join(main, "hub").where("component <> main").select("band", "value", "node", "component"), "apart")
-        hubs = apart.groupBy("band", "value").agg(F.min(F.struct("node", "component")).alias("h")).select("band", "value", F.col("h.node").alias("hub"), F.col("h.component").alias("main"))
-        asked = apart.join(hubs, ["band", "value"]).where("component <> main")
+    # Each bucket's least node with its other members; then the least of those not linked to it with the rest.
+    stars = crowded.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(confirmed(likely(stars, classes, threshold), texts, threshold), "links")
+    linked_to = links.select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    apart = written(crowded.where("node <> hub").join(linked_to, ["hub", "node"], "left_anti").select("band", "value", "node"), "apart")
+    hubs = apart.groupBy("band", "value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
+    again = apart.join(hubs, ["band", "value"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = links.union(written(confirmed(likely(again, classes, threshold), texts, threshold), "links"))
+    label = components(touched, links)
 
     # All members of buckets that still hold several components, by the shingles they share.
-    rest = written(crowded.join(apart.select("band", "value").distinct(), ["band", "value"], "left_semi").select("node").distinct(), "rest")
+    held = crowded.select("band", "value", "node").join(label, "node")
+    several = held.groupBy("band", "value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+    rest = written(crowded.join(several, ["band", "value"], "left_semi").select("node").distinct(), "rest")
     pairs = across(picked(texts, rest), label, threshold)
-    more = written(confirmed(written(likely(pairs, classes, threshold), "likely"), texts, threshold), "links")
+    more = written(confirmed(likely(pairs, classes, threshold), texts, threshold), "links")
     if not more.isEmpty():
         label = components(touched, links.union(more))
 
