@@ -113,7 +113,9 @@ def key_text(x: Column, type_: str) -> Column:
         return F.date_format(x.cast("timestamp"), "yyyyMMddHHmmss")
     if type_.startswith("timestamp"):
         return F.date_format(x.cast("timestamp"), "yyyyMMddHHmmssSSSSSS")
-    if type_.startswith(("decimal", "number", "int", "bigint", "long", "double")):
+    if type_ in ("int", "bigint", "long"):
+        return x.cast("string")
+    if type_.startswith(("decimal", "number", "double")):
         return number_text(x)
     return F.rtrim(x) if type_.startswith("char") else x.cast("string")
 

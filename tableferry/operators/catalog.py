@@ -24,6 +24,16 @@ def catalog(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, CATALOG)
 
 
+def stats(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
+    """table_name, column_name, n_rows, n_null, n_distinct, in one pass. Distinct counts are sketches unless
+    ``exact``, which shuffles the rows once for each column."""
+    distinct = F.countDistinct if exact else F.approx_count_distinct
+    each = (F.struct(F.count(F.when(F.col(c).isNull(), 1)).alias("n_null"), distinct(c).alias("n_distinct")).alias(c) for c in df.columns)
+    one = df.agg(F.count(F.lit(1)).alias("n_rows"), *each)
+    rows = one.select("n_rows", F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in df.columns))).alias("x"))
+    return rows.select(F.lit(table).alias("table_name"), "x.column_name", "n_rows", "x.s.n_null", "x.s.n_distinct")
+
+
 def with_stats(columns: DataFrame, profiles: DataFrame) -> DataFrame:
     return columns.join(profiles, ["table_name", "column_name"], "left")
 

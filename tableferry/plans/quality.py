@@ -297,12 +297,7 @@ _CAT = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktse
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {k + 1} AS ordinal, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_distinct FROM {t}" for t, cs in _CAT.items() for k, c in enumerate(cs)))
 def catalog_columns(spark, sf_dir):
     frames = {t: frame(spark, sf_dir, t) for t in _CAT}
-    stats = None
-    for t, df in frames.items():
-        one = df.agg(F.count(F.lit(1)).alias("n_rows"), *(F.struct(F.count(F.when(F.col(c).isNull(), 1)).alias("n_null"), F.countDistinct(c).alias("n_distinct")).alias(c) for c in df.columns))
-        each = one.select("n_rows", F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in df.columns))).alias("x"))
-        rows = each.select(F.lit(t).alias("table_name"), "x.column_name", "n_rows", "x.s.n_null", "x.s.n_distinct")
-        stats = rows if stats is None else stats.unionByName(rows)
+    stats = validate.all_of(*(cat.stats(df, t, exact=True) for t, df in frames.items()))
     return cat.with_stats(cat.catalog(spark, frames), stats).select("table_name", "column_name", "ordinal", "n_rows", "n_null", "n_distinct")
 
 
