@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces that a task keeps encoded; the store is emptied beyond that.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 #: Pieces of up to so many bytes share the stored last tokens of their prefixes, so many at once.
-SHORT, KEPT_PREFIXES = 48, 1_000_000
+SHORT, KEPT_PREFIXES = 48, 400_000
+#: Pairs of tokens whose order is kept as known, so many at once.
+KEPT_PAIRS = 300_000
 SHORT_ENDS = (2, 1)
 
 
@@ -38,6 +40,7 @@ class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
         ends: dict[bytes, set[int]] = {}
         for token in ranks:
             if len(token) > 2:
@@ -45,7 +48,7 @@ class PrefixBpe:
         #: Lengths of the tokens with the same last three bytes, the longest first.
         self.lengths = {e: (*sorted(n, reverse=True), *SHORT_ENDS) for e, n in ends.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._joins: dict[tuple[int, int], bool] = {}
+        self._joins: dict[int, bool] = {}
         self._prefixes: dict[bytes, int] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -65,7 +68,7 @@ class PrefixBpe:
     def follows(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens side by side: undoing them from the later one
         on, no merge across the border may come earlier than those that formed the tokens."""
-        key = (left, right)
+        key = left << 32 | right
         bound, good = 1 << 60, None if self.halves(right) else False
         while good is None:
             across = self.ranks.get(self.tokens[left] + self.tokens[right])
@@ -80,7 +83,7 @@ class PrefixBpe:
                 bound, left = left, a[1]
             else:
                 bound, right = right + 1, b[0]
-        if len(self._joins) > 2_000_000:
+        if len(self._joins) > KEPT_PAIRS:
             self._joins.clear()
         self._joins[key] = good
         return good
@@ -99,7 +102,7 @@ class PrefixBpe:
                 if begin == 0:
                     good = self.halves(token) is not None
                 else:
-                    good = joins.get((last[begin], token))
+                    good = joins.get(last[begin] << 32 | token)
                     if good is None:
                         good = self.follows(last[begin], token)
                 if good:
@@ -114,19 +117,48 @@ class PrefixBpe:
         if whole is not None:
             return [whole]
         n = len(piece)
-        last = [-1] * (n + 1)
         if n > SHORT:
-            return self.unwind(self.extend(piece, last, 0, n), n)
-        known, k = self._prefixes, 0
-        while k < n and (token := known.get(piece[: k + 1])) is not None:
-            k += 1
-            last[k] = token
-        self.extend(piece, last, k, n)
-        if len(known) > KEPT_PREFIXES:
-            known.clear()
-        for j in range(k + 1, n + 1):
-            known[piece[:j]] = last[j]
-        return self.unwind(last, n)
+            return self.unwind(self.extend(piece, [-1] * (n + 1), 0, n), n)
+        if len(self._prefixes) > KEPT_PREFIXES:
+            self._prefixes.clear()
+        return self._encode_short(piece, n)
+
+    def _encode_short(self, piece: bytes, n: int) -> list[int]:
+        """As :meth:`extend`, with the last tokens of all pieces' prefixes in one store: a new piece starts
+        at its longest prefix there. All prefixes of a stored one are stored."""
+        known, get, lengths, joins = self._prefixes, self.ranks.get, self.lengths.get, self._joins
+        low, high = 0, n
+        while low < high:
+            mid = (low + high + 1) >> 1
+            if piece[:mid] in known:
+                low = mid
+            else:
+                high = mid - 1
+        for k in range(low + 1, n + 1):
+            for size in lengths(piece[k - 3 : k], SHORT_ENDS) if k > 2 else SHORT_ENDS:
+                if size > k:
+                    continue
+                token = get(piece[k - size : k])
+                if token is None:
+                    continue
+                if size == k:
+                    good = self.halves(token) is not None
+                else:
+                    left = known[piece[: k - size]]
+                    good = joins.get(left << 32 | token)
+                    if good is None:
+                        good = self.follows(left, token)
+                if good:
+                    known[piece[:k]] = token
+                    break
+            else:
+                raise ValueError(f"no valid last token for a prefix of {k} bytes")
+        out, sizes = [], self.sizes
+        while n:
+            token = known[piece[:n]]
+            out.append(token)
+            n -= sizes[token]
+        return out[::-1]
 
     def unwind(self, last: list[int], k: int) -> list[int]:
         out = []
@@ -161,6 +193,11 @@ class Codec:
             self.pieces.clear()
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
+    def rest(self) -> None:
+        """Give back what is kept between texts: a worker goes on to other tasks."""
+        self.pieces.clear()
+        self.bpe._prefixes.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bpe.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -220,6 +257,7 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text",
         for batch in batches:
             ids = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, into])
+        codec.rest()
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -240,6 +278,7 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, key: str = "doc_
                 text_sha.append(hashlib.sha256(back).hexdigest())
                 exact.append(back == t.encode("utf-8"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(exact, pa.bool_())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "is_exact"])
+        codec.rest()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, is_exact boolean")

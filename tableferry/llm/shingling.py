@@ -13,7 +13,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes of text that one round of array operations takes.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     out = []
@@ -45,7 +45,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums s and inverse powers q: (s[e] - s[b]) * q[b] is a hash of data[b:e]."""
-    size = 1 << max(21, int(len(data) + 1).bit_length())
+    size = 1 << max(20, int(len(data) + 1).bit_length())
     p, q = powers(size)
     s = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=s[1:])
