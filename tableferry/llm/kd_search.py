@@ -61,37 +61,47 @@ def bounds(tree: dict[str, np.ndarray], queries: np.ndarray) -> np.ndarray:
     return np.maximum(q, 0) @ tree["high"].T.astype(np.float64) + np.minimum(q, 0) @ tree["low"].T.astype(np.float64)
 
 
-def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of query, ids, scores) of up to k best a query; raises ``kth`` to the k-th score found.
-
-    A candidate below a query's ``kth`` can't be among its k best over all shards.
-    """
-    reach, vectors = bounds(tree, queries), tree["vectors"].astype(np.float64)
-    spans, children = tree["spans"].tolist(), tree["children"].tolist()
-    for q, own in enumerate(query_ids):
-        limit, row, best_ids, best = kth[q], reach[q], np.zeros(0, np.int64), np.zeros(0, np.float64)
-        heap = [(-row[0], 0)]
-        while heap and -heap[0][0] >= limit:
-            _, node = heapq.heappop(heap)
-            left, right = children[node]
-            if left >= 0:
-                for child in (left, right):
-                    if row[child] >= limit:
-                        heapq.heappush(heap, (-row[child], child))
-                continue
-            a, b = spans[node]
-            scores, ids = vectors[a:b] @ queries[q], tree["ids"][a:b]
-            good = (scores >= limit) & (ids != own)
-            if good.any():
-                best, best_ids = np.concatenate((best, scores[good])), np.concatenate((best_ids, ids[good]))
-                if len(best) > k:
-                    top = np.lexsort((best_ids, -best))[:k]
-                    best, best_ids = best[top], best_ids[top]
-                if len(best) == k:
-                    limit = max(limit, best.min())
-        kth[q] = limit
-        if len(best):
-            yield q, best_ids, best.astype(np.int64)
+class Best:
+    """The k best of each query of a block so far, over all shards seen. A candidate below a query's k-th
+    score can't be among them."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.own, self.queries, self.k = ids, queries.astype(np.float64), k
+        self.kth = np.full(len(ids), -np.inf)
+        self.ids = [np.zeros(0, np.int64)] * len(ids)
+        self.scores = [np.zeros(0, np.float64)] * len(ids)
+
+    def search(self, tree: dict[str, np.ndarray]) -> None:
+        """Best first through a shard's tree, for each query, until no box reaches its k-th score."""
+        reach, vectors = bounds(tree, self.queries), tree["vectors"].astype(np.float64)
+        spans, children = tree["spans"].tolist(), tree["children"].tolist()
+        for q, own in enumerate(self.own):
+            limit, row, best_ids, best = self.kth[q], reach[q], self.ids[q], self.scores[q]
+            heap = [(-row[0], 0)]
+            while heap and -heap[0][0] >= limit:
+                _, node = heapq.heappop(heap)
+                left, right = children[node]
+                if left >= 0:
+                    for child in (left, right):
+                        if row[child] >= limit:
+                            heapq.heappush(heap, (-row[child], child))
+                    continue
+                a, b = spans[node]
+                scores, ids = vectors[a:b] @ self.queries[q], tree["ids"][a:b]
+                good = (scores >= limit) & (ids != own)
+                if good.any():
+                    best, best_ids = np.concatenate((best, scores[good])), np.concatenate((best_ids, ids[good]))
+                    if len(best) > self.k:
+                        top = np.lexsort((best_ids, -best))[: self.k]
+                        best, best_ids = best[top], best_ids[top]
+                    if len(best) == self.k:
+                        limit = max(limit, best.min())
+            self.kth[q], self.ids[q], self.scores[q] = limit, best_ids, best
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query_id, vec_id, score."""
+        n = [len(x) for x in self.ids]
+        return np.repeat(self.own, n), np.concatenate(self.ids), np.concatenate(self.scores).astype(np.int64)
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -141,7 +151,7 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score. Both frames: id, v.
 
     Work grows with queries times shards, as asked; each task takes one block of queries through several
-    shards and returns at most k rows a query and shard.
+    shards, which share the k-th scores, and returns at most k rows a query.
     """
     spark = base.sparkSession
     shards = max(1, -(-base.count() // SHARD))
@@ -152,18 +162,21 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     met = asked.crossJoin(dealt).where("width = q_width").select("data", "tree")  # blocks with shards, not rows with rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, vectors, kth = b"", None, None, None
+        last, best = b"", None
+
+        def put() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in best.rows()], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for k_ in range(batch.num_rows):
-                data = batch.column(0)[k_].as_py()
+            for n in range(batch.num_rows):
+                data = batch.column(0)[n].as_py()
                 if data != last:
-                    last, (ids, vectors) = data, pickle.loads(data)
-                    kth = np.full(len(ids), -np.inf)
-                found = list(search(pickle.loads(batch.column(1)[k_].as_py()), ids, vectors.astype(np.float64), k, kth))
-                if found:
-                    n = [len(f[1]) for f in found]
-                    columns = [np.repeat(ids[[f[0] for f in found]], n), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+                    if best is not None:
+                        yield put()
+                    last, best = data, Best(*pickle.loads(data), k)
+                best.search(pickle.loads(batch.column(1)[n].as_py()))
+        if best is not None:
+            yield put()
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = met.mapInArrow(run, "query_id long, vec_id long, score long")

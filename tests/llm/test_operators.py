@@ -63,11 +63,12 @@ def test_a_tree_prunes_and_stays_exact():
     rng = np.random.default_rng(1)
     vectors = (rng.normal(size=(4000, 3)) * 100).astype(np.int32)
     tree = kd_search.build(np.arange(4000), vectors, leaf=50)
-    q = vectors[:5].astype(np.float64)
-    found = {k: (ids, s) for k, ids, s in kd_search.search(tree, np.arange(5), q, 10, np.full(5, -np.inf))}
+    best = kd_search.Best(np.arange(5), vectors[:5], 10)
+    best.search(tree)
     for k in range(5):
         want = sorted((vectors.astype(np.int64) @ vectors[k])[np.arange(4000) != k])[-10:]
-        assert sorted(found[k][1]) == want
+        assert sorted(best.scores[k]) == want
+        assert kd_search.bounds(tree, best.queries)[k].max() >= best.scores[k].max()
 
 
 def test_top_k_of_few_and_none(spark):
