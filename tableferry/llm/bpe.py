@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Distinct pieces that a task keeps encoded; the store is emptied beyond that.
 KEPT_PIECES = 250_000
 #: Pieces of up to so many bytes share the stored last tokens of their prefixes, so many at once.
@@ -254,7 +256,7 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, into])
         codec.rest()
@@ -268,7 +270,7 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             n, ids_sha, text_sha, exact = [], [], [], []
             for t in batch.column(1).to_pylist():
                 ids = codec.encode(t := t or "")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 from .shingling import chunks, shingle_hashes
 
 #: Registers, mantissa bits, and registers a band. A pair at the threshold shares no band with
@@ -72,7 +72,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """key, n (size of the set), s1 and s2 (a 128-bit digest of the set), registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys = batch.column(0)
             for start, data in chunks(batch.column(1).to_pylist()):
                 d, h = shingle_hashes(data)
@@ -94,7 +94,7 @@ def bands(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = REGISTERS // BAND
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(len(ids), count)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), pa.array(np.tile(np.arange(count, dtype=np.int32), len(ids))), pa.array(values.ravel())], names=["node", "band", "value"])
@@ -126,7 +126,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = threshold / 100
-        for batch in batches:
+        for batch in sliced(batches):
             a, b, n_a, n_b, r_a, r_b = (batch.column(k).to_pylist() for k in range(6))
             keep = [
                 estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), p, q) >= t - SLACK * (t * (1 - t) / min(REGISTERS, p, q)) ** 0.5
@@ -151,7 +151,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
-        for batch in batches:
+        for batch in sliced(batches):
             a, b, t_a, t_b = (batch.column(k).to_pylist() for k in range(4))
             keep = np.zeros(len(a), bool)
             for start, data in chunks(t_b):
@@ -188,7 +188,7 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
     """node, s (a hash of the text), n (size of the set), h: a row for each distinct shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, sets = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for start, data in chunks(batch.column(2).to_pylist()):
                 d, h = shingle_hashes(data)

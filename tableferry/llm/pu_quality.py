@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Bounds of the training sample: rows of labelled positives, and rows of unlabelled text.
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
 #: Labels of one fold of so many are held out.
@@ -154,7 +156,7 @@ def _sample(rows: DataFrame, most: int) -> np.ndarray:
     """Features of the rows; of ``2 * most`` of them at the most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in matrix(batch.column(0).to_pylist())], pa.binary())], names=["f"])
 
     got = rows.select("text").mapInArrow(run, "f binary").limit(2 * most).toArrow().column("f").to_pylist()
@@ -187,7 +189,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "score
     schema = docs.select(*kept).withColumn(into, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = matrix(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(x).astype(np.float64), pa.float64())], names=[*batch.schema.names, into])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import sliced, text_of, written
 from .shingling import chunks, mix, prefix_sums
 
 LENGTH, GRAM = 400, 200
@@ -109,7 +109,7 @@ def _rank(rows: DataFrame, level: int) -> DataFrame:
     width = WIDTHS[level]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, hs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             nodes = batch.column(3) if level else None
             for start, data in chunks(batch.column(2).to_pylist()):
@@ -178,7 +178,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         nodes = written(nodes, f"nodes-{level}") if level + 1 < len(WIDTHS) else nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             runs = []
             for w in batch.column(2):
                 _, first, last = _unpack(np.array(w.as_py(), np.int64))
@@ -195,7 +195,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     joined = rows.join(_few(runs), list(KEY), "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, removed, spans, sha = [], [], [], []
             for t, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data, at, digest, gone = t.encode("utf-8"), 0, hashlib.sha256(), 0
