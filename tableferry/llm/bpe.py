@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import sliced
 
 #: Distinct pieces that a task keeps encoded; the store is emptied beyond that.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 120_000
 #: Pieces of up to so many bytes share the stored last tokens of their prefixes, so many at once.
-SHORT, KEPT_PREFIXES = 48, 400_000
+SHORT, KEPT_PREFIXES = 48, 200_000
 #: Pairs of tokens whose order is kept as known, so many at once.
-KEPT_PAIRS = 300_000
+KEPT_PAIRS = 200_000
 SHORT_ENDS = (2, 1)
 
 
