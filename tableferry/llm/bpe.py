@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import sliced
 
-#: Distinct pieces that a task keeps encoded; the store is emptied beyond that.
-KEPT_PIECES = 120_000
+#: Distinct pieces that a worker keeps encoded in each of two stores: when the new one is full it becomes
+#: the old one, from which pieces that are met again move on.
+KEPT_PIECES = 150_000
 #: Pieces of up to so many bytes share the stored last tokens of their prefixes, so many at once.
-SHORT, KEPT_PREFIXES = 48, 200_000
+SHORT, KEPT_PREFIXES = 48, 500_000
 #: Pairs of tokens whose order is kept as known, so many at once.
-KEPT_PAIRS = 200_000
+KEPT_PAIRS = 500_000
 SHORT_ENDS = (2, 1)
 
 
@@ -175,12 +177,20 @@ class _Pieces(dict):
 
     def __init__(self, bpe: PrefixBpe):
         self.bpe = bpe
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.encode_piece(piece.encode("utf-8")), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            found = self.bpe.encode_piece(piece.encode("utf-8"))
+            ids = struct.pack(f"<{len(found)}I", *found)
         self[piece] = ids
         return ids
 
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
 
 class Codec:
     """Texts to ids and back; ids travel as bytes of little-endian unsigned 32-bit integers."""
@@ -192,14 +202,9 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
+            self.pieces.turn()
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
-    def rest(self) -> None:
-        """Give back what is kept between texts: a worker goes on to other tasks."""
-        self.pieces.clear()
-        self.bpe._prefixes.clear()
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bpe.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -259,7 +264,6 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text",
         for batch in sliced(batches):
             ids = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, into])
-        codec.rest()
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -280,7 +284,6 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str, key: str = "doc_
                 text_sha.append(hashlib.sha256(back).hexdigest())
                 exact.append(back == t.encode("utf-8"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(exact, pa.bool_())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "is_exact"])
-        codec.rest()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, is_exact boolean")
