@@ -52,27 +52,36 @@ _digit_word = "(?:" + "|".join(SPELLED) + ")"
 _hidden = "[​-‍⁠﻿­]"
 _dot_word = r"(?:[ \t]*[(\[{<][ \t]*(?:dot|punkt|punto|point)[ \t]*[)\]}>][ \t]*|[ \t]+(?:dot|DOT)[ \t]+)"
 _label = r"[A-Za-z0-9-]+"
-#: Last labels of a host behind a bare "at".
-_last = "(?:com|net|org|edu|gov|info|biz|io|co|eu|de|fr|es|it|uk|us|ch|at|nl|pl|ru|jp|cn|in|br)"
-#: What the transducer rewrites. A bare "at" counts only before a host that spells a dot.
+#: Last labels of a host behind a bare "at" and a determiner.
+_known = "(?:com|net|org|edu|gov|info|biz|io|co|eu|de|fr|es|it|uk|us|ch|at|nl|pl|ru|jp|cn|in|br)"
+_determiner = "(?:the|an?|this|that|these|those|each|every|any|some|one|no|its|his|her|their|our|my|your)"
+_host = rf"{_label}(?:(?:\.|{_dot_word}){_label})*?{_dot_word}"
+#: What the transducer rewrites. A bare "at" counts only before a host that spells a dot; after a determiner, only
+#: one of a known last label ("look at the dot on it").
 REWRITES = re.compile(
     rf"(?P<none>{_hidden}+)"
     r"|(?P<at>(?<=[A-Za-z0-9._%+-])[ \t]*[(\[{<][ \t]*(?:[aA][tT]|@)[ \t]*[)\]}>][ \t]*(?=[A-Za-z0-9])"
-    rf"|(?<=[A-Za-z0-9._%+-])[ \t]+(?:at|AT)[ \t]+(?={_label}(?:(?:\.|{_dot_word}){_label})*?{_dot_word}{_last}\b))"
+    rf"|(?<=[A-Za-z0-9._%+-])[ \t]+(?:at|AT)[ \t]+(?={_host}{_known}\b|(?!{_determiner}\b){_host}[A-Za-z]{{2,}}\b))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_dot_word}(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\bplus[ \t]+(?=[0-9]|{_digit_word}\b))"
     rf"|(?P<digits>\b{_digit_word}(?:[ \t,-]+{_digit_word}){{1,}}\b|(?<=[0-9])[ \t-]{_digit_word}\b|(?<=[.+]){_digit_word}\b|\b{_digit_word}(?=[ \t-][0-9]|[ \t]+dot[ \t]))",
     re.IGNORECASE,
 )
 _word = re.compile(_digit_word, re.IGNORECASE)
-#: A lower-cased text without any of these has nothing to rewrite but look-alikes.
+_behind_word = "(?:" + "|".join(f"(?<={w}.)" for w in SPELLED) + ")"
+#: A lower-cased text without look-alikes and any of these has nothing to rewrite: every alternative of REWRITES holds one.
 TRIGGERS = (
     re.compile(r"[ \t]dot[ \t]"),
     re.compile(r"[(\[{<][ \t]*(?:at|dot|@|punkt|punto|point)[ \t]*[)\]}>]"),
-    re.compile(rf"[ \t,-]{_digit_word}[ \t,-]+{_digit_word}"),
-    re.compile(rf"\A{_digit_word}[ \t,-]+{_digit_word}"),
+    re.compile(rf"plus[ \t]+(?:[0-9]|{_digit_word})"),
+    re.compile(rf"[0-9][ \t-]{_digit_word}"),
+    re.compile(rf"[.+]{_digit_word}"),
+    re.compile(rf"[ \t,-](?=[0-9]|[ \t,-]*{_digit_word}){_behind_word}"),
 )
-LOOKS = re.compile("[" + "".join(map(re.escape, map(chr, PLAIN))) + "]|" + _hidden)
+#: Letters that match "s", "i" and "k" when case is ignored.
+_folds = {"\u017f": "s", "\u0130": "i", "\u212a": "k"}
+_fold = str.maketrans(_folds)
+LOOKS = re.compile("[" + "".join(map(re.escape, [*map(chr, PLAIN), *_folds])) + "]|" + _hidden)
 #: Those of them that Latin-1 has.
 LATIN_LOOKS = re.compile("[\u00a0\u00ad\u00b7]")
 
@@ -146,7 +155,7 @@ class Rewritten:
                 put("+", *m.span(), False)
             elif m["digits"]:
                 for w in _word.finditer(plain, *m.span()):
-                    put(SPELLED[w[0].lower()], *w.span(), False)
+                    put(SPELLED[w[0].translate(_fold).lower()], *w.span(), False)
         put(plain[at:], at, len(plain), True)
         self.text = "".join(parts)
 
@@ -160,16 +169,17 @@ class Rewritten:
 
 
 def disguised(text: str) -> bool:
+    """Whether the transducer may change the text: never false for one that it does change."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+            looks = LATIN_LOOKS
+        except UnicodeEncodeError:
+            looks = LOOKS
+        if looks.search(text):
+            return True
     low = text.lower()
-    if any(t.search(low) for t in TRIGGERS):
-        return True
-    if text.isascii():
-        return False
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return LOOKS.search(text) is not None
-    return LATIN_LOOKS.search(text) is not None
+    return any(t.search(low) for t in TRIGGERS)
 
 
 def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:

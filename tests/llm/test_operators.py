@@ -349,6 +349,37 @@ def test_clean_texts_have_no_spans(text):
     assert pii.all_spans(text) == [] and pii.redacted_text(text) == text
 
 
+@pytest.mark.parametrize(
+    "text, span",
+    [
+        ("call plus 49 151 23456789 now", "phone:5:25"),
+        ("ip 192.168.0.one", "ip:3:16"),
+        ("card 4111 1111 1111 111 one", "card:5:27"),
+        ("tel +one 555 010 9999", "phone:4:21"),
+        ("tel +4 nine 151 2345678", "phone:4:23"),
+        ("tel:\n+4 nine 151 2345678", "phone:5:24"),
+        ("card (four one 11 1111 1111 1111)", "card:6:32"),
+        ("bob at example dot museum", "email:0:25"),
+        ("bob at example dot se", "email:0:21"),
+        ("ip 192.168.0.\u017fix", "ip:3:16"),
+    ],
+)
+def test_single_disguises_pass_the_gate(text, span):
+    assert span in pii.joined(pii.all_spans(text)).split(",")
+
+
+def test_the_gate_passes_all_that_is_rewritten(monkeypatch):
+    rnd = random.Random(8)
+    pieces = [*pii.SPELLED, *map(str.upper, pii.SPELLED), *"0123456789", "plus", "Plus", "+", " at ", "(at)", "[ @ ]", "{AT}", " dot ", "DOT", "(dot)", "<punkt>", "[punto]", "point", ".", "@"]
+    pieces += [" ", " ", " ", "\t", "-", ", ", "\n", "(", ")", "x", "bob", "example", "com", "se", "4111 1111 1111 111", "192.168.0.", "+49 151 234567", "\u200b", "\u00ad", "\u00a0", "\u0435", "\uff11", "\u017fix", "f\u0130ve", "\u00e9"]
+    texts = ["".join(rnd.choice(pieces) + rnd.choice(["", " "]) for _ in range(rnd.randrange(1, 9))) for _ in range(60_000)]
+    gated = [pii.all_spans(t) for t in texts]
+    changed = [pii.Rewritten(t).text != t for t in texts]
+    assert all(pii.disguised(t) for t, c in zip(texts, changed, strict=True) if c) and 0.3 < sum(changed) / len(texts) < 1
+    monkeypatch.setattr(pii, "disguised", lambda text: True)
+    assert gated == [pii.all_spans(t) for t in texts]
+
+
 def test_pii_of_odd_rows(spark, docs):
     rows = pii.detect(docs).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in corpus())
