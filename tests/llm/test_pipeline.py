@@ -40,6 +40,26 @@ def test_dedup_keeps_one_of_each_group(spark, steps):
     assert hyperminhash.near_duplicates(new).where("NOT kept").count() == 0
 
 
+def test_dedup_equals_brute_force_at_four_fifths(spark):
+    rows, want = [], []
+    for family in range(24):
+        n = 90 + 17 * family
+        words = [f"w{family}x{k}" for k in range(n)]
+        sets = []
+        for copy in range(6):
+            edited = [f"e{copy}" if k % (n // 8) == 3 and k // (n // 8) < copy * (1 + family % 2) else w for k, w in enumerate(words)]
+            rows.append((10 * family + copy, " ".join(edited), "en", "s", 0))
+            sets.append(set(zip(*(edited[k:] for k in range(5)), strict=False)))
+        group = list(range(6))
+        for _ in group:  # the least copy that links reach
+            group = [min(group[j] for j in range(6) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) for i in range(6)]
+        want += [10 * family + k for k in range(6) if group[k] == k]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    strict = hyperminhash.near_duplicates(docs).where("kept").count()
+    assert got == want and len(want) < strict
+
+
 def test_personal_data_is_gone_and_clean_texts_stay(steps):
     before = {r["doc_id"]: r["text"] for r in steps[2][0].collect()}
     after = {r["doc_id"]: r for r in steps[2][1].collect()}
