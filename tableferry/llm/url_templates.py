@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Levels of a path that the tree tells apart; what lies deeper is one wildcard.
-DEPTH = 4
 #: A node with more children than this, of fewer pages each than that, has a variable segment.
 MANY_CHILDREN, FEW_PAGES = 24, 8.0
 #: Siblings merge if their rates differ by fewer standard errors.
@@ -48,13 +46,12 @@ def by_rules(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Col
 
 
 def generalised(path: Column) -> Column:
-    """Segments of a path with variable forms replaced, of at most DEPTH + 1 levels."""
+    """Segments of a path with variable forms replaced."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    forms = F.transform(
+    return F.transform(
         segments,
         lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]+)?$|^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$|^[0-9A-Fa-f-]{16,}(\.[A-Za-z]+)?$|^.{65,}$"), F.lit("*")).otherwise(s),
     )
-    return F.when(F.size(forms) > DEPTH, F.concat(F.slice(forms, 1, DEPTH), F.array(F.lit("**")))).otherwise(forms)
 
 
 def templates(labelled: DataFrame) -> DataFrame:
@@ -62,7 +59,8 @@ def templates(labelled: DataFrame) -> DataFrame:
 
     ``labelled``: host, path, bad (1, 0 or null). Pages are first summed by host and form. Each level of
     the tree sums these rows by branch and the branches by node, so no node meets in one task, and joins
-    back only the branches that become wildcards. Levels are written, as each is read twice.
+    back only the branches that become wildcards. Levels are written, as each is read twice. They go on until
+    no two forms share a node: below it a form has no siblings, so the rest of it stands as it is.
     """
     counts = ["n", "n_labelled", "n_bad"]
     form = F.array_join(generalised(F.col("path")), "/")
@@ -73,9 +71,20 @@ def templates(labelled: DataFrame) -> DataFrame:
         "forms",
     )
     segments = F.filter(F.split("form", "/"), lambda s: s != "")
-    for level in range(1, DEPTH + 2):
+    done, level = None, 0
+    while True:
+        crowd = leaves.groupBy("host", "template").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1").select("host", "template", F.lit(True).alias("crowd"))
+        more = F.coalesce("crowd", F.lit(False)) & (F.size(segments) > level)
+        leaves = written(leaves.join(crowd, ["host", "template"], "left").select("host", "form", *counts, "template", more.alias("more")), f"level{level}")
+        rest = F.array_join(F.transform(F.slice(segments, F.lit(level + 1), F.size(segments)), lambda s: F.concat(F.lit("/"), s)), "")
+        ended = leaves.where("NOT more").select("host", "form", *counts, F.concat("template", rest).alias("template"))
+        done = ended if done is None else done.unionByName(ended)
+        leaves = leaves.where("more").drop("more")
+        if leaves.isEmpty():
+            break
+        level += 1
         leaves = leaves.withColumn("segment", F.try_element_at(segments, F.lit(level)))
-        branches = leaves.where("segment IS NOT NULL AND segment <> '*'").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in counts))
+        branches = leaves.where("segment <> '*'").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in counts))
         nodes = branches.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), *(F.sum(c).alias(f"all_{c}") for c in counts))
         seen, bad, all_seen, all_bad = (F.col(c) for c in ("n_labelled", "n_bad", "all_n_labelled", "all_n_bad"))
         others = F.greatest(all_seen - seen, F.lit(1))
@@ -84,14 +93,14 @@ def templates(labelled: DataFrame) -> DataFrame:
         alike = (seen > 0) & (all_seen > seen) & (F.abs(bad / F.greatest(seen, F.lit(1)) - (all_bad - bad) / others) <= SIGNIFICANT * error)
         variable = (F.col("children") > MANY_CHILDREN) & (F.col("all_n") / F.col("children") < FEW_PAGES)
         wild = branches.join(nodes, ["host", "template"]).where(alike | variable).select("host", "template", "segment", F.lit(True).alias("wild"))
-        step = F.when(F.col("segment").isNull(), "").when(F.coalesce("wild", F.col("segment") == "*"), "/*").otherwise(F.concat(F.lit("/"), F.col("segment")))
-        leaves = written(leaves.join(wild, ["host", "template", "segment"], "left").select("host", "form", *counts, F.concat("template", step).alias("template")), f"level{level}")
-    bad, seen = leaves.agg(F.sum("n_bad"), F.sum("n_labelled")).first()
+        step = F.when(F.coalesce("wild", F.col("segment") == "*"), "/*").otherwise(F.concat(F.lit("/"), F.col("segment")))
+        leaves = leaves.join(wild, ["host", "template", "segment"], "left").select("host", "form", *counts, F.concat("template", step).alias("template"))
+    bad, seen = done.agg(F.sum("n_bad"), F.sum("n_labelled")).first()
     overall = (bad or 0) / (seen or 1)
     purity = (F.col("n_bad") + SMOOTHING * overall) / (F.col("n_labelled") + SMOOTHING)
-    judged = leaves.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in counts)).withColumn("purity", purity)
+    judged = done.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in counts)).withColumn("purity", purity)
     judged = judged.withColumn("rejected", (F.col("n_labelled") >= LEAST_LABELS) & (F.col("purity") >= REJECT))
-    return leaves.drop(*counts).join(judged, ["host", "template"])
+    return done.drop(*counts).join(judged, ["host", "template"])
 
 
 def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, key: str = "page_id", url: str = "url") -> DataFrame:

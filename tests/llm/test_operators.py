@@ -132,6 +132,17 @@ def test_bad_templates_are_rejected_beyond_the_labels(spark):
     assert all(verdicts[k] == ("block" if k % 2 else "allow") for k in range(60))
 
 
+def test_templates_that_part_at_the_sixth_level(spark):
+    pages = [(k, f"http://h.com/a/b/c/d/e/{'spam' if k % 2 else 'news'}/{k}/end") for k in range(60)]
+    pages += [(60, "http://h.com/a/b"), (61, "http://h.com/a/b/c/d/e/f/g/h/i/j/k"), (62, "http://one.com/7/" + "x/" * 40), (63, "http://h.com")]
+    labels = [(u, 1 if "spam" in u else 0) for k, u in pages[:40]]
+    got = url_templates.judge(spark.createDataFrame(pages, "page_id long, url string"), [], spark.createDataFrame(labels, "url string, bad int"))
+    rows = {r["page_id"]: r for r in got.collect()}
+    assert all(rows[k]["verdict"] == ("block" if k % 2 else "allow") for k in range(60)) and len(rows) == 64
+    assert [rows[k]["template"] for k in (0, 1)] == ["/a/b/c/d/e/news/*/end", "/a/b/c/d/e/spam/*/end"]
+    assert [rows[k]["template"] for k in (60, 61, 62, 63)] == ["/a/b", "/a/b/c/d/e/f/g/h/i/j/k", "/*" + "/x" * 40, ""]
+
+
 def test_many_children_become_a_wildcard(spark):
     rows = spark.createDataFrame([("h", f"/u/{hashlib.md5(str(k).encode()).hexdigest()[:6]}x/about", None) for k in range(80)], "host string, path string, bad int")
     assert {r["template"] for r in url_templates.templates(rows).collect()} == {"/u/*/about"}
