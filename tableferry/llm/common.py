@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,54 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
+class Bits:
+    """Which of all keys a set may hold: one bit a key, sent to the executors.
+
+    ``keys``: one column of well-mixed longs. There are 16 bits a key, so about one key in 16 passes by mistake,
+    and 64 MB of them at most: beyond 30 million keys more pass, so what the bits let through is always
+    decided again by a join or by counting. A key of the set is never missed.
+    """
+
+    LEAST, MOST, SEGMENTS = 1 << 16, 1 << 29, 64
+
+    def __init__(self, keys: DataFrame):
+        self.size = min(self.MOST, max(self.LEAST, 1 << (16 * keys.count()).bit_length()))
+        size, each = self.size, self.size // self.SEGMENTS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                bit = batch.column(0).to_numpy(zero_copy_only=False).view(np.int64) & (size - 1)
+                for s in np.unique(bit // each):
+                    at = bit[bit // each == s] - s * each
+                    mine = held.setdefault(int(s), np.zeros(each, bool))
+                    mine[at] = True
+            for s, mine in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+
+        bit = F.col(keys.columns[0]).bitwiseAND(F.lit(size - 1))
+        dealt = keys.select(bit.alias("bit")).repartition(min(self.SEGMENTS, 8 * max(1, size >> 23)), F.floor(F.col("bit") / each))
+        bits = np.zeros(size // 8, np.uint8)
+        for row in dealt.mapInArrow(run, "segment int, bits binary").collect():  # at most 64 MB in all
+            part = np.frombuffer(row["bits"], np.uint8)
+            bits[row["segment"] * len(part) : (row["segment"] + 1) * len(part)] |= part
+        self.sent = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & (self.size - 1)
+        return (self.sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    def test(self, column: str) -> Column:
+        """Whether the set may hold the column's value."""
+        size, sent = self.size, self.sent
+
+        def may(keys: pd.Series) -> pd.Series:
+            at = keys.to_numpy(np.int64) & (size - 1)
+            return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+
+        return F.pandas_udf(may, "boolean")(F.col(column))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

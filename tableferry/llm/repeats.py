@@ -1,22 +1,25 @@
-"""Exact removal of repeated byte strings by distributed prefix doubling over windows.
-
-Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere else goes. A window (a
-string of that length) is named by an anchor inside it: the position with the least hash among the
-200-byte strings that the window holds, so equal windows have their anchors at the same place. Ranks of
-anchors and of the windows around them are hashes of the text they span; Spark counts equal ranks:
-
-* rank pairs start with (the anchor's 200 bytes, all windows that it names at once: up to 600 bytes);
-* an anchor, or later a range of windows, whose common part has a unique rank drops out;
-* one whose whole span has an equal elsewhere is past the threshold: all its windows repeat;
-* the rest are split, so that the common part grows and the whole shrinks, and are ranked again, until
-  both are one window.
-
-Only one representative of equal spans is ranked again, so copies, however many, are a few rows.
-Equal hashes of 64 bits, mixed with the span's length, stand for equal texts.
-
-A null text has no bytes. Matches don't cross documents; overlapping ones count. Repeated rows are
-documents of their own: if their text is long enough, all its bytes go. Rows sharing a doc_id are told
-apart by their text. An empty table gives an empty result.
+"""Exact removal of repeated byte strings by sparse prefix doubling: ranks of windows at growing lengths.
+
+Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere else goes. Ranking every byte
+position would write many times the input, so ranked positions are sparse: a window (a string of that length) is
+named by an anchor inside it, the position with the least hash among the 200-byte strings that the window holds.
+Equal windows have their anchors at the same place. An anchor stands for all windows that it names at once, up
+to 201, which have its 200 bytes in common and span up to 600.
+
+* Round 0 names the anchor's 200 bytes; each later round pairs the rank of the round before with the name of a
+  longer common part (386, then 400 bytes), and Spark brings equal pairs together and ranks them anew.
+* A position whose rank is unique drops out.
+* One whose whole span has an equal elsewhere is past the threshold: all its windows repeat.
+* The rest are split into ranges of fewer windows, so that the common part grows, and are ranked again.
+
+Only one representative of equal spans is ranked again, so copies, however many, are a few rows. Ranks are
+numbers that Spark gives to whole classes; names are 64-bit hashes of the text they span. Spans count as equal if
+the ranks and two names agree, 128 bits at least.
+
+A null text has no bytes. Matches don't cross documents; overlapping ones count. Texts may be of any length.
+Repeated rows are documents of their own: if their text is long enough, all its bytes go. Rows sharing a doc_id
+are told apart by their text. Columns other than doc_id and text are not looked at, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,18 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, text_of, written
+from .common import Bits, sliced, text_of, written
 from .shingling import chunks, mix, prefix_sums
 
 LENGTH, GRAM = 400, 200
 #: Widths of the ranges of windows at an anchor, level by level.
 WIDTHS = (LENGTH - GRAM + 1, 15, 1)
-#: Rows up to which a small side (ranks, ids, or the runs of documents) is broadcast; beyond, it is shuffled.
-BROADCAST_ROWS = 1_500_000
-
 #: What tells documents apart: their id and a hash of their text.
 KEY = ("id", "h")
-RANKED = "id long, h long, w long, common long, whole long"
+RANKED = "id long, h long, w long, prev long, common long, whole long"
 
 
 def _hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,9 +104,11 @@ def _unpack(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, at - (w >> 8 & 255), at - (w & 255)
 
 
-def _rank(rows: DataFrame, level: int) -> DataFrame:
-    """Ranks of the ranges of one level. ``rows``: id, h, text and, past the first level, nodes to split."""
-    width = WIDTHS[level]
+def _rank(rows: DataFrame, level: int, names_only: bool = False, among: Bits | None = None) -> DataFrame:
+    """Ranges of one level with the rank of the level before and their names. ``rows``: id, h, text and, past the
+    first level, nodes to split (w, rank). ``names_only``: just the names of common parts; ``among``: only ranges
+    whose common part these bits may hold."""
+    width, shape = WIDTHS[level], "common long" if names_only else RANKED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -116,39 +118,50 @@ def _rank(rows: DataFrame, level: int) -> DataFrame:
                 s, q, begin, end = _hashes(data)
                 if level == 0:
                     at, first, last = anchors(s, q, begin, end)
-                    doc, low = np.searchsorted(end, at, "right"), np.zeros(len(at), np.int64)
+                    doc, low, prev = np.searchsorted(end, at, "right"), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                 else:
                     part = nodes.slice(start, len(data))
                     doc = np.repeat(np.arange(len(data)), part.value_lengths().to_numpy(zero_copy_only=False))
-                    at, first, last = _unpack(part.flatten().to_numpy(zero_copy_only=False))
+                    w, prev = (x.to_numpy(zero_copy_only=False) for x in part.flatten().flatten())
+                    at, first, last = _unpack(w)
                     cells = (at - first) // width - (at - last) // width + 1
                     nth = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
                     low = np.repeat((at - last) // width, cells) * width + nth * width
-                    doc, at, first, last = (np.repeat(x, cells) for x in (doc, at, first, last))
+                    doc, at, first, last, prev = (np.repeat(x, cells) for x in (doc, at, first, last, prev))
                     first, last = np.maximum(first, at - low - (width - 1)), np.minimum(last, at - low)
                     at, first, last = (x + begin[doc] for x in (at, first, last))
                 common, whole = _ranked(s, q, at, low, first, last, width)
+                if names_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(common.view(np.int64))], names=["common"])
+                    continue
+                if among is not None:
+                    hit = among.may_hold(common.view(np.int64))
+                    doc, at, first, last, prev, common, whole = (x[hit] for x in (doc, at, first, last, prev, common, whole))
                 w = _pack(at, first, last) - (begin[doc] << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[start + doc], hs[start + doc], w, common.view(np.int64), whole.view(np.int64))], names=["id", "h", "w", "common", "whole"])
-
-    return rows.select(*KEY, "text", *(["nodes"] if level else [])).mapInArrow(run, RANKED)
+                columns = (ids[start + doc], hs[start + doc], w, prev, common.view(np.int64), whole.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["id", "h", "w", "prev", "common", "whole"])
 
+    return rows.select(*KEY, "text", *(["nodes"] if level else [])).mapInArrow(run, shape)
 
-def _few(df: DataFrame) -> DataFrame:
-    """``df``, broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-
-def _decided(ranked: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def _decided(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """(id, h, w) of ranges that repeat; (id, h, nodes) of those to rank again, each with one
-    representative of every repeated span that shares its common part."""
-    ranked = written(ranked, f"ranked-{name}")
-    shared = written(ranked.groupBy("common").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("common"), f"shared-{name}")
-    alive = written(ranked.join(_few(shared), "common", "left_semi").select(*KEY, "w", "common", "whole"), f"alive-{name}")
-    spans = written(alive.groupBy("common", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "w")).alias("one")), f"spans-{name}")
-    open_ = spans.where("n = 1").select("common").distinct()
-    nodes = spans.join(open_, "common", "left_semi").select("one.*").groupBy(*KEY).agg(F.collect_list("w").alias("nodes"))
-    repeated = alive.join(spans.where("n > 1").select("common", "whole"), ["common", "whole"], "left_semi").select(*KEY, "w")
+    representative of every repeated span of its class.
+
+    At the first level, whose ranges are one to every hundred bytes of text, only the names of common parts are
+    brought together; rows are written for those that may occur twice, as told by bits of bounded size.
+    """
+    among, keys = None, ["prev", "common"] if level else ["common"]
+    if level == 0:
+        names = _rank(rows, 0, names_only=True).groupBy("common").agg(F.count(F.lit(1)).alias("n"))
+        among = Bits(written(names.where("n > 1").select("common"), "shared"))
+    alive = written(_rank(rows, level, among=among).select(*KEY, "w", *keys, "whole"), f"alive-{level}")
+    spans = written(alive.groupBy(*keys, "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "w")).alias("one")), f"spans-{level}")
+    repeated = alive.join(spans.where("n > 1").select(*keys, "whole"), [*keys, "whole"], "left_semi").select(*KEY, "w")
+    # Classes with a span that has no equal yet go on, under a number of their own.
+    open_ = spans.groupBy(*keys).agg(F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1 AND least = 1")
+    ranks = written(open_.select(*keys, F.monotonically_increasing_id().alias("rank")), f"ranks-{level}")
+    nodes = spans.join(ranks, keys).select("one.*", "rank").groupBy(*KEY).agg(F.collect_list(F.struct("w", "rank")).alias("nodes"))
     return repeated, nodes
 
 
@@ -169,13 +182,14 @@ def removed_runs(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """id, h, runs: the bytes to remove, as sorted runs from a to b. ``docs``: id, h, text."""
-    found, nodes = _decided(_rank(docs, 0), "0")
-    out, nodes = written(found, "found-0"), written(nodes, "nodes-0")
-    texts = written(docs.join(_few(nodes.select(*KEY)), list(KEY), "left_semi"), "texts")
-    for level in range(1, len(WIDTHS)):
-        found, nodes = _decided(_rank(texts.join(nodes, list(KEY)), level), str(level))
-        out = out.union(written(found, f"found-{level}"))
-        nodes = written(nodes, f"nodes-{level}") if level + 1 < len(WIDTHS) else nodes
+    rows, out = docs, None
+    for level in range(len(WIDTHS)):
+        found, nodes = _decided(rows, level)
+        found = written(found, f"found-{level}")
+        out = found if out is None else out.union(found)
+        if level + 1 < len(WIDTHS):
+            nodes = written(nodes, f"nodes-{level}")
+            rows = docs.where(Bits(nodes.select("h")).test("h")).join(nodes, list(KEY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -189,25 +203,32 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept and text (what is left of it).
+
+    A character that a removed run cuts in two shows in ``text`` as U+FFFD; the digest is of the bytes.
+    """
     rows = _keyed(docs.select("doc_id", text_of().alias("text")))
     runs = written(repeated_runs(rows.where(F.octet_length("text") >= LENGTH).select(*KEY, "text")), "runs")
-    joined = rows.join(_few(runs), list(KEY), "left").select("doc_id", "text", "runs")
+    may = Bits(runs.select("h")).test("h")  # only documents that may have runs are shuffled to them
+    joined = rows.where(may).join(runs, list(KEY), "left").select("doc_id", "text", "runs")
+    joined = joined.unionByName(rows.where(~may).select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            n, removed, spans, sha = [], [], [], []
+            n, removed, spans, sha, kept = [], [], [], [], []
             for t, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, at, digest, gone = t.encode("utf-8"), 0, hashlib.sha256(), 0
+                data, at, parts = t.encode("utf-8"), 0, []
                 for cut in cuts or ():
-                    digest.update(data[at : cut["a"]])
+                    parts.append(data[at : cut["a"]])
                     at = cut["b"]
-                    gone += at - cut["a"]
-                digest.update(data[at:])
+                left = b"".join([*parts, data[at:]])
                 n.append(len(data))
-                removed.append(gone)
+                removed.append(len(data) - len(left))
                 spans.append(len(cuts or ()))
-                sha.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                sha.append(hashlib.sha256(left).hexdigest())
+                kept.append(left.decode("utf-8", "replace") if cuts else t)
+            left_over = [a - b for a, b in zip(n, removed, strict=True)]
+            counts = [pa.array(x, pa.int64()) for x in (n, removed, spans, left_over)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts[:3], pa.array(sha, pa.string()), counts[3], pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "text"])
 
-    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, text string")
