@@ -58,7 +58,7 @@ class Bits:
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
 
         bit = F.col(keys.columns[0]).bitwiseAND(F.lit(size - 1))
-        dealt = keys.select(bit.alias("bit")).repartition(min(self.SEGMENTS, 8 * max(1, size >> 23)), F.floor(F.col("bit") / each))
+        dealt = keys.select(bit.alias("bit")).distinct().repartition(min(self.SEGMENTS, 8 * max(1, size >> 23)), F.floor(F.col("bit") / each))
         bits = np.zeros(size // 8, np.uint8)
         for row in dealt.mapInArrow(run, "segment int, bits binary").collect():  # at most 64 MB in all
             part = np.frombuffer(row["bits"], np.uint8)
