@@ -3,11 +3,13 @@
 Vectors are dealt to shards by a hash of their id. A shard's tree splits at the median of its widest
 dimension and keeps the tight bounding box of every node. A query visits nodes best first, by the largest
 inner product that the node's box allows, until no bound reaches its k-th score so far; that score is
-carried from shard to shard, so later shards are cut short. Integer components keep scores exact.
+carried from shard to shard, so later shards are cut short.
 
 A block of queries meets each shard once. Vectors that are null or hold null or non-finite components,
-and those of another length than the query, take no part. Repeated ids are rows of their own: each is a
-candidate, and a query's own id never is. Ties go to the smaller id. Empty tables give no rows.
+and those of another length than the query, take no part. Scores are exact integers; those past the range
+of a long count as its ends. Repeated ids are rows of their own: each is a candidate, and a query's own id
+never is. Ties go to the smaller id. Columns other than key and vector are not looked at, whatever their
+names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
+
 #: Vectors a shard and a leaf, and queries a block.
 SHARD, LEAF, BLOCK = 8192, 256, 1024
+#: Sums of products below this are exact in floating point; larger scores are summed as Python integers.
+EXACT = float(1 << 53)
+#: The largest score of a long that has a negative.
+TOP = (1 << 63) - 1
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndarray]:
@@ -37,7 +45,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict[str, n
         low[node], high[node] = part.min(0), part.max(0)
         inner[node] = b - a > leaf and bool((high[node] > low[node]).any())
         if inner[node]:
-            split = int(np.argmax(high[node].astype(np.int64) - low[node]))
+            split = int(np.argmax(high[node].astype(np.float64) / 2 - low[node].astype(np.float64) / 2))
             mid = (b - a) // 2
             order[a:b] = order[a:b][np.argpartition(part[:, split], mid, kind="introselect")]
             for child, span in ((2 * node + 1, (a, a + mid)), (2 * node + 2, (a + mid, b))):
@@ -61,22 +69,37 @@ def bounds(tree: dict[str, np.ndarray], queries: np.ndarray) -> np.ndarray:
     return np.maximum(q, 0) @ tree["high"].T.astype(np.float64) + np.minimum(q, 0) @ tree["low"].T.astype(np.float64)
 
 
+def margin(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """More than what floating-point products of the two may be off; infinite where they overflow."""
+    return np.nan_to_num(np.abs(queries.astype(np.float64)) @ np.abs(vectors.astype(np.float64)).T * 1e-12, nan=np.inf)
+
+
+def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    q = [int(x) for x in query]
+    return np.array([max(-TOP, min(TOP, sum(int(x) * y for x, y in zip(v, q, strict=True)))) for v in vectors.tolist()], np.int64)
+
+
 class Best:
     """The k best of each query of a block so far, over all shards seen. A candidate below a query's k-th
     score can't be among them."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.own, self.queries, self.k = ids, queries.astype(np.float64), k
-        self.kth = np.full(len(ids), -np.inf)
+        self.kth: list[float] = [float("-inf")] * len(ids)
         self.ids = [np.zeros(0, np.int64)] * len(ids)
-        self.scores = [np.zeros(0, np.float64)] * len(ids)
+        self.scores = [np.zeros(0, np.int64)] * len(ids)
 
     def search(self, tree: dict[str, np.ndarray]) -> None:
         """Best first through a shard's tree, for each query, until no box reaches its k-th score."""
-        reach, vectors = bounds(tree, self.queries), tree["vectors"].astype(np.float64)
+        vectors = tree["vectors"].astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            plain = float(np.abs(self.queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1]) < EXACT
+            reach = bounds(tree, self.queries)
+            if not plain:
+                reach = np.nan_to_num(reach + margin(self.queries, np.maximum(np.abs(tree["low"].astype(np.float64)), np.abs(tree["high"].astype(np.float64)))), nan=np.inf, posinf=np.inf)
         spans, children = tree["spans"].tolist(), tree["children"].tolist()
         for q, own in enumerate(self.own):
-            limit, row, best_ids, best = self.kth[q], reach[q], self.ids[q], self.scores[q]
+            limit, row, best_ids, best = self.kth[q], reach[q].tolist(), self.ids[q], self.scores[q]
             heap = [(-row[0], 0)]
             while heap and -heap[0][0] >= limit:
                 _, node = heapq.heappop(heap)
@@ -87,21 +110,29 @@ class Best:
                             heapq.heappush(heap, (-row[child], child))
                     continue
                 a, b = spans[node]
-                scores, ids = vectors[a:b] @ self.queries[q], tree["ids"][a:b]
-                good = (scores >= limit) & (ids != own)
-                if good.any():
-                    best, best_ids = np.concatenate((best, scores[good])), np.concatenate((best_ids, ids[good]))
+                ids = tree["ids"][a:b]
+                if plain:
+                    scores = vectors[a:b] @ self.queries[q]
+                    at = np.flatnonzero((scores >= limit) & (ids != own))
+                    scores = scores[at].astype(np.int64)
+                else:  # what may reach the k-th score is summed again, in whole numbers
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        about = np.nan_to_num(vectors[a:b] @ self.queries[q] + margin(self.queries[q], vectors[a:b]), nan=np.inf, posinf=np.inf)
+                    at = np.flatnonzero((about >= limit) & (ids != own))
+                    scores = exact_scores(self.queries[q], vectors[a:b][at])
+                if len(at):
+                    best, best_ids = np.concatenate((best, scores)), np.concatenate((best_ids, ids[at]))
                     if len(best) > self.k:
                         top = np.lexsort((best_ids, -best))[: self.k]
                         best, best_ids = best[top], best_ids[top]
                     if len(best) == self.k:
-                        limit = max(limit, best.min())
+                        limit = max(limit, int(best.min()))
             self.kth[q], self.ids[q], self.scores[q] = limit, best_ids, best
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """query_id, vec_id, score."""
         n = [len(x) for x in self.ids]
-        return np.repeat(self.own, n), np.concatenate(self.ids), np.concatenate(self.scores).astype(np.int64)
+        return np.repeat(self.own, n), np.concatenate(self.ids), np.concatenate(self.scores)
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -111,7 +142,9 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         ids, vectors, width = [], [], None
 
         def put() -> pa.RecordBatch:
-            data = pickle.dumps((np.array(ids, np.int64), np.array(vectors, np.int32).reshape(len(ids), -1)))
+            whole = np.array(vectors, np.float64).reshape(len(ids), -1)
+            small = bool((np.abs(whole) < 1 << 31).all())
+            data = pickle.dumps((np.array(ids, np.int64), whole.astype(np.int32) if small else whole))
             return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([data], pa.binary())], names=["width", "data"])
 
         held: dict[int, tuple[list, list]] = {}
@@ -141,25 +174,34 @@ def _shards(rows: DataFrame) -> DataFrame:
 
 
 def quantised(table: DataFrame, key: str, vector: str, scale: int = 1024) -> DataFrame:
-    """id and v (integers floor(scale * x)) of the vectors that take part."""
+    """id and v (integers floor(scale * x), as doubles, which hold them exactly) of the vectors that take part.
+    A component whose product overflows counts as the largest double."""
     x = F.col(vector).cast("array<double>")
     whole = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return table.where(whole & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("int")).alias("v"))
+    largest = 1.7976931348623157e308
+
+    def floored(c):
+        y = F.least(F.greatest(c * float(scale), F.lit(-largest)), F.lit(largest))
+        return F.when(F.abs(y) >= float(1 << 52), y).otherwise(F.floor(F.when(F.abs(y) < float(1 << 52), y)).cast("double"))
+
+    return table.where(whole & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(x, floored).alias("v"))
 
 
 def top_k(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score. Both frames: id, v.
 
-    Work grows with queries times shards, as asked; each task takes one block of queries through several
-    shards, which share the k-th scores, and returns at most k rows a query.
+    Work grows with queries times shards, as asked. Shards are dealt to groups by number, and every block of
+    queries goes to every group; a task takes a block through its group's shards, which share the k-th
+    scores, and returns at most k rows a query. Groups are as many as tasks can run, so a block's copies don't
+    grow with the shards. Shards and blocks are written once, so a task that is run again meets the same ones.
     """
     spark = base.sparkSession
     shards = max(1, -(-base.count() // SHARD))
     blocks = max(1, -(-queries.count() // BLOCK))
-    tasks = max(1, min(shards, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)))
-    dealt = _shards(base.repartition(shards, F.xxhash64("id"))).repartition(tasks)
-    asked = _packed(queries.repartition(blocks, F.xxhash64("id")), BLOCK).withColumnRenamed("width", "q_width")
-    met = asked.crossJoin(dealt).where("width = q_width").select("data", "tree")  # blocks with shards, not rows with rows
+    groups = min(shards, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = written(_shards(base.repartition(shards, F.xxhash64("id"))).withColumn("group", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(groups))), "shards")
+    asked = written(_packed(queries.repartition(blocks, F.xxhash64("id")), BLOCK), "blocks").withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
+    met = asked.join(dealt.hint("merge"), ["group", "width"]).select("data", "tree")  # blocks with shards, not rows with rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, best = b"", None

@@ -73,6 +73,38 @@ def test_a_tree_prunes_and_stays_exact():
         assert kd_search.bounds(tree, best.queries)[k].max() >= best.scores[k].max()
 
 
+def test_blocks_meet_all_shards(spark, monkeypatch):
+    """Several blocks, shards and groups, with a shuffled join of the two."""
+    monkeypatch.setattr(kd_search, "SHARD", 40)
+    monkeypatch.setattr(kd_search, "BLOCK", 7)
+    vectors = np.random.default_rng(8).integers(-50, 50, (900, 4))
+    base = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "id long, v array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in kd_search.top_k(base, base.where("id % 30 = 0")).collect()}
+    want = {}
+    for q in range(0, 900, 30):
+        scores = vectors @ vectors[q]
+        best = [i for i in np.lexsort((np.arange(900), -scores)) if i != q][:10]
+        want |= {(q, r + 1): (int(i), int(scores[i])) for r, i in enumerate(best)}
+    assert got == want
+
+
+def test_large_components_score_exactly(spark):
+    rng = random.Random(4)
+    vectors = [[rng.choice([1, -1]) * rng.randrange(1 << 27) / 1024 for _ in range(5)] for _ in range(400)]
+    vectors[7], vectors[8], vectors[9] = [1e300, -1e300, 0.0, 1.0, 2.0], [1e308] * 5, [3e6] * 5
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    base = kd_search.quantised(rows, "vec_id", "embedding")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in kd_search.top_k(base, base.where("id % 100 = 0 OR id = 7")).collect()}
+    whole = [[int(x) * 1024 if abs(x) > 1e9 else int(np.floor(x * 1024)) for x in v] for v in vectors]
+    whole[8] = [int(1.7976931348623157e308)] * 5
+    want = {}
+    for q in (0, 7, 100, 200, 300):
+        scores = [max(-kd_search.TOP, min(kd_search.TOP, sum(a * b for a, b in zip(v, whole[q], strict=True)))) for v in whole]
+        best = [i for i in sorted(range(400), key=lambda i: (-scores[i], i)) if i != q][:10]
+        want |= {(q, r + 1): (i, scores[i]) for r, i in enumerate(best)}
+    assert got == want
+
+
 def test_top_k_of_few_and_none(spark):
     two = spark.createDataFrame([(0, [1.0]), (7, [2.0])], "id long, v array<double>").selectExpr("id", "transform(v, x -> CAST(x AS INT)) AS v")
     assert [tuple(r) for r in kd_search.top_k(two, two.where("id = 0")).collect()] == [(0, 1, 7, 2)]
