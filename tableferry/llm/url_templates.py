@@ -2,10 +2,15 @@
 
 Variable segments (numbers, dates, long hex) become wildcards by their form, and at a node with many
 rarely used children by their number. Sibling branches whose labelled rates do not differ
-significantly are merged. A template is rejected by the smoothed share of bad labels among its pages.
-
-A null url, or one without ``://``, has an empty host and path. Repeated rows give repeated results; the
-labels of repeated urls add up. An empty table gives an empty result. Without labels nothing is rejected.
+significantly are merged. A template is rejected by the smoothed share of bad labels among its pages: it is
+smoothed by the share of the same template over all hosts, and that by the overall share, so labels reach
+hosts and pages that have none.
+
+A null url, or one without ``://``, has an empty host and path. Urls may be of any length; segments past 64
+characters are variable. Repeated rows give repeated results; the labels of repeated urls add up. Ties: of two
+rules that fit and are equally long, the one last by (verdict, host, path) wins. Columns other than the key and
+the url are not looked at, whatever their names. An empty table gives an empty result. Without labels nothing
+is rejected.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from .common import written
 MANY_CHILDREN, FEW_PAGES = 24, 8.0
 #: Siblings merge if their rates differ by fewer standard errors.
 SIGNIFICANT = 1.96
-#: Pseudo-labels of the overall rate, labels asked for, and the share of bad ones that rejects.
+#: Pseudo-labels of the rate that smooths, labels asked for (on all hosts), and the share of bad ones that rejects.
 SMOOTHING, LEAST_LABELS, REJECT = 4.0, 5, 0.9
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -55,7 +60,8 @@ def generalised(path: Column) -> Column:
 
 
 def templates(labelled: DataFrame) -> DataFrame:
-    """host, form (generalised path), template, n, n_labelled, n_bad, purity, rejected.
+    """host, form (generalised path), template, n, n_labelled, n_bad, all_labelled (labels of the template on all
+    hosts), prior (their smoothed rate), purity, rejected.
 
     ``labelled``: host, path, bad (1, 0 or null). Pages are first summed by host and form. Each level of
     the tree sums these rows by branch and the branches by node, so no node meets in one task, and joins
@@ -95,12 +101,16 @@ def templates(labelled: DataFrame) -> DataFrame:
         wild = branches.join(nodes, ["host", "template"]).where(alike | variable).select("host", "template", "segment", F.lit(True).alias("wild"))
         step = F.when(F.coalesce("wild", F.col("segment") == "*"), "/*").otherwise(F.concat(F.lit("/"), F.col("segment")))
         leaves = leaves.join(wild, ["host", "template", "segment"], "left").select("host", "form", *counts, F.concat("template", step).alias("template"))
+    done = written(done, "templates")
     bad, seen = done.agg(F.sum("n_bad"), F.sum("n_labelled")).first()
     overall = (bad or 0) / (seen or 1)
-    purity = (F.col("n_bad") + SMOOTHING * overall) / (F.col("n_labelled") + SMOOTHING)
-    judged = done.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in counts)).withColumn("purity", purity)
-    judged = judged.withColumn("rejected", (F.col("n_labelled") >= LEAST_LABELS) & (F.col("purity") >= REJECT))
-    return done.drop(*counts).join(judged, ["host", "template"])
+    smoothed = lambda n_bad, n, rate: (F.col(n_bad) + SMOOTHING * rate) / (F.col(n) + SMOOTHING)
+    own = done.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in counts))
+    everywhere = own.groupBy("template").agg(F.sum("n_labelled").alias("all_labelled"), F.sum("n_bad").alias("all_bad"))
+    everywhere = everywhere.withColumn("prior", smoothed("all_bad", "all_labelled", F.lit(overall)))
+    judged = own.join(everywhere, "template").withColumn("purity", smoothed("n_bad", "n_labelled", F.col("prior")))
+    judged = judged.withColumn("rejected", (F.col("all_labelled") >= LEAST_LABELS) & (F.col("purity") >= REJECT))
+    return done.drop(*counts).join(judged.drop("all_bad"), ["host", "template"])
 
 
 def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, key: str = "page_id", url: str = "url") -> DataFrame:

@@ -182,6 +182,78 @@ def test_many_children_become_a_wildcard(spark):
     assert {r["template"] for r in url_templates.templates(rows).collect()} == {"/u/*/about"}
 
 
+def brute_templates(rows):
+    """host and form to (template, n_labelled, n_bad, purity, rejected), by walking the tree of each host."""
+    wild = re.compile(r"[0-9]+(\.[A-Za-z]+)?|[0-9]{4}-[0-9]{2}(-[0-9]{2})?|[0-9A-Fa-f-]{16,}(\.[A-Za-z]+)?|.{65,}")
+    forms = {}
+    for host, path, bad in rows:
+        form = tuple("*" if wild.fullmatch(s) else s for s in path.split("/") if s)
+        c = forms.setdefault((host, form), [0, 0, 0])
+        c[0] += 1
+        c[1] += bad is not None
+        c[2] += bad or 0
+    at = {k: "" for k in forms}
+    level, live = 0, set(forms)
+    while live:
+        nodes = {}
+        for k in live:
+            nodes.setdefault((k[0], at[k]), []).append(k)
+        for k in list(live):
+            if len(nodes[k[0], at[k]]) == 1 or len(k[1]) <= level:
+                live.discard(k)
+        for (host, node), held in nodes.items():
+            held = [k for k in held if k in live]
+            branches = {}
+            for k in held:
+                if k[1][level] != "*":
+                    b = branches.setdefault(k[1][level], [0, 0, 0])
+                    for x in range(3):
+                        b[x] += forms[k][x]
+            total = [sum(b[x] for b in branches.values()) for x in range(3)]
+            for k in held:
+                s = k[1][level]
+                if s != "*":
+                    n, seen, bad = branches[s]
+                    others, rate = max(1, total[1] - seen), total[2] / max(1, total[1])
+                    error = (rate * (1 - rate) * (1 / max(1, seen) + 1 / others)) ** 0.5
+                    alike = seen > 0 and total[1] > seen and abs(bad / max(1, seen) - (total[2] - bad) / others) <= 1.96 * error
+                    if alike or len(branches) > 24 and total[0] / len(branches) < 8:
+                        s = "*"
+                at[k] = f"{node}/{s}"
+        level += 1
+    out, own, every = {}, {}, {}
+    for k, (_, seen, bad) in forms.items():
+        rest = k[1][at[k].count("/") :]
+        at[k] += "".join(f"/{s}" for s in rest)
+        for d, key in ((own, (k[0], at[k])), (every, at[k])):
+            c = d.setdefault(key, [0, 0])
+            c[0] += seen
+            c[1] += bad
+    overall = sum(b for _, b in every.values()) / max(1, sum(n for n, _ in every.values()))
+    for k in forms:
+        n, bad = own[k[0], at[k]]
+        all_n, all_bad = every[at[k]]
+        purity = (bad + 4 * (all_bad + 4 * overall) / (all_n + 4)) / (n + 4)
+        out[k[0], "/".join(k[1])] = (at[k], n, bad, round(purity, 9), all_n >= 5 and purity >= 0.9)
+    return out
+
+
+def test_templates_equal_a_plain_walk(spark):
+    rnd = random.Random(6)
+    rows = []
+    for _ in range(3000):
+        host = rnd.choice(["a.org", "b.org", "c.net"])
+        depth = rnd.randrange(6)
+        path = "/" + "/".join(rnd.choice(["news", "spam", str(rnd.randrange(99)), "u" + str(rnd.randrange(60)), "x.html"]) for _ in range(depth))
+        bad = None if host == "c.net" or rnd.random() < 0.3 else int(("spam" in path) == (rnd.random() < 0.97))
+        rows.append((host, path + rnd.choice(["", "/"]), bad))
+    got = url_templates.templates(spark.createDataFrame(rows, "host string, path string, bad int")).collect()
+    want = brute_templates(rows)
+    assert {(r["host"], r["form"]): (r["template"], r["n_labelled"], r["n_bad"], round(r["purity"], 9), r["rejected"]) for r in got} == want
+    assert any(v[4] for v in want.values()) and len({v[0] for v in want.values()}) < len(want)
+    assert any(v[4] for (host, _), v in want.items() if host == "c.net")  # a host without labels
+
+
 # -- 4 ----------------------------------------------------------------------------------------
 def shingle_set(text):
     low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
