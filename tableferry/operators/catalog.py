@@ -1,29 +1,56 @@
 """Catalog frames, matching of tables and columns between two catalogs, and type compatibility.
 
-A catalog frame has a row for each column: table_name, column_name, data_type, ordinal, nullable.
+A catalog frame has a row for each column: table_name, kind (TABLE or VIEW), column_name, data_type, ordinal,
+nullable. Files carry no keys, so primary and foreign keys are declared, and can be held against the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .profile import duplicate_keys, orphans
+
 #: Prefixes and suffixes that table names carry.
-TABLE_AFFIXES = r"^(SRC_|TBL_|TB_|MST_|T_)|(_TB|_T)$"
+PREFIXES, SUFFIXES = r"^(SRC_|TBL_|TB_|MST_|T_)", r"(_TB|_T)$"
 #: Name endings that stand for each other, source to target.
 ENDINGS = [("_NM", "_NAME"), ("_CD", "_CODE"), ("_DT", "_AT"), ("_DT", "_DATE"), ("_FLAG", "_YN")]
 
-CATALOG = "table_name string, column_name string, data_type string, ordinal int, nullable boolean"
+CATALOG = "table_name string, kind string, column_name string, data_type string, ordinal int, nullable boolean"
+#: A declared key: table, columns, and for a foreign key the parent and its columns.
+Key = tuple[str, list[str], str | None, list[str] | None]
 
 
-def catalog(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFrame:
-    rows = [(t, f.name, f.dataType.simpleString(), k + 1, f.nullable) for t, df in frames.items() for k, f in enumerate(df.schema)]
+def catalog(spark: SparkSession, frames: Mapping[str, DataFrame], kind: str = "TABLE") -> DataFrame:
+    rows = [(t, kind, f.name, f.dataType.simpleString(), k + 1, f.nullable) for t, df in frames.items() for k, f in enumerate(df.schema)]
     return spark.createDataFrame(rows, CATALOG)
 
 
+def with_keys(spark: SparkSession, columns: DataFrame, keys: list[Key]) -> DataFrame:
+    """Catalog columns with their place in the primary key and the column that a foreign key names."""
+    own = [(t, c, k + 1) for t, cs, parent, _ in keys if parent is None for k, c in enumerate(cs)]
+    foreign = [(t, c, f"{parent}.{pc}") for t, cs, parent, pcs in keys if parent is not None for c, pc in zip(cs, pcs or [], strict=True)]
+    pk = spark.createDataFrame(own, "table_name string, column_name string, pk_position int")
+    fk = spark.createDataFrame(foreign, "table_name string, column_name string, refers_to string")
+    fk = fk.groupBy("table_name", "column_name").agg(F.array_join(F.array_sort(F.collect_list("refers_to")), ",").alias("refers_to"))
+    on = ["table_name", "column_name"]
+    return columns.join(F.broadcast(pk), on, "left").join(F.broadcast(fk), on, "left")  # declared keys are few
+
+
+def held_keys(frames: Mapping[str, DataFrame], keys: list[Key]) -> DataFrame:
+    """table_name, kind, columns, refers_to, n_bad: rows against each declared key, as repeated keys or orphans."""
+    out = []
+    for t, cs, parent, pcs in keys:
+        bad = duplicate_keys(frames[t], cs) if parent is None else orphans(frames[t], cs, frames[parent], pcs or [])
+        row = bad.agg(F.count(F.lit(1)).alias("n_bad"))
+        out.append(row.select(F.lit(t).alias("table_name"), F.lit("FK" if parent else "PK").alias("kind"), F.lit(",".join(cs)).alias("columns"), F.lit(parent).cast("string").alias("refers_to"), "n_bad"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def stats(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
     """table_name, column_name, n_rows, n_null, n_distinct, in one pass. Distinct counts are sketches unless
     ``exact``, which shuffles the rows once for each column."""
@@ -40,7 +67,7 @@ def with_stats(columns: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def bare(name: Column) -> Column:
     """A table's name without what it carries at both ends."""
-    return F.regexp_replace(F.regexp_replace(F.upper(name), r"^(SRC_|TBL_|TB_|MST_|T_)", ""), r"(_TB|_T)$", "")
+    return F.regexp_replace(F.regexp_replace(F.upper(name), PREFIXES, ""), SUFFIXES, "")
 
 
 def _one_to_one(found: DataFrame, a: str, b: str) -> DataFrame:
@@ -81,33 +108,55 @@ def map_columns(sources: DataFrame, targets: DataFrame, dictionary: DataFrame) -
 
 
 def family(type_: Column) -> Column:
+    """char, number, time, or the base name of a large or raw type."""
     t = F.lower(type_)
     return (
         F.when(t.rlike("^(n?varchar|string|n?char)"), "char")
-        .when(t.rlike("^(decimal|number|int|bigint|double|float|smallint)"), "number")
+        .when(t.rlike("^(decimal|number|int|bigint|double|float|smallint|tinyint)"), "number")
         .when(t.rlike("^(date|timestamp)"), "time")
-        .when(t.rlike("^(binary|blob|raw)"), "binary")
+        .when(t.rlike("^(nclob|clob|blob|long raw|long|raw|binary)"), F.regexp_extract(t, "^(nclob|clob|blob|long raw|long|raw|binary)", 1))
         .otherwise("other")
     )
 
 
+#: Pairs of large and raw types that convert, with the kind of what happens.
+LARGE = {
+    ("char", "clob"): "fits", ("char", "nclob"): "fits", ("clob", "char"): "lob_truncation", ("nclob", "char"): "lob_truncation",
+    ("clob", "nclob"): "charset", ("nclob", "clob"): "charset", ("long", "clob"): "to_lob", ("raw", "blob"): "fits", ("long raw", "blob"): "to_lob",
+    ("binary", "blob"): "fits", ("raw", "binary"): "fits",
+}
+#: Levels of the kinds that don't pass.
+LEVELS = {
+    "truncation": "ERROR", "overflow": "ERROR", "unsupported": "ERROR", "parse": "WARN", "loses_fraction": "WARN", "format": "WARN", "to_text_short": "WARN",
+    "lob_truncation": "WARN", "charset": "WARN", "to_lob": "WARN", "unmeasured": "INFO",
+}
+
+
 def compatibility(pairs: DataFrame) -> DataFrame:
     """``pairs`` with level (PASS, INFO, WARN, ERROR) and kind. Columns used: source_type, target_type,
     target_len, target_digits, max_chars, int_digits (the last two measured)."""
     s, t = family(F.col("source_type")), family(F.col("target_type"))
     length = F.when(F.col("target_len").isNull() | F.col("max_chars").isNull(), "unmeasured").when(F.col("max_chars") > F.col("target_len"), "truncation").otherwise("fits")
     digits = F.when(F.col("target_digits").isNull() | F.col("int_digits").isNull(), "unmeasured").when(F.col("int_digits") > F.col("target_digits"), "overflow").otherwise("fits")
+    low = F.lower("source_type")
+    declared = F.regexp_extract(low, r"^(?:decimal|number)\(([0-9]+)", 1).try_cast("int")
+    precision = F.coalesce(declared, F.when(low == "int", 10).when(low == "bigint", 19), F.lit(38))
+    need = precision + F.when(F.regexp_extract(low, r",\s*([0-9]+)\)", 1).try_cast("int") > 0, 2).otherwise(1)
+    large = F.lit(None).cast("string")
+    for (a, b), kind in LARGE.items():
+        large = F.when((s == a) & (t == b), F.lit(kind)).otherwise(large)
     kind = (
         F.when((s == "other") | (t == "other"), "unsupported")
         .when((s == "char") & (t == "char"), length)
         .when((s == "number") & (t == "number"), digits)
-        .when((s == "time") & (t == "time"), F.when(F.lower("source_type").startswith("timestamp") & F.lower("target_type").startswith("date"), "loses_fraction").otherwise("fits"))
-        .when((s == "number") & (t == "char"), "to_text")
-        .when((s == "time") & (t == "char"), "to_text")
-        .when((s == "char") & (t == "number"), "parse")
-        .when((s == "char") & (t == "time"), "parse")
+        .when((s == "time") & (t == "time"), F.when(low.startswith("timestamp") & F.lower("target_type").startswith("date"), "loses_fraction").otherwise("fits"))
+        .when((s == "number") & (t == "char"), F.when(F.col("target_len") < need, "to_text_short").otherwise("to_text"))
+        .when((s == "time") & (t == "char"), "format")
+        .when((s == "char") & t.isin("number", "time"), "parse")
         .when(s == t, "fits")
-        .otherwise("unsupported")
+        .otherwise(F.coalesce(large, F.lit("unsupported")))
     )
-    level = F.when(F.col("kind").isin("truncation", "overflow", "unsupported"), "ERROR").when(F.col("kind").isin("parse", "loses_fraction"), "WARN").when(F.col("kind").isin("to_text", "unmeasured"), "INFO").otherwise("PASS")
+    level = F.lit("PASS")
+    for k, v in LEVELS.items():
+        level = F.when(F.col("kind") == k, F.lit(v)).otherwise(level)
     return pairs.withColumn("kind", kind).withColumn("level", level)

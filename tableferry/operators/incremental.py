@@ -57,15 +57,20 @@ def run_cycle(table: SnapshotTable, rows: DataFrame, key: list[str], checkpoint:
         return state
     watermark = state["watermark"] if last == "manifest" else last
     new = dedup_last(after(rows, checkpoint, watermark, upper), key, [F.col(checkpoint)])
-    target = table.read()
     top = new.agg(F.max(checkpoint).cast("string"), F.count(F.lit(1))).first()
-    updated = load.existing_keys(target, new, key).count()
+    updated = load.existing_keys(table.read(buckets=table.touched(new)), new, key).count()
     mark = advanced(watermark, upper, top[0], False)
-    return table.commit(load.merge(target, new, key), batch_id=batch_id, watermark=str(mark) if mark is not None else None, n_written=top[1], n_updated=updated)
+    return load.apply(table, "MERGE", new, key, batch_id=batch_id, watermark=str(mark) if mark is not None else None, n_written=top[1], n_updated=updated)[0]
 
 
-def start(spark: SparkSession, root: str, first: DataFrame) -> SnapshotTable:
-    table = SnapshotTable(spark, root)
+def checkpoints(spark: SparkSession, tables: dict[str, SnapshotTable]) -> DataFrame:
+    """task, value, rows_done: what the last runs committed for each of their tasks (``target`` or ``target#n``)."""
+    rows = [(t["task"], t["value"], t["rows_done"]) for table in tables.values() for t in table.manifest().get("tasks", [])]
+    return spark.createDataFrame(rows, "task string, value string, rows_done bigint")
+
+
+def start(spark: SparkSession, root: str, first: DataFrame, key: list[str] | None = None) -> SnapshotTable:
+    table = SnapshotTable(spark, root, key or ())
     if not table.versions():
         table.commit(first)
     return table

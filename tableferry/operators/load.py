@@ -1,12 +1,15 @@
-"""Write modes: each gives the target's next snapshot from its last one and the good rows."""
+"""Write modes: each gives the target's rows anew from those it has and the good rows; ``apply`` writes them,
+touching only the buckets that hold the good rows' keys."""
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import SnapshotTable
 from .mapping import DUPLICATE
 
 
@@ -55,6 +58,23 @@ def delete_insert(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFra
     return target.join(rows.select(*key), key, "left_anti").select(*target.columns).unionByName(fitted(rows, target))
 
 
+def apply(table: SnapshotTable, mode: str, rows: DataFrame, key: list[str], **facts: Any) -> tuple[dict[str, Any], DataFrame | None]:
+    """Write rows in a mode; facts are committed with them. Gives the manifest and, for INSERT_ONLY, the rows
+    whose key the target has, as rejects.
+
+    INSERT_ONLY adds files; MERGE and DELETE_INSERT write the touched buckets anew; TRUNCATE_INSERT writes all.
+    """
+    if mode == "TRUNCATE_INSERT":
+        return table.commit(truncate_insert(table.read(), rows), **facts), None
+    buckets = table.touched(rows)
+    part = table.read(buckets=buckets)
+    if mode == "INSERT_ONLY":
+        known = rows.join(part.select(*key), key, "left_semi").withColumns({"err_num": F.lit(DUPLICATE), "err_col": F.lit(",".join(key))})
+        return table.insert(fitted(rows.join(part.select(*key), key, "left_anti"), part), **facts), known
+    new = merge(part, rows, key) if mode == "MERGE" else delete_insert(part, rows, key)
+    return table.rewrite(new, buckets, **facts), None
+
+
 def existing_keys(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return target.select(*key).join(rows.select(*key).distinct(), key, "left_semi")
 

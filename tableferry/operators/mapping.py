@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..spec import ColumnMapping, Mapping
 
@@ -68,21 +68,34 @@ def constraint_check(mapped: DataFrame, mapping: Mapping) -> DataFrame:
     return mapped.withColumns({"err_num": number, "err_col": column})
 
 
+def whole_key(key: list[str]) -> Column:
+    """Whether no part of the key is NULL: a key with a NULL part equals none, not even itself."""
+    out = F.lit(True)
+    for k in key:
+        out = out & F.col(k).isNotNull()
+    return out
+
+
+def _by_key(df: DataFrame, key: list[str], *more: Column) -> WindowSpec:
+    """Rows of a key together; those with a NULL in it apart, spread by all their columns."""
+    return Window.partitionBy(*key, F.when(~whole_key(key), F.xxhash64(*df.columns)), *more)
+
+
 def dedup_last(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key, as when rows are merged one by one in order."""
-    w = Window.partitionBy(*key).orderBy(*[o.desc() for o in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The last row of each key, as when rows are merged one by one in order; all rows without a whole key."""
+    w = _by_key(df, key).orderBy(*[o.desc() for o in order])
+    return df.withColumn("__rn", F.row_number().over(w)).where((F.col("__rn") == 1) | ~whole_key(key)).drop("__rn")
 
 
 def first_wins(checked: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Among good rows of a key the first stays good; the rest break the key."""
+    """Among good rows of a key the first stays good; the rest break the key. Rows without a whole key break none."""
     good = F.when(F.col("err_num").isNull(), 0).otherwise(1)
-    w = Window.partitionBy(*key, good).orderBy(*order)
-    again = F.col("err_num").isNull() & (F.row_number().over(w) > 1)
-    return checked.withColumn("_again", again).withColumns({
-        "err_col": F.when(F.col("_again"), F.lit(",".join(key))).otherwise(F.col("err_col")),
-        "err_num": F.when(F.col("_again"), F.lit(DUPLICATE)).otherwise(F.col("err_num")),
-    }).drop("_again")
+    w = _by_key(checked, key, good).orderBy(*order)
+    again = F.col("err_num").isNull() & (F.row_number().over(w) > 1) & whole_key(key)
+    return checked.withColumn("__again", again).withColumns({
+        "err_col": F.when(F.col("__again"), F.lit(",".join(key))).otherwise(F.col("err_col")),
+        "err_num": F.when(F.col("__again"), F.lit(DUPLICATE)).otherwise(F.col("err_num")),
+    }).drop("__again")
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

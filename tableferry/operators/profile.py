@@ -70,3 +70,17 @@ def unequal_buckets(a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.select("bucket", F.col("n").alias("n_source"), F.col("total").alias("h_source"))
     right = b.select("bucket", F.col("n").alias("n_target"), F.col("total").alias("h_target"))
     return left.join(right, "bucket", "full_outer").where(~(F.col("n_source").eqNullSafe(F.col("n_target")) & F.col("h_source").eqNullSafe(F.col("h_target"))))
+
+
+#: Bytes of a value by type.
+WIDTHS = {"tinyint": 1, "boolean": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+
+
+def volume(df: DataFrame) -> DataFrame:
+    """n_rows, bytes: rows and the bytes of their values. Texts and binaries count by their length, others by type."""
+    fixed = sum(WIDTHS.get(t, 8) for _, t in df.dtypes if t not in ("string", "binary"))
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    size = F.lit(fixed).cast("bigint")
+    for t in texts:
+        size = size + t
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SEPARATOR
+from ..storage import SnapshotTable
+
 MARK, UNMARK, ALREADY, SOURCE_ONLY = "mark", "unmark", "already", "source_only"
 #: At least so many candidates are allowed, whatever the ratio.
 LEAST_CAP = 10
+#: At most so many rows are marked and unmarked at once.
+MOST = 200_000
 
 
 def key_diff(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -34,6 +41,14 @@ def marked(target: DataFrame, diff: DataFrame, key: Column, mark: str, on: str =
     return joined.withColumn(mark, new).select(*target.columns)
 
 
+def mark(table: SnapshotTable, diff: DataFrame, key: Column, column: str, **facts: Any) -> dict[str, Any]:
+    """Commit marks set and cleared; only buckets that hold rows to change are written."""
+    todo = diff.where(F.col("action").isin(MARK, UNMARK)).select(F.col("k").alias("_k"))
+    target = table.read()
+    buckets = table.touched(target.withColumn("_k", key).join(todo, "_k", "left_semi").select(*target.columns))
+    return table.rewrite(marked(table.read(buckets=buckets), diff, key, column), buckets, **facts)
+
+
 def cap(diff: DataFrame, source: DataFrame, target: DataFrame, ratio: float = 0.1, most: int | None = None) -> DataFrame:
     """n_source, n_live, n_mark, n_unmark, allowed, blocked: whether marks may be written without approval."""
     counts = diff.agg(*(F.count(F.when(F.col("action") == a, 1)).alias(f"n_{a}") for a in (MARK, UNMARK)))
@@ -49,3 +64,8 @@ def surplus(source: DataFrame, target: DataFrame) -> DataFrame:
     """Rows on both sides and how many more the target has, where deletions aren't followed."""
     both = source.agg(F.count(F.lit(1)).alias("n_source")).crossJoin(target.agg(F.count(F.lit(1)).alias("n_target")))
     return both.withColumn("surplus", F.greatest(F.col("n_target") - F.col("n_source"), F.lit(0)).cast("bigint"))
+
+
+def samples(diff: DataFrame, n: int = 5) -> list[str]:
+    """A few keys to be marked, least first."""
+    return [r["k"].replace(SEPARATOR, ", ") for r in diff.where(F.col("action") == MARK).orderBy("k").select("k").limit(n).collect()]

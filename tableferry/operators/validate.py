@@ -109,6 +109,20 @@ def post_suite(source: DataFrame, target: DataFrame, rejects: DataFrame, key: li
     )
 
 
+def pre_not_null(mapped: DataFrame, columns: list[str]) -> DataFrame:
+    """C08: NULLs of each column that must not have any, in one pass."""
+    one = mapped.agg(*(F.count(F.when(F.col(c).isNull(), 1)).alias(f"c{k}") for k, c in enumerate(columns)))
+    each = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("target"), F.col(f"c{k}").alias("n")) for k, c in enumerate(columns)))).alias("f")).select("f.*")
+    return each.select(F.lit("C08_not_null").alias("check_name"), "target", F.when(F.col("n") > 0, "ERROR").otherwise("PASS").alias("level"), "n")
+
+
+def pre_volume(measured: DataFrame, target: str, capacity: int, room: str = "1.35") -> DataFrame:
+    """C12: bytes to expect, with room for blocks, against a capacity; WARN from 70 % of it. ``measured``: bytes."""
+    n = F.ceil(F.col("bytes") * F.lit(room).cast("decimal(5,2)")).cast("bigint")
+    level = F.when(F.col("n") > capacity, "ERROR").when(F.col("n") > int(0.7 * capacity), "WARN").otherwise("PASS")
+    return measured.select(F.lit("C12_volume").alias("check_name"), F.lit(target).alias("target"), n.alias("n")).withColumn("level", level)
+
+
 def pre_keys(source: DataFrame, target: DataFrame, key: list[str], insert_only: bool) -> DataFrame:
     """C09 duplicate source keys; C10, for INSERT ONLY, source keys that the target has."""
     found = finding("C09_duplicate_keys", ",".join(key), counted(duplicate_keys(source, key)))

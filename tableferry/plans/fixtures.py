@@ -7,6 +7,7 @@ and rows whose keys the source does not have.
 from __future__ import annotations
 
 import dataclasses
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,8 +76,8 @@ class Members:
     target: DataFrame
 
     def table(self) -> SnapshotTable:
-        """A target that exists, written to the shared folder."""
-        table = SnapshotTable(self.spark, new_root(self.spark, "member"))
+        """A target that exists, written to the shared folder, in buckets by key."""
+        table = SnapshotTable(self.spark, new_root(self.spark, "member"), ["member_id"], buckets=8)
         table.commit(self.target)
         return table
 
@@ -94,11 +95,13 @@ def member_out(df: DataFrame) -> DataFrame:
     return df.withColumn("balance", F.col("balance").cast("double")).select("member_id", "member_name", "member_grade", "balance", "mobile_no", "del_yn")
 
 
-def sql_source(text: str, *names: str):
-    """A query that is a SELECT over tables."""
+def sql_source(text: str, names: str, columns: str, where: str | None, binds: dict[str, Any]):
+    """A mapping whose source is a SELECT with binds, under a filter of its own and a projection."""
+    spec = tuple(ColumnMapping(name, expr or name, type_) for name, type_, expr in ((c.split(":") + [""])[:3] for c in columns.split()))
+    m = Mapping("t", spec, (), sql=text, where=where)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables(spark, sf_dir, *names)
-        return spark.sql(text)
+        tables(spark, sf_dir, *names.split())
+        return mp.map_columns(source(spark, m, binds), m, RUN_TS)
 
     return run

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from ..operators import incremental, load
 from ..operators.mapping import dedup_last
+from ..run import run_mapping, run_sync
 from ..sources import scan
+from ..spec import ColumnMapping, Job, Mapping, Strategy
 from ..storage import new_root
 from ..streaming.sync import follow
 from .registry import query
@@ -32,8 +35,8 @@ def events(spark, sf_dir):
 def begun(spark, sf_dir):
     """A target as of the first instant, committed with its watermark."""
     first = dedup_last(events(spark, sf_dir).where(F.col("ts") <= F.lit(FIRST)), ["user_id"], [F.col("ts"), F.col("event_id")])
-    table = incremental.start(spark, new_root(spark, "last_event"), first)
-    table.publish(table.manifest()["path"], table.manifest(), watermark=str(FIRST), batch_id=0)
+    table = incremental.start(spark, new_root(spark, "last_event"), first, ["user_id"])
+    table.publish(watermark=str(FIRST), batch_id=0)
     return table
 
 
@@ -52,7 +55,7 @@ def cycle(table, rows, batch_id, upper):
     last = dt.datetime.fromisoformat(state["watermark"])
     new = dedup_last(scan.after(rows, "ts", last, upper), ["user_id"], [F.col("ts"), F.col("event_id")])
     mark = incremental.advanced(last, upper, None, failed=False)
-    return table.commit(load.merge(table.read(), new, ["user_id"]), batch_id=batch_id, watermark=str(mark))
+    return load.apply(table, "MERGE", new, ["user_id"], batch_id=batch_id, watermark=str(mark))[0]
 
 
 @query(f"SELECT {_OUT} FROM ({last_of(TO_SECOND)})")
@@ -68,7 +71,7 @@ def replay_merge(spark, sf_dir):
     table = begun(spark, sf_dir)
     rows = events(spark, sf_dir)
     cycle(table, rows, 1, SECOND)
-    table.publish(table.manifest()["path"], table.manifest(), watermark=str(FIRST))  # the checkpoint was lost
+    table.publish(watermark=str(FIRST))  # the checkpoint was lost
     cycle(table, rows, 2, SECOND)
     return out(table.read())
 
@@ -84,26 +87,70 @@ def exactly_once(spark, sf_dir):
     return table.read().agg(F.count(F.lit(1)).alias("n"), F.lit(state["version"]).alias("version"), F.lit(state["batch_id"]).alias("batch_id"), F.lit(state["watermark"]).alias("watermark"))
 
 
-@query("SELECT (SELECT count(*) FROM events WHERE event_id <= 3000) AS base_rows, (SELECT count(*) FROM events WHERE event_id > 3000) AS n_read, (SELECT count(*) FROM events) AS n_total")
+#: Events as rows of a target of their own.
+EVENT = Mapping(
+    "event",
+    (ColumnMapping("event_id", "event_id", "bigint", not_null=True), ColumnMapping("user_id", "user_id", "bigint"), ColumnMapping("event_type", "event_type"), ColumnMapping("value", "value", "double")),
+    ("event_id",),
+    table="events",
+    checkpoint="event_id",
+)
+
+
+def event_table(spark, marked: bool = False):
+    return incremental.start(spark, new_root(spark, "event"), spark.createDataFrame([], "event_id bigint, user_id bigint, event_type string, value double" + ", del_yn string" * marked), ["event_id"])
+
+
+class Stopped(RuntimeError):
+    pass
+
+
+_TILES = "SELECT event_id, ntile(4) OVER (ORDER BY event_id) AS tile FROM events"
+
+
+def stopped_after(spark, sf_dir, n: int):
+    """A load in four ranges that stops after ``n`` of them."""
+    scan.tables(spark, sf_dir, "events")
+    table, done = event_table(spark), []
+
+    def on_task(task, counts):
+        done.append(task)
+        if len(done) == n:
+            raise Stopped(task)
+
+    try:
+        run_mapping(spark, EVENT, table, Strategy(workers=4), "r1", SECOND, on_task=on_task)
+    except Stopped:
+        pass
+    return table
+
+
+@query(f"WITH t AS ({_TILES}) SELECT count(*) FILTER (tile <= 2) AS base_rows, count(*) FILTER (tile > 2) AS n_read, count(*) AS n_target, CAST(max(event_id) AS VARCHAR) AS watermark, 4 AS n_tasks FROM t")
 def resume_load(spark, sf_dir):
-    """A stopped run goes on after its checkpoint; earlier rows count in the totals."""
-    rows = events(spark, sf_dir)
-    base = rows.where("event_id <= 3000").agg(F.count(F.lit(1)).alias("base_rows"))
-    rest = scan.after(rows, "event_id", 3000).agg(F.count(F.lit(1)).alias("n_read"))
-    return base.crossJoin(rest).withColumn("n_total", F.col("base_rows") + F.col("n_read"))  # one row each
+    """A load that stopped after two of four ranges goes on with the others; earlier rows count in the totals."""
+    table = stopped_after(spark, sf_dir, 2)
+    went_on = run_mapping(spark, EVENT, table, Strategy(workers=4), "r1", SECOND, resume=True)
+    state = table.manifest()
+    facts = [F.lit(went_on[c]).cast("bigint").alias(c) for c in ("base_rows", "n_read")]
+    return table.read().agg(*facts, F.count(F.lit(1)).alias("n_target"), F.lit(state["watermark"]).alias("watermark"), F.lit(len(state["tasks"])).alias("n_tasks"))
 
 
-_TASKS = """SELECT 'm1#' || CAST(n_nationkey AS STRING) AS task, CAST(100 - n_nationkey AS STRING) AS value FROM nation WHERE n_nationkey < 5
-    UNION ALL SELECT 'm2#' || CAST(n_nationkey AS STRING), '2024-01-' || CAST(10 + n_nationkey AS STRING) || ' 00:00:00' FROM nation WHERE n_nationkey < 5
-    UNION ALL SELECT 'm3', CAST(max(n_nationkey) AS STRING) FROM nation UNION ALL SELECT 'm3#1', '1' FROM region WHERE r_regionkey = 0
-    UNION ALL SELECT 'm4#' || CAST(n_nationkey AS STRING), 'K' || CAST(n_nationkey AS STRING) FROM nation WHERE n_nationkey IN (9, 10)"""
+@query(f"WITH t AS ({_TILES}) SELECT 'event#' || tile AS task, CASE WHEN tile <= 3 THEN CAST(max(event_id) AS VARCHAR) END AS value, CASE WHEN tile <= 3 THEN count(*) ELSE 0 END AS rows_done FROM t GROUP BY tile")
+def checkpoint_tasks(spark, sf_dir):
+    """The records of a run's ranges after it stopped in the fourth."""
+    return incremental.checkpoints(spark, {"event": stopped_after(spark, sf_dir, 3)})
 
 
-@query("SELECT 'm1' AS mapping_id, '96' AS watermark UNION ALL SELECT 'm2', '2024-01-10 00:00:00' UNION ALL SELECT 'm3', (SELECT CAST(max(n_nationkey) AS VARCHAR) FROM nation) UNION ALL SELECT 'm4', 'K10'")
+@query(f"WITH t AS ({_TILES}), h AS (SELECT o_orderpriority AS p, max(o_orderdate) AS top FROM orders GROUP BY 1), d AS (SELECT l_returnflag AS f, max(l_partkey) AS top FROM lineitem GROUP BY 1) SELECT 'event' AS mapping_id, CAST(max(event_id) AS VARCHAR) AS watermark FROM t WHERE tile = 1 UNION ALL SELECT 'orders', strftime(min(top), '%Y-%m-%d %H:%M:%S') FROM h UNION ALL SELECT 'lines', CAST(min(top) AS VARCHAR) FROM d UNION ALL SELECT 'single', CAST(max(event_id) AS VARCHAR) FROM events")
 def watermark_min(spark, sf_dir):
-    """Least watermark over range records, as numbers, times or texts; a single record goes first."""
-    scan.tables(spark, sf_dir, "nation", "region")
-    return incremental.watermarks(spark.sql(_TASKS))
+    """Least watermark over range records, as numbers or times; a single record goes first. The records are those of
+    a stopped load, and the last keys of ranges of orders and lines."""
+    own = incremental.checkpoints(spark, {"event": stopped_after(spark, sf_dir, 3)}).select("task", "value")
+    scan.tables(spark, sf_dir, "orders", "lineitem", "events")
+    more = spark.sql("""SELECT 'orders#' || o_orderpriority AS task, date_format(max(o_orderdate), 'yyyy-MM-dd HH:mm:ss') AS value FROM orders GROUP BY o_orderpriority
+        UNION ALL SELECT 'lines#' || l_returnflag, CAST(max(l_partkey) AS STRING) FROM lineitem GROUP BY l_returnflag
+        UNION ALL SELECT 'single', CAST(max(event_id) AS STRING) FROM events UNION ALL SELECT 'single#1', CAST(min(event_id) AS STRING) FROM events""")
+    return incremental.watermarks(own.unionByName(more))
 
 
 @query("SELECT strftime(greatest(max(ts) - INTERVAL 300 SECOND, TIMESTAMP '2024-01-10'), '%Y-%m-%d %H:%M:%S') AS upper, (SELECT count(*) FROM events WHERE ts > TIMESTAMP '2024-01-10' AND ts <= (SELECT max(ts) - INTERVAL 300 SECOND FROM events)) AS n FROM events")
@@ -128,9 +175,33 @@ def sync_cycles(spark, sf_dir):
     arrivals = new_root(spark, "arrivals")
     rows.repartitionByRange(3, "ts").write.parquet(arrivals)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
-    table = incremental.start(spark, new_root(spark, "last_event"), rows.limit(0))
-    table.publish(table.manifest()["path"], table.manifest(), batch_id=-1)
+    table = incremental.start(spark, new_root(spark, "last_event"), rows.limit(0), ["user_id"])
     checkpoint = new_root(spark, "stream")
     for _ in range(2):  # the second run finds nothing new
         follow(stream, table, ["user_id"], "ts", checkpoint).awaitTermination()
     return out(table.read())
+
+
+_GONE = "user_id % 16 = 3"
+
+
+@query(f"SELECT e.event_id, e.value, CASE WHEN {_GONE} THEN 'Y' END AS del_yn FROM events e WHERE ts <= TIMESTAMP '2024-01-18'")
+def sync_reconcile(spark, sf_dir):
+    """Sync cycles up to a lagging bound; then some rows leave the source, and the reconciliation that is due marks them."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows.createOrReplaceTempView("sync_events")
+    columns = (*EVENT.columns, ColumnMapping("del_yn", None))
+    m = dataclasses.replace(EVENT, columns=columns, table="sync_events", checkpoint="ts", delete_mode="MARK", mark_column="del_yn", delete_approved=True)
+    now = [FIRST + dt.timedelta(seconds=300)]
+
+    def wait(seconds):
+        now[0] = SECOND + dt.timedelta(seconds=300)
+        rows.where(f"NOT ({_GONE}) AND ts <= TIMESTAMP '2024-01-18'").createOrReplaceTempView("sync_events")
+        if calls.append(seconds) or len(calls) == 1:
+            rows.where("ts <= TIMESTAMP '2024-01-18'").createOrReplaceTempView("sync_events")
+
+    calls: list[float] = []
+    table = event_table(spark, marked=True)
+    job = Job("events", (m,), Strategy("SYNC", lag_seconds=300, reconcile_minutes=0, max_hours=0, delete_ratio=0.2))
+    run_sync(spark, job, {"event": table}, clock=lambda: now[0], wait=wait, stopped=lambda: len(calls) == 3)
+    return table.read().select("event_id", "value", "del_yn")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import load
+from ..operators import load, profile
 from ..operators import mapping as mp
-from ..spec import ColumnMapping, Mapping
+from ..run import History, run_job
+from ..spec import ColumnMapping, Job, Mapping, Strategy
+from ..sources.scan import tables
 from ..storage import new_root
-from .fixtures import MEMBER_OUT, MERGED, RUN_TS, WITH, member_out, members
+from .fixtures import MEMBER, MEMBER_OUT, MERGED, RUN_TS, WITH, member_out, members
 from .registry import query
 
 KEY = ["member_id"]
@@ -19,7 +23,7 @@ KEY = ["member_id"]
 def load_merge(spark, sf_dir):
     m = members(spark, sf_dir)
     table = m.table()
-    table.commit(load.merge(table.read(), m.good, KEY), run_id="r1")
+    load.apply(table, "MERGE", m.good, KEY, run_id="r1")
     return member_out(table.read())
 
 
@@ -27,8 +31,7 @@ def load_merge(spark, sf_dir):
 def load_insert_only(spark, sf_dir):
     m = members(spark, sf_dir)
     table = m.table()
-    rows, _ = load.insert_only(table.read(), m.good, KEY)
-    table.commit(rows)
+    load.apply(table, "INSERT_ONLY", m.good, KEY)
     return member_out(table.read())
 
 
@@ -36,7 +39,7 @@ def load_insert_only(spark, sf_dir):
 def load_truncate_insert(spark, sf_dir):
     m = members(spark, sf_dir)
     table = m.table()
-    table.commit(load.truncate_insert(table.read(), m.good))
+    load.apply(table, "TRUNCATE_INSERT", m.good, KEY)
     return member_out(table.read())
 
 
@@ -44,7 +47,7 @@ def load_truncate_insert(spark, sf_dir):
 def load_delete_insert(spark, sf_dir):
     m = members(spark, sf_dir)
     table = m.table()
-    table.commit(load.delete_insert(table.read(), m.good, KEY))
+    load.apply(table, "DELETE_INSERT", m.good, KEY)
     return member_out(table.read())
 
 
@@ -119,22 +122,24 @@ def checkpoint_commit(spark, sf_dir):
     m = members(spark, sf_dir)
     table = m.table()
     last = m.good.agg(F.max("member_id")).first()[0]
-    table.commit(load.merge(table.read(), m.good, KEY), batch_id=0, watermark=str(last))
+    load.apply(table, "MERGE", m.good, KEY, batch_id=0, watermark=str(last))
     parts = [table.read(v).agg(F.lit(v).alias("version"), F.lit(f["batch_id"]).alias("batch_id"), F.lit(f["watermark"]).cast("string").alias("watermark"), F.count(F.lit(1)).alias("n")) for v in table.versions() for f in [table.manifest(v)]]
     return parts[0].unionByName(parts[1])
 
 
-@query(f"{WITH} SELECT 'r2' AS run_id, 'SUCCESS' AS status, (SELECT count(*) FROM chk) AS n_read, (SELECT count(*) FROM ok WHERE member_id NOT IN (SELECT member_id FROM tgt)) AS n_inserted, (SELECT count(*) FROM ok WHERE member_id IN (SELECT member_id FROM tgt)) AS n_updated, (SELECT count(*) FROM rej) AS n_rejected")
+_RUN = "(SELECT count(*) FROM chk) AS n_read, (SELECT count(*) FROM ok WHERE member_id NOT IN (SELECT member_id FROM tgt)) AS n_inserted, (SELECT count(*) FROM ok WHERE member_id IN (SELECT member_id FROM tgt)) AS n_updated, (SELECT count(*) FROM rej) AS n_rejected"
+
+
+@query(f"{WITH} SELECT 'r2' AS run_id, 'members' AS task, 'failed' AS status, {_RUN}, 'nowhere' AS message UNION ALL SELECT 'r2', 'member', 'done', {_RUN}, NULL UNION ALL SELECT 'r2', 'nowhere', 'failed', 0, 0, 0, 0, 'error'")
 def run_history(spark, sf_dir):
-    """Runs append rows; the latest row of each run counts."""
+    """A job of two mappings, of which one fails: the run, its tasks and their counts, as the history has them."""
     m = members(spark, sf_dir)
-    path = new_root(spark, "run")
-    counts = load.estimate(m.target, m.checked, KEY)
-    started = counts.select(F.lit("r2").alias("run_id"), F.lit(1).alias("seq"), F.lit("RUNNING").alias("status"), *(F.lit(0).cast("bigint").alias(c) for c in counts.columns))
-    ended = counts.select(F.lit("r2").alias("run_id"), F.lit(2).alias("seq"), F.lit("SUCCESS").alias("status"), *counts.columns)
-    started.write.mode("append").parquet(path)
-    ended.write.mode("append").parquet(path)
-    return spark.read.parquet(path).groupBy("run_id").agg(*(F.max_by(c, "seq").alias(c) for c in ["status", "n_read", "n_inserted", "n_updated", "n_rejected"]))
+    lost = Mapping("nowhere", (ColumnMapping("id", "id", "bigint"),), ("id",), table="no_such_table")
+    job = Job("members", (lost, MEMBER), Strategy(workers=2))
+    history = History(spark, new_root(spark, "runs"))
+    run_job(spark, job, {"member": m.table(), "nowhere": m.table()}, "r2", dt.datetime.fromisoformat(RUN_TS), history=history)
+    said = F.when(F.col("task") == "nowhere", F.lit("error")).otherwise(F.col("message"))
+    return history.latest().select("run_id", "task", "status", "n_read", "n_inserted", "n_updated", "n_rejected", said.alias("message"))
 
 
 ORDER = "l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax"
@@ -144,6 +149,18 @@ def _lines(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
+#: Lines of which some have no order number: a key with a NULL in it equals none.
+NULLED = "SELECT CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_orderkey END AS l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate FROM lineitem"
+
+
+@query(f"WITH s AS ({NULLED}) SELECT l_orderkey IS NULL AS no_key, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM (SELECT * FROM s WHERE l_orderkey IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(c + ' DESC' for c in ORDER.split(', '))}) = 1 UNION ALL SELECT * FROM s WHERE l_orderkey IS NULL) GROUP BY 1")
+def dedup_null_keys(spark, sf_dir):
+    """The last row of each whole key, and all rows without one."""
+    tables(spark, sf_dir, "lineitem")
+    df = mp.dedup_last(spark.sql(NULLED), ["l_orderkey", "l_linenumber"], [F.col(c) for c in ORDER.split(", ")])
+    return df.groupBy(F.col("l_orderkey").isNull().alias("no_key")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("parts"))
+
+
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(c + ' DESC' for c in ORDER.split(', '))}) = 1")
 def dedup_last(spark, sf_dir):
     df = mp.dedup_last(_lines(spark, sf_dir), ["l_orderkey", "l_linenumber"], [F.col(c) for c in ORDER.split(", ")])
@@ -192,10 +209,22 @@ def sync_cycle_totals(spark, sf_dir):
     return cycles.withColumn("total", F.sum("n").over(Window.orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-@query("SELECT CAST(ceil(sum(b) * 1.35) AS BIGINT) AS bytes, CASE WHEN ceil(sum(b) * 1.35) > 1000000000000 THEN 'ERROR' WHEN ceil(sum(b) * 1.35) > 700000000000 THEN 'WARN' ELSE 'PASS' END AS level FROM (SELECT count(*) * 100 AS b FROM orders UNION ALL SELECT count(*) * 120 FROM lineitem)")
+_VOLUME = "SELECT count(*) AS n, sum({0}) AS b FROM {1}"
+_SIZES = {"orders": (28, ["o_orderstatus", "o_orderpriority"]), "lineitem": (60, ["l_returnflag", "l_linestatus"])}
+_BYTES = " UNION ALL ".join(_VOLUME.format(" + ".join([str(w), *(f"coalesce(octet_length(encode({c})), 0)" for c in cs)]), t) for t, (w, cs) in _SIZES.items())
+
+
+@query(f"WITH v AS ({_BYTES}), t AS (SELECT CAST(ceil(sum(b) * 1.35) AS BIGINT) AS bytes FROM v) SELECT bytes, CASE WHEN bytes > 1000000000000 THEN 'ERROR' WHEN bytes > 700000000000 THEN 'WARN' ELSE 'PASS' END AS level FROM t")
 def volume_estimate(spark, sf_dir):
-    """Rows times average row length, with room for blocks, against a capacity of 1 TB."""
-    sizes = [spark.read.parquet(f"{sf_dir}/{t}.parquet").agg((F.count(F.lit(1)) * length).alias("b")) for t, length in (("orders", 100), ("lineitem", 120))]
-    total = sizes[0].unionByName(sizes[1]).agg(F.ceil(F.sum("b") * F.lit(1.35).cast("decimal(3,2)")).cast("bigint").alias("bytes"))
+    """Measured row sizes (texts by their bytes, other columns by their width) with room for blocks, against a
+    capacity of 1 TB."""
+    sizes = [profile.volume(_table.select(*columns)) for _table, columns in _sized(spark, sf_dir)]
+    total = sizes[0].unionByName(sizes[1]).agg(F.ceil(F.sum("bytes") * F.lit(1.35).cast("decimal(3,2)")).cast("bigint").alias("bytes"))
     level = F.when(F.col("bytes") > 10**12, "ERROR").when(F.col("bytes") > 7 * 10**11, "WARN").otherwise("PASS")
     return total.withColumn("level", level)
+
+
+def _sized(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    yield read("orders"), ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("date")]
+    yield read("lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]

@@ -101,23 +101,65 @@ def filter_where(spark, sf_dir):
     return df.where(F.col("o_orderkey").between(100, 9000)).select("o_orderkey", "o_totalprice")
 
 
-# SELECT sources: the same text runs in both engines.
-SELECTS = {
-    "sql_join_inner": ("SELECT o_orderkey, c_name, l_linenumber, l_quantity FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45", "orders customer lineitem"),
-    "sql_join_left": ("SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) g ON c_nationkey = n_nationkey", "customer nation"),
-    "sql_join_cross": ("SELECT n_name, r_name FROM nation, region WHERE n_nationkey < 10", "nation region"),
-    "sql_group_by": ("SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, MAX(o_totalprice) AS top, MIN(o_totalprice) AS low FROM orders GROUP BY o_orderstatus, o_orderpriority HAVING COUNT(*) > 10", "orders"),
-    "sql_distinct": ("SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem", "lineitem"),
-    "sql_count_distinct": ("SELECT l_returnflag, COUNT(DISTINCT l_partkey) AS parts, COUNT(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag", "lineitem"),
-    "sql_union": ("SELECT c_nationkey AS k, 'C' AS kind FROM customer UNION SELECT s_nationkey, 'S' FROM supplier UNION ALL SELECT n_nationkey, 'N' FROM nation", "customer supplier nation"),
-    "sql_minus": ("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 150000", "customer orders"),
-    "sql_intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", "customer supplier"),
-    "limit_n": ("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25", "customer"),
-    "cap_rows": ("SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem LIMIT 1000000) S", "lineitem"),
-    "sql_rollup": ("SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)", "customer"),
+# SELECT sources. Each runs as a mapping: the SELECT with its binds, a filter over it, and the mapped columns
+# (name:type, or name:type:expression); the oracle has the wrapped text written out.
+SELECTS: dict[str, tuple[str, str, str, str | None, dict, str]] = {
+    "sql_join_inner": (
+        "SELECT o_orderkey, c_name, l_linenumber, l_quantity FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > :least",
+        "orders customer lineitem", "o_orderkey:bigint c_name:string:trim(c_name) l_linenumber:int l_quantity:double", "l_linenumber < 6", {"least": 45},
+        "SELECT o_orderkey, trim(c_name) AS c_name, l_linenumber, l_quantity FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45 WHERE l_linenumber < 6",
+    ),
+    "sql_join_left": (
+        "SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < :region) g ON c_nationkey = n_nationkey",
+        "customer nation", "c_custkey:bigint c_name:string n_name:string:upper(n_name)", "c_custkey % 3 <> 0", {"region": 2},
+        "SELECT c_custkey, c_name, upper(n_name) AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) g ON c_nationkey = n_nationkey WHERE c_custkey % 3 <> 0",
+    ),
+    "sql_join_cross": (
+        "SELECT n_name, r_name FROM nation, region WHERE n_nationkey < :keys", "nation region", "n_name:string r_name:string", "r_name <> 'ASIA'", {"keys": 10},
+        "SELECT n_name, r_name FROM nation, region WHERE n_nationkey < 10 AND r_name <> 'ASIA'",
+    ),
+    "sql_group_by": (
+        "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, MAX(o_totalprice) AS top, MIN(o_totalprice) AS low FROM orders GROUP BY o_orderstatus, o_orderpriority HAVING COUNT(*) > :least",
+        "orders", "o_orderstatus:string o_orderpriority:string n:bigint top:double low:double", "o_orderstatus <> 'P'", {"least": 10},
+        "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, MAX(o_totalprice) AS top, MIN(o_totalprice) AS low FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus, o_orderpriority HAVING COUNT(*) > 10",
+    ),
+    "sql_distinct": (
+        "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem", "lineitem", "l_returnflag:string l_linestatus:string l_linenumber:int", "l_linenumber > 1", {},
+        "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_linenumber > 1",
+    ),
+    "sql_count_distinct": (
+        "SELECT l_returnflag, COUNT(DISTINCT l_partkey) AS parts, COUNT(DISTINCT l_suppkey) AS suppliers FROM lineitem WHERE l_quantity <= :most GROUP BY l_returnflag",
+        "lineitem", "l_returnflag:string parts:bigint suppliers:bigint", None, {"most": 40},
+        "SELECT l_returnflag, COUNT(DISTINCT l_partkey) AS parts, COUNT(DISTINCT l_suppkey) AS suppliers FROM lineitem WHERE l_quantity <= 40 GROUP BY l_returnflag",
+    ),
+    "sql_union": (
+        "SELECT c_nationkey AS k, 'C' AS kind FROM customer UNION SELECT s_nationkey, 'S' FROM supplier UNION ALL SELECT n_nationkey, 'N' FROM nation",
+        "customer supplier nation", "k:int kind:string:lower(kind)", "k < 20", {},
+        "SELECT k, lower(kind) AS kind FROM (SELECT c_nationkey AS k, 'C' AS kind FROM customer UNION SELECT s_nationkey, 'S' FROM supplier UNION ALL SELECT n_nationkey, 'N' FROM nation) S WHERE k < 20",
+    ),
+    "sql_minus": (
+        "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > :price", "customer orders", "k:bigint", "k % 2 = 0", {"price": 150000},
+        "SELECT k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 150000) S WHERE k % 2 = 0",
+    ),
+    "sql_intersect": (
+        "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", "customer supplier", "k:int", "k > 3", {},
+        "SELECT k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) S WHERE k > 3",
+    ),
+    "limit_n": (
+        "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25", "customer", "c_custkey:bigint c_name:string", None, {},
+        "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25",
+    ),
+    "cap_rows": (
+        "SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem LIMIT 1000) S", "lineitem", "n:bigint", None, {},
+        "SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem LIMIT 1000) S",
+    ),
+    "sql_rollup": (
+        "SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)", "customer", "c_mktsegment:string c_nationkey:int n:bigint", "n > 1", {},
+        "SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey) HAVING COUNT(*) > 1",
+    ),
 }
-for _name, (_text, _tables) in SELECTS.items():
-    QUERIES[_name], ORACLE_SQL[_name] = sql_source(_text, *_tables.split()), _text
+for _name, (*_source, _sql) in SELECTS.items():
+    QUERIES[_name], ORACLE_SQL[_name] = sql_source(*_source), _sql
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS position FROM orders QUALIFY position <= 1000")

@@ -1,20 +1,56 @@
-"""Running jobs: each mapping is read, mapped, checked, deduplicated, written and committed with its watermark."""
+"""Running jobs: mappings are read, mapped, checked, deduplicated, written and committed with their watermarks.
+
+A full load of a large mapping is split into ranges of its checkpoint. Each range is a task, committed with a
+record of its own, so a run that stopped resumes with the ranges that are left. A sync repeats incremental
+cycles and reconciles deletions when due.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import re
+import time
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import incremental, load
+from .functions.text import normalised_key
+from .operators import incremental, load, reconcile
 from .operators import mapping as mp
-from .sources.scan import after, source
+from .sources.scan import after, range_plan, source
 from .spec import Job, Mapping, Strategy
 from .storage import SnapshotTable
 
 CP = "__cp"
+COUNTS = ("n_read", "n_inserted", "n_updated", "n_rejected")
+#: A sync gives up after so many transient failures in a row; it waits for half an hour at most in between.
+MOST_FAILURES, LONGEST_WAIT = 5, 1800.0
+#: What an error says that may be gone at the next try.
+TRANSIENT = re.compile("timed? ?out|connection|unreachable|temporarily|lost|FetchFailed|committed by another writer", re.IGNORECASE)
+
+
+def transient(error: Exception) -> bool:
+    return bool(TRANSIENT.search(f"{type(error).__name__} {error}"))
+
+
+class History:
+    """Runs and their tasks: rows are appended, and the latest row of each counts."""
+
+    SHAPE = "run_id string, task string, status string, mode string, n_read bigint, n_inserted bigint, n_updated bigint, n_rejected bigint, message string, seq bigint"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def put(self, run_id: str, task: str, status: str, mode: str, counts: dict[str, Any] | None = None, message: str | None = None) -> None:
+        numbers = [int((counts or {}).get(c) or 0) for c in COUNTS]
+        row = (run_id, task, status, mode, *numbers, message, time.time_ns())
+        self.spark.createDataFrame([row], self.SHAPE).coalesce(1).write.mode("append").parquet(self.root)
+
+    def latest(self) -> DataFrame:
+        rows = self.spark.read.schema(self.SHAPE).parquet(self.root)
+        return rows.groupBy("run_id", "task").agg(*(F.max_by(c, "seq").alias(c) for c in ("status", "mode", *COUNTS, "message")))
 
 
 def window(rows: DataFrame, mapping: Mapping, strategy: Strategy, state: dict[str, Any], now: dt.datetime) -> tuple[DataFrame, Any]:
@@ -28,6 +64,39 @@ def window(rows: DataFrame, mapping: Mapping, strategy: Strategy, state: dict[st
     return after(rows, mapping.checkpoint, None if last is None else F.lit(last).cast(type_), upper), upper
 
 
+def splits(rows: DataFrame, mapping: Mapping, strategy: Strategy) -> bool:
+    """Whether a load can be split by its checkpoint: numbers or times that are the target's key."""
+    if strategy.mode != "FULL" or strategy.workers < 2 or mapping.checkpoint is None or mapping.mode == "TRUNCATE_INSERT":
+        return False
+    if not re.match("tinyint|smallint|int|bigint|decimal|timestamp|date", dict(rows.dtypes)[mapping.checkpoint]):
+        return False
+    return tuple(c.target for c in mapping.columns if c.expr == mapping.checkpoint) == mapping.key
+
+
+def planned(rows: DataFrame, mapping: Mapping, strategy: Strategy, state: dict[str, Any], resume: bool) -> list[dict[str, Any]]:
+    """Tasks of a run: those of the stopped run, or ranges (``target#n``), or one for all rows."""
+    if resume and any(not t["done"] for t in state.get("tasks", [])):
+        return [dict(t) for t in state["tasks"]]
+    blank = {"low": None, "high": None, "value": None, "rows_total": None, "rows_done": 0, "done": False}
+    if splits(rows, mapping, strategy):
+        plan = range_plan(rows, mapping.checkpoint, strategy.workers).orderBy("bucket").collect()  # a row a worker
+        highs = [None if r["high"] is None else str(r["high"]) for r in plan]
+        if len(plan) > 1:
+            return [blank | {"task": f"{mapping.target}#{k + 1}", "low": highs[k - 1] if k else None, "high": highs[k] if k + 1 < len(plan) else None, "rows_total": r["n"]} for k, r in enumerate(plan)]
+    return [blank | {"task": mapping.target}]
+
+
+def part_of(rows: DataFrame, mapping: Mapping, task: dict[str, Any]) -> DataFrame:
+    """A task's rows: past ``low``, up to ``high``; the first range is open below and takes NULLs, the last above."""
+    if task["low"] is None and task["high"] is None:
+        return rows
+    x, type_ = F.col(mapping.checkpoint), dict(rows.dtypes)[mapping.checkpoint]
+    if task["low"] is None:
+        return rows.where(x.isNull() | (x <= F.lit(task["high"]).cast(type_)))
+    rows = rows.where(x > F.lit(task["low"]).cast(type_))
+    return rows if task["high"] is None else rows.where(x <= F.lit(task["high"]).cast(type_))
+
+
 def prepared(rows: DataFrame, mapping: Mapping, run_ts: str) -> DataFrame:
     """Mapped rows with err_num and err_col. Of rows that share a key the last counts, but for INSERT ONLY the
     first, and the others are rejects."""
@@ -43,44 +112,156 @@ def prepared(rows: DataFrame, mapping: Mapping, run_ts: str) -> DataFrame:
     return mp.dedup_last(good, key, order).unionByName(rejects)
 
 
-def run_mapping(spark: SparkSession, mapping: Mapping, table: SnapshotTable, strategy: Strategy = Strategy(), run_id: str = "run", now: dt.datetime | None = None, dry: bool = False) -> dict[str, Any]:
-    """One run into an existing target; returns its counts. A dry run writes nothing.
-
-    Data, watermark and run id are committed together; rejects are appended under the target, by run.
-    """
-    now = now or dt.datetime.now()
-    state, target, key = table.manifest(), table.read(), list(mapping.key)
-    if mapping.mode == "TRUNCATE_INSERT" and strategy.mode != "FULL" and state["watermark"] is not None:
-        raise ValueError("TRUNCATE_INSERT can't follow a watermark")
-    rows, upper = window(source(spark, mapping), mapping, strategy, state, now)
+def _load(rows: DataFrame, mapping: Mapping, table: SnapshotTable, run_id: str, now: dt.datetime, dry: bool, task: dict[str, Any], facts: Callable[[Any], dict[str, Any]]) -> dict[str, Any]:
+    """One task: its counts; ``facts`` gives what is committed with its rows, from the last checkpoint value."""
+    key = list(mapping.key)
     checked = prepared(rows, mapping, now.strftime("%Y-%m-%d %H:%M:%S")).persist()
     try:
         last = checked.agg(F.max(CP).cast("string")).first()[0] if mapping.checkpoint else None
-        counts = load.estimate(target, checked, key).first().asDict()
+        good, rejects = mp.split(checked)
+        counts = load.estimate(table.read(buckets=table.touched(good)), checked, key).first().asDict()
         if mapping.mode == "INSERT_ONLY":
             counts |= {"n_rejected": counts["n_rejected"] + counts["n_updated"], "n_updated": 0}
         elif mapping.mode in ("TRUNCATE_INSERT", "DELETE_INSERT"):
             counts |= {"n_inserted": counts["n_inserted"] + counts["n_updated"], "n_updated": 0}
         if dry:
             return counts
-        good, rejects = mp.split(checked)
         good = good.drop(CP)
-        if mapping.mode == "INSERT_ONLY":
-            new, known = load.insert_only(target, good, key)
-            rejects = rejects.drop(CP).unionByName(known)
-        elif mapping.mode == "MERGE":
-            new = load.merge(target, good, key)
-        elif mapping.mode == "TRUNCATE_INSERT":
-            new = load.truncate_insert(target, good)
-        else:
-            new = load.delete_insert(target, good, key)
-        rejects.drop(CP).write.parquet(f"{table.root}/rejects/run_id={run_id}", mode="overwrite")
-        mark = incremental.advanced(state["watermark"], upper, last, failed=False)
-        return counts | table.commit(new, watermark=None if mark is None else str(mark), run_id=run_id)
+        if mapping.mode == "INSERT_ONLY":  # before anything is written, as the target's own keys decide
+            part = table.read(buckets=table.touched(good))
+            rejects = rejects.drop(CP).unionByName(load.insert_only(part, good, key)[1])
+        rejects.drop(CP).write.parquet(f"{table.root}/rejects/run_id={run_id}/task={task['task'].replace('#', '-')}", mode="overwrite")
+        task |= {"done": True, "value": last, "rows_done": counts["n_read"]}
+        load.apply(table, mapping.mode, good, key, run_id=run_id, **facts(last))
+        return counts
     finally:
         checked.unpersist()
 
 
-def run_job(spark: SparkSession, job: Job, tables: dict[str, SnapshotTable], run_id: str = "run", now: dt.datetime | None = None, dry: bool = False) -> dict[str, dict[str, Any]]:
-    """All mappings of a job in their order, which puts parents before children."""
-    return {m.target: run_mapping(spark, m, tables[m.target], job.strategy, run_id, now, dry) for m in job.mappings}
+def run_mapping(
+    spark: SparkSession, mapping: Mapping, table: SnapshotTable, strategy: Strategy = Strategy(), run_id: str = "run", now: dt.datetime | None = None,
+    dry: bool = False, resume: bool = False, on_task: Callable[[str, dict[str, Any]], None] | None = None,
+) -> dict[str, Any]:
+    """One run into an existing target; returns its counts and, for a resumed run, ``base_rows``, those read before.
+    A dry run writes nothing.
+
+    Data, watermark, task records and run id are committed together, task by task; rejects are written under the
+    target, by run and task. The watermark moves when all tasks are done.
+    """
+    now = now or dt.datetime.now()
+    state = table.manifest()
+    if mapping.mode == "TRUNCATE_INSERT" and strategy.mode != "FULL" and state["watermark"] is not None:
+        raise ValueError("TRUNCATE_INSERT can't follow a watermark")
+    rows, upper = window(source(spark, mapping), mapping, strategy, state, now)
+    tasks = planned(rows, mapping, strategy, state, resume)
+    totals = dict.fromkeys(COUNTS, 0) | {"base_rows": sum(t["rows_done"] for t in tasks if t["done"])}
+
+    def facts(_: Any) -> dict[str, Any]:
+        mark = state["watermark"]
+        if all(t["done"] for t in tasks):
+            values = [t["value"] for t in tasks if t["value"] is not None]
+            mark = incremental.advanced(mark, upper, values[-1] if values else None, failed=False)
+        return {"tasks": tasks, "watermark": None if mark is None else str(mark)}
+
+    for task in tasks:
+        if task["done"]:
+            continue
+        counts = _load(part_of(rows, mapping, task), mapping, table, run_id, now, dry, task, facts)
+        totals |= {c: totals[c] + counts[c] for c in COUNTS}
+        if on_task and not dry:
+            on_task(task["task"], counts)
+    return totals
+
+
+def reconcile_mapping(spark: SparkSession, mapping: Mapping, table: SnapshotTable, strategy: Strategy = Strategy(), dry: bool = False) -> dict[str, Any]:
+    """Compare keys of source and target. With MARK, rows whose key the source has no more are marked and those that
+    reappeared unmarked, unless that is not approved or looks wrong (``blocked`` says why); else both are counted."""
+    types = {c.target: c.type for c in mapping.columns}
+    key = normalised_key([(F.col(k), types[k]) for k in mapping.key])
+    mapped = mp.map_columns(source(spark, mapping), mapping, "1970-01-01 00:00:00")
+    target = table.read()
+    if mapping.delete_mode != "MARK":
+        return reconcile.surplus(mapped, target).first().asDict() | {"n_marked": 0, "n_unmarked": 0, "blocked": None}
+    wanted, held = mapped.select(key.alias("k")), target.select(key.alias("k"), F.coalesce(F.col(mapping.mark_column) == "Y", F.lit(False)).alias("marked"))
+    diff = reconcile.key_diff(wanted, held).persist()
+    try:
+        found = reconcile.cap(diff, wanted, held, strategy.delete_ratio, reconcile.MOST).first().asDict()
+        blocked = None
+        if found["n_mark"] > 0 and found["n_source"] == 0:
+            blocked = "the source has no keys"
+        elif found["n_mark"] > found["allowed"]:
+            blocked = f"{found['n_mark']} rows to mark are over the cap of {found['allowed']}"
+        elif found["n_mark"] + found["n_unmark"] > reconcile.MOST:
+            blocked = f"more than {reconcile.MOST} rows to change at once"
+        done = not dry and mapping.delete_approved and blocked is None
+        if done and found["n_mark"] + found["n_unmark"]:
+            reconcile.mark(table, diff, key, mapping.mark_column)
+        return found | {"blocked": blocked, "approved": mapping.delete_approved, "n_marked": found["n_mark"] * done, "n_unmarked": found["n_unmark"] * done, "samples": reconcile.samples(diff)}
+    finally:
+        diff.unpersist()
+
+
+def run_job(
+    spark: SparkSession, job: Job, tables: dict[str, SnapshotTable], run_id: str = "run", now: dt.datetime | None = None, dry: bool = False,
+    resume: bool = False, history: History | None = None, on_task: Callable[[str, dict[str, Any]], None] | None = None, pass_only: bool = False,
+) -> dict[str, dict[str, Any]]:
+    """All mappings of a job in their order, which puts parents before children. Each result has a ``status``: done,
+    failed (with ``error``) or skipped. An incremental run reconciles once, unless it is a pass of a sync."""
+    out: dict[str, dict[str, Any]] = {}
+    mode = "DRY" if dry else "RESUME" if resume else job.strategy.mode
+    note = (lambda *a: history.put(run_id, a[0], a[1], mode, *a[2:])) if history and not dry else lambda *a: None
+    note(job.name, "running")
+    for m in job.mappings:
+        if job.strategy.error_policy == "STOP" and any(r["status"] == "failed" for r in out.values()):
+            out[m.target] = {"status": "skipped"}
+            note(m.target, "skipped")
+            continue
+        note(m.target, "running")
+        try:
+            out[m.target] = run_mapping(spark, m, tables[m.target], job.strategy, run_id, now, dry, resume, on_task) | {"status": "done"}
+        except Exception as e:  # what one mapping breaks the policy decides on
+            out[m.target] = {"status": "failed", "error": e}
+        note(m.target, out[m.target]["status"], out[m.target], str(out[m.target].get("error", ""))[:500] or None)
+    if job.strategy.mode == "INCREMENTAL" and not pass_only:
+        for m in job.mappings:
+            if out[m.target]["status"] == "done" and m.delete_mode == "MARK":
+                out[m.target]["reconciled"] = reconcile_mapping(spark, m, tables[m.target], job.strategy, dry)
+    failed = [t for t, r in out.items() if r["status"] == "failed"]
+    sums = {c: sum(r.get(c) or 0 for r in out.values()) for c in COUNTS}
+    note(job.name, "failed" if failed else "done", sums, ", ".join(failed) or None)
+    return out
+
+
+def run_sync(
+    spark: SparkSession, job: Job, tables: dict[str, SnapshotTable], run_id: str = "sync", clock: Callable[[], dt.datetime] = dt.datetime.now,
+    wait: Callable[[float], None] = time.sleep, stopped: Callable[[], bool] = lambda: False, history: History | None = None,
+) -> dict[str, Any]:
+    """Incremental cycles until the time is up (done), somebody stops them (stopped), or an error stays (failed).
+
+    A cycle that failed for a transient reason is tried again after a growing wait, its watermark unmoved. When
+    due, keys are reconciled; mappings that don't follow deletions have their rows counted.
+    """
+    began, said = clock(), {"state": "stopped", "cycles": 0, "failures": 0, "reconciled": [], **dict.fromkeys(COUNTS, 0)}
+    last_reconciled = None
+    while not stopped():
+        said["cycles"] += 1
+        done = run_job(spark, job, tables, f"{run_id}-{said['cycles']}", clock(), history=history, pass_only=True)
+        errors = [r["error"] for r in done.values() if r["status"] == "failed"]
+        if errors:
+            said["failures"] += 1
+            if not all(map(transient, errors)) or said["failures"] > MOST_FAILURES:
+                return said | {"state": "failed", "error": errors[0]}
+            wait(min(job.strategy.poll_seconds * 2.0 ** (said["failures"] - 1), LONGEST_WAIT))
+            continue
+        said["failures"] = 0
+        said |= {c: said[c] + sum(r[c] for r in done.values()) for c in COUNTS}
+        if last_reconciled is None or clock() - last_reconciled >= dt.timedelta(minutes=job.strategy.reconcile_minutes):
+            last_reconciled = clock()
+            try:
+                said["reconciled"].append({m.target: reconcile_mapping(spark, m, tables[m.target], job.strategy) for m in job.mappings})
+            except Exception as e:  # rows are not marked this time; the next reconciliation tries again
+                said["reconciled"].append({"error": e})
+        if job.strategy.max_hours and clock() - began >= dt.timedelta(hours=job.strategy.max_hours):
+            return said | {"state": "done"}
+        wait(float(job.strategy.poll_seconds))
+    return said

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
+import re
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,37 +48,65 @@ def in_range(df: DataFrame, checkpoint: str, low: Any, high: Any, first: bool) -
     return df.where(((x >= F.lit(low)) if first else (x > F.lit(low))) & (x <= F.lit(high)))
 
 
+def sql_literal(value: Any) -> str:
+    """A value in the SQL of a JDBC source; times in the escapes that drivers translate."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, dt.datetime):
+        return "{ts '" + value.strftime("%Y-%m-%d %H:%M:%S.%f") + "'}"
+    if isinstance(value, dt.date):
+        return "{d '" + value.isoformat() + "'}"
+    return str(value) if isinstance(value, (int, float, decimal.Decimal)) else "'" + str(value).replace("'", "''") + "'"
+
+
 def range_predicates(plan: DataFrame, checkpoint: str) -> list[str]:
-    """Predicates of a range plan, one a range, for a JDBC read."""
-    rows = plan.orderBy("bucket").collect()
-    return [f"{checkpoint} >= {r['low']} AND {checkpoint} <= {r['high']}" if k == 0 else f"{checkpoint} > {rows[k - 1]['high']} AND {checkpoint} <= {r['high']}" for k, r in enumerate(rows)]
+    """Predicates of a range plan, one a range, for a JDBC read. The first is open below and takes NULLs, the last is
+    open above, so together they are the table."""
+    highs = [sql_literal(r["high"]) for r in plan.orderBy("bucket").collect()]  # a row a worker
+    if len(highs) < 2:
+        return ["1 = 1"]
+    inner = [f"{checkpoint} > {low} AND {checkpoint} <= {high}" for low, high in zip(highs, highs[1:-1])]
+    return [f"{checkpoint} IS NULL OR {checkpoint} <= {highs[0]}", *inner, f"{checkpoint} > {highs[-2]}"]
 
 
 def _as_number(df: DataFrame, column: str) -> Column:
-    time = dict(df.dtypes)[column].startswith("timestamp")
-    return (F.unix_micros(F.col(column).cast("timestamp")) if time else F.col(column)).cast("double")
+    type_ = dict(df.dtypes)[column]
+    if not re.match("tinyint|smallint|int|bigint|float|double|decimal|timestamp|date", type_):
+        raise ValueError(f"ranges need numbers or times; {column} is {type_}")
+    return (F.unix_micros(F.col(column).cast("timestamp")) if type_.startswith(("timestamp", "date")) else F.col(column)).cast("double")
+
+
+#: Distinct values that one task of a range plan sorts, about, and the most ranges of them.
+A_RANGE, MOST_RANGES = 2_000_000, 8192
 
 
 def range_plan(df: DataFrame, checkpoint: str, workers: int) -> DataFrame:
     """bucket, low, high, n: NTILE(workers) over the checkpoint order.
 
     Rows are counted by value first. A running sum over the distinct values places each value's rows; it
-    runs within ranges of values, to which the counts of the ranges before are added, not in one task.
+    runs within ranges of values, to which the counts of the ranges before are added, not in one task. There are
+    as many ranges as the values call for.
     """
     spark = df.sparkSession
     counts = df.where(F.col(checkpoint).isNotNull()).groupBy(F.col(checkpoint).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    ranges = min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     number = _as_number(counts, "v")
-    fences = counts.agg(F.percentile_approx(number, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, fences)), lambda f: f < number)) if fences else F.lit(0)
-    parted = counts.withColumn("part", part)
+    all_, values = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-values // A_RANGE)))
+    fences = counts.agg(F.percentile_approx(number, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or [] if ranges > 1 else []
+    edges = np.array(sorted(fences))
+
+    @F.pandas_udf("int")
+    def part_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, x.to_numpy()).astype(np.int32))
+
+    parted = counts.withColumn("part", part_of(number))
     sizes = parted.groupBy("part").agg(F.sum("n").alias("m"))
     before = sizes.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))  # a row a range
     running = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
     placed = parted.join(F.broadcast(before), "part").withColumn("end", running + F.col("before")).withColumn("begin", F.col("end") - F.col("n"))
-    size, extra = divmod(df.where(F.col(checkpoint).isNotNull()).count(), workers)
-    edges = [k * size + min(k, extra) for k in range(workers + 1)]
-    tiles = [F.struct(F.lit(k + 1).alias("bucket"), F.greatest("begin", F.lit(edges[k])).alias("a"), F.least("end", F.lit(edges[k + 1])).alias("b")) for k in range(workers)]
+    size, extra = divmod(all_ or 0, workers)
+    edges_of = [k * size + min(k, extra) for k in range(workers + 1)]
+    tiles = [F.struct(F.lit(k + 1).alias("bucket"), F.greatest("begin", F.lit(edges_of[k])).alias("a"), F.least("end", F.lit(edges_of[k + 1])).alias("b")) for k in range(workers)]
     pieces = placed.select("v", F.explode(F.array(*tiles)).alias("t")).where("t.a < t.b")
     taken = F.sum(F.col("t.b") - F.col("t.a")).cast("bigint")
     return pieces.groupBy(F.col("t.bucket").alias("bucket")).agg(F.min("v").alias("low"), F.max("v").alias("high"), taken.alias("n"))

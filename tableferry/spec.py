@@ -9,6 +9,8 @@ from typing import Any
 WRITE_MODES = ("INSERT_ONLY", "MERGE", "TRUNCATE_INSERT", "DELETE_INSERT")
 NULL_RULES = ("ALLOW", "REJECT", "DEFAULT", "SYSDATE", "EMPTY", "CUSTOM")
 DELETE_MODES = ("NONE", "MARK")
+RUN_MODES = ("FULL", "INCREMENTAL", "SYNC")
+ERROR_POLICIES = ("CONTINUE", "STOP")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -32,7 +34,8 @@ class ColumnMapping:
 
 @dataclasses.dataclass(frozen=True)
 class Mapping:
-    """One source, a table or a SELECT, to one target."""
+    """One source, a table or a SELECT, to one target. With ``delete_mode`` MARK, target rows whose key the source
+    has no more are marked in ``mark_column``, once somebody has approved that."""
 
     target: str
     columns: tuple[ColumnMapping, ...]
@@ -43,12 +46,16 @@ class Mapping:
     checkpoint: str | None = None
     where: str | None = None
     delete_mode: str = "NONE"
+    mark_column: str | None = None
+    delete_approved: bool = False
 
     def __post_init__(self) -> None:
         if (self.table is None) == (self.sql is None):
             raise ValueError("a mapping has a table or a SELECT")
         if self.mode not in WRITE_MODES or self.delete_mode not in DELETE_MODES:
             raise ValueError("unknown mode")
+        if self.delete_mode == "MARK" and not self.mark_column:
+            raise ValueError("marking deletions needs a column for the mark")
 
     @property
     def written(self) -> list[str]:
@@ -57,6 +64,9 @@ class Mapping:
 
 @dataclasses.dataclass(frozen=True)
 class Strategy:
+    """How a job runs. After a mapping's error CONTINUE goes on with the others, STOP skips them. SYNC repeats
+    incremental cycles every ``poll_seconds`` for ``max_hours`` (0: until it is stopped)."""
+
     mode: str = "FULL"
     workers: int = 4
     poll_seconds: int = 60
@@ -64,6 +74,11 @@ class Strategy:
     lag_seconds: int = 300
     reconcile_minutes: int = 60
     delete_ratio: float = 0.1
+    error_policy: str = "CONTINUE"
+
+    def __post_init__(self) -> None:
+        if self.mode not in RUN_MODES or self.error_policy not in ERROR_POLICIES:
+            raise ValueError("unknown run mode or error policy")
 
 
 @dataclasses.dataclass(frozen=True)

@@ -1,7 +1,9 @@
-"""Snapshots of a target table with a manifest that commits data and watermark together.
+"""Versioned tables: data in immutable files by key bucket, and a small manifest for each version.
 
-Each commit writes a whole new snapshot beside the old ones, then one small manifest by a rename, which
-makes it the latest version. Readers follow the manifest, so they see the old version or the new one.
+A version's manifest is one file that is created exclusively, so of two writers one fails; it carries the
+table's facts (watermark, batch id, ...) with the list of live folders, so both become visible at once.
+Rows lie in buckets by a hash of their key. Inserting adds files, merging writes only the buckets that the
+batch touches anew, and folders that no version lists any more are deleted by ``vacuum``.
 """
 
 from __future__ import annotations
@@ -9,9 +11,15 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Buckets of a table with a key, unless stated. Choose them so that a bucket is a few hundred MB.
+BUCKETS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,53 +37,183 @@ def new_root(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tableferry-{uuid.uuid4().hex[:12]}/{name}"
 
 
-class SnapshotTable:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+class Versions:
+    """Numbered small files in a folder, each created once: the first writer of a number has it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[int]:
-        fs, p = self._fs(f"{self.root}/manifests")
+    def numbers(self) -> list[int]:
+        """All numbers that are taken."""
+        fs, p = self._fs(self.folder)
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
 
-    def manifest(self, version: int | None = None) -> dict[str, Any]:
-        """version, path, batch_id, watermark, and what else the commit said; version 0 if there is none."""
-        versions = self.versions()
-        if not versions:
-            return {"version": 0, "path": None, "batch_id": -1, "watermark": None}
-        fs, p = self._fs(f"{self.root}/manifests/{versions[-1] if version is None else version:010d}")
+    def get(self, number: int) -> dict[str, Any] | None:
+        """What the file says; None for one whose writer has not finished it."""
+        fs, p = self._fs(f"{self.folder}/{number:010d}")
         stream = fs.open(p)
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    def latest(self) -> tuple[int, dict[str, Any] | None]:
+        """The last finished file and its number; 0 and None if there is none."""
+        for number in reversed(self.numbers()):
+            if (said := self.get(number)) is not None:
+                return number, said
+        return 0, None
+
+    def put(self, number: int, said: dict[str, Any]) -> None:
+        fs, p = self._fs(f"{self.folder}/{number:010d}")
+        fs.mkdirs(p.getParent())
+        try:
+            out = fs.create(p, False)  # fails if the file exists
+        except Exception as e:
+            if "already exist" in str(e).lower() or "FileAlreadyExists" in str(e):
+                raise RuntimeError(f"version {number} was committed by another writer; read it and try again") from None
+            raise
+        try:
+            out.write(bytearray(json.dumps(said, default=str), "utf-8"))
+        finally:
+            out.close()
+
+
+class SnapshotTable:
+    """A table with versions. With a ``key`` its rows lie in ``buckets``, and writes touch only those they must."""
+
+    def __init__(self, spark: SparkSession, root: str, key: Iterable[str] = (), buckets: int = BUCKETS):
+        self.spark, self.root, self.key = spark, root.rstrip("/"), tuple(key)
+        self.buckets = buckets if self.key else 1
+        self._versions = Versions(spark, f"{self.root}/manifests")
 
-    def read(self, version: int | None = None) -> DataFrame:
-        path = self.manifest(version)["path"]
-        if path is None:
+    def versions(self) -> list[int]:
+        return [n for n in self._versions.numbers() if self._versions.get(n) is not None]
+
+    def manifest(self, version: int | None = None) -> dict[str, Any]:
+        """version, parts (bucket to folders), batch_id, watermark, and what else the commit said; version 0 if
+        there is none."""
+        said = self._versions.latest()[1] if version is None else self._versions.get(version)
+        return said or {"version": 0, "parts": {}, "schema": None, "batch_id": -1, "watermark": None}
+
+    def _bucketing(self) -> tuple[tuple[str, ...], int]:
+        """Key and number of buckets as the table was created, whatever this handle says."""
+        said = self.manifest()
+        return tuple(said.get("key") or self.key), int(said.get("buckets") or self.buckets)
+
+    def bucket(self, rows: DataFrame) -> Column:
+        """The bucket of a row. Rows with a NULL in their key match nothing; they are spread by all columns."""
+        key, n = self._bucketing()
+        if n == 1:
+            return F.lit(0)
+        schema = self.manifest()["schema"]
+        types = {f.name: f.dataType for f in StructType.fromJson(schema)} if schema else {}
+
+        def same(c: str) -> Column:
+            x = F.col(c).cast(types[c]) if c in types else F.col(c)
+            kind = types[c].simpleString() if c in types else dict(rows.dtypes)[c]
+            return x + 0.0 if kind in ("double", "float") else x  # -0.0 and 0.0 are one key
+
+        whole = F.lit(True)
+        for c in key:
+            whole = whole & F.col(c).isNotNull()
+        return F.pmod(F.when(whole, F.xxhash64(*map(same, key))).otherwise(F.xxhash64(*rows.columns)), F.lit(n)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """Buckets that hold the rows' keys, if anything does: numbers, as many as buckets at most."""
+        for c in self._bucketing()[0]:
+            rows = rows.where(F.col(c).isNotNull())
+        return sorted(r[0] for r in rows.select(self.bucket(rows)).distinct().collect())
+
+    def read(self, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+        said = self.manifest(version)
+        if said["schema"] is None:
             raise ValueError(f"nothing has been committed to {self.root}")
-        return self.spark.read.parquet(path)
+        schema = StructType.fromJson(said["schema"])
+        wanted = None if buckets is None else set(buckets)
+        paths = [p for b, folders in said["parts"].items() if wanted is None or int(b) in wanted for p in folders]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write(self, rows: DataFrame, number: int) -> dict[str, list[str]]:
+        """Rows in new files, one folder a bucket."""
+        data = f"{self.root}/data/{number:010d}-{uuid.uuid4().hex[:8]}"
+        n = self._bucketing()[1]
+        if n == 1:
+            rows.write.parquet(data)
+            return {"0": [data]}
+        name = "bucket"
+        while name in (c.lower() for c in rows.columns):
+            name += "_"
+        rows.withColumn(name, self.bucket(rows)).repartition(F.col(name)).write.partitionBy(name).parquet(data)
+        fs, p = self._versions._fs(data)
+        found = [s.getPath().getName() for s in fs.listStatus(p)]
+        return {x.split("=")[1]: [f"{data}/{x}"] for x in found if x.startswith(f"{name}=")}
+
+    def _commit(self, last: dict[str, Any], parts: dict[str, list[str]], schema: StructType, facts: dict[str, Any]) -> dict[str, Any]:
+        key, n = self._bucketing()
+        number = last["version"] + 1
+        if taken := [x for x in self._versions.numbers() if x >= number and self._versions.get(x) is None]:
+            number = max(taken) + 1  # a writer died while it wrote a number
+        new = {**last, **facts, "version": number, "parts": parts, "schema": schema.jsonValue(), "key": list(key), "buckets": n}
+        self._versions.put(number, new)
+        return new
 
     def commit(self, rows: DataFrame, **facts: Any) -> dict[str, Any]:
-        """Write ``rows`` as the next version. Facts (batch_id, watermark, ...) become visible with it."""
+        """All rows anew, as the next version. Facts (batch_id, watermark, ...) become visible with it."""
         last = self.manifest()
-        data = f"{self.root}/data/{last['version'] + 1:010d}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(data)
-        return self.publish(data, last, **facts)
-
-    def publish(self, data: str, last: dict[str, Any], **facts: Any) -> dict[str, Any]:
-        new = {**last, **facts, "version": last["version"] + 1, "path": data}
-        fs, staged = self._fs(f"{self.root}/staged/{uuid.uuid4().hex}")
-        out = fs.create(staged, False)
-        try:
-            out.write(bytearray(json.dumps(new, default=str), "utf-8"))
-        finally:
-            out.close()
-        _, final = self._fs(f"{self.root}/manifests/{new['version']:010d}")
-        fs.mkdirs(final.getParent())
-        if fs.exists(final) or not fs.rename(staged, final):
-            raise RuntimeError(f"version {new['version']} was committed by another writer")
-        return new
+        return self._commit(last, self._write(rows, last["version"] + 1), rows.schema, facts)
+
+    def insert(self, rows: DataFrame, **facts: Any) -> dict[str, Any]:
+        """Further rows, in files of their own; none that exist are read or written."""
+        last = self.manifest()
+        new, parts = self._write(rows, last["version"] + 1), dict(last["parts"])
+        for b, folders in new.items():
+            parts[b] = [*parts.get(b, []), *folders]
+        return self._commit(last, parts, StructType.fromJson(last["schema"]), facts)
+
+    def rewrite(self, rows: DataFrame, buckets: Iterable[int], **facts: Any) -> dict[str, Any]:
+        """``rows`` in place of all rows of the given buckets; the others' files stay, even if rows go there too."""
+        last, gone = self.manifest(), {str(b) for b in buckets}
+        parts = {b: f for b, f in last["parts"].items() if b not in gone}
+        for b, folders in self._write(rows, last["version"] + 1).items():
+            parts[b] = [*parts.get(b, []), *folders]
+        return self._commit(last, parts, StructType.fromJson(last["schema"]), facts)
+
+    def publish(self, **facts: Any) -> dict[str, Any]:
+        """A version with other facts and the same rows."""
+        last = self.manifest()
+        return self._commit(last, last["parts"], StructType.fromJson(last["schema"]), facts)
+
+    def compact(self, most: int = 8) -> dict[str, Any]:
+        """Buckets of more than ``most`` folders, written anew as one each."""
+        many = [int(b) for b, folders in self.manifest()["parts"].items() if len(folders) > most]
+        return self.rewrite(self.read(buckets=many), many) if many else self.manifest()
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete all but the last ``keep`` versions, and data that these don't list. Not while others write."""
+        versions = self.versions()
+        kept = versions[-keep:]
+        live = {p for v in kept for folders in self.manifest(v)["parts"].values() for p in folders}
+        for v in versions[: -len(kept)] if kept else []:
+            fs, p = self._versions._fs(f"{self.root}/manifests/{v:010d}")
+            fs.delete(p, False)
+        fs, p = self._versions._fs(f"{self.root}/data")
+        tail = {x.rsplit("/data/", 1)[1] for x in live}
+        gone = 0
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            name = s.getPath().getName()
+            if not any(t.split("/")[0] == name for t in tail):
+                gone += fs.delete(s.getPath(), True)
+            elif name not in tail:
+                for b in fs.listStatus(s.getPath()):
+                    if b.isDirectory() and f"{name}/{b.getPath().getName()}" not in tail:
+                        gone += fs.delete(b.getPath(), True)
+        return gone

@@ -24,13 +24,13 @@ def follow(changes: DataFrame, table: SnapshotTable, key: list[str], order: str,
         if batch_id <= state["batch_id"]:
             return
         rows = dedup_last(batch, key, [F.col(order)])
-        if state["path"] is None:
+        if state["schema"] is None:
             table.commit(rows, batch_id=batch_id)
             return
-        target = table.read()
+        target = table.read(buckets=table.touched(rows))
         old = target.select(*key, F.col(order).alias("_held"))
         newer = rows.join(old, key, "left").where(F.col("_held").isNull() | (F.col(order) >= F.col("_held"))).drop("_held")
-        table.commit(load.merge(target, newer, key), batch_id=batch_id)
+        load.apply(table, "MERGE", newer, key, batch_id=batch_id)
 
     writer = changes.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)

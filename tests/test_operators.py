@@ -147,3 +147,31 @@ def test_catalog_matching(spark):
     t = spark.createDataFrame([("TB_ORDER",), ("TB_MEMBER",)], "target_table string")
     words = spark.createDataFrame([("CUSTOMER", "MEMBER")], "word string, means string")
     assert values(catalog.match_tables(s, t, words), "source_table", "target_table") == [("SRC_CUSTOMER", "TB_MEMBER"), ("SRC_ORDER", "TB_ORDER")]
+
+
+def test_ranges_are_read_from_a_database(spark):
+    """A Derby database in memory: each range of a plan is a partition, and together they are the table."""
+    url, driver = "jdbc:derby:memory:ferry;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.range(60).selectExpr("id", "IF(id % 9 = 0, NULL, TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, id)) AS ts", "concat('it''s ', id) AS name")
+    rows.write.jdbc(url, "src", mode="overwrite", properties=driver)
+    whole = scan.jdbc(spark, url, "src", **driver)
+    for column in ("id", "ts"):
+        predicates = scan.range_predicates(scan.range_plan(whole, column, 4), f'"{column}"')
+        read = scan.jdbc(spark, url, "src", predicates, **driver)
+        assert read.rdd.getNumPartitions() == 4 == len(predicates)
+        assert values(read, "id", "name") == values(rows, "id", "name")
+    with pytest.raises(ValueError):
+        scan.range_plan(whole, "name", 4)
+    assert scan.sql_literal("it's") == "'it''s'" and scan.sql_literal(dt.date(2024, 1, 2)) == "{d '2024-01-02'}"
+    assert scan.range_predicates(scan.range_plan(whole.where("id < 0"), "id", 4), "id") == ["1 = 1"]
+
+
+def test_dedup_keeps_rows_without_a_whole_key(spark):
+    rows = spark.createDataFrame([(1, None, 1), (1, None, 2), (None, 2, 1), (3, 4, 1), (3, 4, 2)], "a int, b int, cp int")
+    assert values(mapping.dedup_last(rows, ["a", "b"], [F.col("cp")]).fillna(0), "a", "b", "cp") == [(0, 2, 1), (1, 0, 1), (1, 0, 2), (3, 4, 2)]
+
+
+def test_large_types_convert_by_their_own_rules(spark):
+    pairs = [("clob", "varchar(20)", "WARN"), ("clob", "clob", "PASS"), ("string", "clob", "PASS"), ("clob", "nclob", "WARN"), ("long", "clob", "WARN"), ("raw(16)", "blob", "PASS"), ("blob", "clob", "ERROR"), ("clob", "date", "ERROR"), ("interval", "clob", "ERROR")]
+    df = spark.createDataFrame([(*p, None, None, None, None) for p in pairs], "source_type string, target_type string, want string, target_len int, target_digits int, max_chars long, int_digits long")
+    assert all(r["level"] == r["want"] for r in catalog.compatibility(df).collect())

@@ -1,8 +1,10 @@
+import dataclasses
 import datetime as dt
 
 import pytest
 
-from tableferry.run import run_job, run_mapping
+from tableferry.operators import incremental, load, reconcile
+from tableferry.run import History, reconcile_mapping, run_job, run_mapping, run_sync
 from tableferry.spec import ColumnMapping, Job, Mapping, Strategy
 from tableferry.storage import SnapshotTable, new_root
 
@@ -10,7 +12,7 @@ COLUMNS = (ColumnMapping("id", "id", "bigint", not_null=True), ColumnMapping("na
 
 
 def target(spark, rows=()):
-    table = SnapshotTable(spark, new_root(spark, "t"))
+    table = SnapshotTable(spark, new_root(spark, "t"), ["id"], buckets=4)
     table.commit(spark.createDataFrame(list(rows), "id long, name string, note string"))
     return table
 
@@ -86,3 +88,196 @@ def test_number_checkpoints_resume_after_the_last_key(spark):
     view(spark, [(1, "x", None), (3, "c", None)])
     run_mapping(spark, m, table, Strategy(mode="INCREMENTAL"))
     assert held(table) == {1: "a", 2: "b", 3: "c"}
+
+
+# -- storage ----------------------------------------------------------------------------------
+def folders(table, version=None):
+    return {p for fs in table.manifest(version)["parts"].values() for p in fs}
+
+
+def test_a_merge_of_few_keys_writes_few_files_and_an_insert_rewrites_none(spark):
+    table = SnapshotTable(spark, new_root(spark, "t"), ["id"], buckets=16)
+    table.commit(spark.range(1000).selectExpr("id", "concat('n', id) AS name", "CAST(NULL AS STRING) AS note"))
+    before = folders(table)
+    load.apply(table, "INSERT_ONLY", spark.createDataFrame([(1, "x"), (5000, "new")], "id long, name string"), ["id"])
+    assert before < folders(table) and table.read().count() == 1001
+    before = folders(table)
+    load.apply(table, "MERGE", spark.createDataFrame([(7, "seven"), (6000, "more")], "id int, name string"), ["id"])  # ids of another type
+    assert len(before - folders(table)) <= 4 and len(before & folders(table)) >= 12
+    names = held(table)
+    assert (names[7], names[6000], names[1], len(names)) == ("seven", "more", "n1", 1002)
+    assert table.read(1).count() == 1000
+
+
+def test_vacuum_and_compact(spark):
+    table = SnapshotTable(spark, new_root(spark, "t"), ["id"], buckets=2)
+    table.commit(spark.range(10).selectExpr("id", "CAST(id AS STRING) AS name"))
+    for k in range(10, 13):
+        load.apply(table, "INSERT_ONLY", spark.createDataFrame([(k, "x")], "id long, name string"), ["id"])
+    table.compact(most=1)
+    assert all(len(f) == 1 for f in table.manifest()["parts"].values())
+    assert table.vacuum(keep=1) > 0 and table.versions() == [5] and table.read().count() == 13
+    assert table.vacuum(keep=1) == 0
+
+
+def test_one_writer_of_two_wins_and_an_unfinished_version_is_passed(spark):
+    root = new_root(spark, "t")
+    table, other = SnapshotTable(spark, root), SnapshotTable(spark, root)
+    table.commit(spark.range(3))
+    last = other.manifest()
+    table.publish(watermark="1")
+    with pytest.raises(RuntimeError, match="another writer"):
+        other._commit(last, last["parts"], spark.range(1).schema, {})
+    fs, p = table._versions._fs(f"{root}/manifests/{3:010d}")
+    fs.create(p, False).close()  # its writer died
+    assert table.manifest()["watermark"] == "1"
+    assert table.publish(watermark="2")["version"] == 4 and table.manifest()["watermark"] == "2"
+
+
+def test_rows_without_a_whole_key_are_neither_lost_nor_matched(spark):
+    view(spark, [(None, "a", at(1)), (None, "b", at(2)), (1, "c", at(1)), (1, "d", at(2))])
+    columns = (ColumnMapping("id", "id", "bigint"), COLUMNS[1])
+    for mode in ("MERGE", "INSERT_ONLY"):
+        table = target(spark, [(1, "x", None), (None, "z", None)])
+        done = run_mapping(spark, Mapping("t", columns, ("id",), table="run_source", mode=mode, checkpoint="ts"), table)
+        names = sorted(r["name"] for r in table.read().collect())
+        assert names == (["a", "b", "d", "z"] if mode == "MERGE" else ["a", "b", "x", "z"])
+        assert done["n_read"] == 4 if mode == "INSERT_ONLY" else done["n_inserted"] == 2
+
+
+# -- jobs -------------------------------------------------------------------------------------
+def numbered(spark, n, name="run_numbers"):
+    spark.range(n).selectExpr("id", "concat('n', id) AS name", "TIMESTAMP_NTZ '2024-01-01 12:00:00' + make_dt_interval(0, 0, 0, id) AS ts").createOrReplaceTempView(name)
+
+
+def test_a_stopped_load_resumes_with_the_ranges_that_are_left(spark):
+    numbered(spark, 100)
+    table, seen = target(spark), []
+    m = Mapping("t", COLUMNS, ("id",), table="run_numbers", checkpoint="id")
+
+    def stop_at_two(task, counts):
+        seen.append(task)
+        if len(seen) == 2:
+            raise RuntimeError("stop")
+
+    with pytest.raises(RuntimeError):
+        run_mapping(spark, m, table, Strategy(workers=4), on_task=stop_at_two)
+    assert table.read().count() == 50 and table.manifest()["watermark"] is None
+    assert [t["done"] for t in table.manifest()["tasks"]] == [True, True, False, False]
+    marks = incremental.watermarks(incremental.checkpoints(spark, {"t": table})).collect()
+    assert [tuple(r) for r in marks] == [("t", "24")]  # the range that lags
+    went_on = run_mapping(spark, m, table, Strategy(workers=4), resume=True, on_task=lambda t, c: seen.append(t))
+    assert seen == ["t#1", "t#2", "t#3", "t#4"] and (went_on["base_rows"], went_on["n_inserted"]) == (50, 50)
+    assert table.read().count() == 100 and table.manifest()["watermark"] == "99"
+    again = run_mapping(spark, m, table, Strategy(workers=4), resume=True)  # nothing is left: a run of its own
+    assert (again["base_rows"], again["n_updated"], table.read().count()) == (0, 100, 100)
+
+
+@pytest.mark.parametrize("policy, second", [("STOP", "skipped"), ("CONTINUE", "done")])
+def test_error_policies_and_history(spark, policy, second):
+    numbered(spark, 5)
+    bad = Mapping("bad", COLUMNS, ("id",), table="no_such_table")
+    good = Mapping("good", COLUMNS, ("id",), table="run_numbers")
+    history = History(spark, new_root(spark, "runs"))
+    tables = {"bad": target(spark), "good": target(spark)}
+    out = run_job(spark, Job("j", (bad, good), Strategy(error_policy=policy)), tables, "r7", history=history)
+    assert (out["bad"]["status"], out["good"]["status"]) == ("failed", second)
+    said = {r["task"]: r for r in history.latest().collect()}
+    assert {t: r["status"] for t, r in said.items()} == {"j": "failed", "bad": "failed", "good": second}
+    assert said["good"]["n_inserted"] == (5 if second == "done" else 0) and "no_such_table" in said["bad"]["message"]
+
+
+MARKED = dataclasses.replace(
+    Mapping("t", (*COLUMNS, ColumnMapping("del_yn", None)), ("id",), table="run_numbers", checkpoint="ts"), delete_mode="MARK", mark_column="del_yn", delete_approved=True
+)
+
+
+def marks(table):
+    return sorted(r["id"] for r in table.read().where("del_yn = 'Y'").collect())
+
+
+def filled(spark, n, gone=()):
+    table = SnapshotTable(spark, new_root(spark, "t"), ["id"], buckets=8)
+    table.commit(spark.range(n).selectExpr("id", "concat('n', id) AS name", f"IF(id IN ({','.join(map(str, gone)) or 'NULL'}), 'Y', 'N') AS del_yn"))
+    return table
+
+
+def test_reconciling_marks_what_is_gone_and_unmarks_what_came_back(spark):
+    spark.range(20).where("id NOT IN (3, 4)").selectExpr("id", "'n' AS name", "TIMESTAMP_NTZ '2024-01-01 12:00:00' AS ts").createOrReplaceTempView("run_numbers")
+    table = filled(spark, 23, gone=(5, 22))
+    waits = run_waiting(spark, dataclasses.replace(MARKED, delete_approved=False), table)
+    assert waits["n_marked"] == 0 and waits["samples"] == ["20", "21", "3", "4"] and marks(table) == [5, 22]
+    before = folders(table)
+    done = run_waiting(spark, MARKED, table)
+    assert (done["n_marked"], done["n_unmarked"], done["blocked"]) == (4, 1, None)
+    assert marks(table) == [3, 4, 20, 21, 22] and before & folders(table)
+    assert run_waiting(spark, MARKED, table)["n_marked"] == 0
+
+
+def run_waiting(spark, m, table, **strategy):
+    return reconcile_mapping(spark, m, table, Strategy(**strategy))
+
+
+def test_marks_are_blocked_where_they_look_wrong(spark, monkeypatch):
+    numbered(spark, 100)
+    table = filled(spark, 130)
+    assert "over the cap of 13" in run_waiting(spark, MARKED, table)["blocked"]
+    assert run_waiting(spark, MARKED, table, delete_ratio=0.5)["n_marked"] == 30
+    numbered(spark, 0)
+    assert run_waiting(spark, MARKED, filled(spark, 3))["blocked"] == "the source has no keys"
+    numbered(spark, 100)
+    monkeypatch.setattr(reconcile, "MOST", 5)
+    assert "at once" in run_waiting(spark, MARKED, filled(spark, 108))["blocked"]
+    spark.sql("SELECT * FROM run_numbers").limit(90).createOrReplaceTempView("run_fewer")
+    counted = run_waiting(spark, dataclasses.replace(MARKED, table="run_fewer", delete_mode="NONE"), filled(spark, 108))
+    assert (counted["n_source"], counted["n_target"], counted["surplus"]) == (90, 108, 18)
+
+
+class Clock:
+    """Time that passes only by waiting."""
+
+    def __init__(self, now):
+        self.now, self.waits = now, []
+
+    def __call__(self):
+        return self.now
+
+    def wait(self, seconds):
+        self.waits.append(seconds)
+        self.now += dt.timedelta(seconds=seconds)
+
+
+def test_a_sync_follows_changes_and_reconciles_when_due(spark):
+    def rows(n, but):
+        ts = "TIMESTAMP_NTZ '2024-01-01 12:00:00' + make_dt_interval(0, 0, 10 * CAST(id AS INT)) AS ts"
+        spark.range(n).where(f"id <> {but}").selectExpr("id", "concat('n', id) AS name", ts).createOrReplaceTempView("run_numbers")
+
+    rows(30, -1)
+    table, clock = filled(spark, 0), Clock(dt.datetime(2024, 1, 1, 16, 50))
+    strategy = Strategy("SYNC", poll_seconds=600, lag_seconds=0, reconcile_minutes=15, max_hours=1, delete_ratio=1.0)
+
+    def wait(seconds):
+        clock.wait(seconds)
+        rows(30 + len(clock.waits), len(clock.waits))
+
+    said = run_sync(spark, Job("j", (MARKED,), strategy), {"t": table}, clock=clock, wait=wait)
+    assert said["state"] == "done" and said["cycles"] == 7 and clock.waits == [600.0] * 6
+    assert len(said["reconciled"]) == 4 and [r["t"]["n_marked"] for r in said["reconciled"]] == [0, 1, 1, 1]
+    assert said["n_inserted"] == table.read().count() == 36 and marks(table) == [6]
+
+
+def test_a_sync_waits_longer_after_transient_errors_and_gives_up(spark):
+    table, clock = filled(spark, 0), Clock(at(1))
+    spark.sql("DROP VIEW IF EXISTS run_gone")
+    m = dataclasses.replace(MARKED, table="run_gone")
+    strategy = Strategy("SYNC", poll_seconds=60, max_hours=1)
+    said = run_sync(spark, Job("j", (m,), strategy), {"t": table}, clock=clock, wait=clock.wait)
+    assert said["state"] == "failed" and said["cycles"] == 1 and clock.waits == []  # no error that goes away
+    sql = "SELECT id, name, ts, raise_error('connection reset') AS x FROM run_numbers"
+    numbered(spark, 3)
+    broken = dataclasses.replace(MARKED, table=None, sql=sql, where="x IS NULL")
+    said = run_sync(spark, Job("j", (broken,), strategy), {"t": table}, clock=clock, wait=clock.wait)
+    assert said["state"] == "failed" and clock.waits == [60.0, 120.0, 240.0, 480.0, 960.0]
+    calls = []
+    said = run_sync(spark, Job("j", (MARKED,), strategy), {"t": table}, clock=clock, wait=calls.append, stopped=lambda: len(calls) == 2)
+    assert (said["state"], said["cycles"], table.manifest()["watermark"]) == ("stopped", 2, str(clock.now - dt.timedelta(seconds=300)))
