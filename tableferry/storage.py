@@ -72,6 +72,11 @@ class Versions:
                 return number, said
         return 0, None
 
+    def following(self, number: int) -> int:
+        """The number to write after ``number``: the next, or the first behind those that writers died over."""
+        dead = [n for n in self.numbers() if n > number and self.get(n) is None]
+        return max(dead, default=number) + 1
+
     def put(self, number: int, said: dict[str, Any]) -> None:
         fs, p = self._fs(f"{self.folder}/{number:010d}")
         fs.mkdirs(p.getParent())
@@ -159,9 +164,7 @@ class SnapshotTable:
 
     def _commit(self, last: dict[str, Any], parts: dict[str, list[str]], schema: StructType, facts: dict[str, Any]) -> dict[str, Any]:
         key, n = self._bucketing()
-        number = last["version"] + 1
-        if taken := [x for x in self._versions.numbers() if x >= number and self._versions.get(x) is None]:
-            number = max(taken) + 1  # a writer died while it wrote a number
+        number = self._versions.following(last["version"])
         new = {**last, **facts, "version": number, "parts": parts, "schema": schema.jsonValue(), "key": list(key), "buckets": n}
         self._versions.put(number, new)
         return new
