@@ -2,20 +2,22 @@
 
 Arrivals are appended as small shards (files). When a tier (shards whose sizes lie within one power of
 ``FANOUT``) holds enough of them, they are read together and written as files of the target size: the
-scan packs small files into partitions of that size, so no row is shuffled. A manifest lists the live
-shards. It is written aside and becomes a version by one rename; readers use the latest version.
+scan packs small files into partitions of that size, so no row is shuffled. What a merge writes may fill the
+next tier, which is merged in turn. A manifest lists the live shards. Its rows are written aside, and one small
+file that is created exclusively makes them a version: of two writers one fails, and readers see whole versions.
 
-Null columns, repeated rows and extra columns are kept as they are. An empty arrival adds no shard; a
-table without shards reads as an empty one. DataFrame operations only.
+Null columns, repeated rows, very long texts and extra columns, whatever their names, are kept as they are. An
+empty arrival adds no shard; a table without shards reads as an empty one. DataFrame operations only.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..storage import Versions
 
 TARGET_BYTES = 128 << 20
 #: A tier is merged once it holds so many shards; sizes within one power of this share a tier.
@@ -26,35 +28,34 @@ MANIFEST = "path string, bytes long, rows long, tier int"
 class ShardedTable:
     def __init__(self, spark: SparkSession, root: str, schema, target_bytes: int = TARGET_BYTES):
         self.spark, self.root, self.schema, self.target = spark, root.rstrip("/"), schema, target_bytes
+        self._versions = Versions(spark, f"{self.root}/manifests")
 
     # -- manifest ---------------------------------------------------------------------------
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def versions(self) -> list[int]:
-        fs, p = self._fs(f"{self.root}/manifests")
-        if not fs.exists(p):
-            return []
-        return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v="))
+        return [n for n in self._versions.numbers() if self._versions.get(n) is not None]
+
+    def version(self) -> int:
+        return self._versions.latest()[0]
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        versions = self.versions()
-        if not versions:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/v={versions[-1] if version is None else version:08d}")
+        said = self._versions.latest()[1] if version is None else self._versions.get(version)
+        return self.spark.read.schema(MANIFEST).parquet(said["rows"]) if said else self.spark.createDataFrame([], MANIFEST)
+
+    def _staged(self, shards: DataFrame) -> str:
+        path = f"{self.root}/staged/{uuid.uuid4().hex}"
+        shards.select("path", "bytes", "rows", "tier").coalesce(1).write.parquet(path)
+        return path
 
     def commit(self, shards: DataFrame, after: int) -> int:
-        """Publish ``shards`` as version ``after + 1``; fails if another writer has done so first."""
-        fs, staged = self._fs(f"{self.root}/staged/{uuid.uuid4().hex}")
-        shards.select("path", "bytes", "rows", "tier").coalesce(1).write.parquet(staged.toString())
-        _, final = self._fs(f"{self.root}/manifests/v={after + 1:08d}")
-        fs.mkdirs(final.getParent())
-        if fs.exists(final) or not fs.rename(staged, final):
-            raise RuntimeError(f"version {after + 1} exists; read it and try again")
-        return after + 1
+        """Publish ``shards`` as the version after ``after``; fails if another writer has done so first."""
+        number = self._versions.following(after)
+        self._versions.put(number, {"rows": self._staged(shards)})
+        return number
 
     # -- shards -----------------------------------------------------------------------------
+    def _new_folder(self, now: int) -> str:
+        return f"{self.root}/shards/{now + 1:08d}-{uuid.uuid4().hex[:8]}"
+
     def _listed(self, folder: str) -> DataFrame:
         """Files of a folder with their sizes and row counts."""
         tier = F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1)).cast("double")) / F.log(F.lit(float(FANOUT)))).cast("int")
@@ -67,63 +68,76 @@ class ShardedTable:
 
     def append(self, arrival: DataFrame) -> int:
         """One immutable shard for each partition of the arrival, as they come."""
-        now = (self.versions() or [0])[-1]
-        folder = f"{self.root}/shards/{now + 1:08d}-{uuid.uuid4().hex[:8]}"
+        now = self.version()
+        folder = self._new_folder(now)
         arrival.select(*self.schema.names).write.option("compression", "zstd").parquet(folder)
         return self.commit(self.manifest().unionByName(self._listed(folder)), now)
 
-    def append_all(self, arrivals: DataFrame, column: str) -> int:
-        """Several arrivals, told apart by a column, in one pass over their rows."""
-        now = (self.versions() or [0])[-1]
-        folder = f"{self.root}/shards/{now + 1:08d}-{uuid.uuid4().hex[:8]}"
-        arrivals.select(*self.schema.names, F.col(column).alias("_arrival")).write.option("compression", "zstd").partitionBy("_arrival").parquet(folder)
+    def append_all(self, arrivals: DataFrame, by: Column) -> int:
+        """Several arrivals, told apart by an expression, in one pass over their rows."""
+        now, name = self.version(), "arrival"
+        while name in (c.lower() for c in self.schema.names):
+            name += "_"
+        folder = self._new_folder(now)
+        arrivals.select(*self.schema.names, by.alias(name)).write.option("compression", "zstd").partitionBy(name).parquet(folder)
         return self.commit(self.manifest().unionByName(self._listed(folder)), now)
 
+    def full_tiers(self, shards: DataFrame) -> list[int]:
+        """Tiers that hold enough shards to merge. Shards of half the target size or more rest."""
+        small = shards.where(F.col("bytes") < self.target // 2).groupBy("tier").count().where(F.col("count") >= FANOUT)
+        return sorted(r["tier"] for r in small.collect())  # a row a tier
+
     def compact(self) -> int:
-        """Merge every tier that is full, tier by tier, until none is; one commit for all merges.
+        """Merge the lowest full tier, then what is full after that, until none is; one commit for all merges.
 
-        The plan comes from the manifest, one row a shard. Shards of half the target size or more rest.
+        The plan comes from the manifest, one row a shard. A tier of which a merge leaves as many shards as it
+        had, as it can't hold fewer files of the target size, is not merged again.
         """
-        now = (self.versions() or [0])[-1]
-        live = self.manifest()
-        full = (
-            live.where(F.col("bytes") < self.target // 2)
-            .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tier")))
-            .where(F.col("n") >= FANOUT)
-            .select("path", "bytes", "rows", "tier")
-        )
-        tiers = [r["tier"] for r in full.select("tier").distinct().orderBy("tier").collect()]
-        for tier in tiers:
-            merging = full.where(F.col("tier") == tier)
-            folder = f"{self.root}/shards/{now + 1:08d}-{uuid.uuid4().hex[:8]}"
-            self._merge([r["path"] for r in merging.select("path").collect()], folder)
-            live = live.join(merging.select("path"), "path", "left_anti").unionByName(self._listed(folder))
-        return self.commit(live, now) if tiers else now
+        now = self.version()
+        live, done = self.manifest(), set()
+        while full := [t for t in self.full_tiers(live) if t not in done]:
+            merging = live.where((F.col("tier") == full[0]) & (F.col("bytes") < self.target // 2))
+            paths = [r["path"] for r in merging.select("path").collect()]  # the driver lists the files of any scan
+            folder = self._new_folder(now)
+            self._merge(paths, folder)
+            merged = self._listed(folder)
+            if merged.where(F.col("tier") <= full[0]).count() >= FANOUT:
+                done.add(full[0])
+            live = live.join(merging.select("path"), "path", "left_anti").unionByName(merged)
+            live = self.spark.read.schema(MANIFEST).parquet(self._staged(live))
+        return self.commit(live, now) if now and self._changed(live) else now
+
+    def _changed(self, live: DataFrame) -> bool:
+        return not live.join(self.manifest().select("path"), "path", "left_anti").isEmpty()
 
     def vacuum(self) -> int:
         """Delete shards that the latest version does not list; older versions can't be read then."""
-        fs, p = self._fs(f"{self.root}/shards")
-        live = {r["path"].rsplit("/shards/", 1)[1].split("/")[0] for r in self.manifest().select("path").collect()}
-        old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in live]
+        fs, p = self._versions._fs(f"{self.root}/shards")
+        live = self.manifest().select(F.regexp_extract("path", "/shards/([^/]+)/", 1).alias("folder")).distinct()
+        kept = {r["folder"] for r in live.collect()}  # a row an append or merge
+        old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in kept]
         for path in old:
             fs.delete(path, True)
         return len(old)
 
     def _merge(self, paths: list[str], folder: str) -> None:
         """Write the shards again as files of the target size: each partition of the scan holds whole
-        small files up to that size. The settings that make it so hold during the write only."""
-        conf, names = self.spark.conf, {"maxPartitionBytes": self.target, "openCostInBytes": 0, "minPartitionNum": 1}
-        before = {k: conf.get(f"spark.sql.files.{k}", None) for k in names}
-        try:
-            for k, v in names.items():
-                conf.set(f"spark.sql.files.{k}", str(v))
-            self.spark.read.schema(self.schema).parquet(*paths).write.option("compression", "zstd").parquet(folder)
-        finally:
-            for k, v in before.items():
-                conf.unset(f"spark.sql.files.{k}") if v is None else conf.set(f"spark.sql.files.{k}", v)
+        small files up to that size. The settings that make it so are those of a session of its own."""
+        session = self.spark.newSession()
+        for k, v in {"maxPartitionBytes": self.target, "openCostInBytes": 0, "minPartitionNum": 1}.items():
+            session.conf.set(f"spark.sql.files.{k}", str(v))
+        session.read.schema(self.schema).parquet(*paths).write.option("compression", "zstd").parquet(folder)
 
     def read(self, version: int | None = None) -> DataFrame:
         paths = [r["path"] for r in self.manifest(version).select("path").collect()]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def sound(self) -> bool:
+        """Whether every shard of the latest version has the rows that the manifest says, and no other file is read."""
+        held = self.read().groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("held")) if self.versions() else None
+        if held is None:
+            return True
+        listed = self.manifest().where("rows > 0")
+        return listed.join(held, "path", "full_outer").where(~F.col("rows").eqNullSafe(F.col("held"))).isEmpty()

@@ -44,13 +44,18 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four arrivals of documents, compacted; the rows as the committed manifest has them."""
+    """Eight arrivals of documents, compacted: the rows as the committed manifest has them, with its version, how
+    many tiers are still full, and whether the shards hold the rows that the manifest lists."""
     docs = documents(spark, sf_dir)
     table = compaction.ShardedTable(spark, scratch_path(spark, "sharded"), docs.schema)
-    table.append_all(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(4))), "arrival")
-    table.compact()
+    table.append_all(docs, F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    before = table.manifest().count()
+    version = table.compact()
     table.vacuum()
-    return table.read().select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "lang", "source", "n_chars")
+    shards = table.manifest()
+    listed = shards.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    facts = {"version": version, "full_tiers": len(table.full_tiers(shards)), "fewer_shards": shards.count() < before, "listed_rows": listed, "sound": table.sound()}
+    return table.read().select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "lang", "source", "n_chars", *(F.lit(v).alias(k) for k, v in facts.items()))
 
 
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +102,5 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v b ON b.vec_id <> q.vec_id AND len(b.e) = len(q.e) WHERE q.vec_id % 100 = 0
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
-    "op6_size_tiered_compaction": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, lang, source, n_chars FROM documents",
+    "op6_size_tiered_compaction": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, lang, source, n_chars, 2 AS version, 0 AS full_tiers, true AS fewer_shards, (SELECT count(*) FROM documents) AS listed_rows, true AS sound FROM documents",
 }

@@ -341,6 +341,38 @@ def test_a_version_is_committed_once(spark):
     assert table.append(df.limit(0)) == 2 and table.read().count() == 1
 
 
+def test_of_two_writers_one_commits(spark):
+    """Both read version 1; a version whose writer died is passed over."""
+    df = spark.createDataFrame([(1, "a")], DOCS)
+    root = scratch_path(spark, "t")
+    table, other = (compaction.ShardedTable(spark, root, df.schema) for _ in range(2))
+    table.append(df)
+    first = table.manifest()
+    table.append(df)
+    with pytest.raises(RuntimeError, match="another writer"):
+        other.commit(first, after=1)
+    fs, p = table._versions._fs(f"{root}/manifests/{3:010d}")
+    fs.create(p, False).close()
+    assert other.append(df) == 4 and table.version() == 4 and table.read().count() == 3 and table.sound()
+
+
+def test_merges_fill_the_next_tier_and_names_may_clash(spark):
+    """Four tiers of four shards each: what one merge writes is the fourth shard of the next tier."""
+    blob = lambda n: F.expr(f"array_join(transform(sequence(1, {n}), k -> md5(CAST(id * {n} + k AS STRING))), '')")
+    rows = lambda n, k=0: spark.range(k, k + 1).select(F.col("id").alias("doc_id"), blob(n).alias("text"), F.lit("x").alias("arrival"), F.lit(1).alias("_arrival"), F.lit(2).alias("tier"))
+    table = compaction.ShardedTable(spark, scratch_path(spark, "t"), rows(1).schema, target_bytes=1 << 30)
+    for n in (1000, 4000, 16000):
+        for k in range(4 if n == 1000 else 3):
+            table.append(rows(n, k).coalesce(1))
+    tiers = sorted(r["tier"] for r in table.manifest().collect())
+    assert tiers == sorted(3 * [tiers[4]] + 4 * [tiers[0]] + 3 * [tiers[-1]]) and tiers[0] + 2 == tiers[4] + 1 == tiers[-1]
+    assert table.compact() == 11
+    assert table.manifest().count() == 1 and table.read().count() == 10 and table.sound()
+    assert table.compact() == 11  # nothing is left to do
+    both = table.append_all(rows(10).union(rows(10)), F.col("tier"))
+    assert both == 12 and table.read().count() == 12 and table.read().columns == rows(1).columns
+
+
 # -- 7 ----------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def codec():
