@@ -1,27 +1,31 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are summed to cells (source, language, topic) of token counts. The cells' weights are raked
-in turn to the target shares of each margin until they settle, and every document is then kept with the
+in turn to the target shares of each margin until every margin is met, and every document is then kept with the
 probability that its cell's weight calls for, by a hash of its id: a rerun keeps the same documents.
 
-A null margin value is a value of its own, a null text has no tokens. Targets of values that no cell
-has are left out and the rest scaled up; values without a target share get none. Repeated rows share a
-fate, as they share an id. An empty table gives an empty result.
+A null margin value is a value of its own, a null text has no tokens. Texts may be of any length. Targets of
+values that no cell has are left out and the rest scaled up; values without a target share get none. Repeated
+rows share a fate, as they share an id; so do ties. Further columns are kept, but for those of the names that
+are added. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import text_of, written
 
 MARGINS = ("source", "lang", "topic")
-#: Rounds over all margins, and rounds between two writes of the cells, which cut the lineage.
-ROUNDS, ROUNDS_A_WRITE = 12, 4
+#: A margin is met if its shares are off by less. Targets that zero cells can't meet never settle: then rounds end.
+SETTLED, MOST_ROUNDS = 1e-6, 100
+#: Cells that hold up to this share of the wanted tokens may fall short of it, so that the rarest don't set the rate.
+SHORT = 0.01
+#: Columns that are added.
+ADDED = ("_source", "_lang", "_topic", "_tokens", "weight", "chance", "kept")
 NONE = "\\N"
 
 
@@ -67,44 +71,74 @@ def tempered(cell: DataFrame, power: float) -> list[DataFrame]:
     out = []
     for m in MARGINS:
         own = cell.groupBy(f"_{m}").agg(F.sum("tokens").cast("double").alias("t"))
-        total = own.agg(F.sum(F.pow("t", F.lit(power))).alias("all"))
-        out.append(own.join(F.broadcast(total)).select(F.col(f"_{m}"), (F.pow("t", F.lit(power)) / F.col("all")).alias("share")))
+        total = own.agg(F.sum(F.pow("t", F.lit(power)))).first()[0]
+        out.append(own.select(F.col(f"_{m}"), (F.pow("t", F.lit(power)) / F.lit(float(total or 1.0))).alias("share")))
     return out
 
 
-def raked(cell: DataFrame, targets: Sequence[DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def raked(cell: DataFrame, targets: Sequence[DataFrame], settled: float = SETTLED, most: int = MOST_ROUNDS) -> DataFrame:
     """Cells with ``weight``: tokens that the targets ask of each, summing to all tokens.
 
-    ``targets``: for each margin (value, share). Weights of a margin's value are scaled to its share of
-    all, margin after margin; a zero cell stays zero.
+    ``targets``: for each margin (value, share). In each round the weights of a margin's value are scaled to its
+    share of all, margin after margin; a zero cell stays zero. Sums are made before the shuffle, so a value that
+    most cells have is a few rows. Rounds end once no share was off by ``settled`` or more.
     """
-    rows = cell
+    rows, keys = cell, [f"_{m}" for m in MARGINS]
     for m, target in zip(MARGINS, targets, strict=True):
         rows = rows.join(target.select(F.col(target.columns[0]).alias(f"_{m}"), F.col("share").cast("double").alias(f"share_{m}")), f"_{m}", "left")
-    rows = written(rows.fillna(0.0, [f"share_{m}" for m in MARGINS]).withColumn("weight", F.col("tokens").cast("double")), "cells")
+    rows = written(rows.fillna(0.0, [f"share_{m}" for m in MARGINS]), "cells")
+    for m in MARGINS:  # what is asked of values that cells have, as shares of their own sum
+        given = rows.groupBy(f"_{m}").agg(F.first(f"share_{m}").alias("s")).agg(F.sum("s")).first()[0]
+        rows = rows.withColumn(f"share_{m}", F.col(f"share_{m}") / F.lit(float(given or 1.0)))
+    rows = written(rows.withColumn("weight", F.col("tokens").cast("double")), "cells")
     total = float(rows.agg(F.sum("tokens")).first()[0] or 0)
-    for k in range(rounds):
+    if total == 0:
+        return rows
+    for _ in range(most):
+        rows = rows.withColumn("off", F.lit(0.0))
         for m in MARGINS:
-            now = F.sum("weight").over(Window.partitionBy(f"_{m}"))
-            rows = rows.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"share_{m}") * total / now).otherwise(0.0))
-        if k % ROUNDS_A_WRITE == ROUNDS_A_WRITE - 1:
-            rows = written(rows, "cells")
+            now = rows.groupBy(f"_{m}").agg(F.sum("weight").alias("now"))
+            share = F.col(f"share_{m}")
+            rows = rows.join(now, f"_{m}").withColumns({
+                "off": F.greatest("off", F.when(F.col("now") > 0, F.abs(F.col("now") / total - share)).otherwise(0.0)),
+                "weight": F.when(F.col("now") > 0, F.col("weight") * share * total / F.col("now")).otherwise(0.0),
+            }).drop("now")
+        seen = Observation()
+        rows = written(rows.observe(seen, F.max("off").alias("off")).drop("off").select(*keys, "tokens", "n_docs", *(f"share_{m}" for m in MARGINS), "weight"), "cells")
+        if (seen.get["off"] or 0.0) < settled:
+            break
     return rows
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", power: float = 0.7, targets: Sequence[DataFrame] | None = None, seed: int = 7) -> DataFrame:
+def scale_of(fit: DataFrame, short: float = SHORT) -> float:
+    """The ratio that is kept whole: cells of a larger one hold at most ``short`` of the wanted tokens. Their number
+    does not matter: ratios are summed in steps of about two percent, a few thousand rows at most."""
+    step = F.floor(F.log(F.col("ratio")) * 50)
+    steps = fit.where("ratio > 0").groupBy(step.alias("step")).agg(F.sum("weight").alias("w"), F.max("ratio").alias("top")).orderBy(F.desc("step")).collect()
+    left = short * sum(r["w"] for r in steps)
+    for r in steps:
+        left -= r["w"]
+        if left < 0:
+            return float(r["top"])
+    return float(steps[-1]["top"]) if steps else 1.0
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", power: float = 0.7, targets: Sequence[DataFrame] | None = None, seed: int = 7, short: float = SHORT) -> DataFrame:
     """``docs`` with _source, _lang, _topic, _tokens, ``weight`` (wanted over present tokens of the cell),
-    ``chance`` (of being kept: the weight over the largest weight) and ``kept``.
+    ``chance`` (of being kept: the weight over the largest weight that is met in full) and ``kept``.
 
-    Expected kept tokens are in the cells' raked proportions. Targets default to the tempered shares.
+    Expected kept tokens are in the cells' raked proportions, but for cells with less than ``short`` of all wanted
+    tokens in which every document is kept already. Targets default to the tempered shares.
     """
-    rows = with_margins(docs)
+    kept_columns = [c for c in docs.columns if c.lower() not in ADDED]
+    packed = docs.select(F.struct(*kept_columns).alias("row"), key, "text", *(c for c in ("source", "lang") if c != key))
+    rows = with_margins(packed)
     cell = written(cells(rows), "cells")
     fit = raked(cell, targets or tempered(cell, power))
     fit = fit.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    top = float(fit.agg(F.max("ratio")).first()[0] or 0) or 1.0
     keys = [f"_{m}" for m in MARGINS]
-    fit = written(fit.select(*keys, "ratio"), "fit")
+    fit = written(fit.select(*keys, "weight", "ratio"), "fit")
+    top = scale_of(fit, short)
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
-    out = rows.join(fit, keys).withColumns({"weight": F.col("ratio"), "chance": F.col("ratio") / top})
-    return out.withColumn("kept", draw < F.col("chance")).drop("ratio")
+    out = rows.join(fit.drop("weight"), keys).withColumns({"weight": F.col("ratio"), "chance": F.least(F.lit(1.0), F.col("ratio") / top)})
+    return out.withColumn("kept", draw < F.col("chance")).select(*(F.col("row")[c].alias(c) for c in kept_columns), *ADDED)

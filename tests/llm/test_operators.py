@@ -357,8 +357,8 @@ def test_of_two_writers_one_commits(spark):
 
 
 def test_merges_fill_the_next_tier_and_names_may_clash(spark):
-    """Four tiers of four shards each: what one merge writes is the fourth shard of the next tier."""
-    blob = lambda n: F.expr(f"array_join(transform(sequence(1, {n}), k -> md5(CAST(id * {n} + k AS STRING))), '')")
+    """Three tiers: what one merge writes is the fourth shard of the next tier."""
+    blob = lambda n: F.expr(f"array_join(transform(sequence(1, {n}), k -> md5(concat('{n}-', id, '-', k))), '')")
     rows = lambda n, k=0: spark.range(k, k + 1).select(F.col("id").alias("doc_id"), blob(n).alias("text"), F.lit("x").alias("arrival"), F.lit(1).alias("_arrival"), F.lit(2).alias("tier"))
     table = compaction.ShardedTable(spark, scratch_path(spark, "t"), rows(1).schema, target_bytes=1 << 30)
     for n in (1000, 4000, 16000):
@@ -573,7 +573,7 @@ def test_raking_meets_the_margins(spark):
             assert abs(sum(r["weight"] for r in got if r[m] == v) / total - share) < 1e-4
     # the same fit by plain arrays
     w = {r[:3]: float(r[3]) for r in rows}
-    for _ in range(mixing.ROUNDS):
+    for _ in range(200):
         for d, s in enumerate(shares):
             sums = Counter()
             for key, x in w.items():
@@ -588,6 +588,34 @@ def test_mixing_of_odd_rows(spark):
     out = mixing.mixed(spark.createDataFrame(rows, schema)).collect()
     assert len(out) == 200 and all(0 <= r["chance"] <= 1 for r in out)
     assert mixing.mixed(spark.createDataFrame([], schema)).count() == 0
+    extra = spark.createDataFrame(rows, schema).withColumns({c: F.lit("clash") for c in ("ratio", "row", "_source", "cell", "n_docs", "tokens", "off", "now", "given", "share_lang")})
+    clash = mixing.mixed(extra)
+    assert clash.columns == [c for c in extra.columns if c not in mixing.ADDED] + list(mixing.ADDED)
+    assert sorted((r["doc_id"], r["chance"], r["kept"]) for r in clash.collect()) == sorted((r["doc_id"], r["chance"], r["kept"]) for r in out)
+
+
+def test_raking_ends_when_the_margins_are_met_or_cannot_be(spark, monkeypatch):
+    cells = [("a", "en", "x", 50, 1), ("a", "de", "x", 10, 1), ("b", "en", "x", 40, 1), ("c", "fr", "x", 5, 1)]
+    cell = spark.createDataFrame(cells, "_source string, _lang string, _topic string, tokens long, n_docs long")
+    target = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    writes = []
+    monkeypatch.setattr(mixing, "written", lambda df, name, keep=mixing.written: writes.append(name) or keep(df, name))
+    own = [target(d) for d in ({"a": 60 / 105, "b": 40 / 105, "c": 5 / 105}, {"en": 90 / 105, "de": 10 / 105, "fr": 5 / 105}, {"x": 1.0})]
+    met = mixing.raked(cell, own)
+    assert all(abs(r["weight"] - r["tokens"]) < 1e-9 for r in met.collect()) and len(writes) == 3  # one round
+    torn = [target({"a": 0.5, "b": 0.25, "c": 0.25, "nowhere": 9.0}), target({"en": 0.9, "de": 0.1}), target({"x": 1.0})]
+    got = mixing.raked(cell, torn, most=5)  # source c has only language fr, which is asked to have nothing
+    assert len(writes) == 3 + 2 + 5 and all(r["weight"] >= 0 for r in got.collect())
+
+
+def test_rare_cells_do_not_set_the_rate(spark):
+    rows = [(k, "w " * 400, "en", "big") for k in range(990)] + [(k, "w " * 400, "en", "rare") for k in range(990, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    shares = [{"big": 0.98, "rare": 0.02}, {"en": 1.0}, {"article": 1.0, "note": 1.0}]
+    targets = [spark.createDataFrame(list(s.items()), "value string, share double") for s in shares]
+    strict, loose = (mixing.mixed(docs, targets=targets, short=x).groupBy("source").agg(F.min("chance").alias("c")).collect() for x in (0.0, 0.05))
+    assert {r["source"]: round(r["c"], 3) for r in strict} == {"big": round(0.98 / 0.99 / 2, 3), "rare": 1.0}
+    assert {r["source"]: round(r["c"], 3) for r in loose} == {"big": 1.0, "rare": 1.0}
 
 
 # -- queries ----------------------------------------------------------------------------------
