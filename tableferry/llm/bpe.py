@@ -4,8 +4,9 @@ For every byte prefix of a piece exactly one token can end a valid encoding of t
 Storing this last token per prefix gives the encoding of every prefix at once: appending bytes
 only adds entries, and an edit only recomputes entries from its own place on.
 
-Nulls and empty texts encode to no tokens. Repeated rows give repeated results, extra columns are
-kept by :func:`encode` and an empty table gives an empty result.
+Nulls and empty texts encode to no tokens. Texts and pieces may be of any length: work grows with their bytes,
+and memory holds one text's tokens. Repeated rows give repeated results, extra columns are kept by
+:func:`encode` whatever their names (one called ``ids`` is replaced), and an empty table gives an empty result.
 """
 
 from __future__ import annotations

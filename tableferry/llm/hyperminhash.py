@@ -10,7 +10,7 @@ components with the least of them. For buckets that still hold several component
 over the rarest shingles finds all pairs across components that can be linked; pairs within a component
 can't change a result. No bucket is collected, capped or dropped.
 
-Null and empty texts have the empty set and are linked with nothing. Rows that share a doc_id are one
+Null and empty texts have the empty set and are linked with nothing; texts may be of any length. Rows that share a doc_id are one
 node. A row with a null doc_id is linked with nothing and kept; its component_id is null. An empty table
 gives an empty result; further columns don't matter.
 """
@@ -37,6 +37,8 @@ THRESHOLD = 85
 SLACK = 6.0
 #: Ids (16 MB of them) up to which texts are picked by a broadcast; beyond, by a shuffled join.
 BROADCAST_IDS = 2_000_000
+#: Rows of one shingle that a task pairs with the others of that shingle.
+MEETING = 256
 
 _probes = np.random.default_rng(11).integers(0, REGISTERS, (64, REGISTERS))
 
@@ -217,13 +219,18 @@ def across(texts: DataFrame, label: DataFrame, threshold: int = THRESHOLD) -> Da
         .where(F.col("i") + least <= F.col("n"))
     )
     prefix = written(prefix, "prefixes")
-    lead = prefix.groupBy("h").agg(F.min("component").alias("lead"), F.max("component").alias("last")).where("lead < last").select("h", "lead")
-    mixed = written(prefix.join(lead, "h"), "mixed")
-    x = mixed.where("component <> lead").select("h", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "i")))
-    y = mixed.select("h", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "component", "i")))
+    several = prefix.groupBy("h").agg(F.min("component").alias("lead"), F.max("component").alias("last"), F.count(F.lit(1)).alias("rows")).where("lead < last")
+    mixed = written(prefix.join(several.drop("last"), "h"), "mixed")
+    # Alike sets are of like size: they are in one class of size or in neighbouring ones. The rows of a frequent
+    # shingle are dealt to several tasks on one side, and go to each of them on the other.
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold)) + 1e-9)
+    parts = F.ceil(F.col("rows") / MEETING).cast("int")
+    x = mixed.where("component <> lead").select("h", size.alias("size"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "i")))
+    y = mixed.select("h", F.explode(F.array(size - 1, size, size + 1)).alias("size"), parts.alias("parts"), *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "component", "i")))
+    y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     need = F.ceil((F.col("n_x") + F.col("n_y")) * threshold / (100 + threshold))
     meets = (F.col("component_x") != F.col("component_y")) & (F.col("i_x") + need <= F.col("n_x")) & (F.col("i_y") + need <= F.col("n_y"))
-    return x.join(y, "h").where(meets).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    return x.join(y, ["h", "size", "part"]).where(meets).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:

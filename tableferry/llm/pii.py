@@ -4,8 +4,9 @@ A transducer rewrites look-alike letters, spelled digits and "at"/"dot" disguise
 characters and remembers which source characters each written character stands for. Identifiers
 are found in the rewritten text, and their spans are mapped back to the source.
 
-Null and empty texts have no spans. Spans count code points, end exclusive. Repeated rows give
-repeated results; an empty table gives an empty result.
+Null and empty texts have no spans. Spans count code points, end exclusive. Texts may be of any length: each
+rule passes over a text once. Repeated rows give repeated results. Detection looks at the key and the text only;
+redaction keeps all other columns, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -200,7 +201,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, counts of plain spans by kind, base_sha256, spans, n_added."""
+    """key, counts of plain spans by kind, base_sha256, spans, n_added (spans behind disguises), n_spans (all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -209,13 +210,13 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 base = plain_spans(t or "")
                 every = all_spans(t or "", base)
                 kinds = [k for k, _, _ in base]
-                rows.append((*map(kinds.count, KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds_of = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True))], names=[key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                rows.append((*map(kinds.count, KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base), len(every)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds_of = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True))], names=[key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redacted_text(text: str) -> str:

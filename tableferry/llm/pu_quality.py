@@ -8,7 +8,8 @@ among labelled rows. Features come from the text alone.
 Scores are calibrated so that their mean over the unlabelled sample is the class prior. Null and empty
 texts have the features of an empty text and get a score. Training draws about ``MAX_POSITIVE`` and
 ``MAX_UNLABELLED`` rows, never twice as many, by a hash of their keys; scoring takes every row. Repeated rows get equal
-scores. Without any positives the score is the prior, 0.5 if nothing is labelled. Tables without rows
+scores. Without any positives the score is the prior, 0.5 if nothing is labelled. Texts of any length are read
+whole. Columns other than doc_id and text are never looked at, whatever their names. Tables without rows
 give none.
 """
 

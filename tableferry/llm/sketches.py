@@ -6,8 +6,9 @@ containment between very unequal documents is a ratio of counts. The least hash
 a text with any word has a non-empty sketch. A text of one to four words has one shingle, the whole.
 
 Null texts count as empty: no shingle, the empty fingerprint. Two empty sketches are alike by 1,
-an empty and another one by 0. Rows that share a doc_id are ordered by text; a null doc_id comes last.
-An empty table gives an empty result.
+an empty and another one by 0. Texts may be of any length. Rows that share a doc_id are ordered by text, so
+equal rows follow each other; a null doc_id comes last. Columns other than doc_id and text are not looked at,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ WORDS = 5
 #: One shingle hash in so many is retained.
 SCALE = 8
 #: Fences between id ranges, and ranges between two fences: their product bounds what the driver gathers.
-FENCES, BETWEEN = 256, 256
+FENCES, BETWEEN = 256, 1024
+#: Bytes of text that a task sorts, about, and ranges for each task.
+TASK_BYTES, RANGES_A_TASK = 32 << 20, 8
 
 
 def words(text: Column) -> Column:
@@ -80,13 +83,13 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", scale
     return docs.select(key, sketch(text_of(text), scale).alias("sketch"))
 
 
-def _id_ranges(docs: DataFrame, key: str) -> tuple[Column, Column]:
+def _id_ranges(docs: DataFrame, key: str, tasks: int) -> tuple[Column, Column]:
     """The range that an id belongs to, descending, and for its first id the other range that it follows.
 
     Fences are approximate quantiles of the ids; between two of them ids are dealt evenly.
     """
     spark = docs.sparkSession
-    pieces = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = RANGES_A_TASK * tasks
     fences = min(FENCES, pieces)
     between = min(BETWEEN, -(-pieces // fences))
     cuts = sorted(set(docs.stat.approxQuantile(key, [k / fences for k in range(fences + 1)], 1 / (4 * fences)))) or [0.0]
@@ -108,9 +111,11 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     after the last comes the first.
 
     Rows are shuffled once, by id range; the first row of a range also goes, as a copy, to the end of
-    the range before it. The copies' ids are as few as the ranges, whatever the number of rows.
+    the range before it. There are as many tasks and ranges as the bytes of the first column call for.
     """
-    number, pairs = _id_ranges(docs, key)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(columns[0])), F.lit(0))).first()[0]
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    number, pairs = _id_ranges(docs, key, tasks)
     dealt = docs.withColumn("_range", number)
     if isinstance(pairs, DataFrame):
         to = F.broadcast(pairs.withColumnRenamed("id", "_id").withColumnRenamed("r", "_to"))
@@ -120,7 +125,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     own = F.struct(F.col("_range").alias("r"), F.lit(False).alias("copy"))
     copy = F.struct(F.col("_to").alias("r"), F.lit(True).alias("copy"))
     dealt = dealt.withColumn("_as", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    dealt = dealt.select(*docs.columns, F.col("_as.r").alias("_r"), F.col("_as.copy").alias("_copy"))
+    dealt = dealt.select(*docs.columns, F.col("_as.r").alias("_r"), F.col("_as.copy").alias("_copy")).repartition(tasks, "_r")
     order = Window.partitionBy("_r").orderBy("_copy", F.col(key).desc_nulls_last(), *columns[:1])
     return dealt.withColumn("next", F.lead(F.struct(*columns)).over(order)).where(~F.col("_copy")).drop("_r", "_copy")
 
