@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,13 +70,11 @@ class Bits:
 
     def test(self, column: str) -> Column:
         """Whether the set may hold the column's value."""
-        size, sent = self.size, self.sent
 
-        def may(keys: pd.Series) -> pd.Series:
-            at = keys.to_numpy(np.int64) & (size - 1)
-            return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+        def may(keys: pa.Array) -> pa.Array:
+            return pa.array(self.may_hold(keys.to_numpy(zero_copy_only=False)))
 
-        return F.pandas_udf(may, "boolean")(F.col(column))
+        return F.arrow_udf(may, "boolean")(F.col(column))
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

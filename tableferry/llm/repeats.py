@@ -209,14 +209,23 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     rows = _keyed(docs.select("doc_id", text_of().alias("text")))
     runs = written(repeated_runs(rows.where(F.octet_length("text") >= LENGTH).select(*KEY, "text")), "runs")
-    may = Bits(runs.select("h")).test("h")  # only documents that may have runs are shuffled to them
-    joined = rows.where(may).join(runs, list(KEY), "left").select("doc_id", "text", "runs")
-    joined = joined.unionByName(rows.where(~may).select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")))
+    may = Bits(runs.select("h"))  # only documents that may have runs are shuffled to them
+    cut = rows.where(may.test("h")).join(runs, list(KEY), "left").select("doc_id", "h", "text", "runs")
+    whole = rows.select("doc_id", "h", "text")
+    return _left_over(cut, None).unionByName(_left_over(whole, may))
+
+
+def _left_over(rows: DataFrame, but: Bits | None) -> DataFrame:
+    """What is left of each text. ``rows``: doc_id, h, text and, if ``but`` is None, runs; else rows without runs, of
+    which those that ``but`` may hold are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
+            if but is not None:
+                batch = batch.filter(pa.array(~but.may_hold(batch.column(1).to_numpy(zero_copy_only=False))))
             n, removed, spans, sha, kept = [], [], [], [], []
-            for t, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            runs = batch.column(3).to_pylist() if but is None else [None] * batch.num_rows
+            for t, cuts in zip(batch.column(2).to_pylist(), runs, strict=True):
                 data, at, parts = t.encode("utf-8"), 0, []
                 for cut in cuts or ():
                     parts.append(data[at : cut["a"]])
@@ -231,4 +240,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             counts = [pa.array(x, pa.int64()) for x in (n, removed, spans, left_over)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts[:3], pa.array(sha, pa.string()), counts[3], pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "text"])
 
-    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, text string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, text string")
