@@ -35,9 +35,9 @@ def test_quality_keeps_labelled_good_documents(spark):
 
 def test_dedup_keeps_one_of_each_group(spark, steps):
     docs, new = steps[1]
-    groups = hyperminhash.near_duplicates(docs).groupBy("component_id").count().count()
+    groups = hyperminhash.near_duplicates(docs, threshold=corpus_pipeline.NEAR).groupBy("component_id").count().count()
     assert new.count() == groups
-    assert hyperminhash.near_duplicates(new).where("NOT kept").count() == 0
+    assert hyperminhash.near_duplicates(new, threshold=corpus_pipeline.NEAR).where("NOT kept").count() == 0
 
 
 def test_dedup_equals_brute_force_at_four_fifths(spark):
