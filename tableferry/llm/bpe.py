@@ -16,6 +16,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -27,11 +28,8 @@ from .common import sliced
 #: Distinct pieces that a worker keeps encoded in each of two stores: when the new one is full it becomes
 #: the old one, from which pieces that are met again move on.
 KEPT_PIECES = 150_000
-#: Pieces of up to so many bytes share the stored last tokens of their prefixes, so many at once.
-SHORT, KEPT_PREFIXES = 48, 500_000
 #: Pairs of tokens whose order is kept as known, so many at once.
 KEPT_PAIRS = 500_000
-SHORT_ENDS = (2, 1)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -46,15 +44,14 @@ class PrefixBpe:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.sizes = {i: len(b) for b, i in ranks.items()}
-        ends: dict[bytes, set[int]] = {}
-        for token in ranks:
-            if len(token) > 2:
-                ends.setdefault(token[-3:], set()).add(len(token))
-        #: Lengths of the tokens with the same last three bytes, the longest first.
-        self.lengths = {e: (*sorted(n, reverse=True), *SHORT_ENDS) for e, n in ends.items()}
+        self.longest = max(self.sizes.values(), default=1)
+        #: Tokens as texts of one character a byte: finds all that end at a place, the longest first.
+        self.endings = ahocorasick.Automaton()
+        for token, i in ranks.items():
+            self.endings.add_word(token.decode("latin-1"), i)
+        self.endings.make_automaton()
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._joins: dict[int, bool] = {}
-        self._prefixes: dict[bytes, int] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens of the last merge that makes this one; (token, token) for a byte; None if
@@ -95,26 +92,24 @@ class PrefixBpe:
 
     def extend(self, piece: bytes, last: list[int], start: int, end: int) -> list[int]:
         """``last[k]`` is the last token of prefix k; fills start+1..end."""
-        get, lengths, joins = self.ranks.get, self.lengths.get, self._joins
-        for k in range(start + 1, end + 1):
-            for n in lengths(piece[k - 3 : k], SHORT_ENDS) if k > 2 else SHORT_ENDS:
-                begin = k - n
-                if begin < 0:
+        sizes, joins, done = self.sizes, self._joins, start
+        for at, token in self.endings.iter(piece.decode("latin-1"), max(0, start + 1 - self.longest), end):
+            if at != done:
+                if at < done:
                     continue
-                token = get(piece[begin:k])
-                if token is None:
-                    continue
-                if begin == 0:
-                    good = self.halves(token) is not None
-                else:
-                    good = joins.get(last[begin] << 32 | token)
-                    if good is None:
-                        good = self.follows(last[begin], token)
-                if good:
-                    last[k] = token
-                    break
+                break
+            begin = at + 1 - sizes[token]
+            if begin:
+                good = joins.get(last[begin] << 32 | token)
+                if good is None:
+                    good = self.follows(last[begin], token)
             else:
-                raise ValueError(f"no valid last token for a prefix of {k} bytes")
+                good = self.halves(token) is not None
+            if good:
+                done = at + 1
+                last[done] = token
+        if done < end:
+            raise ValueError(f"no valid last token for a prefix of {done + 1} bytes")
         return last
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -122,54 +117,13 @@ class PrefixBpe:
         if whole is not None:
             return [whole]
         n = len(piece)
-        if n > SHORT:
-            return self.unwind(self.extend(piece, [-1] * (n + 1), 0, n), n)
-        if len(self._prefixes) > KEPT_PREFIXES:
-            self._prefixes.clear()
-        return self._encode_short(piece, n)
-
-    def _encode_short(self, piece: bytes, n: int) -> list[int]:
-        """As :meth:`extend`, with the last tokens of all pieces' prefixes in one store: a new piece starts
-        at its longest prefix there. All prefixes of a stored one are stored."""
-        known, get, lengths, joins = self._prefixes, self.ranks.get, self.lengths.get, self._joins
-        low, high = 0, n
-        while low < high:
-            mid = (low + high + 1) >> 1
-            if piece[:mid] in known:
-                low = mid
-            else:
-                high = mid - 1
-        for k in range(low + 1, n + 1):
-            for size in lengths(piece[k - 3 : k], SHORT_ENDS) if k > 2 else SHORT_ENDS:
-                if size > k:
-                    continue
-                token = get(piece[k - size : k])
-                if token is None:
-                    continue
-                if size == k:
-                    good = self.halves(token) is not None
-                else:
-                    left = known[piece[: k - size]]
-                    good = joins.get(left << 32 | token)
-                    if good is None:
-                        good = self.follows(left, token)
-                if good:
-                    known[piece[:k]] = token
-                    break
-            else:
-                raise ValueError(f"no valid last token for a prefix of {k} bytes")
-        out, sizes = [], self.sizes
-        while n:
-            token = known[piece[:n]]
-            out.append(token)
-            n -= sizes[token]
-        return out[::-1]
+        return self.unwind(self.extend(piece, [-1] * (n + 1), 0, n), n)
 
     def unwind(self, last: list[int], k: int) -> list[int]:
-        out = []
+        out, sizes = [], self.sizes
         while k:
             out.append(last[k])
-            k -= len(self.tokens[last[k]])
+            k -= sizes[last[k]]
         return out[::-1]
 
 

@@ -397,6 +397,19 @@ def test_codec_equals_the_library(codec, reference):
         assert codec.decode(ids) == text.encode()
 
 
+def test_prefixes_extend_from_any_place(codec, reference):
+    """Last tokens filled in two parts equal those filled at once, and give the encoding of every prefix."""
+    rnd = random.Random(5)
+    for _ in range(60):
+        piece = random_text(rnd).encode("utf-8")[:200]
+        n, cut = len(piece), rnd.randrange(len(piece) + 1)
+        once = codec.bpe.extend(piece, [-1] * (n + 1), 0, n)
+        parts = codec.bpe.extend(piece, [-1] * (n + 1), 0, cut)
+        assert codec.bpe.extend(piece, parts, cut, n) == once
+        for k in range(1, n + 1, 7):
+            assert codec.bpe.unwind(once, k) == reference._encode_single_piece(piece[:k])
+
+
 def test_appends_and_edits(codec):
     rnd = random.Random(9)
     for _ in range(400):
