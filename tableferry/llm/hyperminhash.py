@@ -209,7 +209,7 @@ def across(texts: DataFrame, label: DataFrame, threshold: int = THRESHOLD) -> Da
     """
     rows = written(shingle_rows(texts).join(label, "node"), "shingles")
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("df > 1")
-    known = rows.join(shared.select("h", "df"), "h")
+    known = rows.join(written(shared.select("h", "df"), "shared"), "h")
     least = F.ceil(F.col("n") * threshold / 100)  # shared with the smallest set that is alike
     prefix = (
         known.groupBy("node", "s", "n", "component").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("hs"))
@@ -220,7 +220,7 @@ def across(texts: DataFrame, label: DataFrame, threshold: int = THRESHOLD) -> Da
     )
     prefix = written(prefix, "prefixes")
     several = prefix.groupBy("h").agg(F.min("component").alias("lead"), F.max("component").alias("last"), F.count(F.lit(1)).alias("rows")).where("lead < last")
-    mixed = written(prefix.join(several.drop("last"), "h"), "mixed")
+    mixed = written(prefix.join(written(several.drop("last"), "several"), "h"), "mixed")
     # Alike sets are of like size: they are in one class of size or in neighbouring ones. The rows of a frequent
     # shingle are dealt to several tasks on one side, and go to each of them on the other.
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold)) + 1e-9)
@@ -234,14 +234,18 @@ def across(texts: DataFrame, label: DataFrame, threshold: int = THRESHOLD) -> Da
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """key, n_shingles, component_id, kept."""
+    """key, n_shingles, component_id, kept.
+
+    What rows are joined to by a bucket or a shingle is written first: Spark splits the rows of a frequent key
+    only between two plain shuffles, not where one side is still being summed.
+    """
     signed = written(signatures(docs, key, text), "signatures")
     sets = ["n", "s1", "s2"]
     has = F.col("id").isNotNull() & (F.col("n") > 0)
     classes = written(signed.where(has).groupBy(*sets).agg(F.min("id").alias("node"), F.first("registers").alias("registers")), "classes")
     banded = bands(classes)
     crowd = banded.groupBy("band", "value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "value", "hub")
-    crowded = written(banded.join(crowd, ["band", "value"]), "crowded")
+    crowded = written(banded.join(written(crowd, "crowd"), ["band", "value"]), "crowded")
 
     touched = written(crowded.select("node").distinct(), "touched")
     texts = written(picked(docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).where("text IS NOT NULL"), touched), "texts")
@@ -250,15 +254,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     links = written(confirmed(likely(stars, classes, threshold), texts, threshold), "links")
     linked_to = links.select(F.col("a").alias("hub"), F.col("b").alias("node"))
     apart = written(crowded.where("node <> hub").join(linked_to, ["hub", "node"], "left_anti").select("band", "value", "node"), "apart")
-    hubs = apart.groupBy("band", "value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    again = apart.join(hubs, ["band", "value"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = apart.groupBy("band", "value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
+    again = apart.join(written(hubs, "hubs"), ["band", "value"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = links.union(written(confirmed(likely(again, classes, threshold), texts, threshold), "links"))
     label = components(touched, links)
 
     # All members of buckets that still hold several components, by the shingles they share.
     held = crowded.select("band", "value", "node").join(label, "node")
-    several = held.groupBy("band", "value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    rest = written(crowded.join(several, ["band", "value"], "left_semi").select("node").distinct(), "rest")
+    several = held.groupBy("band", "value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("band", "value")
+    rest = written(crowded.join(written(several, "several"), ["band", "value"], "left_semi").select("node").distinct(), "rest")
     pairs = across(picked(texts, rest), label, threshold)
     more = written(confirmed(likely(pairs, classes, threshold), texts, threshold), "links")
     if not more.isEmpty():
