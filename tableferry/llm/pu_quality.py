@@ -111,8 +111,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _loss(x: np.ndarray, sign: float, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+    """Mean logistic loss of x as the sign says, with its gradient."""
+    z = sign * (x @ w + b)
+    g = -sign / (1 + np.exp(np.clip(z, -30, 30))) / len(x)
+    return float(np.logaddexp(0, -z).mean()), x.T @ g, float(g.sum())
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+    """Non-negative unbiased risk, and the step's direction by weights and bias: the gradient, or back on the
+    negatives' risk where that is below zero."""
+    l_p, gw_p, gb_p = _loss(positive, 1.0, w, b)
+    l_n, gw_n, gb_n = _loss(positive, -1.0, w, b)
+    l_u, gw_u, gb_u = _loss(unlabelled, -1.0, w, b)
+    negative = l_u - prior * l_n
+    if negative < 0:
+        return prior * l_p, prior * gw_n - gw_u, prior * gb_n - gb_u
+    return prior * l_p + negative, prior * gw_p + gw_u - prior * gw_n, prior * gb_p + gb_u - prior * gb_n
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 250, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """Linear model of the least non-negative risk (sigmoid loss), by Adam over the whole sample."""
+    """Linear model of the least non-negative risk (logistic loss), by Adam over the whole sample."""
     if len(positive) == 0 or len(unlabelled) == 0:
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), float(np.log(prior / (1 - prior))), prior)
     mean, scale = unlabelled.mean(0).astype(np.float64), unlabelled.std(0).astype(np.float64) + 1e-3
@@ -120,22 +139,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     w, b = np.zeros(WIDTH), 0.0
     m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
 
-    def risk(x: np.ndarray, sign: float) -> tuple[float, np.ndarray, float]:
-        """Mean logistic loss of x as the sign says, with its gradient."""
-        z = sign * (x @ w + b)
-        loss = np.logaddexp(0, -z)
-        g = -sign / (1 + np.exp(np.clip(z, -30, 30))) / len(x)
-        return float(loss.mean()), x.T @ g, float(g.sum())
-
     for t in range(1, rounds + 1):
-        _, gw_p, gb_p = risk(p, 1.0)
-        l_n, gw_n, gb_n = risk(p, -1.0)
-        l_u, gw_u, gb_u = risk(u, -1.0)
-        negative = l_u - prior * l_n
-        if negative >= 0:
-            gw, gb = prior * gw_p + gw_u - prior * gw_n, prior * gb_p + gb_u - prior * gb_n
-        else:  # the negatives' risk can't be below zero: step back on it
-            gw, gb = prior * gw_n - gw_u, prior * gb_n - gb_u
+        _, gw, gb = risk(p, u, prior, w, b)
         g = np.append(gw + decay * w, gb)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

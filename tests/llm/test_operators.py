@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import os
 import random
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from tableferry.llm import bpe, compaction, hyperminhash, kd_search, mixing, pii, pu_quality, queries, repeats, sketches, url_templates
@@ -130,6 +132,29 @@ def test_edited_texts_and_fingerprints(spark, docs):
     assert sketches.edited_fingerprints(empty(spark)).count() == 0
 
 
+def brute_sketch(text):
+    """Hashes of the shingles below the bound, and the least, by a hash library."""
+    chain = lambda hashes, seed=42: functools.reduce(lambda s, h: xxhash.xxh64_intdigest(h.to_bytes(8, "little"), s), hashes, seed)
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    signed = {h - (1 << 64) if h >> 63 else h for h in (chain(hashes[k : k + 5]) for k in range(max(1, len(hashes) - 4)) if hashes)}
+    return sorted({h for h in signed if h < -(1 << 63) + (1 << 61)} | set(sorted(signed)[:1]))
+
+
+def test_fingerprints_equal_brute_force(spark, docs):
+    hexed = lambda sketch: "".join(f"{h % (1 << 64):016x}" for h in sketch)
+    like = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if a or b else 1.0
+    rows = {r["doc_id"]: r for r in sketches.edited_fingerprints(docs.where("doc_id <> 41")).collect()}
+    texts = {i: t or "" for i, t in corpus() if i != 41}
+    order = sorted(texts, reverse=True)
+    for k, i in enumerate(order):
+        after = texts[order[(k + 1) % len(order)]]
+        cut = len(texts[i]) // 3
+        own, edited = brute_sketch(texts[i]), brute_sketch(texts[i][: len(texts[i]) - cut] + after[:cut])
+        assert (rows[i]["fingerprint"], rows[i]["edited_fingerprint"]) == (hexed(own), hexed(edited))
+        assert rows[i]["near_edited"] == pytest.approx(like(own, edited)) and rows[i]["near_next"] == pytest.approx(like(own, brute_sketch(after)))
+        assert rows[i]["kept_in_edited"] == pytest.approx(len({*own} & {*edited}) / len(own) if own else 1.0)
+
+
 def test_sketches_merge(spark):
     rnd = random.Random(2)
     a, b = words(rnd, 600), words(rnd, 500)
@@ -308,6 +333,28 @@ def test_quality_on_held_out_labels(spark):
     assert right > 0.93
 
 
+def test_the_risk_is_the_non_negative_one_and_its_slope_is_right():
+    rnd = np.random.default_rng(3)
+    p, u = rnd.normal(0.4, 1, (40, pu_quality.WIDTH)), rnd.normal(0, 1, (90, pu_quality.WIDTH))
+    loss = lambda x, sign, w, b: np.mean([np.log1p(np.exp(-sign * (r @ w + b))) for r in x])
+    signs = set()
+    for prior, mean in ((0.3, 0.0), (0.9, 0.2)):  # the second: weights that find the positives too well
+        w, b = rnd.normal(mean, 0.01, pu_quality.WIDTH), 0.2
+        negative = lambda w, b: loss(u, -1, w, b) - prior * loss(p, -1, w, b)  # noqa: E731, B023
+        whole = lambda w, b: prior * loss(p, 1, w, b) + negative(w, b)  # noqa: E731, B023
+        value, gw, gb = pu_quality.risk(p, u, prior, w, b)
+        below = negative(w, b) < 0
+        signs.add(below)
+        assert value == pytest.approx(prior * loss(p, 1, w, b) + max(0, negative(w, b)))
+        of, to = (negative, -1) if below else (whole, 1)  # below zero the step goes back on the negatives' risk
+        for k in (0, 7, pu_quality.WIDTH - 1):
+            e = np.zeros(pu_quality.WIDTH)
+            e[k] = 1e-5
+            assert gw[k] == pytest.approx(to * (of(w + e, b) - of(w - e, b)) / 2e-5, abs=1e-7)
+        assert gb == pytest.approx(to * (of(w, b + 1e-5) - of(w, b - 1e-5)) / 2e-5, abs=1e-7)
+    assert signs == {True, False}
+
+
 def test_quality_of_odd_tables(spark, docs):
     labels = spark.createDataFrame([(1, 1), (4, 1), (33, 0), (None, 1), (2, None)], "doc_id long, quality int")
     rows = pu_quality.quality(docs, labels).collect()
