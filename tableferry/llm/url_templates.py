@@ -65,8 +65,9 @@ def templates(labelled: DataFrame) -> DataFrame:
 
     ``labelled``: host, path, bad (1, 0 or null). Pages are first summed by host and form. Each level of
     the tree sums these rows by branch and the branches by node, so no node meets in one task, and joins
-    back only the branches that become wildcards. Levels are written, as each is read twice. They go on until
-    no two forms share a node: below it a form has no siblings, so the rest of it stands as it is.
+    back only the branches that become wildcards. Levels are written, as each is read twice, and so are the sums
+    that rows of a host or template are joined to: Spark splits a frequent key only between two plain shuffles.
+    Levels go on until no two forms share a node: below it a form has no siblings, so the rest of it stands as it is.
     """
     counts = ["n", "n_labelled", "n_bad"]
     form = F.array_join(generalised(F.col("path")), "/")
@@ -81,7 +82,7 @@ def templates(labelled: DataFrame) -> DataFrame:
     while True:
         crowd = leaves.groupBy("host", "template").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1").select("host", "template", F.lit(True).alias("crowd"))
         more = F.coalesce("crowd", F.lit(False)) & (F.size(segments) > level)
-        leaves = written(leaves.join(crowd, ["host", "template"], "left").select("host", "form", *counts, "template", more.alias("more")), f"level{level}")
+        leaves = written(leaves.join(written(crowd, "crowd"), ["host", "template"], "left").select("host", "form", *counts, "template", more.alias("more")), f"level{level}")
         rest = F.array_join(F.transform(F.slice(segments, F.lit(level + 1), F.size(segments)), lambda s: F.concat(F.lit("/"), s)), "")
         ended = leaves.where("NOT more").select("host", "form", *counts, F.concat("template", rest).alias("template"))
         done = ended if done is None else done.unionByName(ended)
@@ -98,7 +99,7 @@ def templates(labelled: DataFrame) -> DataFrame:
         error = F.sqrt(rate * (1 - rate) * (1 / F.greatest(seen, F.lit(1)) + 1 / others))
         alike = (seen > 0) & (all_seen > seen) & (F.abs(bad / F.greatest(seen, F.lit(1)) - (all_bad - bad) / others) <= SIGNIFICANT * error)
         variable = (F.col("children") > MANY_CHILDREN) & (F.col("all_n") / F.col("children") < FEW_PAGES)
-        wild = branches.join(nodes, ["host", "template"]).where(alike | variable).select("host", "template", "segment", F.lit(True).alias("wild"))
+        wild = branches.join(written(nodes, "nodes"), ["host", "template"]).where(alike | variable).select("host", "template", "segment", F.lit(True).alias("wild"))
         step = F.when(F.coalesce("wild", F.col("segment") == "*"), "/*").otherwise(F.concat(F.lit("/"), F.col("segment")))
         leaves = leaves.join(wild, ["host", "template", "segment"], "left").select("host", "form", *counts, F.concat("template", step).alias("template"))
     done = written(done, "templates")
@@ -108,7 +109,7 @@ def templates(labelled: DataFrame) -> DataFrame:
     own = done.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in counts))
     everywhere = own.groupBy("template").agg(F.sum("n_labelled").alias("all_labelled"), F.sum("n_bad").alias("all_bad"))
     everywhere = everywhere.withColumn("prior", smoothed("all_bad", "all_labelled", F.lit(overall)))
-    judged = own.join(everywhere, "template").withColumn("purity", smoothed("n_bad", "n_labelled", F.col("prior")))
+    judged = own.join(written(everywhere, "everywhere"), "template").withColumn("purity", smoothed("n_bad", "n_labelled", F.col("prior")))
     judged = judged.withColumn("rejected", (F.col("all_labelled") >= LEAST_LABELS) & (F.col("purity") >= REJECT))
     return done.drop(*counts).join(judged.drop("all_bad"), ["host", "template"])
 
