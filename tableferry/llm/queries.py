@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compaction, hyperminhash, kd_search, mixing, pii, pu_quality, repeats, sketches, url_templates
+from . import bpe, compaction, decontamination, divergence, hyperminhash, kd_search, mixing, pii, pu_quality, repeats, sketches, url_templates, whitening
 from .common import documents, scratch_path
 
 #: The rules of op3 as (verdict, host, path).
@@ -75,6 +75,18 @@ def op10_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "chance", "kept")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir, "text", "lang", "source"))
+
+
+def op13_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_prefix_doubling,
         op9_disguised_pii,
         op10_raked_mixture,
+        op11_embedding_whitening,
+        op12_source_divergence,
+        op13_positional_index,
     )
 }
 
@@ -103,4 +118,6 @@ ORACLE_SQL: dict[str, str] = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op6_size_tiered_compaction": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, lang, source, n_chars, 2 AS version, 0 AS full_tiers, true AS fewer_shards, (SELECT count(*) FROM documents) AS listed_rows, true AS sound FROM documents",
+    "op12_source_divergence": divergence.SQL,
+    "op13_positional_index": decontamination.SQL,
 }
