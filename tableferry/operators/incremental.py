@@ -58,9 +58,9 @@ def run_cycle(table: SnapshotTable, rows: DataFrame, key: list[str], checkpoint:
     watermark = state["watermark"] if last == "manifest" else last
     new = dedup_last(after(rows, checkpoint, watermark, upper), key, [F.col(checkpoint)])
     top = new.agg(F.max(checkpoint).cast("string"), F.count(F.lit(1))).first()
-    updated = load.existing_keys(table.read(buckets=table.touched(new)), new, key).count()
+    updated = load.existing_keys(table.near(new, state)[0], new, key).count()
     mark = advanced(watermark, upper, top[0], False)
-    return load.apply(table, "MERGE", new, key, batch_id=batch_id, watermark=str(mark) if mark is not None else None, n_written=top[1], n_updated=updated)[0]
+    return load.apply(table, "MERGE", new, key, state, batch_id=batch_id, watermark=str(mark) if mark is not None else None, n_written=top[1], n_updated=updated)[0]
 
 
 def checkpoints(spark: SparkSession, tables: dict[str, SnapshotTable]) -> DataFrame:

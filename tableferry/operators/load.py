@@ -1,15 +1,15 @@
-"""Write modes: each gives the target's rows anew from those it has and the good rows; ``apply`` writes them,
-touching only the buckets that hold the good rows' keys."""
+"""Write modes: each gives the target's rows anew from those it has and the good rows; ``apply`` writes them to a
+versioned table, which needs no more than the good rows for most of them."""
 
 from __future__ import annotations
 
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import SnapshotTable
+from ..storage import Conflict, SnapshotTable
 from .mapping import DUPLICATE
 
 
@@ -58,21 +58,35 @@ def delete_insert(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFra
     return target.join(rows.select(*key), key, "left_anti").select(*target.columns).unionByName(fitted(rows, target))
 
 
-def apply(table: SnapshotTable, mode: str, rows: DataFrame, key: list[str], **facts: Any) -> tuple[dict[str, Any], DataFrame | None]:
-    """Write rows in a mode; facts are committed with them. Gives the manifest and, for INSERT_ONLY, the rows
-    whose key the target has, as rejects.
+#: Times that an insert is made anew because others have committed to its buckets meanwhile.
+TRIES = 5
 
-    INSERT_ONLY adds files; MERGE and DELETE_INSERT write the touched buckets anew; TRUNCATE_INSERT writes all.
+
+def apply(table: SnapshotTable, mode: str, rows: DataFrame, key: list[str], base: dict[str, Any] | None = None, **facts: Any) -> tuple[dict[str, Any], DataFrame | None]:
+    """Write rows of distinct keys in a mode; facts are committed with them. Gives the manifest and, for INSERT_ONLY,
+    the rows whose key the target has, as rejects. ``base``: the version whose facts the caller has gone by.
+
+    INSERT_ONLY adds files, after a look at those that may have its keys. MERGE and DELETE_INSERT add deltas and
+    read nothing. TRUNCATE_INSERT writes all anew.
     """
     if mode == "TRUNCATE_INSERT":
-        return table.commit(truncate_insert(table.read(), rows), **facts), None
-    buckets = table.touched(rows)
-    part = table.read(buckets=buckets)
-    if mode == "INSERT_ONLY":
+        return table.commit(truncate_insert(table.read(), rows), base, **facts), None
+    if mode in ("MERGE", "DELETE_INSERT") and not (base or table.manifest())["key"]:  # a table without a key of its own
+        return table.commit((merge if mode == "MERGE" else delete_insert)(table.read(), rows, key), base, **facts), None
+    if mode == "MERGE":
+        return table.merge(rows, base=base, **facts), None
+    if mode == "DELETE_INSERT":
+        return table.merge(fitted(rows, table.read()), base=base, **facts), None
+    for attempt in range(TRIES):
+        now = base or table.manifest()
+        part, buckets = table.near(rows, now)
         known = rows.join(part.select(*key), key, "left_semi").withColumns({"err_num": F.lit(DUPLICATE), "err_col": F.lit(",".join(key))})
-        return table.insert(fitted(rows.join(part.select(*key), key, "left_anti"), part), **facts), known
-    new = merge(part, rows, key) if mode == "MERGE" else delete_insert(part, rows, key)
-    return table.rewrite(new, buckets, **facts), None
+        try:
+            return table.insert(fitted(rows.join(part.select(*key), key, "left_anti"), part), buckets, now, **facts), known
+        except Conflict:
+            if base is not None or attempt + 1 == TRIES:
+                raise
+    raise AssertionError
 
 
 def existing_keys(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
@@ -82,6 +96,10 @@ def existing_keys(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFra
 def estimate(target: DataFrame, checked: DataFrame, key: list[str]) -> DataFrame:
     """Counts a run would report: n_read, n_rejected, n_updated, n_inserted; nothing is written."""
     known = target.select(*key).distinct().withColumn("_known", F.lit(True))
-    good, seen = F.col("err_num").isNull(), F.col("_known").isNotNull()
+    return checked.join(known, key, "left").agg(*counted(F.col("err_num").isNull(), F.col("_known").isNotNull()))
+
+
+def counted(good: Column, seen: Column) -> list[Column]:
+    """What a run reports of its rows."""
     count = lambda c, n: F.count(F.when(c, 1)).alias(n)
-    return checked.join(known, key, "left").agg(F.count(F.lit(1)).alias("n_read"), count(~good, "n_rejected"), count(good & seen, "n_updated"), count(good & ~seen, "n_inserted"))
+    return [F.count(F.lit(1)).alias("n_read"), count(~good, "n_rejected"), count(good & seen, "n_updated"), count(good & ~seen, "n_inserted")]

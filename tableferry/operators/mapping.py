@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ..functions.convert import TOO_LARGE, error_of, reached, tried
 from ..spec import ColumnMapping, Mapping
 
-#: Error numbers of the rejects.
-DUPLICATE, NOT_NULL, TOO_LONG, TOO_LARGE, BAD_NUMBER, BAD_DATE = 1, 1400, 12899, 1438, 1722, 1861
+#: Error numbers of the rejects, besides those of conversions.
+DUPLICATE, NOT_NULL, TOO_LONG = 1, 1400, 12899
 
 
 def literal(value: str | None, type_: str) -> Column:
@@ -20,10 +21,12 @@ def literal(value: str | None, type_: str) -> Column:
 
 
 def value(c: ColumnMapping, run_ts: str) -> Column | None:
-    """The column's value under its NULL rule; None if nothing is written."""
+    """The column's value under its NULL rule; None if nothing is written. What doesn't convert is NULL here, and
+    ``conversion_error`` tells."""
     x = None
     if c.expr is not None:
-        x = F.nullif(F.expr(c.expr), F.lit("")) if c.type == "string" else F.expr(c.expr).try_cast(c.type)
+        x = F.expr(tried(c.expr)[0])
+        x = F.nullif(x.cast("string"), F.lit("")) if c.type == "string" else x.try_cast(c.type)
     fill = None
     if c.null_rule == "DEFAULT":
         fill = literal(c.fill, c.type)
@@ -32,16 +35,42 @@ def value(c: ColumnMapping, run_ts: str) -> Column | None:
     elif c.null_rule == "EMPTY" and x is not None:
         fill = F.lit("")
     elif c.null_rule == "CUSTOM" and c.fill:
-        fill = F.expr(c.fill).cast(c.type)
+        fill = F.expr(tried(c.fill)[0]).try_cast(c.type)
     if x is None:
         return fill.cast(c.type) if fill is not None else None
     return (F.coalesce(x.cast(c.type), fill.cast(c.type)) if fill is not None else x.cast(c.type)).cast(c.type)
 
 
-def map_columns(df: DataFrame, mapping: Mapping, run_ts: str, keep: list[str] | None = None) -> DataFrame:
-    """The target's columns that are written, in its order, besides source columns to keep."""
-    made = [(c.target, value(c, run_ts)) for c in mapping.columns]
-    return df.select(*(v.alias(n) for n, v in made if v is not None), *(keep or []))
+def conversion_error(c: ColumnMapping) -> Column:
+    """The error number of the first conversion of the column's expression that fails, or of the one to its type; else
+    NULL. Where the expression chooses between parts (CASE, IF, DECODE), one within counts if the result hangs on it."""
+    if c.expr is None:
+        return F.lit(None).cast("int")
+    text, conversions = tried(c.expr)
+    x = F.expr(text)
+    found = [F.when(v.failed() & reached(c.expr), v.number()) for v in conversions]
+    if c.type != "string":
+        given = x.cast("string")
+        found.append(F.when(given.isNotNull() & (given != "") & x.try_cast(c.type).isNull(), error_of(x, c.type)))
+    return F.coalesce(*found, F.lit(None).cast("int"))
+
+
+#: Columns of a mapped row's failed conversion, until its constraints are checked.
+FAILED = ("__err_num", "__err_col")
+
+
+def map_columns(df: DataFrame, mapping: Mapping, run_ts: str, keep: list[str] | None = None, checked: bool = False) -> DataFrame:
+    """The target's columns that are written, in its order, besides source columns to keep. ``checked``: with what
+    ``constraint_check`` needs to reject rows for conversions that failed."""
+    made = [(c, value(c, run_ts)) for c in mapping.columns]
+    errors = []
+    if checked:
+        number, column = F.lit(None).cast("int"), F.lit(None).cast("string")
+        for c in reversed([c for c, v in made if v is not None]):
+            error = conversion_error(c)
+            number, column = F.coalesce(error, number), F.when(error.isNotNull(), F.lit(c.target)).otherwise(column)
+        errors = [number.alias(FAILED[0]), column.alias(FAILED[1])]
+    return df.select(*(v.alias(c.target) for c, v in made if v is not None), *(keep or []), *errors)
 
 
 def reasons(mapping: Mapping) -> tuple[Column, Column]:
@@ -63,9 +92,12 @@ def reasons(mapping: Mapping) -> tuple[Column, Column]:
 
 
 def constraint_check(mapped: DataFrame, mapping: Mapping) -> DataFrame:
-    """Mapped rows with err_num and err_col."""
+    """Mapped rows with err_num and err_col. A conversion that failed comes before all other rules."""
     number, column = reasons(mapping)
-    return mapped.withColumns({"err_num": number, "err_col": column})
+    if FAILED[0] in mapped.columns:
+        failed = F.col(FAILED[0])
+        number, column = F.coalesce(failed, number), F.when(failed.isNotNull(), F.col(FAILED[1])).otherwise(column)
+    return mapped.withColumns({"err_num": number, "err_col": column}).drop(*FAILED)
 
 
 def whole_key(key: list[str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SEPARATOR
@@ -19,9 +19,11 @@ MOST = 200_000
 
 def key_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """k, action. ``source``: k; ``target``: k, marked. Rows with a NULL key take no part; keys present on
-    both sides and unmarked need no action."""
+    both sides and unmarked need no action. If the target has ``key``, a struct of its key columns, ``keys`` are those
+    that make up k, so that marks need not look for them again."""
     s = source.where("k IS NOT NULL").select("k").distinct().withColumn("_s", F.lit(True))
-    t = target.where("k IS NOT NULL").groupBy("k").agg(F.max("marked").alias("marked")).withColumn("_t", F.lit(True))
+    own = [F.collect_set("key").alias("keys")] if "key" in target.columns else []
+    t = target.where("k IS NOT NULL").groupBy("k").agg(F.max("marked").alias("marked"), *own).withColumn("_t", F.lit(True))
     has_s, has_t, marked = F.col("_s").isNotNull(), F.col("_t").isNotNull(), F.coalesce(F.col("marked"), F.lit(False))
     action = (
         F.when(~has_s & has_t & ~marked, MARK)
@@ -29,24 +31,14 @@ def key_diff(source: DataFrame, target: DataFrame) -> DataFrame:
         .when(~has_s & has_t & marked, ALREADY)
         .when(has_s & ~has_t, SOURCE_ONLY)
     )
-    return s.join(t, "k", "full_outer").select("k", action.alias("action")).where("action IS NOT NULL")
+    return s.join(t, "k", "full_outer").select("k", action.alias("action"), *(["keys"] if own else [])).where("action IS NOT NULL")
 
 
-def marked(target: DataFrame, diff: DataFrame, key: Column, mark: str, on: str = "Y", off: str = "N") -> DataFrame:
-    """Target with marks set and cleared, each only where the row still is in the expected state."""
-    todo = diff.where(F.col("action").isin(MARK, UNMARK)).select(F.col("k").alias("_k"), "action")
-    joined = target.withColumn("_k", key).join(todo, "_k", "left")
-    is_on = F.coalesce(F.col(mark) == on, F.lit(False))
-    new = F.when((F.col("action") == MARK) & ~is_on, on).when((F.col("action") == UNMARK) & is_on, off).otherwise(F.col(mark))
-    return joined.withColumn(mark, new).select(*target.columns)
-
-
-def mark(table: SnapshotTable, diff: DataFrame, key: Column, column: str, **facts: Any) -> dict[str, Any]:
-    """Commit marks set and cleared; only buckets that hold rows to change are written."""
-    todo = diff.where(F.col("action").isin(MARK, UNMARK)).select(F.col("k").alias("_k"))
-    target = table.read()
-    buckets = table.touched(target.withColumn("_k", key).join(todo, "_k", "left_semi").select(*target.columns))
-    return table.rewrite(marked(table.read(buckets=buckets), diff, key, column), buckets, **facts)
+def mark(table: SnapshotTable, diff: DataFrame, column: str, base: dict[str, Any] | None = None, on: str = "Y", off: str = "N", **facts: Any) -> dict[str, Any]:
+    """Commit marks set and cleared, as a delta of keys and marks: the target isn't read. ``diff``: with ``keys``, from
+    the target as of ``base``; if rows have changed since, nothing is marked and the commit fails."""
+    todo = diff.where(F.col("action").isin(MARK, UNMARK)).select("action", F.explode("keys").alias("key"))
+    return table.merge(todo.select("key.*", F.when(F.col("action") == MARK, on).otherwise(off).alias(column)), None, base, **facts)
 
 
 def cap(diff: DataFrame, source: DataFrame, target: DataFrame, ratio: float = 0.1, most: int | None = None) -> DataFrame:

@@ -86,7 +86,7 @@ def members(spark: SparkSession, sf_dir: str) -> Members:
     tables(spark, sf_dir, "customer", "nation")
     rows = source(spark, MEMBER)
     mapped = mp.map_columns(rows, MEMBER, RUN_TS)
-    checked = mp.constraint_check(mapped, MEMBER)
+    checked = mp.constraint_check(mp.map_columns(rows, MEMBER, RUN_TS, checked=True), MEMBER)
     good, rejects = mp.split(checked)
     return Members(spark, rows, mapped, checked, good, rejects, spark.sql(TGT))
 

@@ -55,7 +55,7 @@ def cycle(table, rows, batch_id, upper):
     last = dt.datetime.fromisoformat(state["watermark"])
     new = dedup_last(scan.after(rows, "ts", last, upper), ["user_id"], [F.col("ts"), F.col("event_id")])
     mark = incremental.advanced(last, upper, None, failed=False)
-    return load.apply(table, "MERGE", new, ["user_id"], batch_id=batch_id, watermark=str(mark))[0]
+    return load.apply(table, "MERGE", new, ["user_id"], state, batch_id=batch_id, watermark=str(mark))[0]
 
 
 @query(f"SELECT {_OUT} FROM ({last_of(TO_SECOND)})")

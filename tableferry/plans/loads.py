@@ -12,7 +12,7 @@ from ..operators import mapping as mp
 from ..run import History, run_job
 from ..spec import ColumnMapping, Job, Mapping, Strategy
 from ..sources.scan import tables
-from ..storage import new_root
+from ..storage import SnapshotTable, new_root
 from .fixtures import MEMBER, MEMBER_OUT, MERGED, RUN_TS, WITH, member_out, members
 from .registry import query
 
@@ -97,6 +97,41 @@ def constraint_check(spark, sf_dir):
     return members(spark, sf_dir).checked.select("member_id", "err_num", "err_col")
 
 
+#: Orders as texts, of which some are no numbers, too large, empty or no dates.
+RAW = """SELECT o_orderkey AS id,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'abc' WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 17 = 0 THEN '123456789012.5' ELSE CAST(o_custkey AS STRING) || '.25' END AS amount,
+    CASE WHEN o_orderkey % 19 = 0 THEN '2024-13-45' WHEN o_orderkey % 23 = 0 THEN NULL ELSE '2024-01-' || CAST(10 + o_orderkey % 19 AS STRING) END AS day,
+    CASE WHEN o_orderkey % 29 = 0 THEN '12x' ELSE CAST(o_custkey AS STRING) END AS code FROM orders"""
+CONVERTED = Mapping(
+    "amounts",
+    (
+        ColumnMapping("id", "id", "bigint", not_null=True),
+        ColumnMapping("amount", "amount", "decimal(9,2)", "DEFAULT", "7", max_digits=6),
+        ColumnMapping("day", "to_date(day, 'yyyy-MM-dd')", "date", "DEFAULT", "'2000-01-01'"),
+        ColumnMapping("code", "CASE WHEN id % 2 = 0 THEN CAST(code AS INT) + 1 END", "int"),
+    ),
+    ("id",),
+    sql=RAW,
+)
+
+
+@query(f"""WITH raw AS ({RAW}), c AS (SELECT id,
+        CASE WHEN amount = 'abc' THEN 1722 WHEN amount = '123456789012.5' THEN 1438 WHEN day = '2024-13-45' THEN 1861 WHEN code = '12x' AND id % 2 = 0 THEN 1722 END AS err_num,
+        CASE WHEN amount IN ('abc', '123456789012.5') THEN 'amount' WHEN day = '2024-13-45' THEN 'day' WHEN code = '12x' AND id % 2 = 0 THEN 'code' END AS err_col,
+        CASE WHEN amount = '' THEN 7 ELSE TRY_CAST(amount AS DECIMAL(9,2)) END AS amount, CASE WHEN day IS NULL THEN '2000-01-01' ELSE day END AS day, CASE WHEN id % 2 = 0 THEN TRY_CAST(code AS INTEGER) + 1 END AS code FROM raw)
+    SELECT id, CAST(err_num AS INTEGER) AS err_num, err_col, CASE WHEN err_num IS NULL THEN CAST(amount AS DOUBLE) END AS amount, CASE WHEN err_num IS NULL THEN day END AS day, CASE WHEN err_num IS NULL THEN CAST(code AS INTEGER) END AS code FROM c""")
+def convert_rejects(spark, sf_dir):
+    """A load of texts that don't all convert: rows that don't are rejects with their error, whatever default their
+    column has, and the others are loaded."""
+    tables(spark, sf_dir, "orders")
+    table = SnapshotTable(spark, new_root(spark, "amounts"), ["id"])
+    table.commit(spark.createDataFrame([], "id bigint, amount decimal(9,2), day date, code int"))
+    run_job(spark, Job("amounts", (CONVERTED,)), {"amounts": table}, "r1", dt.datetime.fromisoformat(RUN_TS))
+    rejects = spark.read.parquet(f"{table.root}/rejects/run_id=r1").select("id", "err_num", "err_col")
+    loaded = table.read().select("id", F.col("amount").cast("double").alias("amount"), F.col("day").cast("string").alias("day"), "code")
+    return loaded.unionByName(rejects, allowMissingColumns=True).select("id", "err_num", "err_col", "amount", "day", "code")
+
+
 @query(f"{WITH} SELECT CASE WHEN t.member_id IS NULL THEN 'insert' WHEN o.member_id IS NULL THEN 'keep' ELSE 'update' END AS action, count(*) AS n FROM tgt t FULL OUTER JOIN ok o ON t.member_id = o.member_id GROUP BY 1")
 def merge_match(spark, sf_dir):
     m = members(spark, sf_dir)

@@ -152,20 +152,20 @@ def _reconciled(spark, sf_dir):
     m = members(spark, sf_dir)
     source = m.source.where("c_custkey % 7 <> 0").select(normalised_key([(F.col("c_custkey"), "bigint")]).alias("k"))
     key = normalised_key([(F.col("member_id"), "bigint")])
-    target = m.target.select(key.alias("k"), (F.col("del_yn") == "Y").alias("marked"))
+    target = m.target.select(key.alias("k"), (F.col("del_yn") == "Y").alias("marked"), F.struct("member_id").alias("key"))
     return m, source, target, key, reconcile.key_diff(source, target)
 
 
 @query(f"{WITH}, {DIFF} SELECT CAST(k AS VARCHAR) AS k, action FROM d WHERE action IS NOT NULL")
 def key_diff(spark, sf_dir):
-    return _reconciled(spark, sf_dir)[4]
+    return _reconciled(spark, sf_dir)[4].select("k", "action")
 
 
 @query(f"{WITH}, {DIFF} SELECT t.member_id, CASE d.action WHEN 'mark' THEN 'Y' WHEN 'unmark' THEN 'N' ELSE t.del_yn END AS del_yn FROM tgt t LEFT JOIN d ON d.k = t.member_id")
 def mark_deleted(spark, sf_dir):
-    m, _, _, key, diff = _reconciled(spark, sf_dir)
+    m, _, _, _, diff = _reconciled(spark, sf_dir)
     table = m.table()
-    reconcile.mark(table, diff, key, "del_yn")
+    reconcile.mark(table, diff, "del_yn")
     return table.read().select("member_id", "del_yn")
 
 

@@ -8,9 +8,11 @@ cycles and reconciles deletions when due.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +23,14 @@ from .operators import incremental, load, reconcile
 from .operators import mapping as mp
 from .sources.scan import after, range_plan, source
 from .spec import Job, Mapping, Strategy
-from .storage import SnapshotTable
+from .storage import Files, SnapshotTable
 
 CP = "__cp"
 COUNTS = ("n_read", "n_inserted", "n_updated", "n_rejected")
 #: A sync gives up after so many transient failures in a row; it waits for half an hour at most in between.
 MOST_FAILURES, LONGEST_WAIT = 5, 1800.0
+#: Seconds before each new try of a mapping under the RETRY policy.
+RETRIES = (1.0, 2.0, 4.0)
 #: What an error says that may be gone at the next try.
 TRANSIENT = re.compile("timed? ?out|connection|unreachable|temporarily|lost|FetchFailed|committed by another writer", re.IGNORECASE)
 
@@ -36,21 +40,42 @@ def transient(error: Exception) -> bool:
 
 
 class History:
-    """Runs and their tasks: rows are appended, and the latest row of each counts."""
+    """Runs and their tasks: an event is a small file of JSON, and the latest of each task counts. Many are joined."""
 
     SHAPE = "run_id string, task string, status string, mode string, n_read bigint, n_inserted bigint, n_updated bigint, n_rejected bigint, message string, seq bigint"
+    MOST = 500
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.files = spark, Files(spark, root)
 
     def put(self, run_id: str, task: str, status: str, mode: str, counts: dict[str, Any] | None = None, message: str | None = None) -> None:
-        numbers = [int((counts or {}).get(c) or 0) for c in COUNTS]
-        row = (run_id, task, status, mode, *numbers, message, time.time_ns())
-        self.spark.createDataFrame([row], self.SHAPE).coalesce(1).write.mode("append").parquet(self.root)
+        row = {"run_id": run_id, "task": task, "status": status, "mode": mode, "message": message, "seq": time.time_ns()}
+        self.files.write(f"{row['seq']}-{uuid.uuid4().hex[:8]}.json", json.dumps(row | {c: int((counts or {}).get(c) or 0) for c in COUNTS}) + "\n")
+
+    def join(self) -> None:
+        """Many files as one. An event that is in two files counts once, so this may stop anywhere."""
+        names = self.files.names()
+        if len(names) > self.MOST:
+            self.files.write(f"{time.time_ns()}-{uuid.uuid4().hex[:8]}.json", "".join(self.files.text(n) for n in names))
+            for n in names:
+                self.files.delete(n)
+
+    def events(self) -> DataFrame:
+        return self.spark.read.schema(self.SHAPE).json(self.files.folder).distinct()
 
     def latest(self) -> DataFrame:
-        rows = self.spark.read.schema(self.SHAPE).parquet(self.root)
-        return rows.groupBy("run_id", "task").agg(*(F.max_by(c, "seq").alias(c) for c in ("status", "mode", *COUNTS, "message")))
+        return self.events().groupBy("run_id", "task").agg(*(F.max_by(c, "seq").alias(c) for c in ("status", "mode", *COUNTS, "message")))
+
+
+def in_order(mappings: Sequence[Mapping]) -> list[Mapping]:
+    """Parents before children; else, and within a cycle, as given."""
+    left, out = list(mappings), []
+    while left:
+        waiting = {m.target for m in left}
+        free = next((m for m in left if not any(p in waiting and p != m.target for p in m.parents)), left[0])
+        left.remove(free)
+        out.append(free)
+    return out
 
 
 def window(rows: DataFrame, mapping: Mapping, strategy: Strategy, state: dict[str, Any], now: dt.datetime) -> tuple[DataFrame, Any]:
@@ -103,7 +128,7 @@ def prepared(rows: DataFrame, mapping: Mapping, run_ts: str) -> DataFrame:
     order = [F.col(CP)] if mapping.checkpoint else []
     if mapping.checkpoint:
         rows = rows.withColumn(CP, F.col(mapping.checkpoint))
-    checked = mp.constraint_check(mp.map_columns(rows, mapping, run_ts, [CP] if order else []), mapping)
+    checked = mp.constraint_check(mp.map_columns(rows, mapping, run_ts, [CP] if order else [], checked=True), mapping)
     key = list(mapping.key)
     order += [F.col(c) for c in mapping.written if c not in key]  # a fixed order among equal checkpoints
     if mapping.mode == "INSERT_ONLY":
@@ -112,28 +137,33 @@ def prepared(rows: DataFrame, mapping: Mapping, run_ts: str) -> DataFrame:
     return mp.dedup_last(good, key, order).unionByName(rejects)
 
 
-def _load(rows: DataFrame, mapping: Mapping, table: SnapshotTable, run_id: str, now: dt.datetime, dry: bool, task: dict[str, Any], facts: Callable[[Any], dict[str, Any]]) -> dict[str, Any]:
-    """One task: its counts; ``facts`` gives what is committed with its rows, from the last checkpoint value."""
+def _load(
+    rows: DataFrame, mapping: Mapping, table: SnapshotTable, state: dict[str, Any], run_id: str, now: dt.datetime, dry: bool, task: dict[str, Any], facts: Callable[[], dict[str, Any]]
+) -> tuple[dict[str, Any], dict[str, Any]]:
+    """One task: its counts and the manifest after it; ``facts`` gives what is committed with its rows. The target is
+    only read where its keys decide, and then those of its files that may have the task's keys."""
     key = list(mapping.key)
     checked = prepared(rows, mapping, now.strftime("%Y-%m-%d %H:%M:%S")).persist()
     try:
-        last = checked.agg(F.max(CP).cast("string")).first()[0] if mapping.checkpoint else None
         good, rejects = mp.split(checked)
-        counts = load.estimate(table.read(buckets=table.touched(good)), checked, key).first().asDict()
-        if mapping.mode == "INSERT_ONLY":
-            counts |= {"n_rejected": counts["n_rejected"] + counts["n_updated"], "n_updated": 0}
-        elif mapping.mode in ("TRUNCATE_INSERT", "DELETE_INSERT"):
-            counts |= {"n_inserted": counts["n_inserted"] + counts["n_updated"], "n_updated": 0}
+        if mapping.mode in ("MERGE", "INSERT_ONLY"):
+            part = table.near(good, state)[0]
+            counts = load.estimate(part, checked, key).first().asDict()
+            if mapping.mode == "INSERT_ONLY":
+                counts |= {"n_rejected": counts["n_rejected"] + counts["n_updated"], "n_updated": 0}
+                rejects = rejects.drop(CP).unionByName(load.insert_only(part, good.drop(CP), key)[1])
+        else:
+            counts = checked.agg(*load.counted(F.col("err_num").isNull(), F.lit(False))).first().asDict()
         if dry:
-            return counts
-        good = good.drop(CP)
-        if mapping.mode == "INSERT_ONLY":  # before anything is written, as the target's own keys decide
-            part = table.read(buckets=table.touched(good))
-            rejects = rejects.drop(CP).unionByName(load.insert_only(part, good, key)[1])
+            return counts, state
+        last = checked.agg(F.max(CP).cast("string")).first()[0] if mapping.checkpoint else None
         rejects.drop(CP).write.parquet(f"{table.root}/rejects/run_id={run_id}/task={task['task'].replace('#', '-')}", mode="overwrite")
         task |= {"done": True, "value": last, "rows_done": counts["n_read"]}
-        load.apply(table, mapping.mode, good, key, run_id=run_id, **facts(last))
-        return counts
+        try:
+            return counts, load.apply(table, mapping.mode, good.drop(CP), key, state, run_id=run_id, **facts())[0]
+        except Exception:
+            task |= {"done": False}
+            raise
     finally:
         checked.unpersist()
 
@@ -156,7 +186,7 @@ def run_mapping(
     tasks = planned(rows, mapping, strategy, state, resume)
     totals = dict.fromkeys(COUNTS, 0) | {"base_rows": sum(t["rows_done"] for t in tasks if t["done"])}
 
-    def facts(_: Any) -> dict[str, Any]:
+    def facts() -> dict[str, Any]:
         mark = state["watermark"]
         if all(t["done"] for t in tasks):
             values = [t["value"] for t in tasks if t["value"] is not None]
@@ -166,7 +196,7 @@ def run_mapping(
     for task in tasks:
         if task["done"]:
             continue
-        counts = _load(part_of(rows, mapping, task), mapping, table, run_id, now, dry, task, facts)
+        counts, state = _load(part_of(rows, mapping, task), mapping, table, state, run_id, now, dry, task, facts)
         totals |= {c: totals[c] + counts[c] for c in COUNTS}
         if on_task and not dry:
             on_task(task["task"], counts)
@@ -179,10 +209,11 @@ def reconcile_mapping(spark: SparkSession, mapping: Mapping, table: SnapshotTabl
     types = {c.target: c.type for c in mapping.columns}
     key = normalised_key([(F.col(k), types[k]) for k in mapping.key])
     mapped = mp.map_columns(source(spark, mapping), mapping, "1970-01-01 00:00:00")
-    target = table.read()
+    state = table.manifest()
+    target = table.read(state["version"])
     if mapping.delete_mode != "MARK":
         return reconcile.surplus(mapped, target).first().asDict() | {"n_marked": 0, "n_unmarked": 0, "blocked": None}
-    wanted, held = mapped.select(key.alias("k")), target.select(key.alias("k"), F.coalesce(F.col(mapping.mark_column) == "Y", F.lit(False)).alias("marked"))
+    wanted, held = mapped.select(key.alias("k")), target.select(key.alias("k"), F.coalesce(F.col(mapping.mark_column) == "Y", F.lit(False)).alias("marked"), F.struct(*mapping.key).alias("key"))
     diff = reconcile.key_diff(wanted, held).persist()
     try:
         found = reconcile.cap(diff, wanted, held, strategy.delete_ratio, reconcile.MOST).first().asDict()
@@ -195,7 +226,7 @@ def reconcile_mapping(spark: SparkSession, mapping: Mapping, table: SnapshotTabl
             blocked = f"more than {reconcile.MOST} rows to change at once"
         done = not dry and mapping.delete_approved and blocked is None
         if done and found["n_mark"] + found["n_unmark"]:
-            reconcile.mark(table, diff, key, mapping.mark_column)
+            reconcile.mark(table, diff, mapping.mark_column, state)
         return found | {"blocked": blocked, "approved": mapping.delete_approved, "n_marked": found["n_mark"] * done, "n_unmarked": found["n_unmark"] * done, "samples": reconcile.samples(diff)}
     finally:
         diff.unpersist()
@@ -204,23 +235,33 @@ def reconcile_mapping(spark: SparkSession, mapping: Mapping, table: SnapshotTabl
 def run_job(
     spark: SparkSession, job: Job, tables: dict[str, SnapshotTable], run_id: str = "run", now: dt.datetime | None = None, dry: bool = False,
     resume: bool = False, history: History | None = None, on_task: Callable[[str, dict[str, Any]], None] | None = None, pass_only: bool = False,
+    wait: Callable[[float], None] = time.sleep,
 ) -> dict[str, dict[str, Any]]:
-    """All mappings of a job in their order, which puts parents before children. Each result has a ``status``: done,
-    failed (with ``error``) or skipped. An incremental run reconciles once, unless it is a pass of a sync."""
+    """All mappings of a job, parents before children. Each result has a ``status``: done, failed (with ``error``) or
+    skipped. An incremental run reconciles once, unless it is a pass of a sync."""
     out: dict[str, dict[str, Any]] = {}
     mode = "DRY" if dry else "RESUME" if resume else job.strategy.mode
     note = (lambda *a: history.put(run_id, a[0], a[1], mode, *a[2:])) if history and not dry else lambda *a: None
     note(job.name, "running")
-    for m in job.mappings:
+    for m in in_order(job.mappings):
         if job.strategy.error_policy == "STOP" and any(r["status"] == "failed" for r in out.values()):
             out[m.target] = {"status": "skipped"}
             note(m.target, "skipped")
             continue
         note(m.target, "running")
-        try:
-            out[m.target] = run_mapping(spark, m, tables[m.target], job.strategy, run_id, now, dry, resume, on_task) | {"status": "done"}
-        except Exception as e:  # what one mapping breaks the policy decides on
-            out[m.target] = {"status": "failed", "error": e}
+        for attempt, delay in enumerate((*(RETRIES if job.strategy.error_policy == "RETRY" else ()), None)):
+            try:
+                out[m.target] = run_mapping(spark, m, tables[m.target], job.strategy, run_id, now, dry, resume or attempt > 0, on_task) | {"status": "done"}
+                if not dry:
+                    tables[m.target].fold()
+                    tables[m.target].vacuum(job.strategy.keep_versions, job.strategy.keep_hours)
+                break
+            except Exception as e:  # what one mapping breaks the policy decides on
+                out[m.target] = {"status": "failed", "error": e}
+                if delay is None or not transient(e):
+                    break
+                note(m.target, "retrying", None, str(e)[:500])
+                wait(delay)
         note(m.target, out[m.target]["status"], out[m.target], str(out[m.target].get("error", ""))[:500] or None)
     if job.strategy.mode == "INCREMENTAL" and not pass_only:
         for m in job.mappings:
@@ -229,6 +270,8 @@ def run_job(
     failed = [t for t, r in out.items() if r["status"] == "failed"]
     sums = {c: sum(r.get(c) or 0 for r in out.values()) for c in COUNTS}
     note(job.name, "failed" if failed else "done", sums, ", ".join(failed) or None)
+    if history:
+        history.join()
     return out
 
 
@@ -245,7 +288,7 @@ def run_sync(
     last_reconciled = None
     while not stopped():
         said["cycles"] += 1
-        done = run_job(spark, job, tables, f"{run_id}-{said['cycles']}", clock(), history=history, pass_only=True)
+        done = run_job(spark, job, tables, f"{run_id}-{said['cycles']}", clock(), history=history, pass_only=True, wait=wait)
         errors = [r["error"] for r in done.values() if r["status"] == "failed"]
         if errors:
             said["failures"] += 1

@@ -105,11 +105,18 @@ def range_plan(df: DataFrame, checkpoint: str, workers: int) -> DataFrame:
     running = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
     placed = parted.join(F.broadcast(before), "part").withColumn("end", running + F.col("before")).withColumn("begin", F.col("end") - F.col("n"))
     size, extra = divmod(all_ or 0, workers)
-    edges_of = [k * size + min(k, extra) for k in range(workers + 1)]
-    tiles = [F.struct(F.lit(k + 1).alias("bucket"), F.greatest("begin", F.lit(edges_of[k])).alias("a"), F.least("end", F.lit(edges_of[k + 1])).alias("b")) for k in range(workers)]
-    pieces = placed.select("v", F.explode(F.array(*tiles)).alias("t")).where("t.a < t.b")
-    taken = F.sum(F.col("t.b") - F.col("t.a")).cast("bigint")
-    return pieces.groupBy(F.col("t.bucket").alias("bucket")).agg(F.min("v").alias("low"), F.max("v").alias("high"), taken.alias("n"))
+
+    def tile(at: Column) -> Column:
+        """The tile of a row by its place: the first ``extra`` tiles have a row more than the others."""
+        longer = extra * (size + 1)
+        later = F.call_function("div", at - longer, F.lit(max(size, 1)).cast("bigint")) + extra
+        return F.when(at < longer, F.call_function("div", at, F.lit(size + 1).cast("bigint"))).otherwise(later) + 1
+
+    # A value lies in all tiles from its first row's to its last row's. Each border between tiles is within one value at
+    # most, so there are no more pieces than values and tiles together.
+    pieces = placed.select("v", F.explode(F.sequence(tile(F.col("begin")).cast("int"), tile(F.col("end") - 1).cast("int"))).alias("bucket"))
+    rows = F.when(F.col("bucket") <= extra, size + 1).otherwise(size).cast("bigint")
+    return pieces.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high")).withColumn("n", rows)
 
 
 def preview(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:

@@ -10,7 +10,7 @@ WRITE_MODES = ("INSERT_ONLY", "MERGE", "TRUNCATE_INSERT", "DELETE_INSERT")
 NULL_RULES = ("ALLOW", "REJECT", "DEFAULT", "SYSDATE", "EMPTY", "CUSTOM")
 DELETE_MODES = ("NONE", "MARK")
 RUN_MODES = ("FULL", "INCREMENTAL", "SYNC")
-ERROR_POLICIES = ("CONTINUE", "STOP")
+ERROR_POLICIES = ("CONTINUE", "STOP", "RETRY")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -35,7 +35,8 @@ class ColumnMapping:
 @dataclasses.dataclass(frozen=True)
 class Mapping:
     """One source, a table or a SELECT, to one target. With ``delete_mode`` MARK, target rows whose key the source
-    has no more are marked in ``mark_column``, once somebody has approved that."""
+    has no more are marked in ``mark_column``, once somebody has approved that. ``parents``: targets that its foreign
+    keys refer to; a job loads them before."""
 
     target: str
     columns: tuple[ColumnMapping, ...]
@@ -48,6 +49,7 @@ class Mapping:
     delete_mode: str = "NONE"
     mark_column: str | None = None
     delete_approved: bool = False
+    parents: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if (self.table is None) == (self.sql is None):
@@ -64,8 +66,10 @@ class Mapping:
 
 @dataclasses.dataclass(frozen=True)
 class Strategy:
-    """How a job runs. After a mapping's error CONTINUE goes on with the others, STOP skips them. SYNC repeats
-    incremental cycles every ``poll_seconds`` for ``max_hours`` (0: until it is stopped)."""
+    """How a job runs. After a mapping's error CONTINUE goes on with the others, STOP skips them, and RETRY first tries
+    again, from the last checkpoint, if the error may be gone by then. SYNC repeats incremental cycles every
+    ``poll_seconds`` for ``max_hours`` (0: until it is stopped). After each run a target is folded, and what only
+    versions before the last ``keep_versions`` need is deleted once it is ``keep_hours`` old."""
 
     mode: str = "FULL"
     workers: int = 4
@@ -75,6 +79,8 @@ class Strategy:
     reconcile_minutes: int = 60
     delete_ratio: float = 0.1
     error_policy: str = "CONTINUE"
+    keep_versions: int = 20
+    keep_hours: float = 24.0
 
     def __post_init__(self) -> None:
         if self.mode not in RUN_MODES or self.error_policy not in ERROR_POLICIES:
@@ -94,6 +100,6 @@ class Job:
     def from_json(text: str) -> Job:
         d: dict[str, Any] = json.loads(text)
         mappings = tuple(
-            Mapping(**m | {"columns": tuple(ColumnMapping(**c) for c in m["columns"]), "key": tuple(m["key"])}) for m in d["mappings"]
+            Mapping(**m | {"columns": tuple(ColumnMapping(**c) for c in m["columns"]), "key": tuple(m["key"]), "parents": tuple(m.get("parents", ()))}) for m in d["mappings"]
         )
         return Job(d["name"], mappings, Strategy(**d["strategy"]))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators import load
 from ..operators.mapping import dedup_last
 from ..storage import SnapshotTable
 
@@ -27,10 +26,11 @@ def follow(changes: DataFrame, table: SnapshotTable, key: list[str], order: str,
         if state["schema"] is None:
             table.commit(rows, batch_id=batch_id)
             return
-        target = table.read(buckets=table.touched(rows))
+        target, buckets = table.near(rows, state)
         old = target.select(*key, F.col(order).alias("_held"))
         newer = rows.join(old, key, "left").where(F.col("_held").isNull() | (F.col(order) >= F.col("_held"))).drop("_held")
-        load.apply(table, "MERGE", newer, key, batch_id=batch_id)
+        table.merge(newer, buckets, state, batch_id=batch_id)
+        table.fold()
 
     writer = changes.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)

@@ -84,11 +84,13 @@ def test_reconcile_fixture(spark):
     source = spark.createDataFrame([(k, "ab ") for k in range(1, 21)], "id long, code string")
     target = spark.createDataFrame([(k, "ab  ", "Y" if k in (5, 23) else "N") for k in range(1, 24)], "id long, code string, del_yn string")
     key = ft.normalised_key([(F.col("id"), "bigint"), (F.col("code"), "char(5)")])
-    diff = reconcile.key_diff(source.select(key.alias("k")), target.select(key.alias("k"), (F.col("del_yn") == "Y").alias("marked")))
+    diff = reconcile.key_diff(source.select(key.alias("k")), target.select(key.alias("k"), (F.col("del_yn") == "Y").alias("marked"), F.struct("id", "code").alias("key")))
     counts = {r["action"]: r["count"] for r in diff.groupBy("action").count().collect()}
     assert counts == {"mark": 2, "unmark": 1, "already": 1}
-    after = reconcile.marked(target, diff, key, "del_yn")
-    assert [r["id"] for r in after.where("del_yn = 'Y'").orderBy("id").collect()] == [21, 22, 23]
+    table = SnapshotTable(spark, new_root(spark, "t"), ["id", "code"])
+    table.commit(target)
+    reconcile.mark(table, diff, "del_yn")
+    assert [r["id"] for r in table.read().where("del_yn = 'Y'").orderBy("id").collect()] == [21, 22, 23]
 
 
 def test_cap_blocks_an_empty_source(spark):

@@ -4,7 +4,7 @@ import datetime as dt
 import pytest
 
 from tableferry.operators import incremental, load, reconcile
-from tableferry.run import History, reconcile_mapping, run_job, run_mapping, run_sync
+from tableferry.run import History, in_order, reconcile_mapping, run_job, run_mapping, run_sync
 from tableferry.spec import ColumnMapping, Job, Mapping, Strategy
 from tableferry.storage import SnapshotTable, new_root
 
@@ -25,6 +25,10 @@ def at(minute):
     return dt.datetime(2024, 1, 1, 12, minute)
 
 
+def base_files(table):
+    return {f["path"] for f in table.files() if f["columns"] is None}
+
+
 def held(table):
     return {r["id"]: r["name"] for r in table.read().collect()}
 
@@ -90,50 +94,6 @@ def test_number_checkpoints_resume_after_the_last_key(spark):
     assert held(table) == {1: "a", 2: "b", 3: "c"}
 
 
-# -- storage ----------------------------------------------------------------------------------
-def folders(table, version=None):
-    return {p for fs in table.manifest(version)["parts"].values() for p in fs}
-
-
-def test_a_merge_of_few_keys_writes_few_files_and_an_insert_rewrites_none(spark):
-    table = SnapshotTable(spark, new_root(spark, "t"), ["id"], buckets=16)
-    table.commit(spark.range(1000).selectExpr("id", "concat('n', id) AS name", "CAST(NULL AS STRING) AS note"))
-    before = folders(table)
-    load.apply(table, "INSERT_ONLY", spark.createDataFrame([(1, "x"), (5000, "new")], "id long, name string"), ["id"])
-    assert before < folders(table) and table.read().count() == 1001
-    before = folders(table)
-    load.apply(table, "MERGE", spark.createDataFrame([(7, "seven"), (6000, "more")], "id int, name string"), ["id"])  # ids of another type
-    assert len(before - folders(table)) <= 4 and len(before & folders(table)) >= 12
-    names = held(table)
-    assert (names[7], names[6000], names[1], len(names)) == ("seven", "more", "n1", 1002)
-    assert table.read(1).count() == 1000
-
-
-def test_vacuum_and_compact(spark):
-    table = SnapshotTable(spark, new_root(spark, "t"), ["id"], buckets=2)
-    table.commit(spark.range(10).selectExpr("id", "CAST(id AS STRING) AS name"))
-    for k in range(10, 13):
-        load.apply(table, "INSERT_ONLY", spark.createDataFrame([(k, "x")], "id long, name string"), ["id"])
-    table.compact(most=1)
-    assert all(len(f) == 1 for f in table.manifest()["parts"].values())
-    assert table.vacuum(keep=1) > 0 and table.versions() == [5] and table.read().count() == 13
-    assert table.vacuum(keep=1) == 0
-
-
-def test_one_writer_of_two_wins_and_an_unfinished_version_is_passed(spark):
-    root = new_root(spark, "t")
-    table, other = SnapshotTable(spark, root), SnapshotTable(spark, root)
-    table.commit(spark.range(3))
-    last = other.manifest()
-    table.publish(watermark="1")
-    with pytest.raises(RuntimeError, match="another writer"):
-        other._commit(last, last["parts"], spark.range(1).schema, {})
-    fs, p = table._versions._fs(f"{root}/manifests/{3:010d}")
-    fs.create(p, False).close()  # its writer died
-    assert table.manifest()["watermark"] == "1"
-    assert table.publish(watermark="2")["version"] == 4 and table.manifest()["watermark"] == "2"
-
-
 def test_rows_without_a_whole_key_are_neither_lost_nor_matched(spark):
     view(spark, [(None, "a", at(1)), (None, "b", at(2)), (1, "c", at(1)), (1, "d", at(2))])
     columns = (ColumnMapping("id", "id", "bigint"), COLUMNS[1])
@@ -187,6 +147,45 @@ def test_error_policies_and_history(spark, policy, second):
     assert said["good"]["n_inserted"] == (5 if second == "done" else 0) and "no_such_table" in said["bad"]["message"]
 
 
+def test_a_mapping_is_tried_again_from_its_checkpoint(spark):
+    numbered(spark, 100)
+    table, seen, waits = target(spark), [], []
+
+    def on_task(task, counts):
+        seen.append(task)
+        if len(seen) == 2:
+            raise ConnectionError("connection lost")
+
+    m = Mapping("t", COLUMNS, ("id",), table="run_numbers", checkpoint="id")
+    history = History(spark, new_root(spark, "runs"))
+    job = Job("j", (m,), Strategy(workers=4, error_policy="RETRY"))
+    out = run_job(spark, job, {"t": table}, "r8", on_task=on_task, history=history, wait=waits.append)["t"]
+    assert out["status"] == "done" and seen == ["t#1", "t#2", "t#3", "t#4"] and (out["base_rows"], out["n_inserted"]) == (50, 50)
+    assert waits == [1.0] and table.read().count() == 100
+    assert [r["status"] for r in history.events().where("task = 't'").orderBy("seq").collect()] == ["running", "retrying", "done"]
+    waits.clear()
+    lost = Mapping("t", COLUMNS, ("id",), table="no_such_table")
+    assert run_job(spark, Job("j", (lost,), job.strategy), {"t": table}, wait=waits.append)["t"]["status"] == "failed" and waits == []
+
+
+def test_parents_are_loaded_before_children():
+    m = lambda name, *parents: Mapping(name, COLUMNS, ("id",), table="x", parents=parents)
+    given = [m("line", "order", "part"), m("order", "customer"), m("customer", "customer"), m("part"), m("a", "b"), m("b", "a")]
+    assert [x.target for x in in_order(given)] == ["customer", "order", "part", "line", "a", "b"]
+    job = Job("j", (m("child", "parent"), m("parent")))
+    assert Job.from_json(job.to_json()) == job
+
+
+def test_many_events_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(History, "MOST", 5)
+    history = History(spark, new_root(spark, "runs"))
+    for k in range(8):
+        history.put("r", f"t{k % 3}", "running" if k < 6 else "done", "FULL", {"n_read": k})
+    history.join()
+    assert len(history.files.names()) == 1
+    assert {r["task"]: (r["status"], r["n_read"]) for r in history.latest().collect()} == {"t0": ("done", 6), "t1": ("done", 7), "t2": ("running", 5)}
+
+
 MARKED = dataclasses.replace(
     Mapping("t", (*COLUMNS, ColumnMapping("del_yn", None)), ("id",), table="run_numbers", checkpoint="ts"), delete_mode="MARK", mark_column="del_yn", delete_approved=True
 )
@@ -207,10 +206,10 @@ def test_reconciling_marks_what_is_gone_and_unmarks_what_came_back(spark):
     table = filled(spark, 23, gone=(5, 22))
     waits = run_waiting(spark, dataclasses.replace(MARKED, delete_approved=False), table)
     assert waits["n_marked"] == 0 and waits["samples"] == ["20", "21", "3", "4"] and marks(table) == [5, 22]
-    before = folders(table)
+    before = base_files(table)
     done = run_waiting(spark, MARKED, table)
     assert (done["n_marked"], done["n_unmarked"], done["blocked"]) == (4, 1, None)
-    assert marks(table) == [3, 4, 20, 21, 22] and before & folders(table)
+    assert marks(table) == [3, 4, 20, 21, 22] and base_files(table) == before
     assert run_waiting(spark, MARKED, table)["n_marked"] == 0
 
 
