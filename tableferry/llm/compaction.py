@@ -4,7 +4,8 @@ Arrivals are appended as small shards (files). When a tier (shards whose sizes l
 ``FANOUT``) holds enough of them, they are read together and written as files of the target size: the
 scan packs small files into partitions of that size, so no row is shuffled. What a merge writes may fill the
 next tier, which is merged in turn. A manifest lists the live shards. Its rows are written aside, and one small
-file that is created exclusively makes them a version: of two writers one fails, and readers see whole versions.
+file that is published whole, under a number that nobody has taken, makes them a version. An arrival that finds its number
+taken is listed after what others have committed; a merge is given up if the shards that it replaces are gone.
 
 Null columns, repeated rows, very long texts and extra columns, whatever their names, are kept as they are. An
 empty arrival adds no shard; a table without shards reads as an empty one. DataFrame operations only.
@@ -12,12 +13,13 @@ empty arrival adds no shard; a table without shards reads as an empty one. DataF
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import Versions
+from ..storage import Conflict, Versions
 
 TARGET_BYTES = 128 << 20
 #: A tier is merged once it holds so many shards; sizes within one power of this share a tier.
@@ -32,13 +34,13 @@ class ShardedTable:
 
     # -- manifest ---------------------------------------------------------------------------
     def versions(self) -> list[int]:
-        return [n for n in self._versions.numbers() if self._versions.get(n) is not None]
+        return self._versions.numbers()
 
     def version(self) -> int:
         return self._versions.latest()[0]
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        said = self._versions.latest()[1] if version is None else self._versions.get(version)
+        said = self._versions.latest()[1] if version is None else self._versions.get(version) if version else None
         return self.spark.read.schema(MANIFEST).parquet(said["rows"]) if said else self.spark.createDataFrame([], MANIFEST)
 
     def _staged(self, shards: DataFrame) -> str:
@@ -48,9 +50,18 @@ class ShardedTable:
 
     def commit(self, shards: DataFrame, after: int) -> int:
         """Publish ``shards`` as the version after ``after``; fails if another writer has done so first."""
-        number = self._versions.following(after)
-        self._versions.put(number, {"rows": self._staged(shards)})
-        return number
+        self._versions.put(after + 1, {"rows": self._staged(shards)})
+        return after + 1
+
+    def _add(self, shards: DataFrame) -> int:
+        """Publish further shards after what has been committed so far, whoever is first."""
+        staged = self.spark.read.schema(MANIFEST).parquet(self._staged(shards))
+        while True:
+            now = self.version()
+            try:
+                return self.commit(self.manifest(now).unionByName(staged), now)
+            except Conflict:
+                continue
 
     # -- shards -----------------------------------------------------------------------------
     def _new_folder(self, now: int) -> str:
@@ -68,19 +79,18 @@ class ShardedTable:
 
     def append(self, arrival: DataFrame) -> int:
         """One immutable shard for each partition of the arrival, as they come."""
-        now = self.version()
-        folder = self._new_folder(now)
+        folder = self._new_folder(self.version())
         arrival.select(*self.schema.names).write.option("compression", "zstd").parquet(folder)
-        return self.commit(self.manifest().unionByName(self._listed(folder)), now)
+        return self._add(self._listed(folder))
 
     def append_all(self, arrivals: DataFrame, by: Column) -> int:
         """Several arrivals, told apart by an expression, in one pass over their rows."""
-        now, name = self.version(), "arrival"
+        name = "arrival"
         while name in (c.lower() for c in self.schema.names):
             name += "_"
-        folder = self._new_folder(now)
+        folder = self._new_folder(self.version())
         arrivals.select(*self.schema.names, by.alias(name)).write.option("compression", "zstd").partitionBy(name).parquet(folder)
-        return self.commit(self.manifest().unionByName(self._listed(folder)), now)
+        return self._add(self._listed(folder))
 
     def full_tiers(self, shards: DataFrame) -> list[int]:
         """Tiers that hold enough shards to merge. Shards of half the target size or more rest."""
@@ -91,10 +101,12 @@ class ShardedTable:
         """Merge the lowest full tier, then what is full after that, until none is; one commit for all merges.
 
         The plan comes from the manifest, one row a shard. A tier of which a merge leaves as many shards as it
-        had, as it can't hold fewer files of the target size, is not merged again.
+        had, as it can't hold fewer files of the target size, is not merged again. Shards that arrive meanwhile stay as
+        they are; Conflict if another writer has merged the same ones.
         """
         now = self.version()
-        live, done = self.manifest(), set()
+        begun = live = self.manifest(now)
+        done: set[int] = set()
         while full := [t for t in self.full_tiers(live) if t not in done]:
             merging = live.where((F.col("tier") == full[0]) & (F.col("bytes") < self.target // 2))
             paths = [r["path"] for r in merging.select("path").collect()]  # the driver lists the files of any scan
@@ -105,17 +117,27 @@ class ShardedTable:
                 done.add(full[0])
             live = live.join(merging.select("path"), "path", "left_anti").unionByName(merged)
             live = self.spark.read.schema(MANIFEST).parquet(self._staged(live))
-        return self.commit(live, now) if now and self._changed(live) else now
-
-    def _changed(self, live: DataFrame) -> bool:
-        return not live.join(self.manifest().select("path"), "path", "left_anti").isEmpty()
-
-    def vacuum(self) -> int:
-        """Delete shards that the latest version does not list; older versions can't be read then."""
+        if now == 0 or _less(live, begun).isEmpty():
+            return now
+        while True:
+            try:
+                return self.commit(live, now)
+            except Conflict:
+                now = self.version()
+                others = self.manifest(now)
+                if not _less(_less(begun, live), others).isEmpty():
+                    raise
+                live = self.spark.read.schema(MANIFEST).parquet(self._staged(live.unionByName(_less(others, begun))))
+                begun = others
+
+    def vacuum(self, hours: float = 24.0) -> int:
+        """Delete shards that the latest version does not list and that are ``hours`` old: younger ones may belong to a
+        writer that has not committed yet. Older versions can't be read then."""
+        before = (time.time() - hours * 3600) * 1000
         fs, p = self._versions._fs(f"{self.root}/shards")
         live = self.manifest().select(F.regexp_extract("path", "/shards/([^/]+)/", 1).alias("folder")).distinct()
         kept = {r["folder"] for r in live.collect()}  # a row an append or merge
-        old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in kept]
+        old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in kept and s.getModificationTime() <= before]
         for path in old:
             fs.delete(path, True)
         return len(old)
@@ -141,3 +163,7 @@ class ShardedTable:
             return True
         listed = self.manifest().where("rows > 0")
         return listed.join(held, "path", "full_outer").where(~F.col("rows").eqNullSafe(F.col("held"))).isEmpty()
+
+
+def _less(shards: DataFrame, others: DataFrame) -> DataFrame:
+    return shards.join(others.select("path"), "path", "left_anti")
