@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .profile import duplicate_keys, orphans
 
 #: Prefixes and suffixes that table names carry.
-PREFIXES, SUFFIXES = r"^(SRC_|TBL_|TB_|MST_|T_)", r"(_TB|_T)$"
+PREFIXES, SUFFIXES = ("SRC_", "TB_", "TBL_", "T_", "MST_"), ("_TB", "_T")
 #: Name endings that stand for each other, source to target.
 ENDINGS = [("_NM", "_NAME"), ("_CD", "_CODE"), ("_DT", "_AT"), ("_DT", "_DATE"), ("_FLAG", "_YN")]
 
@@ -67,7 +67,7 @@ def with_stats(columns: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def bare(name: Column) -> Column:
     """A table's name without what it carries at both ends."""
-    return F.regexp_replace(F.regexp_replace(F.upper(name), PREFIXES, ""), SUFFIXES, "")
+    return F.regexp_replace(F.regexp_replace(F.upper(name), f"^({'|'.join(PREFIXES)})", ""), f"({'|'.join(SUFFIXES)})$", "")
 
 
 def _one_to_one(found: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hash32
+from ..functions.text import SEPARATOR, hash32
 
 
 def blank(x: Column) -> Column:
@@ -72,6 +72,26 @@ def unequal_buckets(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "bucket", "full_outer").where(~(F.col("n_source").eqNullSafe(F.col("n_target")) & F.col("h_source").eqNullSafe(F.col("h_target"))))
 
 
+#: Buckets of a first comparison: their sums go to the driver.
+BUCKETS = 1024
+
+
+def unequal_parts(source: DataFrame, target: DataFrame, key: list[str], buckets: int = BUCKETS, always: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides that lie in buckets whose keys differ; ``always``: rows of the target whose bucket is
+    taken anyway, and which don't count in the comparison. Keys are summed where they are read, so that only those of
+    unequal buckets are shuffled afterwards. Keys have the same types on both sides."""
+    h = hash32(F.concat_ws(SEPARATOR, *(F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in key)))
+    bucket = F.pmod(h, F.lit(buckets))
+    plain = F.lit(True) if always is None else ~F.coalesce(always, F.lit(False))
+    one = source.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("total"))
+    two = target.groupBy(bucket.alias("bucket")).agg(F.count(F.when(plain, 1)).alias("m"), F.coalesce(F.sum(F.when(plain, h)), F.lit(0)).alias("other"), F.count(F.when(~plain, 1)).alias("taken"))
+    n, m, total, other, taken = (F.coalesce(c, F.lit(0)) for c in ("n", "m", "total", "other", "taken"))
+    bad = [r[0] for r in one.join(two, "bucket", "full_outer").where((n != m) | (total != other) | (taken > 0)).select("bucket").collect()]
+    if len(bad) == buckets:
+        return source, target
+    return source.where(bucket.isin(bad)), target.where(bucket.isin(bad))
+
+
 #: Bytes of a value by type.
 WIDTHS = {"tinyint": 1, "boolean": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SEPARATOR
 from ..storage import SnapshotTable
+from .profile import unequal_parts
 
 MARK, UNMARK, ALREADY, SOURCE_ONLY = "mark", "unmark", "already", "source_only"
 #: At least so many candidates are allowed, whatever the ratio.
@@ -20,7 +21,9 @@ MOST = 200_000
 def key_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """k, action. ``source``: k; ``target``: k, marked. Rows with a NULL key take no part; keys present on
     both sides and unmarked need no action. If the target has ``key``, a struct of its key columns, ``keys`` are those
-    that make up k, so that marks need not look for them again."""
+    that make up k, so that marks need not look for them again. Buckets of keys are compared first, and only those
+    that differ, or that have marked rows, are looked at key by key."""
+    source, target = unequal_parts(source.where("k IS NOT NULL"), target.where("k IS NOT NULL"), ["k"], always=F.col("marked"))
     s = source.where("k IS NOT NULL").select("k").distinct().withColumn("_s", F.lit(True))
     own = [F.collect_set("key").alias("keys")] if "key" in target.columns else []
     t = target.where("k IS NOT NULL").groupBy("k").agg(F.max("marked").alias("marked"), *own).withColumn("_t", F.lit(True))

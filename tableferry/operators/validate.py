@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SEPARATOR, hash32, number_text
-from .profile import duplicate_keys, orphans
+from .profile import duplicate_keys, orphans, unequal_parts
 
 FINDING = "check_name string, target string, level string, n bigint"
 
@@ -55,11 +55,14 @@ def data_hash(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def missing_keys(source: DataFrame, target: DataFrame, key: list[str], rejects: DataFrame | None = None) -> DataFrame:
-    """Source keys, less those of rejects, that the target has not."""
-    keys = source.select(*key).distinct()
+    """Source keys, less those of rejects, that the target has not. Buckets of keys are compared first, and only keys
+    of unequal ones meet."""
+    types = dict(source.dtypes)
+    keys, held = source.select(*key), target.select(*(F.col(k).cast(types[k]).alias(k) for k in key))
     if rejects is not None:
         keys = keys.join(rejects.select(*key), key, "left_anti")
-    return keys.join(target.select(*key), key, "left_anti")
+    keys, held = unequal_parts(keys, held, key)
+    return keys.distinct().join(held, key, "left_anti")
 
 
 def compare_rows(source: DataFrame, target: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

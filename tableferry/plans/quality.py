@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash32, normalised_key
 from ..operators import catalog as cat
-from ..operators import load, profile, reconcile, validate
+from ..operators import hashtree, load, profile, reconcile, validate
 from ..sources.scan import sample_n, tables
+from ..storage import SnapshotTable, new_root
 from .fixtures import MEMBER, MERGED, SRC, WITH, members
 from .registry import query
 
@@ -127,9 +131,35 @@ def post_data_hash(spark, sf_dir):
 
 @query(f"WITH other AS ({_OTHER}), a AS (SELECT o_orderkey // 1000 AS key_range, count(*) AS n, sum({H.format(_TEXT)}) AS total FROM orders GROUP BY 1), b AS (SELECT o_orderkey // 1000 AS key_range, count(*) AS n, sum({H.format(_TEXT)}) AS total FROM other GROUP BY 1) SELECT a.key_range, a.n AS n_source, b.n AS n_target FROM a JOIN b ON a.key_range = b.key_range WHERE a.total <> b.total OR a.n <> b.n")
 def range_hash_compare(spark, sf_dir):
-    """Key ranges whose rows differ: only these need a closer look."""
-    a, b = (x.select(F.floor(F.col("o_orderkey") / 1000).alias("bucket"), hash32(_hashed(x)).alias("h")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total")) for x in _sides(spark, sf_dir))
-    return profile.unequal_buckets(a, b).select(F.col("bucket").alias("key_range"), "n_source", "n_target")
+    """Key ranges whose rows differ: found three levels down, from ranges 256 times as wide."""
+    a, b = _sides(spark, sf_dir)
+    last = hashtree.descend(a, b, ["o_orderkey"], leaf=1000, levels=3)[-1]
+    return last.where("level = 3 AND n_source > 0 AND n_target > 0").select(F.col("node").alias("key_range"), "n_source", "n_target")
+
+
+def _level_sql(level: int, width: int) -> str:
+    side = lambda t: f"SELECT o_orderkey // {width} AS node, count(*) AS n, sum({H.format(_TEXT)}) AS total FROM {t} GROUP BY 1"
+    return f"SELECT {level} AS level, CAST({width} AS BIGINT) AS width, coalesce(a.node, b.node) AS node, coalesce(a.n, 0) AS n_source, coalesce(b.n, 0) AS n_target FROM ({side('orders')}) a FULL OUTER JOIN ({side('other')}) b ON a.node = b.node WHERE a.n IS DISTINCT FROM b.n OR a.total IS DISTINCT FROM b.total"
+
+
+@query(f"WITH other AS ({_OTHER}) " + " UNION ALL ".join(_level_sql(k + 1, 50 * 16 ** (3 - k)) for k in range(4)))
+def hash_tree_nodes(spark, sf_dir):
+    """All nodes of a tree of range hashes that differ, over four levels: below an equal node nothing is read."""
+    a, b = _sides(spark, sf_dir)
+    return reduce(DataFrame.unionByName, hashtree.descend(a, b, ["o_orderkey"], leaf=50, levels=4))
+
+
+@query(f"WITH other AS ({_OTHER}) SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE o_orderkey % 997 = 0 OR (o_orderkey % 2003 = 0 AND o_orderstatus <> 'X')) AS n_merged FROM orders UNION ALL SELECT -1 - o_orderkey, 'only here', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE o_orderkey % 997 = 0 OR (o_orderkey % 2003 = 0 AND o_orderstatus <> 'X')) FROM orders WHERE o_orderkey % 499 = 0")
+def hash_tree_repair(spark, sf_dir):
+    """A target that lacks some orders and has others otherwise, after only those were merged; rows that the source
+    doesn't have stay."""
+    a, b = _sides(spark, sf_dir)
+    more = a.where("o_orderkey % 499 = 0").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lit("only here").alias("o_orderstatus"), "o_orderdate")
+    table = SnapshotTable(spark, new_root(spark, "orders"), ["o_orderkey"])
+    table.commit(b.unionByName(more))
+    hashtree.repair(table, a, leaf=256)
+    merged = sum(f["rows"] for f in table.files() if f["columns"] is not None)
+    return table.read().select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), F.lit(merged).cast("bigint").alias("n_merged"))
 
 
 @query(f"WITH other AS ({_OTHER}) SELECT a.o_orderkey, b.o_orderstatus AS held, a.o_orderstatus AS wanted FROM orders a JOIN other b ON a.o_orderkey = b.o_orderkey WHERE md5({_TEXT.replace('o_order', 'a.o_order')}) <> md5({_TEXT.replace('o_order', 'b.o_order')})")

@@ -111,9 +111,6 @@ class Versions(Files):
         number = max(self.numbers(), default=0)
         return number, self.get(number) if number else None
 
-    def following(self, number: int) -> int:
-        return number + 1
-
     def put(self, number: int, said: dict[str, Any]) -> None:
         """Publish a file; Conflict if the number is taken."""
         fs, target = self._fs(f"{self.folder}/{number:010d}")
