@@ -5,15 +5,16 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..operators import incremental, load
 from ..operators.mapping import dedup_last
-from ..run import run_mapping, run_sync
+from ..run import History, run_mapping, run_sync
 from ..sources import scan
 from ..spec import ColumnMapping, Job, Mapping, Strategy
-from ..storage import new_root
-from ..streaming.sync import follow
+from ..storage import SnapshotTable, new_root
+from ..streaming.sync import StreamSync, follow
 from .registry import query
 
 #: A target that follows events: the last event of each user.
@@ -205,3 +206,65 @@ def sync_reconcile(spark, sf_dir):
     job = Job("events", (m,), Strategy("SYNC", lag_seconds=300, reconcile_minutes=0, max_hours=0, delete_ratio=0.2))
     run_sync(spark, job, {"event": table}, clock=lambda: now[0], wait=wait, stopped=lambda: len(calls) == 3)
     return table.read().select("event_id", "value", "del_yn")
+
+
+@query(f"SELECT e.event_id, e.value, CASE WHEN {_GONE} THEN 'Y' END AS del_yn, (SELECT CAST(count(*) AS BIGINT) FROM events WHERE ts <= TIMESTAMP '2024-01-18') AS n_read, 2 AS n_reconciled FROM events e WHERE ts <= TIMESTAMP '2024-01-18'")
+def sync_stream_reconcile(spark, sf_dir):
+    """Events as a stream, a file a micro-batch, up to a lagging bound. The stream breaks off in a cycle and is started
+    again; rows left the source meanwhile, and the reconciliation that is due marks them."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    arrivals, checkpoint = new_root(spark, "arrivals"), new_root(spark, "stream")
+    rows.repartitionByRange(3, "ts").write.parquet(arrivals)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    rows.createOrReplaceTempView("stream_events")
+    columns = (*EVENT.columns, ColumnMapping("del_yn", None))
+    m = dataclasses.replace(EVENT, columns=columns, table="stream_events", checkpoint="ts", delete_mode="MARK", mark_column="del_yn", delete_approved=True)
+    now = [FIRST + dt.timedelta(seconds=300)]
+    table, inbox, history = event_table(spark, marked=True), SnapshotTable(spark, new_root(spark, "inbox")), History(spark, new_root(spark, "runs"))
+    job = Job("stream", (m,), Strategy("SYNC", lag_seconds=300, reconcile_minutes=60, delete_ratio=0.2))
+    sync = StreamSync(job, table, inbox, clock=lambda: now[0], history=history)
+    forget, calls = inbox.forget, []
+
+    def breaking(column, value):
+        calls.append(value)
+        if len(calls) == 2:
+            raise Stopped("in the second cycle, after its rows were committed")
+        return forget(column, value)
+
+    inbox.forget = breaking
+    try:
+        sync.start(stream, checkpoint).awaitTermination()
+    except StreamingQueryException:
+        pass
+    now[0] = SECOND + dt.timedelta(seconds=300)
+    rows.where(f"NOT ({_GONE}) AND ts <= TIMESTAMP '2024-01-18'").createOrReplaceTempView("stream_events")
+    sync.start(stream, checkpoint).awaitTermination()
+    sync.cycle()  # nothing is left, and no reconciliation is due
+    said = history.events()
+    n_read = said.where("task = 'event' AND status = 'done'").agg(F.sum("n_read")).first()[0]
+    n_reconciled = said.where("task = 'event reconciled'").count()
+    return table.read().select("event_id", "value", "del_yn", F.lit(n_read).cast("bigint").alias("n_read"), F.lit(n_reconciled).alias("n_reconciled"))
+
+
+#: Stretches of events that are committed one after the other.
+_STEPS = [dt.datetime(2024, 1, 1) + dt.timedelta(days=5 * k) for k in range(7)]
+
+
+@query("SELECT event_id, user_id, value, true AS few_files, true AS few_for_keys FROM events WHERE ts > TIMESTAMP '2024-01-25' OR event_id = (SELECT max(event_id) FROM events)")
+def file_skipping(spark, sf_dir):
+    """Rows after an instant, and a row by its key, from a table that was filled in time order: what files are opened is
+    told by the least and greatest values that the manifest has of each."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value", "ts")
+    table = SnapshotTable(spark, new_root(spark, "events"), ["event_id"], buckets=8)
+    table.commit(rows.where(F.col("ts") <= F.lit(_STEPS[0])))
+    for a, b in zip(_STEPS, [*_STEPS[1:], None]):
+        part = rows.where(F.col("ts") > F.lit(a))
+        table.insert(part.where(F.col("ts") <= F.lit(b)) if b else part)
+    said, since = table.manifest(), {"ts": (dt.datetime(2024, 1, 25), None)}
+    last = rows.agg(F.max("event_id").alias("event_id"))
+    by_key, buckets = table.near(last)
+    most = len(table.files()) // 2
+    facts = (F.lit(len(table.wanted(said, where=since)) <= most).alias("few_files"), F.lit(len(by_key.inputFiles()) <= most and len(buckets) == 1).alias("few_for_keys"))
+    late = table.read(where=since).where("ts > TIMESTAMP_NTZ '2024-01-25'")
+    found = late.unionByName(by_key.join(last, "event_id", "left_semi"), allowMissingColumns=True).dropDuplicates(["event_id"])
+    return found.select("event_id", "user_id", "value", *facts)

@@ -472,6 +472,17 @@ class SnapshotTable:
         base = self.manifest()
         return self._commit(base, [], self._schema(base), facts)
 
+    def forget(self, column: str, value: Any) -> dict[str, Any]:
+        """Drop the files all of whose rows have at most this value in a watched column. No file is opened."""
+        base = self.manifest()
+        types = {f.name: f.dataType.simpleString() for f in self._schema(base)}
+        most = self._bounds({column: (None, value)}, types)[column][1]
+        files = self.files(base)
+        if any(f["columns"] is not None for f in files):
+            raise ValueError("rows with deltas can't be forgotten by file")
+        gone = [f["path"] for f in files if f["high"].get(column) is not None and not f["loose"] and comparable(f["high"][column], types[column]) <= most]
+        return self._commit(base, [], self._schema(base), {}, gone) if gone else base
+
     # -- housekeeping -----------------------------------------------------------------------------
     def fold(self, most: int = 8, share: float = 0.25) -> dict[str, Any]:
         """Keep reads cheap. Deltas that hold more than ``share`` of the base's bytes become base files, with the buckets

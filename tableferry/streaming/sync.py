@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import dataclasses
+import datetime as dt
+import uuid
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.mapping import dedup_last
+from ..run import History, reconcile_mapping, run_job, window
+from ..spec import Job, Mapping
 from ..storage import SnapshotTable
 
 
@@ -35,3 +43,66 @@ def follow(changes: DataFrame, table: SnapshotTable, key: list[str], order: str,
     writer = changes.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
     return writer.start()
+
+
+class StreamSync:
+    """A sync of a job's mapping whose source comes as a stream.
+
+    A micro-batch is added to the ``inbox``, a table of its own, with its batch id, so that one delivered again adds
+    nothing. Then an incremental cycle runs on the inbox: rows past the target's watermark up to now less the lag, with all
+    that jobs do (mapping, checks, rejects, history), while later ones wait for a further cycle. Files of the inbox that
+    lie before the watermark are dropped. When due, deletions are reconciled against ``mapping``'s own source, and the
+    target says when that was, so a stream that is started again goes on where it stopped, wherever that was.
+    """
+
+    def __init__(self, job: Job, table: SnapshotTable, inbox: SnapshotTable, clock: Callable[[], dt.datetime] = dt.datetime.now, history: History | None = None):
+        (self.mapping,) = job.mappings
+        if self.mapping.checkpoint is None:
+            raise ValueError("a stream is followed by a checkpoint")
+        self.job, self.table, self.inbox, self.clock, self.history = job, table, inbox, clock, history
+        self.spark, self.strategy = table.spark, dataclasses.replace(job.strategy, mode="INCREMENTAL")
+
+    def start(self, changes: DataFrame, checkpoint_dir: str, seconds: int | None = None) -> StreamingQuery:
+        """Follow until stopped; without ``seconds`` take what is available and end."""
+        writer = changes.writeStream.foreachBatch(self.take).option("checkpointLocation", checkpoint_dir)
+        return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
+
+    def take(self, batch: DataFrame, batch_id: int) -> None:
+        state = self.inbox.manifest()
+        if state["schema"] is None:
+            self.inbox.commit(batch, batch_id=batch_id)
+        elif batch_id > state["batch_id"]:
+            self.inbox.insert(batch, base=state, batch_id=batch_id)
+        self.cycle()
+
+    def cycle(self) -> dict[str, Any]:
+        """One cycle on what the inbox has; also for a caller that doesn't want late rows to wait for the next batch."""
+        now, state, name = self.clock(), self.table.manifest(), f"inbox_{uuid.uuid4().hex}"
+        rows = self.inbox.read(self.inbox.manifest()["version"])
+        upper = window(rows, self.mapping, self.strategy, state, now)[1]
+        # Only files with rows in the window are opened; the job filters the rows.
+        rows = self.inbox.read(self.inbox.manifest()["version"], where={self.mapping.checkpoint: (state["watermark"], upper)})
+        rows.createOrReplaceTempView(name)
+        mapping: Mapping = dataclasses.replace(self.mapping, table=name, sql=None)
+        run_id = f"{self.job.name}-{now:%Y%m%d%H%M%S}-{state['version']}"
+        try:
+            done = run_job(self.spark, Job(self.job.name, (mapping,), self.strategy), {mapping.target: self.table}, run_id, now, history=self.history, pass_only=True)[mapping.target]
+        finally:
+            self.spark.catalog.dropTempView(name)
+        if done["status"] == "failed":
+            raise done["error"]
+        mark = self.table.manifest()["watermark"]
+        if mark is not None:
+            self.inbox.forget(self.mapping.checkpoint, mark)
+        self.reconcile_if_due(now)
+        return done
+
+    def reconcile_if_due(self, now: dt.datetime) -> dict[str, Any] | None:
+        last = self.table.manifest().get("reconciled")
+        if last is not None and now - dt.datetime.fromisoformat(last) < dt.timedelta(minutes=self.strategy.reconcile_minutes):
+            return None
+        said = reconcile_mapping(self.spark, self.mapping, self.table, self.strategy)
+        self.table.publish(reconciled=str(now))
+        if self.history:
+            self.history.put(f"{self.job.name}-{now:%Y%m%d%H%M%S}", f"{self.mapping.target} reconciled", "done", "SYNC", None, said["blocked"])
+        return said
