@@ -46,22 +46,42 @@ PLAIN = str.maketrans(
     | {chr(zero + d): str(d) for zero in DIGIT_ZEROS for d in range(10)}
     | {chr(0x2460 + d): str(d + 1) for d in range(9)}
 )
-#: Spelled digits.
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Spelled digits, in English, German, Spanish and French.
+SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+}
+#: Words for @ that mean nothing else, and words for a dot, in those languages.
+AT_WORDS, DOT_WORDS = "ät|arroba|arobase|arrobase|klammeraffe", "dot|punkt|punto|point"
 
-_digit_word = "(?:" + "|".join(SPELLED) + ")"
+_digit_word = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _hidden = "[​-‍⁠﻿­]"
-_dot_word = r"(?:[ \t]*[(\[{<][ \t]*(?:dot|punkt|punto|point)[ \t]*[)\]}>][ \t]*|[ \t]+(?:dot|DOT)[ \t]+)"
+_dot_word = rf"(?:[ \t]*[(\[{{<][ \t]*(?:{DOT_WORDS})[ \t]*[)\]}}>][ \t]*|[ \t]+(?:dot|DOT)[ \t]+)"
 _label = r"[A-Za-z0-9-]+"
 #: Last labels of a host behind a bare "at" and a determiner.
 _known = "(?:com|net|org|edu|gov|info|biz|io|co|eu|de|fr|es|it|uk|us|ch|at|nl|pl|ru|jp|cn|in|br)"
 _determiner = "(?:the|an?|this|that|these|those|each|every|any|some|one|no|its|his|her|their|our|my|your)"
+_spoken = rf"[ \t]+(?:{DOT_WORDS})[ \t]+"
+_apart = r"(?:[ \t]+\.[ \t]*|\.[ \t]+)"
+_any_dot = rf"(?:\.|{_apart}|{_spoken}|{_dot_word})"
+_in_brackets = rf"[ \t]*[(\[{{<][ \t]*(?:at|@|{AT_WORDS})[ \t]*[)\]}}>][ \t]*"
+#: A host behind a word for @ or one in brackets, with dots of any kind; behind "at" with a spoken last dot; and behind @
+#: alone with a last dot that is spoken or stands apart.
+_address = (
+    rf"(?:[ \t]+(?:{AT_WORDS})[ \t]+|{_in_brackets}){_label}(?:{_any_dot}{_label})*?{_any_dot}{_known}\b"
+    rf"|[ \t]+at[ \t]+(?!{_determiner}\b){_label}(?:(?:\.|{_spoken}){_label})*?{_spoken}{_known}\b"
+    rf"|[ \t]+@[ \t]+{_label}(?:(?:\.|{_apart}|{_spoken}){_label})*?(?:{_apart}|{_spoken}){_known}\b"
+)
+_in_address = re.compile(rf"(?P<at>^(?:[ \t]+(?:{AT_WORDS}|at|@)[ \t]+|{_in_brackets}))|(?P<dot>{_any_dot})|{_label}", re.IGNORECASE)
 _host = rf"{_label}(?:(?:\.|{_dot_word}){_label})*?{_dot_word}"
 #: What the transducer rewrites. A bare "at" counts only before a host that spells a dot; after a determiner, only
 #: one of a known last label ("look at the dot on it").
 REWRITES = re.compile(
     rf"(?P<none>{_hidden}+)"
-    r"|(?P<at>(?<=[A-Za-z0-9._%+-])[ \t]*[(\[{<][ \t]*(?:[aA][tT]|@)[ \t]*[)\]}>][ \t]*(?=[A-Za-z0-9])"
+    rf"|(?<=[A-Za-z0-9._%+-])(?P<address>{_address})"
+    rf"|(?P<at>(?<=[A-Za-z0-9._%+-])[ \t]*[(\[{{<][ \t]*(?:[aA][tT]|@|{AT_WORDS})[ \t]*[)\]}}>][ \t]*(?=[A-Za-z0-9])"
     rf"|(?<=[A-Za-z0-9._%+-])[ \t]+(?:at|AT)[ \t]+(?={_host}{_known}\b|(?!{_determiner}\b){_host}[A-Za-z]{{2,}}\b))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_dot_word}(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\bplus[ \t]+(?=[0-9]|{_digit_word}\b))"
@@ -72,8 +92,8 @@ _word = re.compile(_digit_word, re.IGNORECASE)
 _behind_word = "(?:" + "|".join(f"(?<={w}.)" for w in SPELLED) + ")"
 #: A lower-cased text without look-alikes and any of these has nothing to rewrite: every alternative of REWRITES holds one.
 TRIGGERS = (
-    re.compile(r"[ \t]dot[ \t]"),
-    re.compile(r"[(\[{<][ \t]*(?:at|dot|@|punkt|punto|point)[ \t]*[)\]}>]"),
+    re.compile(rf"[ \t](?:dot|@|{AT_WORDS})[ \t]|[ \t]at[ \t][^\n]*[ \t](?:{DOT_WORDS})[ \t]"),
+    re.compile(rf"[(\[{{<][ \t]*(?:at|@|{AT_WORDS}|{DOT_WORDS})[ \t]*[)\]}}>]"),
     re.compile(rf"plus[ \t]+(?:[0-9]|{_digit_word})"),
     re.compile(rf"[0-9][ \t-]{_digit_word}"),
     re.compile(rf"[.+]{_digit_word}"),
@@ -150,6 +170,10 @@ class Rewritten:
             at = m.end()
             if m["at"]:
                 put("@", *m.span(), False)
+            elif m["address"]:
+                for p in _in_address.finditer(plain[m.start() : m.end()]):
+                    exact = not p["at"] and not p["dot"]
+                    put(p[0] if exact else "@" if p["at"] else ".", m.start() + p.start(), m.start() + p.end(), exact)
             elif m["dot"]:
                 put(".", *m.span(), False)
             elif m["plus"]:

@@ -3,8 +3,9 @@
 Variable segments (numbers, dates, long hex) become wildcards by their form, and at a node with many
 rarely used children by their number. Sibling branches whose labelled rates do not differ
 significantly are merged. A template is rejected by the smoothed share of bad labels among its pages: it is
-smoothed by the share of the same template over all hosts, and that by the overall share, so labels reach
-hosts and pages that have none.
+smoothed by the share of its parent node, that by the host's share, and that by the overall one. Labels reach
+pages without any under the same node, and stay on their host: a host without labels has nothing rejected, nor have
+branches at a host's root that have none.
 
 A null url, or one without ``://``, has an empty host and path. Urls may be of any length; segments past 64
 characters are variable. Repeated rows give repeated results; the labels of repeated urls add up. Ties: of two
@@ -24,7 +25,8 @@ from .common import written
 MANY_CHILDREN, FEW_PAGES = 24, 8.0
 #: Siblings merge if their rates differ by fewer standard errors.
 SIGNIFICANT = 1.96
-#: Pseudo-labels of the rate that smooths, labels asked for (on all hosts), and the share of bad ones that rejects.
+#: Pseudo-labels of the rate that smooths, labels asked for (of the template or its parent), and the share of bad ones
+#: that rejects.
 SMOOTHING, LEAST_LABELS, REJECT = 4.0, 5, 0.9
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -60,8 +62,8 @@ def generalised(path: Column) -> Column:
 
 
 def templates(labelled: DataFrame) -> DataFrame:
-    """host, form (generalised path), template, n, n_labelled, n_bad, all_labelled (labels of the template on all
-    hosts), prior (their smoothed rate), purity, rejected.
+    """host, form (generalised path), template, n, n_labelled, n_bad, near_labelled (labels of the template's parent
+    node, or of the template itself below the host's root), prior (the parent's smoothed rate), purity, rejected.
 
     ``labelled``: host, path, bad (1, 0 or null). Pages are first summed by host and form. Each level of
     the tree sums these rows by branch and the branches by node, so no node meets in one task, and joins
@@ -106,12 +108,16 @@ def templates(labelled: DataFrame) -> DataFrame:
     bad, seen = done.agg(F.sum("n_bad"), F.sum("n_labelled")).first()
     overall = (bad or 0) / (seen or 1)
     smoothed = lambda n_bad, n, rate: (F.col(n_bad) + SMOOTHING * rate) / (F.col(n) + SMOOTHING)
-    own = done.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in counts))
-    everywhere = own.groupBy("template").agg(F.sum("n_labelled").alias("all_labelled"), F.sum("n_bad").alias("all_bad"))
-    everywhere = everywhere.withColumn("prior", smoothed("all_bad", "all_labelled", F.lit(overall)))
-    judged = own.join(written(everywhere, "everywhere"), "template").withColumn("purity", smoothed("n_bad", "n_labelled", F.col("prior")))
-    judged = judged.withColumn("rejected", (F.col("all_labelled") >= LEAST_LABELS) & (F.col("purity") >= REJECT))
-    return done.drop(*counts).join(judged.drop("all_bad"), ["host", "template"])
+    own = done.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in counts)).withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
+    own = written(own, "own")
+    of_host = own.groupBy("host").agg(F.sum("n_labelled").alias("host_labelled"), F.sum("n_bad").alias("host_bad"))
+    of_host = of_host.select("host", smoothed("host_bad", "host_labelled", F.lit(overall)).alias("host_rate"))
+    nodes = own.groupBy("host", "parent").agg(F.sum("n_labelled").alias("node_labelled"), F.sum("n_bad").alias("node_bad"))
+    nodes = written(nodes.join(of_host, "host").withColumn("prior", smoothed("node_bad", "node_labelled", F.col("host_rate"))), "nodes")
+    judged = own.join(nodes, ["host", "parent"]).withColumn("purity", smoothed("n_bad", "n_labelled", F.col("prior")))
+    judged = judged.withColumn("near_labelled", F.when(F.col("parent") == "", F.col("n_labelled")).otherwise(F.col("node_labelled")))
+    judged = judged.withColumn("rejected", (F.col("near_labelled") >= LEAST_LABELS) & (F.col("purity") >= REJECT))
+    return done.drop(*counts).join(judged.drop("parent", "host_rate", "node_labelled", "node_bad"), ["host", "template"])
 
 
 def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, key: str = "page_id", url: str = "url") -> DataFrame:

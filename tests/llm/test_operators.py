@@ -246,20 +246,23 @@ def brute_templates(rows):
                         s = "*"
                 at[k] = f"{node}/{s}"
         level += 1
-    out, own, every = {}, {}, {}
+    out, own, nodes, hosts = {}, {}, {}, {}
     for k, (_, seen, bad) in forms.items():
         rest = k[1][at[k].count("/") :]
         at[k] += "".join(f"/{s}" for s in rest)
-        for d, key in ((own, (k[0], at[k])), (every, at[k])):
+        for d, key in ((own, (k[0], at[k])), (nodes, (k[0], at[k].rpartition("/")[0])), (hosts, k[0])):
             c = d.setdefault(key, [0, 0])
             c[0] += seen
             c[1] += bad
-    overall = sum(b for _, b in every.values()) / max(1, sum(n for n, _ in every.values()))
+    overall = sum(b for _, b in hosts.values()) / max(1, sum(n for n, _ in hosts.values()))
     for k in forms:
         n, bad = own[k[0], at[k]]
-        all_n, all_bad = every[at[k]]
-        purity = (bad + 4 * (all_bad + 4 * overall) / (all_n + 4)) / (n + 4)
-        out[k[0], "/".join(k[1])] = (at[k], n, bad, round(purity, 9), all_n >= 5 and purity >= 0.9)
+        parent = at[k].rpartition("/")[0]
+        (host_n, host_bad), (node_n, node_bad) = hosts[k[0]], nodes[k[0], parent]
+        rate = (host_bad + 4 * overall) / (host_n + 4)
+        rate = (node_bad + 4 * rate) / (node_n + 4)
+        purity = (bad + 4 * rate) / (n + 4)
+        out[k[0], "/".join(k[1])] = (at[k], n, bad, round(purity, 9), (node_n if parent else n) >= 5 and purity >= 0.9)
     return out
 
 
@@ -276,7 +279,23 @@ def test_templates_equal_a_plain_walk(spark):
     want = brute_templates(rows)
     assert {(r["host"], r["form"]): (r["template"], r["n_labelled"], r["n_bad"], round(r["purity"], 9), r["rejected"]) for r in got} == want
     assert any(v[4] for v in want.values()) and len({v[0] for v in want.values()}) < len(want)
-    assert any(v[4] for (host, _), v in want.items() if host == "c.net")  # a host without labels
+    assert not any(v[4] for (host, _), v in want.items() if host == "c.net")  # a host without labels
+
+
+def test_rules_of_other_hosts_do_not_reach_a_host(spark):
+    """A rule for all of a domain says nothing about its paths: pages of other hosts with the same paths stay."""
+    pages = [(k, f"http://h{k}.net/es/{k}") for k in range(46)] + [(100, "http://good.edu/es/1"), (101, "http://good.edu/es/2")]
+    pages += [(200 + k, f"http://shop.example.com/de/{k}") for k in range(30)] + [(300, "http://shop.example.com/en/1"), (301, "http://example.com/")]
+    got = {r["page_id"]: r["verdict"] for r in url_templates.judge(spark.createDataFrame(pages, "page_id long, url string"), queries.URL_RULES).collect()}
+    assert all(got[k] == "block" for k in [*range(46), *range(200, 230)])
+    assert [got[k] for k in (100, 101, 300, 301)] == ["allow"] * 4
+
+
+def test_labels_reach_pages_under_the_same_node(spark):
+    pages = [(k, f"http://h.com/ads/{'ab'[k % 2]}{k}x/v") for k in range(60)] + [(60, "http://h.com/ads/new"), (61, "http://h.com/other"), (62, "http://i.com/ads/new")]
+    labels = spark.createDataFrame([(u, 1) for _, u in pages[:50]] + [("http://h.com/other/y", 0)] * 9, "url string, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_templates.judge(spark.createDataFrame(pages, "page_id long, url string"), [], labels).collect()}
+    assert [got[k] for k in (0, 55, 61, 62)] == ["block", "block", "allow", "allow"]
 
 
 # -- 4 ----------------------------------------------------------------------------------------
@@ -599,6 +618,14 @@ def test_plain_spans_equal_the_rules():
         ("tel plus four nine one five one two three four five six seven eight", "phone", "plus four nine one five one two three four five six seven eight"),
         ("host １９２.168.0.1 up", "ip", "１９２.168.0.1"),
         ("card four one one one 1111 1111 1111 ok", "card", "four one one one 1111 1111 1111"),
+        ("escribe a ana arroba correo punto es hoy", "email", "ana arroba correo punto es"),
+        ("écrire à luc arobase exemple.fr merci", "email", "luc arobase exemple.fr"),
+        ("an max (ät) beispiel punkt de bitte", "email", "max (ät) beispiel punkt de"),
+        ("an max at beispiel punkt de bitte", "email", "max at beispiel punkt de"),
+        ("mail john @ example . com now", "email", "john @ example . com"),
+        ("ruf plus vier neun eins fünf eins zwei drei vier fünf sechs sieben an", "phone", "plus vier neun eins fünf eins zwei drei vier fünf sechs sieben"),
+        ("tel +33 un deux trois quatre cinq six sept huit neuf fin", "phone", "+33 un deux trois quatre cinq six sept huit neuf"),
+        ("tel +34 nueve uno dos tres cuatro cinco seis siete ocho.", "phone", "+34 nueve uno dos tres cuatro cinco seis siete ocho"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, part):
@@ -607,7 +634,7 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert part not in pii.redacted_text(text)
 
 
-@pytest.mark.parametrize("text", ["look at the dot on it", "we met at noon, one or two of us", "version two dot zero", "at five or six", "Straße über · den Fluß"])
+@pytest.mark.parametrize("text", ["look at the dot on it", "we met at noon, one or two of us", "version two dot zero", "at five or six", "Straße über · den Fluß", "le point final. un deux trois", "see john @ work . Come soon", "Er sah ihn at home . It rained", "uno punto dos", "look at example.com now", "am Punkt null eins sieben"])
 def test_clean_texts_have_no_spans(text):
     assert pii.all_spans(text) == [] and pii.redacted_text(text) == text
 
@@ -633,7 +660,7 @@ def test_single_disguises_pass_the_gate(text, span):
 
 def test_the_gate_passes_all_that_is_rewritten(monkeypatch):
     rnd = random.Random(8)
-    pieces = [*pii.SPELLED, *map(str.upper, pii.SPELLED), *"0123456789", "plus", "Plus", "+", " at ", "(at)", "[ @ ]", "{AT}", " dot ", "DOT", "(dot)", "<punkt>", "[punto]", "point", ".", "@"]
+    pieces = [*pii.SPELLED, *map(str.upper, pii.SPELLED), *"0123456789", "plus", "Plus", "+", " at ", "(at)", "[ @ ]", "{AT}", " dot ", "DOT", "(dot)", " @ ", " . ", "arroba", "ÄT", "klammeraffe", " punto ", ".es", "<punkt>", "[punto]", "point", ".", "@"]
     pieces += [" ", " ", " ", "\t", "-", ", ", "\n", "(", ")", "x", "bob", "example", "com", "se", "4111 1111 1111 111", "192.168.0.", "+49 151 234567", "\u200b", "\u00ad", "\u00a0", "\u0435", "\uff11", "\u017fix", "f\u0130ve", "\u00e9"]
     texts = ["".join(rnd.choice(pieces) + rnd.choice(["", " "]) for _ in range(rnd.randrange(1, 9))) for _ in range(60_000)]
     gated = [pii.all_spans(t) for t in texts]
