@@ -57,6 +57,8 @@ SPELLED = {
 AT_WORDS, DOT_WORDS = "ät|arroba|arobase|arrobase|klammeraffe", "dot|punkt|punto|point"
 
 _digit_word = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
+#: One next to digits: "un" there is an article as a rule.
+_single = rf"(?!un\b){_digit_word}"
 _hidden = "[​-‍⁠﻿­]"
 _dot_word = rf"(?:[ \t]*[(\[{{<][ \t]*(?:{DOT_WORDS})[ \t]*[)\]}}>][ \t]*|[ \t]+(?:dot|DOT)[ \t]+)"
 _label = r"[A-Za-z0-9-]+"
@@ -85,7 +87,7 @@ REWRITES = re.compile(
     rf"|(?<=[A-Za-z0-9._%+-])[ \t]+(?:at|AT)[ \t]+(?={_host}{_known}\b|(?!{_determiner}\b){_host}[A-Za-z]{{2,}}\b))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_dot_word}(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\bplus[ \t]+(?=[0-9]|{_digit_word}\b))"
-    rf"|(?P<digits>\b{_digit_word}(?:[ \t,-]+{_digit_word}){{1,}}\b|(?<=[0-9])[ \t-]{_digit_word}\b|(?<=[.+]){_digit_word}\b|\b{_digit_word}(?=[ \t-][0-9]|[ \t]+dot[ \t]))",
+    rf"|(?P<digits>\b{_digit_word}(?:[ \t,-]+{_digit_word}){{1,}}\b|(?<=[0-9])[ \t-]{_single}\b|(?<=[.+]){_digit_word}\b|\b{_single}(?=[ \t-][0-9]|[ \t]+dot[ \t]))",
     re.IGNORECASE,
 )
 _word = re.compile(_digit_word, re.IGNORECASE)

@@ -634,7 +634,7 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert part not in pii.redacted_text(text)
 
 
-@pytest.mark.parametrize("text", ["look at the dot on it", "we met at noon, one or two of us", "version two dot zero", "at five or six", "Straße über · den Fluß", "le point final. un deux trois", "see john @ work . Come soon", "Er sah ihn at home . It rained", "uno punto dos", "look at example.com now", "am Punkt null eins sieben"])
+@pytest.mark.parametrize("text", ["look at the dot on it", "we met at noon, one or two of us", "version two dot zero", "at five or six", "Straße über · den Fluß", "le point final. un deux trois", "see john @ work . Come soon", "Er sah ihn at home . It rained", "uno punto dos", "look at example.com now", "am Punkt null eins sieben", "x 5 Un autre"])
 def test_clean_texts_have_no_spans(text):
     assert pii.all_spans(text) == [] and pii.redacted_text(text) == text
 
@@ -648,6 +648,7 @@ def test_clean_texts_have_no_spans(text):
         ("tel +one 555 010 9999", "phone:4:21"),
         ("tel +4 nine 151 2345678", "phone:4:23"),
         ("tel:\n+4 nine 151 2345678", "phone:5:24"),
+        ("tel +1 (848) 555-1373 Un autre", "phone:4:21"),
         ("card (four one 11 1111 1111 1111)", "card:6:32"),
         ("bob at example dot museum", "email:0:25"),
         ("bob at example dot se", "email:0:21"),
