@@ -72,7 +72,7 @@ def op9_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(documents(spark, sf_dir))
-    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "chance", "kept")
+    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "chance", "kept", "residual")
 
 
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -739,6 +739,27 @@ def test_rare_cells_do_not_set_the_rate(spark):
     assert {r["source"]: round(r["c"], 3) for r in loose} == {"big": 1.0, "rare": 1.0}
 
 
+def test_other_cells_make_up_for_those_that_have_too_little(spark):
+    cells = [("a", "en", "x", 1000, 1), ("a", "de", "x", 10, 1), ("b", "en", "x", 1000, 1), ("b", "de", "x", 1000, 1)]
+    cell = spark.createDataFrame(cells, "_source string, _lang string, _topic string, tokens long, n_docs long")
+    target = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    targets = [target({"a": 0.45, "b": 0.55}), target({"en": 0.5, "de": 0.5}), target({"x": 1.0})]
+    free = mixing.raked(cell, targets)
+    assert max(r["weight"] / r["tokens"] for r in free.collect()) > 2 and mixing.residual(free) < 1e-5
+    held = mixing.raked(free.select("_source", "_lang", "_topic", "tokens", "n_docs", "weight"), targets, held=1.6)
+    assert max(r["weight"] / r["tokens"] for r in held.collect()) < 1.6 + 1e-9 and mixing.residual(held) < 1e-5
+    never = mixing.raked(free.select("_source", "_lang", "_topic", "tokens", "n_docs", "weight"), targets, held=1.2)
+    assert mixing.residual(never) > 0.01  # b can't give so much: rounds end all the same
+
+
+def test_given_tokens_count(spark):
+    rows = [(k, "word", "en", "ab"[k % 2], 1 + k % 2) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long")
+    targets = [spark.createDataFrame([("a", 0.5), ("b", 0.5)], "v string, share double"), spark.createDataFrame([("en", 1.0)], "v string, share double"), spark.createDataFrame([("list", 1.0), ("note", 1.0)], "v string, share double")]
+    out = mixing.mixed(docs, targets=targets, tokens="n").collect()
+    assert {r["source"]: round(r["chance"], 6) for r in out} == {"a": 1.0, "b": 0.5} and max(r["residual"] for r in out) < 1e-6
+
+
 # -- queries ----------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
@@ -748,6 +769,6 @@ def test_query_equals_its_sql(spark, name):
     assert rows_of(df.columns, df.collect()) == oracle(queries.ORACLE_SQL[name], "/root/testdata/sf0.001")
 
 
-def test_ten_operators_are_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
     assert os.path.exists(public_tokenizers.path(queries.RANK_FILE))
