@@ -2,13 +2,13 @@
 
 Trusted positives and unlabelled web text train a linear model by minimising the non-negative unbiased
 risk: the positives' risk weighted by the class prior, plus the unlabelled text's risk as negatives less
-that of the positives, held at zero or above. The class prior is estimated from the share of positives
-among labelled rows. Features come from the text alone.
+that of the positives, held at zero or above. The class prior is estimated from the positives and the unlabelled text
+as well, so no negative is ever asked for. Features come from the text alone.
 
 Scores are calibrated so that their mean over the unlabelled sample is the class prior. Null and empty
 texts have the features of an empty text and get a score. Training draws about ``MAX_POSITIVE`` and
 ``MAX_UNLABELLED`` rows, never twice as many, by a hash of their keys; scoring takes every row. Repeated rows get equal
-scores. Without any positives the score is the prior, 0.5 if nothing is labelled. Texts of any length are read
+scores. Without any positives every score is 0.5. Texts of any length are read
 whole. Columns other than doc_id and text are never looked at, whatever their names. Tables without rows
 give none.
 """
@@ -30,6 +30,8 @@ from .common import sliced
 
 #: Bounds of the training sample: rows of labelled positives, and rows of unlabelled text.
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
+#: Rows of each half that a class prior is estimated from, at least, and the chance that a rate is further off.
+LEAST_ROWS, DOUBT = 10, 0.1
 #: Labels of one fold of so many are held out.
 FOLDS = 5
 #: Hashed word-form features besides the measures.
@@ -153,6 +155,23 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return Model(mean, scale, w, b, prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from these two samples alone. A model of one half of each scores the
+    other half. Above any threshold lie as many unlabelled rows as positives lie there, at the least: the share is no more
+    than the ratio of both rates, and just that where no negatives score so high. Of all thresholds the one counts
+    whose ratio is least with what chance may add. With fewer than LEAST_ROWS in any half, one half."""
+    first, second = ([x[[zlib.crc32(r.tobytes()) % 2 == side for r in x]] for x in (positive, unlabelled)] for side in (0, 1))  # copies together
+    if min(map(len, (*first, *second))) < LEAST_ROWS:
+        return 0.5
+    model = fit(*first, 0.5)
+    p, u = (np.sort(model.scores(x)) for x in second)
+    at = np.unique(p)
+    of_p, of_u = (1 - np.searchsorted(x, at) / len(x) for x in (p, u))
+    chance = sum(np.sqrt(np.log(4 / DOUBT) / (2 * len(x))) for x in (p, u))
+    best = np.argmin((of_u + chance) / of_p)
+    return float(np.clip(of_u[best] / of_p[best], 0.02, 0.98))
+
+
 def held_out(key: Column) -> Column:
     """The fold that labels are never learnt from."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
@@ -173,20 +192,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fits on the folds that are not held out. ``labels``: key and label (1 or 0)."""
     learn = docs.select(key, F.col(text).alias("text")).where(~held_out(F.col(key)))
     known = labels.select(key, F.col(label).alias("_label")).where(~held_out(F.col(key)) & F.col("_label").isNotNull())
-    ones, all_ = known.agg(F.sum(F.when(F.col("_label") == 1, 1).otherwise(0)), F.count(F.lit(1))).first()
-    prior = min(0.98, max(0.02, ((ones or 0) + 1) / ((all_ or 0) + 2)))
     trusted = known.where("_label = 1").select(key).distinct()
-    n = learn.count()
+    ones, n = trusted.count(), learn.count()
 
     def drawn(rows: DataFrame, of: int, most: int) -> DataFrame:
         """Each row with the chance that makes ``most`` of them expected, by a hash of its key."""
         share = min(1 << 20, (most << 20) // max(1, of))
         return rows.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 20)) < share)
 
-    ids = drawn(known.where("_label = 1").select(key).distinct(), ones or 0, MAX_POSITIVE)
+    ids = drawn(trusted, ones, MAX_POSITIVE)
     positive = _sample(learn.join(F.broadcast(ids), key, "left_semi"), MAX_POSITIVE)  # as few ids as the bound
     unlabelled = _sample(drawn(learn, n, MAX_UNLABELLED), MAX_UNLABELLED)
-    return fit(positive, unlabelled, prior)
+    return fit(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:

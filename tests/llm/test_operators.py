@@ -383,6 +383,34 @@ def test_quality_of_odd_tables(spark, docs):
     assert pu_quality.quality(empty(spark), labels).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.1, 0.4, 0.85])
+def test_the_prior_is_that_of_a_known_mixture(share):
+    rng = np.random.default_rng(int(share * 100))
+
+    def rows(n, good):
+        x = rng.normal(size=(n, pu_quality.WIDTH)).astype(np.float32)
+        x[:, :4] += 1.5 if good else -1.0
+        return x
+
+    mixed = np.concatenate([rows(int(4000 * share), True), rows(4000 - int(4000 * share), False)])
+    got = pu_quality.class_prior(rows(1500, True), rng.permutation(mixed))
+    assert abs(got - share) < 0.08  # it errs upwards
+    assert pu_quality.class_prior(rows(15, True), mixed) == 0.5
+
+
+def test_positive_labels_alone_are_enough(spark):
+    """Negative labels change nothing: they are never learnt from."""
+    rnd = random.Random(12)
+    texts = [words(rnd, 60) if k % 3 else "".join(rnd.choice("#$%&*0123") for _ in range(300)) for k in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    ones = [(k, 1) for k in range(600) if k % 3 and k % 2]
+    with_zeros = ones + [(k, 0) for k in range(600) if k % 3 == 0]
+    models = [pu_quality.train(docs, spark.createDataFrame(x, "doc_id long, quality int")) for x in (ones, with_zeros)]
+    assert models[0].prior == models[1].prior and abs(models[0].prior - 2 / 3) < 0.1
+    scores = models[0].scores(pu_quality.matrix(texts))
+    assert all((s >= 0.3) == bool(k % 3) for k, s in enumerate(scores))
+
+
 # -- 6 ----------------------------------------------------------------------------------------
 def test_compaction_keeps_rows_and_versions(spark, docs):
     table = compaction.ShardedTable(spark, scratch_path(spark, "t"), docs.schema, target_bytes=1 << 20)
