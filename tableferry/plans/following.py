@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import incremental, load
 from ..operators.mapping import dedup_last
-from ..run import History, run_mapping, run_sync
+from ..run import History, reconcile_mapping, run_job, run_mapping, run_sync
 from ..sources import scan
 from ..spec import ColumnMapping, Job, Mapping, Strategy
 from ..storage import SnapshotTable, new_root
@@ -268,3 +268,80 @@ def file_skipping(spark, sf_dir):
     late = table.read(where=since).where("ts > TIMESTAMP_NTZ '2024-01-25'")
     found = late.unionByName(by_key.join(last, "event_id", "left_semi"), allowMissingColumns=True).dropDuplicates(["event_id"])
     return found.select("event_id", "user_id", "value", *facts)
+
+
+@query(f"WITH t AS ({_TILES}), n AS (SELECT count(*) AS n, count(*) FILTER (tile <= 2) AS half FROM t) SELECT 'r1' AS run_id, half AS n_read, half AS n_inserted, 0 AS n_updated, 0 AS n_rejected, 0 AS base_rows, n AS n_total, round(100.0 * half / n, 3) AS percent FROM n UNION ALL SELECT 'r2', n - half, n - half, 0, 0, half, n, 100.0 FROM n")
+def run_totals_resumed(spark, sf_dir):
+    """What the history says of a load that stopped after two of four ranges, and of the run that went on."""
+    scan.tables(spark, sf_dir, "events")
+    table, history, seen = event_table(spark), History(spark, new_root(spark, "runs")), []
+
+    def stop(task, counts):
+        seen.append(task)
+        if len(seen) == 2:
+            raise Stopped(task)
+
+    job = Job("events", (EVENT,), Strategy(workers=4))
+    run_job(spark, job, {"event": table}, "r1", SECOND, history=history, on_task=stop)
+    run_job(spark, job, {"event": table}, "r2", SECOND, resume=True, history=history)
+    return history.totals()
+
+
+_CYCLES = [(1, "ts <= TIMESTAMP '2024-01-08'"), (2, "ts > TIMESTAMP '2024-01-08' AND ts <= TIMESTAMP '2024-01-18'"), (3, "ts > TIMESTAMP '2024-01-18' AND ts <= TIMESTAMP '2024-01-25'")]
+
+
+@query("WITH c AS (" + " UNION ALL ".join(f"SELECT 's-{k}' AS run_id, count(*) AS n_read, count(*) AS n_inserted, 0 AS n_updated, 0 AS n_rejected FROM events WHERE {w}" for k, w in _CYCLES) + ") SELECT *, CAST(sum(n_read) OVER (ORDER BY run_id) AS BIGINT) AS total_read, CAST(sum(n_inserted) OVER (ORDER BY run_id) AS BIGINT) AS total_inserted, 0 AS total_updated, 0 AS total_rejected FROM c")
+def cycle_totals(spark, sf_dir):
+    """Cycles of a sync up to three lagging bounds, with running totals, from its history."""
+    scan.tables(spark, sf_dir, "events")
+    table, history = event_table(spark), History(spark, new_root(spark, "runs"))
+    times = [x + dt.timedelta(seconds=300) for x in (FIRST, SECOND, dt.datetime(2024, 1, 25))]
+    calls: list[float] = []
+    m = dataclasses.replace(EVENT, checkpoint="ts")
+    job = Job("events", (m,), Strategy("SYNC", lag_seconds=300, max_hours=0))
+    run_sync(spark, job, {"event": table}, "s", clock=lambda: times[min(len(calls), 2)], wait=calls.append, stopped=lambda: len(calls) == 3, history=history)
+    return history.cycles("event")
+
+
+@query("SELECT 'bounded' AS run, '2024-01-08 00:00:00' AS watermark, (SELECT count(*) FROM events WHERE ts <= TIMESTAMP '2024-01-08') AS n_target UNION ALL SELECT 'failed', '2024-01-08 00:00:00', (SELECT count(*) FROM events WHERE ts <= TIMESTAMP '2024-01-08') UNION ALL SELECT 'no_rows', '2024-01-18 00:00:00', (SELECT count(*) FROM events WHERE ts <= TIMESTAMP '2024-01-08') UNION ALL SELECT 'by_key', (SELECT CAST(max(event_id) AS VARCHAR) FROM events), (SELECT count(*) FROM events)")
+def watermark_runs(spark, sf_dir):
+    """The watermark that each kind of run leaves: a bounded one its bound, a failed one the old one, one without rows its
+    bound all the same, and one by a number the last key."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows.createOrReplaceTempView("events")
+    rows.where("ts <= TIMESTAMP '2024-01-08'").createOrReplaceTempView("few_events")
+    strategy = Strategy("INCREMENTAL", lag_seconds=300)
+    by_time = dataclasses.replace(EVENT, checkpoint="ts", table="few_events")
+    table, keyed, out = event_table(spark), event_table(spark), []
+
+    def ran(name, m, t, now):
+        run_job(spark, Job("events", (m,), strategy), {"event": t}, name, now + dt.timedelta(seconds=300))
+        out.append(t.read().agg(F.lit(name).alias("run"), F.lit(t.manifest()["watermark"]).alias("watermark"), F.count(F.lit(1)).alias("n_target")))
+
+    ran("bounded", by_time, table, FIRST)
+    ran("failed", dataclasses.replace(by_time, where="no_such_column > 1"), table, SECOND)
+    ran("no_rows", by_time, table, SECOND)
+    ran("by_key", EVENT, keyed, SECOND)
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+_MARKS = "SELECT count(*) FILTER (user_id % 16 = 3) AS gone, count(*) FILTER (user_id % 16 <> 3) AS kept, count(*) AS n FROM events"
+
+
+@query(f"WITH e AS ({_MARKS}) SELECT 'unapproved' AS setting, gone AS n_mark, 0 AS n_marked, false AS blocked FROM e UNION ALL SELECT 'ratio', gone, 0, true FROM e UNION ALL SELECT 'limit', gone, 0, true FROM e UNION ALL SELECT 'empty source', n, 0, true FROM e UNION ALL SELECT 'approved', gone, gone, false FROM e UNION ALL SELECT 'again', 0, 0, false FROM e")
+def reconcile_settings(spark, sf_dir):
+    """Reconciliation of rows that left the source: without approval, over the share, over the limit, against an empty
+    source, approved, and once more."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = event_table(spark, marked=True)
+    table.insert(rows.select("event_id", "user_id", "event_type", "value", F.lit("N").alias("del_yn")))
+    rows.where(f"NOT ({_GONE})").createOrReplaceTempView("kept_events")
+    rows.limit(0).createOrReplaceTempView("no_events")
+    m = dataclasses.replace(EVENT, table="kept_events", delete_mode="MARK", mark_column="del_yn", delete_approved=True)
+    wide = Strategy(delete_ratio=0.5)
+    cases = [
+        ("unapproved", dataclasses.replace(m, delete_approved=False), wide), ("ratio", m, Strategy(delete_ratio=0.0001)), ("limit", m, Strategy(delete_ratio=0.5, most_marks=11)),
+        ("empty source", dataclasses.replace(m, table="no_events"), wide), ("approved", m, wide), ("again", m, wide),
+    ]
+    found = [(name, said["n_mark"], said["n_marked"], said["blocked"] is not None) for name, x, s in cases for said in [reconcile_mapping(spark, x, table, s)]]
+    return spark.createDataFrame(found, "setting string, n_mark bigint, n_marked bigint, blocked boolean")

@@ -174,7 +174,7 @@ def run_history(spark, sf_dir):
     history = History(spark, new_root(spark, "runs"))
     run_job(spark, job, {"member": m.table(), "nowhere": m.table()}, "r2", dt.datetime.fromisoformat(RUN_TS), history=history)
     said = F.when(F.col("task") == "nowhere", F.lit("error")).otherwise(F.col("message"))
-    return history.latest().select("run_id", "task", "status", "n_read", "n_inserted", "n_updated", "n_rejected", said.alias("message"))
+    return history.latest().where("NOT contains(task, '#')").select("run_id", "task", "status", "n_read", "n_inserted", "n_updated", "n_rejected", said.alias("message"))
 
 
 ORDER = "l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash32, normalised_key
 from ..operators import catalog as cat
-from ..operators import hashtree, load, profile, reconcile, validate
+from ..operators import fileprofile, hashtree, load, profile, reconcile, validate
 from ..sources.scan import sample_n, tables
 from ..storage import SnapshotTable, new_root
 from .fixtures import MEMBER, MERGED, SRC, WITH, members
@@ -171,6 +171,51 @@ def row_hash_diff(spark, sf_dir):
     return left.join(right, "o_orderkey").where("x <> y").select("o_orderkey", "held", "wanted")
 
 
+def _merged_sql(c: str, text: bool) -> str:
+    size = f"CAST(max(length({c})) AS INTEGER)" if text else "CAST(NULL AS INTEGER)"
+    return f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_null, {size} AS max_chars, true AS distinct_near, true AS median_near, 2 AS files_anew FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey, o_totalprice, o_orderpriority FROM orders)"
+
+
+@query(" UNION ALL ".join(_merged_sql(c, c == "o_orderpriority") for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")))
+def merged_profile(spark, sf_dir):
+    """A table's profile from sketches of its files. After two more files only those are read; counts are exact, and
+    estimates are near the exact values (5 % of distinct values, 3 % of ranks)."""
+    rows = frame(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey"), "o_totalprice", "o_orderpriority")
+    table = SnapshotTable(spark, new_root(spark, "orders"), ["o_orderkey"], buckets=4)
+    table.commit(rows.where("o_orderkey % 3 = 0"))
+    fileprofile.update(table)
+    for k in (1, 2):
+        table.insert(rows.where(f"o_orderkey % 3 = {k}").coalesce(1))
+    anew = {f["seq"] for f in table.files()} - {1}
+    found = fileprofile.merged(table)
+    distinct = profile.column_profile(rows).select("column_name").join(cat.stats(rows, "orders", exact=True), "column_name").select("column_name", F.col("n_distinct").alias("exact"))
+    ranks = rows.agg(*(F.array(F.percentile_approx(c, 0.47, 10000), F.percentile_approx(c, 0.53, 10000)).alias(c) for c in ("o_orderkey", "o_custkey", "o_totalprice")))
+    bounds = ranks.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c)[0].cast("double").alias("low"), F.col(c)[1].cast("double").alias("high")) for c in ranks.columns))).alias("b")).select("b.*")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact"))
+    middle = F.col("median").isNull() | F.col("median").between(F.col("low"), F.col("high"))
+    return found.join(distinct, "column_name").join(bounds, "column_name", "left").select("column_name", "n_rows", "n_null", "max_chars", near.alias("distinct_near"), middle.alias("median_near"), F.lit(len(anew)).alias("files_anew"))
+
+
+@query("SELECT x.percent, true AS about, true AS few_files, true AS own_rows FROM (VALUES (5), (20), (60)) x(percent), (SELECT count(*) AS n FROM lineitem) l WHERE l.n > 0")
+def sample_blocks(spark, sf_dir):
+    """Whole files of a table as samples of 5, 20 and 60 percent: about so many rows, of no more files than it takes,
+    each as the table has it."""
+    rows = frame(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_shipdate").dropDuplicates(["id"])
+    table = SnapshotTable(spark, new_root(spark, "lines"), ["id"], buckets=64, bucket_bytes=1 << 30)
+    table.commit(rows.limit(0))
+    for k in range(8):  # arrivals of their own files
+        table.insert(rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(8)) == k))
+    everything, files, out = table.read(), table.files(), []
+    n = sum(f["rows"] for f in files)
+    least = max(f["rows"] for f in files)
+    for percent in (5, 20, 60):
+        some = table.sample(percent)
+        m, own = some.count(), some.join(everything, some.columns, "left_semi").count()
+        opened = len(some.inputFiles())
+        out.append((percent, percent / 100 * n <= m <= percent / 100 * n + least, opened <= len(files) * percent / 100 + 2, own == m))
+    return spark.createDataFrame(out, "percent int, about boolean, few_files boolean, own_rows boolean")
+
+
 # -- reconciliation ---------------------------------------------------------------------------
 DIFF = """s AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0),
     d AS (SELECT coalesce(s.k, t.member_id) AS k, CASE WHEN s.k IS NULL AND t.del_yn = 'N' THEN 'mark' WHEN s.k IS NOT NULL AND t.del_yn = 'Y' THEN 'unmark'

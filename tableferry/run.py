@@ -17,6 +17,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions.text import normalised_key
 from .operators import incremental, load, reconcile
@@ -27,6 +28,8 @@ from .storage import Files, SnapshotTable
 
 CP = "__cp"
 COUNTS = ("n_read", "n_inserted", "n_updated", "n_rejected")
+#: What a range's event says of the whole load: rows read before this run, and rows there are.
+SCOPE = ("base_rows", "n_total")
 #: A sync gives up after so many transient failures in a row; it waits for half an hour at most in between.
 MOST_FAILURES, LONGEST_WAIT = 5, 1800.0
 #: Seconds before each new try of a mapping under the RETRY policy.
@@ -42,7 +45,7 @@ def transient(error: Exception) -> bool:
 class History:
     """Runs and their tasks: an event is a small file of JSON, and the latest of each task counts. Many are joined."""
 
-    SHAPE = "run_id string, task string, status string, mode string, n_read bigint, n_inserted bigint, n_updated bigint, n_rejected bigint, message string, seq bigint"
+    SHAPE = "run_id string, task string, status string, mode string, n_read bigint, n_inserted bigint, n_updated bigint, n_rejected bigint, base_rows bigint, n_total bigint, message string, seq bigint"
     MOST = 500
 
     def __init__(self, spark: SparkSession, root: str):
@@ -50,7 +53,7 @@ class History:
 
     def put(self, run_id: str, task: str, status: str, mode: str, counts: dict[str, Any] | None = None, message: str | None = None) -> None:
         row = {"run_id": run_id, "task": task, "status": status, "mode": mode, "message": message, "seq": time.time_ns()}
-        self.files.write(f"{row['seq']}-{uuid.uuid4().hex[:8]}.json", json.dumps(row | {c: int((counts or {}).get(c) or 0) for c in COUNTS}) + "\n")
+        self.files.write(f"{row['seq']}-{uuid.uuid4().hex[:8]}.json", json.dumps(row | {c: int((counts or {}).get(c) or 0) for c in (*COUNTS, *SCOPE)}) + "\n")
 
     def join(self) -> None:
         """Many files as one. An event that is in two files counts once, so this may stop anywhere."""
@@ -64,7 +67,23 @@ class History:
         return self.spark.read.schema(self.SHAPE).json(self.files.folder).distinct()
 
     def latest(self) -> DataFrame:
-        return self.events().groupBy("run_id", "task").agg(*(F.max_by(c, "seq").alias(c) for c in ("status", "mode", *COUNTS, "message")))
+        return self.events().groupBy("run_id", "task").agg(*(F.max_by(c, "seq").alias(c) for c in ("status", "mode", *COUNTS, *SCOPE, "message")))
+
+    def totals(self) -> DataFrame:
+        """run_id, the sums of what its tasks read and wrote, and percent: of all rows of the loads that were split, what
+        has been read by then, with the runs before that it resumed."""
+        done = self.latest().where("status = 'done'")
+        parts = done.where("contains(task, '#')")
+        whole = F.sum("n_total") / F.count(F.lit(1))  # each range tells the rows of all
+        by_load = parts.groupBy("run_id", F.split("task", "#")[0].alias("task")).agg(*(F.sum(c).alias(c) for c in COUNTS), F.max("base_rows").alias("base_rows"), whole.cast("bigint").alias("n_total"))
+        rows = by_load.groupBy("run_id").agg(*(F.sum(c).alias(c) for c in (*COUNTS, *SCOPE)))
+        return rows.withColumn("percent", F.round(100.0 * (F.col("base_rows") + F.col("n_read")) / F.col("n_total"), 3))
+
+    def cycles(self, task: str) -> DataFrame:
+        """run_id, what each cycle of a sync read and wrote, and running totals in their order: a row a cycle."""
+        done = self.events().where((F.col("task") == task) & (F.col("status") == "done"))
+        order = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        return done.select("run_id", *COUNTS, *(F.sum(c).over(order).alias(f"total_{c[2:]}") for c in COUNTS))
 
 
 def in_order(mappings: Sequence[Mapping]) -> list[Mapping]:
@@ -199,7 +218,7 @@ def run_mapping(
         counts, state = _load(part_of(rows, mapping, task), mapping, table, state, run_id, now, dry, task, facts)
         totals |= {c: totals[c] + counts[c] for c in COUNTS}
         if on_task and not dry:
-            on_task(task["task"], counts)
+            on_task(task["task"], counts | {"base_rows": totals["base_rows"], "n_total": sum(t["rows_total"] or 0 for t in tasks)})
     return totals
 
 
@@ -216,14 +235,15 @@ def reconcile_mapping(spark: SparkSession, mapping: Mapping, table: SnapshotTabl
     wanted, held = mapped.select(key.alias("k")), target.select(key.alias("k"), F.coalesce(F.col(mapping.mark_column) == "Y", F.lit(False)).alias("marked"), F.struct(*mapping.key).alias("key"))
     diff = reconcile.key_diff(wanted, held).persist()
     try:
-        found = reconcile.cap(diff, wanted, held, strategy.delete_ratio, reconcile.MOST).first().asDict()
+        most = min(strategy.most_marks, reconcile.MOST)
+        found = reconcile.cap(diff, wanted, held, strategy.delete_ratio, most).first().asDict()
         blocked = None
         if found["n_mark"] > 0 and found["n_source"] == 0:
             blocked = "the source has no keys"
         elif found["n_mark"] > found["allowed"]:
             blocked = f"{found['n_mark']} rows to mark are over the cap of {found['allowed']}"
-        elif found["n_mark"] + found["n_unmark"] > reconcile.MOST:
-            blocked = f"more than {reconcile.MOST} rows to change at once"
+        elif found["n_mark"] + found["n_unmark"] > most:
+            blocked = f"more than {most} rows to change at once"
         done = not dry and mapping.delete_approved and blocked is None
         if done and found["n_mark"] + found["n_unmark"]:
             reconcile.mark(table, diff, mapping.mark_column, state)
@@ -243,6 +263,13 @@ def run_job(
     mode = "DRY" if dry else "RESUME" if resume else job.strategy.mode
     note = (lambda *a: history.put(run_id, a[0], a[1], mode, *a[2:])) if history and not dry else lambda *a: None
     note(job.name, "running")
+
+    def range_done(task: str, counts: dict[str, Any]) -> None:
+        if "#" in task:
+            note(task, "done", counts)
+        if on_task:
+            on_task(task, counts)
+
     for m in in_order(job.mappings):
         if job.strategy.error_policy == "STOP" and any(r["status"] == "failed" for r in out.values()):
             out[m.target] = {"status": "skipped"}
@@ -251,7 +278,7 @@ def run_job(
         note(m.target, "running")
         for attempt, delay in enumerate((*(RETRIES if job.strategy.error_policy == "RETRY" else ()), None)):
             try:
-                out[m.target] = run_mapping(spark, m, tables[m.target], job.strategy, run_id, now, dry, resume or attempt > 0, on_task) | {"status": "done"}
+                out[m.target] = run_mapping(spark, m, tables[m.target], job.strategy, run_id, now, dry, resume or attempt > 0, range_done) | {"status": "done"}
                 if not dry:
                     tables[m.target].fold()
                     tables[m.target].vacuum(job.strategy.keep_versions, job.strategy.keep_hours)

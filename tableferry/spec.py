@@ -78,6 +78,7 @@ class Strategy:
     lag_seconds: int = 300
     reconcile_minutes: int = 60
     delete_ratio: float = 0.1
+    most_marks: int = 200_000
     error_policy: str = "CONTINUE"
     keep_versions: int = 20
     keep_hours: float = 24.0

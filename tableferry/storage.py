@@ -17,6 +17,7 @@ keys or of late rows open few files.
 from __future__ import annotations
 
 import decimal
+import hashlib
 import json
 import os
 import tempfile
@@ -326,25 +327,27 @@ class SnapshotTable:
             out = out.groupBy(*key).agg(*last)
         return out, {c: k for k, cs in enumerate(classes) for c in cs}
 
-    def _resolved(self, live: list[dict[str, Any]], schema: StructType, key: list[str]) -> DataFrame:
-        """Base rows with what deltas say of their keys, and the rows of keys that only deltas have."""
+    def _resolved(self, live: list[dict[str, Any]], schema: StructType, key: list[str], fresh: bool = True) -> DataFrame:
+        """Base rows with what deltas say of their keys and, unless told otherwise, the rows of keys that only deltas have."""
         base, deltas = self._scan([f for f in live if f["columns"] is None], schema), [f for f in live if f["columns"] is not None]
         if not deltas:
             return base
         late, of = self._deltas(deltas, schema, key)
         late = late.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(key)), *(c for c in late.columns if c.startswith("_v")))
-        fresh = [(F.col(f"_k{key.index(c)}") if c in key else F.col(f"_v{of[c]}")[c] if c in of else F.lit(None).cast(schema[c].dataType)).alias(c) for c in schema.names]
+        made = [(F.col(f"_k{key.index(c)}") if c in key else F.col(f"_v{of[c]}")[c] if c in of else F.lit(None).cast(schema[c].dataType)).alias(c) for c in schema.names]
         put = lambda c: F.when(F.col(f"_v{of[c]}").isNotNull(), F.col(f"_v{of[c]}")[c]).otherwise(F.col(c)).alias(c) if c in of else F.col(c)
         same = self._equal(key)
+        if not fresh:
+            return base.join(late, same, "left").select(*map(put, schema.names))
         limit = self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
         if sum(f["bytes"] for f in deltas) <= limit:
             # Deltas that are broadcast: base rows stay where they are, and their keys are looked at once more.
             held = base.select(*key).join(late, same, "left_semi").distinct()
             rows = base.join(late, same, "left").select(*map(put, schema.names))
-            rows = rows.unionByName(late.join(held, same, "left_anti").select(*fresh))
+            rows = rows.unionByName(late.join(held, same, "left_anti").select(*made))
         else:
             both = base.withColumn("_old", F.lit(True)).join(late, same, "full_outer")
-            new = [F.when(F.col("_old"), p).otherwise(x).alias(c) for c, p, x in zip(schema.names, map(put, schema.names), fresh, strict=True)]
+            new = [F.when(F.col("_old"), p).otherwise(x).alias(c) for c, p, x in zip(schema.names, map(put, schema.names), made, strict=True)]
             rows = both.select(*new)
         if loose := [f for f in deltas if f["loose"]]:
             for f in loose:
@@ -359,6 +362,22 @@ class SnapshotTable:
             out = out & (F.col(c) == F.col(f"_k{k}"))
         return out
 
+    def sample(self, percent: float, seed: str = "s") -> DataFrame:
+        """About so many of a hundred rows: whole files, taken in the order of a hash of what they hold until there are
+        enough. The others aren't opened, so bytes read fall with the percentage. As rows lie in files by a hash of their
+        key, a file is no special part of the table. Rows that only deltas have aren't among them."""
+        said = self.manifest()
+        live = self.files(said)
+        base = [f for f in live if f["columns"] is None]
+        base.sort(key=lambda f: hashlib.md5(json.dumps([f["rows"], f["buckets"], f["low"], f["high"], seed]).encode()).digest())
+        wanted, taken = percent / 100 * sum(f["rows"] for f in base), []
+        for f in base:
+            if wanted <= 0:
+                break
+            taken.append(f)
+            wanted -= f["rows"]
+        return self._resolved(taken + [f for f in live if f["columns"] is not None], self._schema(said), said["key"], fresh=False)
+
     # -- writing ----------------------------------------------------------------------------------
     def _write(self, rows: DataFrame, said: dict[str, Any], columns: list[str] | None = None) -> list[dict[str, Any]]:
         """Rows in new files. A bucket's lie together; a large one is split over tasks, small ones share a task, and
