@@ -1,7 +1,8 @@
 """Catalog frames, matching of tables and columns between two catalogs, and type compatibility.
 
 A catalog frame has a row for each column: table_name, kind (TABLE or VIEW), column_name, data_type, ordinal,
-nullable. Files carry no keys, so primary and foreign keys are declared, and can be held against the rows.
+nullable. Files carry no keys, so primary and foreign keys are declared, and can be held against the rows; a database
+is asked for them.
 """
 
 from __future__ import annotations
@@ -41,6 +42,51 @@ def with_keys(spark: SparkSession, columns: DataFrame, keys: list[Key]) -> DataF
     return columns.join(F.broadcast(pk), on, "left").join(F.broadcast(fk), on, "left")  # declared keys are few
 
 
+def of_database(spark: SparkSession, url: str, schema: str | None = None, **options: str) -> tuple[DataFrame, list[Key]]:
+    """The columns of a database's tables and views, with types as declared, and its primary and foreign keys, by JDBC
+    metadata: a row a column, whatever the tables hold. ``options``: user, password, and what else the driver takes."""
+    properties = spark._jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, v)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        meta = connection.getMetaData()
+
+        def rows(found, *columns: str) -> list[tuple]:
+            out = []
+            while found.next():
+                out.append(tuple(found.getObject(c) for c in columns))
+            found.close()
+            return out
+
+        wanted = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 2)
+        wanted[0], wanted[1] = "TABLE", "VIEW"
+        kinds = dict(rows(meta.getTables(None, schema, "%", wanted), "TABLE_NAME", "TABLE_TYPE"))
+        columns, keys = [], []
+        for t, c, kind, size, scale, ordinal, nullable in rows(meta.getColumns(None, schema, "%", "%"), "TABLE_NAME", "COLUMN_NAME", "TYPE_NAME", "COLUMN_SIZE", "DECIMAL_DIGITS", "ORDINAL_POSITION", "NULLABLE"):
+            if t in kinds:
+                columns.append((t, kinds[t], c, declared(kind, size, scale), ordinal, nullable != 0))
+        for t in sorted(kinds):
+            own = sorted(rows(meta.getPrimaryKeys(None, schema, t), "KEY_SEQ", "COLUMN_NAME"))
+            if own:
+                keys.append((t, [c for _, c in own], None, None))
+            foreign: dict[tuple, list[tuple]] = {}
+            for name, parent, seq, c, pc in rows(meta.getImportedKeys(None, schema, t), "FK_NAME", "PKTABLE_NAME", "KEY_SEQ", "FKCOLUMN_NAME", "PKCOLUMN_NAME"):
+                foreign.setdefault((name, parent), []).append((seq, c, pc))
+            keys += [(t, [c for _, c, _ in sorted(x)], parent, [pc for *_, pc in sorted(x)]) for (_, parent), x in sorted(foreign.items(), key=str)]
+    finally:
+        connection.close()
+    return spark.createDataFrame(columns, CATALOG), keys
+
+
+def declared(kind: str, size: int | None, scale: int | None) -> str:
+    """A type's text with its length, or its digits and decimals."""
+    kind = kind.lower().replace("numeric", "decimal")
+    if kind.endswith(("char", "varchar", "varchar2", "raw")) and size:
+        return f"{kind}({size})"
+    return f"{kind}({size},{scale or 0})" if kind in ("decimal", "number") and size else kind
+
+
 def held_keys(frames: Mapping[str, DataFrame], keys: list[Key]) -> DataFrame:
     """table_name, kind, columns, refers_to, n_bad: rows against each declared key, as repeated keys or orphans."""
     out = []

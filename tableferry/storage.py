@@ -191,7 +191,7 @@ class SnapshotTable:
         return self._known[name]
 
     def files(self, version: int | dict[str, Any] | None = None) -> list[dict[str, Any]]:
-        """The files of a version: path, rows, loose (rows without a whole key), bytes, buckets and of how many, columns
+        """The files of a version: path, of (files of its folder), rows, loose (rows without a whole key), bytes, buckets and of how many, columns
         (of a delta, else None), low, high, seq."""
         said = version if isinstance(version, dict) else self.manifest(version)
         live: dict[str, dict[str, Any]] = {}
@@ -298,7 +298,11 @@ class SnapshotTable:
         return self.read(said["version"], buckets, where), buckets
 
     def _scan(self, files: list[dict[str, Any]], schema: StructType) -> DataFrame:
-        paths = [f"{self.root}/{f['path']}" for f in files]
+        held: dict[str, list[dict[str, Any]]] = {}
+        for f in files:
+            held.setdefault(f["path"].rsplit("/", 1)[0], []).append(f)
+        # A folder all of whose files are wanted is listed once.
+        paths = [f"{self.root}/{p}" for folder, some in held.items() for p in ([folder] if len(some) == some[0]["of"] else [f["path"] for f in some])]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _deltas(self, deltas: list[dict[str, Any]], schema: StructType, key: list[str]) -> tuple[DataFrame, dict[str, int]]:
@@ -407,12 +411,13 @@ class SnapshotTable:
         found = rows.groupBy("_metadata.file_name", "_metadata.file_size").agg(
             F.count(F.lit(1)).alias("n"), F.count(F.when(~whole, 1)).alias("loose"), F.collect_set(self.bucket(rows, said)).alias("held"), *bounds
         )
+        found = found.collect()
         return [
             {
-                "path": f"{folder}/{r['file_name']}", "rows": r["n"], "loose": r["loose"] if key else 0, "bytes": r["file_size"], "n": said["buckets"], "buckets": sorted(r["held"]),
+                "path": f"{folder}/{r['file_name']}", "of": len(found), "rows": r["n"], "loose": r["loose"] if key else 0, "bytes": r["file_size"], "n": said["buckets"], "buckets": sorted(r["held"]),
                 "columns": columns, "low": {c: r[f"low_{k}"] for k, c in enumerate(watched)}, "high": {c: r[f"high_{k}"] for k, c in enumerate(watched)},
             }
-            for r in found.collect()
+            for r in found
         ]
 
     def _overtaken(self, base: dict[str, Any], now: dict[str, Any], gone: set[str], depends: Iterable[int] | None, facts: dict[str, Any]) -> None:
