@@ -10,12 +10,13 @@ Rows lie in buckets by a hash of their key. Inserting adds files. Merging adds a
 that were written, with the number of its version; readers put the last written value of each column in place, and
 ``fold`` makes base files of them later. The number of buckets grows with the table (linear hashing), while files
 that were written before stay as they are: a bucket is found in the files of the bucket it was split from. Each file
-is listed with its rows, bytes, buckets and the least and greatest values of its key and time columns, so reads of few
-keys or of late rows open few files.
+is listed with its rows, bytes, buckets and the least and greatest values of its key and time columns, and a small one with
+a filter of its keys, so reads of few keys or of late rows open few files.
 """
 
 from __future__ import annotations
 
+import base64
 import decimal
 import hashlib
 import json
@@ -23,6 +24,7 @@ import os
 import tempfile
 import time
 import uuid
+import zlib
 from collections.abc import Iterable
 from typing import Any
 
@@ -38,6 +40,8 @@ MOST_LISTS, RECENT = 64, 200
 MOST_TASKS = 16_384
 #: Rows of a file that tell how large a row is.
 TELLING = 10_000
+#: Bits of a filter of keys, and rows of a file that has one: with more it would tell little.
+FILTER_BITS, FILTER_ROWS = 8 * 4096, 8192
 #: Facts of which two writers can't both be right.
 GUARDED = ("watermark", "batch_id", "tasks")
 #: File systems whose rename isn't one step that fails where the name is taken.
@@ -192,7 +196,7 @@ class SnapshotTable:
 
     def files(self, version: int | dict[str, Any] | None = None) -> list[dict[str, Any]]:
         """The files of a version: path, of (files of its folder), rows, loose (rows without a whole key), bytes, buckets and of how many, columns
-        (of a delta, else None), low, high, seq."""
+        (of a delta, else None), filter (which bits its keys have, of small files), low, high, seq."""
         said = version if isinstance(version, dict) else self.manifest(version)
         live: dict[str, dict[str, Any]] = {}
         for name, seq in said["lists"]:
@@ -215,6 +219,14 @@ class SnapshotTable:
         key, n = said["key"], n or said["buckets"]
         if n == 1 or not key:
             return F.lit(0)
+        h = F.when(self._whole(key), F.xxhash64(*self._typed(rows, said))).otherwise(F.xxhash64(*rows.columns))
+        half = 1 << (n.bit_length() - 1)
+        at = F.pmod(h, F.lit(2 * half))
+        return F.when(at < n, at).otherwise(at - half).cast("int")
+
+    @staticmethod
+    def _typed(rows: DataFrame, said: dict[str, Any]) -> list[Column]:
+        """The key's columns in the table's types."""
         types = {f.name: f.dataType for f in StructType.fromJson(said["schema"])} if said["schema"] else {}
 
         def same(c: str) -> Column:
@@ -222,10 +234,11 @@ class SnapshotTable:
             kind = types[c].simpleString() if c in types else dict(rows.dtypes)[c]
             return x + 0.0 if kind in ("double", "float") else x  # -0.0 and 0.0 are one key
 
-        h = F.when(self._whole(key), F.xxhash64(*map(same, key))).otherwise(F.xxhash64(*rows.columns))
-        half = 1 << (n.bit_length() - 1)
-        at = F.pmod(h, F.lit(2 * half))
-        return F.when(at < n, at).otherwise(at - half).cast("int")
+        return [same(c) for c in said["key"]]
+
+    def _bit(self, rows: DataFrame, said: dict[str, Any]) -> Column:
+        """The bit of a row's key in the filters of small files; NULL without a whole key."""
+        return F.when(self._whole(said["key"]), F.pmod(F.xxhash64(*self._typed(rows, said), F.lit(1)), F.lit(FILTER_BITS)))
 
     @staticmethod
     def _whole(key: Iterable[str]) -> Column:
@@ -241,12 +254,15 @@ class SnapshotTable:
         return sorted(r[0] for r in rows.select(self.bucket(rows, said)).distinct().collect())
 
     # -- reading ----------------------------------------------------------------------------------
-    def read(self, version: int | None = None, buckets: Iterable[int] | None = None, where: dict[str, tuple[Any, Any]] | None = None) -> DataFrame:
+    def read(
+        self, version: int | None = None, buckets: Iterable[int] | None = None, where: dict[str, tuple[Any, Any]] | None = None, bits: set[int] | None = None
+    ) -> DataFrame:
         """The rows of a version, or those in some of its buckets. ``where``: for columns the least and greatest value
-        that the caller looks for (or None); files without any are left out, rows aren't filtered."""
+        that the caller looks for (or None), and ``bits``: those of keys; files without any are left out, rows aren't
+        filtered."""
         said = self.manifest(version)
         schema = self._schema(said)
-        live = self.wanted(said, buckets, where)
+        live = self.wanted(said, buckets, where, bits)
         rows = self._resolved(live, schema, said["key"])
         if buckets is None or said["buckets"] == 1:
             return rows
@@ -255,9 +271,13 @@ class SnapshotTable:
             return rows
         return rows.where(self.bucket(rows, said).isin(sorted(held)))
 
-    def wanted(self, said: dict[str, Any], buckets: Iterable[int] | None = None, where: dict[str, tuple[Any, Any]] | None = None) -> list[dict[str, Any]]:
+    def wanted(
+        self, said: dict[str, Any], buckets: Iterable[int] | None = None, where: dict[str, tuple[Any, Any]] | None = None, bits: set[int] | None = None
+    ) -> list[dict[str, Any]]:
         """Files that may hold rows of the buckets with such values. A column that a delta has written can't tell."""
         live = self.files(said)
+        if bits is not None:
+            live = [f for f in live if not f["filter"] or self._passes(f["filter"], bits)]
         if buckets is not None:
             held = list(buckets)
             live = [f for f in live if meet(f["buckets"], f["n"], held, said["buckets"])]
@@ -276,6 +296,11 @@ class SnapshotTable:
             live = [f for f in live if may(f)]
         return live
 
+    @staticmethod
+    def _passes(filter_: str, bits: set[int]) -> bool:
+        held = zlib.decompress(base64.b64decode(filter_))
+        return any(held[b // 8] >> b % 8 & 1 for b in bits)
+
     def _bounds(self, where: dict[str, tuple[Any, Any]], types: dict[str, str]) -> dict[str, list[Any]]:
         """Values to look for, in the form that files have theirs."""
         if not where:
@@ -286,16 +311,18 @@ class SnapshotTable:
 
     def near(self, rows: DataFrame, said: dict[str, Any] | None = None) -> tuple[DataFrame, list[int]]:
         """Rows of the table (of a version that is at hand) that may share a key with ``rows``, and their buckets: one
-        pass over the keys of ``rows``, then the files in whose buckets and between whose least and greatest key they lie."""
+        pass over the keys of ``rows``, then the files in whose buckets and between whose least and greatest key they lie;
+        of small files only those whose filter has one of the keys."""
         said = said or self.manifest()
         schema = self._schema(said)
         some = rows.where(self._whole(said["key"]))
         keys = [c for c in said["key"] if ordered(schema[c].dataType.simpleString())]
         bounds = [f(F.col(c).cast(schema[c].dataType)) for c in keys for f in (F.min, F.max)]
-        found = some.agg(F.collect_set(self.bucket(some, said)), *bounds).first()
+        bits = F.collect_set(self._bit(some, said)) if said["key"] else F.array()
+        found = some.agg(F.collect_set(self.bucket(some, said)), bits, *bounds).first()
         buckets = sorted(found[0])
-        where = {c: (found[1 + 2 * k], found[2 + 2 * k]) for k, c in enumerate(keys)}
-        return self.read(said["version"], buckets, where), buckets
+        where = {c: (found[2 + 2 * k], found[3 + 2 * k]) for k, c in enumerate(keys)}
+        return self.read(said["version"], buckets, where, set(found[1]) if said["key"] else None), buckets
 
     def _scan(self, files: list[dict[str, Any]], schema: StructType) -> DataFrame:
         held: dict[str, list[dict[str, Any]]] = {}
@@ -408,14 +435,16 @@ class SnapshotTable:
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
         whole = self._whole(key)
         bounds = [bound(f(c), kinds[c]).alias(f"{name}_{k}") for k, c in enumerate(watched) for name, f in (("low", F.min), ("high", F.max))]
+        small = F.count(F.lit(1)) <= FILTER_ROWS
+        filter_ = F.when(small, F.bitmap_construct_agg(F.bitmap_bit_position(self._bit(rows, said) + 1))) if key else F.lit(None)
         found = rows.groupBy("_metadata.file_name", "_metadata.file_size").agg(
-            F.count(F.lit(1)).alias("n"), F.count(F.when(~whole, 1)).alias("loose"), F.collect_set(self.bucket(rows, said)).alias("held"), *bounds
+            F.count(F.lit(1)).alias("n"), F.count(F.when(~whole, 1)).alias("loose"), F.collect_set(self.bucket(rows, said)).alias("held"), filter_.alias("filter"), *bounds
         )
         found = found.collect()
         return [
             {
                 "path": f"{folder}/{r['file_name']}", "of": len(found), "rows": r["n"], "loose": r["loose"] if key else 0, "bytes": r["file_size"], "n": said["buckets"], "buckets": sorted(r["held"]),
-                "columns": columns, "low": {c: r[f"low_{k}"] for k, c in enumerate(watched)}, "high": {c: r[f"high_{k}"] for k, c in enumerate(watched)},
+                "columns": columns, "filter": base64.b64encode(zlib.compress(r["filter"])).decode() if r["filter"] else None, "low": {c: r[f"low_{k}"] for k, c in enumerate(watched)}, "high": {c: r[f"high_{k}"] for k, c in enumerate(watched)},
             }
             for r in found
         ]

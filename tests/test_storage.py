@@ -274,6 +274,21 @@ def test_late_rows_and_keys_open_few_files(spark):
     assert table.read(where=late).where("ts > TIMESTAMP_NTZ '2024-01-09 12:00:50'").count() == 150
 
 
+def test_keys_are_looked_for_in_small_files_that_may_have_them(spark):
+    table = SnapshotTable(spark, new_root(spark, "t"), ["id", "x"], buckets=1)
+    make = lambda k: spark.range(k, 20_000, 20, 1).selectExpr("id", "concat('x', id % 3) AS x", "1 AS n")
+    for k in range(20):
+        (table.insert if k else table.commit)(make(k))
+    assert all(f["filter"] for f in table.files())
+    hits = [len(table.near(spark.createDataFrame([(k, f"x{k % 3}")], "id int, x string"))[0].inputFiles()) for k in (7, 1003, 19_999)]
+    assert all(1 <= n <= 4 for n in hits)
+    part, _ = table.near(spark.createDataFrame([(7, "x1"), (None, "x1"), (12_345, "x0"), (99_999, "x0")], "id long, x string"))
+    assert sorted(r["id"] for r in part.where("id IN (7, 12345)").collect()) == [7, 12_345] and len(part.inputFiles()) < 10
+    large = SnapshotTable(spark, new_root(spark, "t"), ["id"], buckets=1)
+    large.commit(spark.range(0, 9000, 1, 1))
+    assert large.files()[0]["filter"] is None and large.near(spark.range(5, 6))[0].count() == 9000
+
+
 def test_many_commits_stay_cheap_to_read(spark, monkeypatch):
     monkeypatch.setattr("tableferry.storage.MOST_LISTS", 4)
     table = table_of(spark, 10, buckets=2)
