@@ -27,9 +27,9 @@ from .common import sliced
 
 #: Distinct pieces that a worker keeps encoded in each of two stores: when the new one is full it becomes
 #: the old one, from which pieces that are met again move on.
-KEPT_PIECES = 150_000
+KEPT_PIECES = 100_000
 #: Pairs of tokens whose order is kept as known, so many at once.
-KEPT_PAIRS = 500_000
+KEPT_PAIRS = 300_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -146,6 +146,10 @@ class _Pieces(dict):
         self.old = dict(self)
         self.clear()
 
+    def rest(self) -> None:
+        """Between tasks one store is enough."""
+        self.old = {}
+
 
 class Codec:
     """Texts to ids and back; ids travel as bytes of little-endian unsigned 32-bit integers."""
@@ -219,6 +223,7 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text",
         for batch in sliced(batches):
             ids = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, into])
+        codec.pieces.rest()
 
     return docs.select(*kept).mapInArrow(run, schema)
 

@@ -39,6 +39,8 @@ SLACK = 6.0
 BROADCAST_IDS = 2_000_000
 #: Rows of one shingle that a task pairs with the others of that shingle.
 MEETING = 256
+#: Bytes of text that one round of array operations takes: a worker holds a few times their hashes.
+SOME = 400_000
 
 _probes = np.random.default_rng(11).integers(0, REGISTERS, (64, REGISTERS))
 
@@ -76,7 +78,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             keys = batch.column(0)
-            for start, data in chunks(batch.column(1).to_pylist()):
+            for start, data in chunks(batch.column(1).to_pylist(), SOME):
                 d, h = shingle_hashes(data)
                 n = np.bincount(d, minlength=len(data))
                 at = np.cumsum(n) - n
@@ -156,7 +158,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int = THRESHOLD) ->
         for batch in sliced(batches):
             a, b, t_a, t_b = (batch.column(k).to_pylist() for k in range(4))
             keep = np.zeros(len(a), bool)
-            for start, data in chunks(t_b):
+            for start, data in chunks(t_b, SOME):
                 d, h = shingle_hashes(data)
                 ends = np.cumsum(np.bincount(d, minlength=len(data)))
                 for k, end in enumerate(ends):
@@ -192,7 +194,7 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             nodes, sets = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for start, data in chunks(batch.column(2).to_pylist()):
+            for start, data in chunks(batch.column(2).to_pylist(), SOME):
                 d, h = shingle_hashes(data)
                 n = np.bincount(d, minlength=len(data))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[start + d]), pa.array(sets[start + d]), pa.array(n[d], pa.int64()), pa.array(h.view(np.int64))], names=["node", "s", "n", "h"])

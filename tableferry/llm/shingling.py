@@ -45,19 +45,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums s and inverse powers q: (s[e] - s[b]) * q[b] is a hash of data[b:e]."""
-    size = 1 << max(20, int(len(data) + 1).bit_length())
+    size = 1 << max(19, int(len(data) + 1).bit_length())
     p, q = powers(size)
     s = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=s[1:])
     return s, q
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about CHUNK bytes, with the index of their first."""
+def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``most`` bytes, with the index of their first."""
     start, held, size = 0, [], 0
     for k, t in enumerate(texts):
         b = (t or "").encode("utf-8", "replace")
-        if held and size + len(b) > CHUNK:
+        if held and size + len(b) > most:
             yield start, held
             start, held, size = k, [], 0
         held.append(b)
