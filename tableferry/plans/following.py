@@ -210,11 +210,13 @@ def sync_reconcile(spark, sf_dir):
 
 @query(f"SELECT e.event_id, e.value, CASE WHEN {_GONE} THEN 'Y' END AS del_yn, (SELECT CAST(count(*) AS BIGINT) FROM events WHERE ts <= TIMESTAMP '2024-01-18') AS n_read, 2 AS n_reconciled FROM events e WHERE ts <= TIMESTAMP '2024-01-18'")
 def sync_stream_reconcile(spark, sf_dir):
-    """Events as a stream, a file a micro-batch, up to a lagging bound. The stream breaks off in a cycle and is started
-    again; rows left the source meanwhile, and the reconciliation that is due marks them."""
+    """Events as a stream, a file a micro-batch, up to a lagging bound; the earliest come late, in the second file. The
+    stream breaks off in a cycle and is started again; rows left the source meanwhile, and the reconciliation that is due
+    marks them."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     arrivals, checkpoint = new_root(spark, "arrivals"), new_root(spark, "stream")
-    rows.repartitionByRange(3, "ts").write.parquet(arrivals)
+    for part in ("ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20'", "ts <= TIMESTAMP '2024-01-10'", "ts > TIMESTAMP '2024-01-20'"):
+        rows.where(part).repartition(1).write.mode("append").parquet(arrivals)  # one after the other: streams go by their times
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
     rows.createOrReplaceTempView("stream_events")
     columns = (*EVENT.columns, ColumnMapping("del_yn", None))
@@ -225,11 +227,11 @@ def sync_stream_reconcile(spark, sf_dir):
     sync = StreamSync(job, table, inbox, clock=lambda: now[0], history=history)
     forget, calls = inbox.forget, []
 
-    def breaking(column, value):
+    def breaking(column, value, version):
         calls.append(value)
         if len(calls) == 2:
             raise Stopped("in the second cycle, after its rows were committed")
-        return forget(column, value)
+        return forget(column, value, version)
 
     inbox.forget = breaking
     try:

@@ -255,14 +255,14 @@ class SnapshotTable:
 
     # -- reading ----------------------------------------------------------------------------------
     def read(
-        self, version: int | None = None, buckets: Iterable[int] | None = None, where: dict[str, tuple[Any, Any]] | None = None, bits: set[int] | None = None
+        self, version: int | None = None, buckets: Iterable[int] | None = None, where: dict[str, tuple[Any, Any]] | None = None, bits: set[int] | None = None, since: int = 0
     ) -> DataFrame:
         """The rows of a version, or those in some of its buckets. ``where``: for columns the least and greatest value
         that the caller looks for (or None), and ``bits``: those of keys; files without any are left out, rows aren't
-        filtered."""
+        filtered. ``since``: only files that came after that version."""
         said = self.manifest(version)
         schema = self._schema(said)
-        live = self.wanted(said, buckets, where, bits)
+        live = [f for f in self.wanted(said, buckets, where, bits) if f["seq"] > since]
         rows = self._resolved(live, schema, said["key"])
         if buckets is None or said["buckets"] == 1:
             return rows
@@ -525,15 +525,16 @@ class SnapshotTable:
         base = self.manifest()
         return self._commit(base, [], self._schema(base), facts)
 
-    def forget(self, column: str, value: Any) -> dict[str, Any]:
-        """Drop the files all of whose rows have at most this value in a watched column. No file is opened."""
+    def forget(self, column: str, value: Any, version: int | None = None) -> dict[str, Any]:
+        """Drop the files all of whose rows have at most this value in a watched column, but for those that came after
+        ``version``. No file is opened."""
         base = self.manifest()
         types = {f.name: f.dataType.simpleString() for f in self._schema(base)}
         most = self._bounds({column: (None, value)}, types)[column][1]
         files = self.files(base)
         if any(f["columns"] is not None for f in files):
             raise ValueError("rows with deltas can't be forgotten by file")
-        gone = [f["path"] for f in files if f["high"].get(column) is not None and not f["loose"] and comparable(f["high"][column], types[column]) <= most]
+        gone = [f["path"] for f in files if f["high"].get(column) is not None and not f["loose"] and comparable(f["high"][column], types[column]) <= most and (version is None or f["seq"] <= version)]
         return self._commit(base, [], self._schema(base), {}, gone) if gone else base
 
     # -- housekeeping -----------------------------------------------------------------------------

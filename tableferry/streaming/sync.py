@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.mapping import dedup_last
-from ..run import History, reconcile_mapping, run_job, window
+from ..run import Arrivals, History, reconcile_mapping, run_job, window
 from ..spec import Job, Mapping
 from ..storage import SnapshotTable
 
@@ -50,8 +50,10 @@ class StreamSync:
 
     A micro-batch is added to the ``inbox``, a table of its own, with its batch id, so that one delivered again adds
     nothing. Then an incremental cycle runs on the inbox: rows past the target's watermark up to now less the lag, with all
-    that jobs do (mapping, checks, rejects, history), while later ones wait for a further cycle. Files of the inbox that
-    lie before the watermark are dropped. When due, deletions are reconciled against ``mapping``'s own source, and the
+    that jobs do (mapping, checks, rejects, history), while later ones wait for a further cycle. Files come in any order:
+    rows behind the watermark that came since the last cycle are taken as well, unless the target has a newer one of their
+    key. ``taken``, a table of keys next to the inbox, tells; what was in the target before the stream stays. Files of the
+    inbox that lie before the watermark are dropped. When due, deletions are reconciled against ``mapping``'s own source, and the
     target says when that was, so a stream that is started again goes on where it stopped, wherever that was.
     """
 
@@ -61,6 +63,7 @@ class StreamSync:
             raise ValueError("a stream is followed by a checkpoint")
         self.job, self.table, self.inbox, self.clock, self.history = job, table, inbox, clock, history
         self.spark, self.strategy = table.spark, dataclasses.replace(job.strategy, mode="INCREMENTAL")
+        self.taken = SnapshotTable(self.spark, f"{inbox.root}/taken", self.mapping.key)
 
     def start(self, changes: DataFrame, checkpoint_dir: str, seconds: int | None = None) -> StreamingQuery:
         """Follow until stopped; without ``seconds`` take what is available and end."""
@@ -78,22 +81,28 @@ class StreamSync:
     def cycle(self) -> dict[str, Any]:
         """One cycle on what the inbox has; also for a caller that doesn't want late rows to wait for the next batch."""
         now, state, name = self.clock(), self.table.manifest(), f"inbox_{uuid.uuid4().hex}"
-        rows = self.inbox.read(self.inbox.manifest()["version"])
+        at, mark, column = self.inbox.manifest()["version"], state["watermark"], self.mapping.checkpoint
+        rows = self.inbox.read(at)
         upper = window(rows, self.mapping, self.strategy, state, now)[1]
-        # Only files with rows in the window are opened; the job filters the rows.
-        rows = self.inbox.read(self.inbox.manifest()["version"], where={self.mapping.checkpoint: (state["watermark"], upper)})
+        # Only files with rows past the watermark up to there are opened, and new ones with rows behind it.
+        rows = self.inbox.read(at, where={column: (mark, upper)})
+        if mark is not None:
+            last = F.lit(mark).cast(dict(rows.dtypes)[column])
+            late = self.inbox.read(at, where={column: (None, mark)}, since=state.get("inbox", {}).get(self.inbox.root, 0))
+            rows = rows.where(F.col(column) > last).unionByName(late.where(F.col(column) <= last))
         rows.createOrReplaceTempView(name)
         mapping: Mapping = dataclasses.replace(self.mapping, table=name, sql=None)
         run_id = f"{self.job.name}-{now:%Y%m%d%H%M%S}-{state['version']}"
         try:
-            done = run_job(self.spark, Job(self.job.name, (mapping,), self.strategy), {mapping.target: self.table}, run_id, now, history=self.history, pass_only=True)[mapping.target]
+            done = run_job(self.spark, Job(self.job.name, (mapping,), self.strategy), {mapping.target: self.table}, run_id, now, history=self.history, pass_only=True, arrivals=Arrivals(self.taken, {"inbox": {self.inbox.root: at}}))[mapping.target]
         finally:
             self.spark.catalog.dropTempView(name)
         if done["status"] == "failed":
             raise done["error"]
+        self.taken.vacuum(self.strategy.keep_versions, self.strategy.keep_hours)
         mark = self.table.manifest()["watermark"]
         if mark is not None:
-            self.inbox.forget(self.mapping.checkpoint, mark)
+            self.inbox.forget(column, mark, at)
         self.reconcile_if_due(now)
         return done
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tableferry.operators import fileprofile
@@ -91,6 +92,31 @@ def test_a_batch_that_comes_again_adds_nothing(spark):
     assert held(sync)[5] == ("e", None) and len(held(sync)) == 3
 
 
+def test_rows_behind_the_watermark_are_taken_but_undo_nothing(spark):
+    source, now = Source(spark), [at(30)]
+    sync, checkpoint = made(spark, lambda: now[0], reconcile_minutes=9999), new_root(spark, "c")
+    sync.table.merge(spark.createDataFrame([(9, "held", None)], "id long, name string, del_yn string"))  # before the stream
+    source.add((1, "a", at(10)), (2, "b", at(20)), (6, "soon", at(29)))
+    sync.start(source.stream(), checkpoint).awaitTermination()
+    assert sync.table.manifest()["watermark"] == str(at(25))
+    # Late: a new key, a newer row, an older row, one of a key that was there before, and one that is late twice.
+    source.add((3, "c", at(1)), (1, "a2", at(11)), (2, "old", at(5)), (9, "new?", at(2)), (4, "d2", at(4)), (4, "d", at(3)))
+    forget, sync.inbox.forget = sync.inbox.forget, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(StreamingQueryException):
+        sync.start(source.stream(), checkpoint).awaitTermination()
+    sync.inbox.forget = forget
+    want = {1: ("a2", None), 2: ("b", None), 3: ("c", None), 4: ("d2", None), 9: ("held", "Y")}  # the source had no 9 yet
+    assert held(sync) == want
+    sync.start(source.stream(), checkpoint).awaitTermination()  # the batch comes again
+    assert held(sync) == want and sync.table.manifest()["watermark"] == str(at(25))
+    now[0] = at(40)
+    source.add((4, "d1", at(3)), (6, "late", at(28)))
+    sync.start(source.stream(), checkpoint).awaitTermination()
+    assert held(sync) == want | {6: ("soon", None)}
+    done = sync.history.events().where("task = 't' AND status = 'done'").agg(F.sum("n_read")).first()
+    assert done[0] == 6 and sync.inbox.files() == []  # each row that counts once
+
+
 def test_a_profile_follows_files_that_come_and_go(spark):
     table = SnapshotTable(spark, new_root(spark, "t"), ["id"], buckets=1)
     assert_rows = lambda: {r["column_name"]: r for r in fileprofile.merged(table).collect()}
