@@ -23,8 +23,9 @@ LEAST_QUALITY = 0.3
 SCORE = "quality score of the pipeline"
 #: Documents are near duplicates from this Jaccard similarity of their word shingles on, in percent.
 NEAR = 80
-#: Target shares are present shares to this power: rare sources, languages and topics gain a little.
-MIX_POWER = 0.98
+#: Target shares are present shares to this power, as in op10: rare sources, languages and topics gain. The corpus to be had
+#: is so many times as large as the one there is: cells lose what goes beyond their share of that, and no more.
+MIX_POWER, MIX_SIZE = 0.7, 1.0
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +47,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents to the raked mixture, by a hash of their ids: a rerun keeps the same ones."""
+    """Thins cells of source, language and topic to what the raked mixture asks of them, by a hash of the ids: a rerun keeps
+    the same ones. Cells that have no more than that keep every document; none is repeated."""
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang", "source")
-    return mixing.mixed(rows, power=MIX_POWER).where("kept").select("row.*")
+    return mixing.mixed(rows, power=MIX_POWER, rate=1 / MIX_SIZE).where("kept").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,13 +142,16 @@ def scale_of(fit: DataFrame, short: float = SHORT) -> float:
     return float(steps[-1]["top"]) if steps else 1.0
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", power: float = 0.7, targets: Sequence[DataFrame] | None = None, seed: int = 7, short: float = SHORT, tokens: str | None = None) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", power: float = 0.7, targets: Sequence[DataFrame] | None = None, seed: int = 7, short: float = SHORT, tokens: str | None = None, rate: float | None = None) -> DataFrame:
     """``docs`` with _source, _lang, _topic, _tokens, ``weight`` (wanted over present tokens of the cell),
     ``chance`` (of being kept: the weight over the largest one), ``kept``, and ``residual``, one value: how far the
     expected share of any source, language or topic is off its target.
 
     ``tokens``: a column with counts of tokens, if there is one. Cells that would need more than they have, with
     less than ``short`` of all wanted tokens together, keep every document. Targets default to the tempered shares.
+    ``rate``: cells of this weight or more keep every document instead, however many they are, and the others are thinned to
+    their weight over it. At 1, a cell loses only what goes beyond what the targets ask of it in a corpus as large as this
+    one; what cells of a larger weight lack stays lacking, and shows in ``residual``.
     """
     kept_columns = [c for c in docs.columns if c.lower() not in ADDED]
     packed = docs.select(F.struct(*kept_columns).alias("row"), key, "text", *(c for c in ("source", "lang") if c != key), *([F.col(tokens).alias("_given")] if tokens else []))
@@ -159,10 +162,10 @@ def mixed(docs: DataFrame, key: str = "doc_id", power: float = 0.7, targets: Seq
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     targets = targets or tempered(cell, power)
     fit = raked(cell, targets)
-    top = scale_of(fit.withColumn("ratio", ratio), short)
-    if not fit.where(ratio > top).isEmpty():
+    top = rate or scale_of(fit.withColumn("ratio", ratio), short)
+    if rate is None and not fit.where(ratio > top).isEmpty():
         fit = raked(fit.select(*(f"_{m}" for m in MARGINS), "tokens", "n_docs", "weight"), targets, held=top)
-    off = residual(fit)
+    off = residual(fit.withColumn("weight", F.least("weight", F.col("tokens") * top)))
     fit = fit.withColumn("ratio", ratio)
     keys = [f"_{m}" for m in MARGINS]
     fit = written(fit.select(*keys, "weight", "ratio"), "fit")

@@ -69,6 +69,15 @@ def test_personal_data_is_gone_and_clean_texts_stay(steps):
         assert pii.all_spans(after[i]["text"]) == [] and after[i]["n_chars"] == len(after[i]["text"])
 
 
+def test_mixture_thins_what_is_over_its_share_and_no_more(spark):
+    text = "An article of some length on nothing much. " * 20
+    rows = [(k, text, *(("en", "large") if k % 5 else ("de", "small")), len(text)) for k in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["source"]: r["count"] for r in corpus_pipeline.mixture(spark, docs, SF).groupBy("source").count().collect()}
+    wanted = 2500 * 2000**0.7 / (2000**0.7 + 500**0.7)  # 1813: of the small one 687 are wanted, more than there are
+    assert kept["small"] == 500 and abs(kept["large"] - wanted) < 50
+
+
 def test_tokens_decode_to_the_texts(steps):
     codec = bpe.Codec(queries.rank_file(), public_tokenizers.PATTERN)
     texts = {r["doc_id"]: r["text"] for r in steps[4][0].collect()}
