@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_root
+from ..storage import Files, new_root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -31,6 +31,13 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once all that reads them has run."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            Files(df.sparkSession, path.rsplit("/", 1)[0]).delete(path.rsplit("/", 1)[1])
+
+
 class Bits:
     """Which of all keys a set may hold: one bit a key, sent to the executors.
 

@@ -66,18 +66,24 @@ def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, li
         yield start, held
 
 
-def shingle_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of text, hash) of the distinct shingles, sorted by both."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of text, hash) of every word, in order."""
     raw = _LOWER[np.frombuffer(b" ".join(data) + b" ", np.uint8)]
     borders = np.cumsum([len(b) + 1 for b in data])
     edge = np.diff(np.concatenate(([True], _SPACE[raw])).astype(np.int8))
     begins, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if len(begins) == 0:
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     s, q = prefix_sums(raw)
     word = mix((s[ends] - s[begins]) * q[begins] ^ ((ends - begins).astype(np.uint64) << np.uint64(48)))
-    doc = np.searchsorted(borders, begins, "right")
+    return np.searchsorted(borders, begins, "right"), word
+
+
+def shingle_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of text, hash) of the distinct shingles, sorted by both."""
+    doc, word = word_hashes(data)
+    if len(doc) == 0:
+        return doc, word
     n = np.bincount(doc, minlength=len(data))
     first = np.cumsum(n) - n
     full = np.flatnonzero(doc[: -(WORDS - 1)] == doc[WORDS - 1 :]) if len(doc) >= WORDS else np.zeros(0, np.int64)

@@ -603,6 +603,44 @@ def test_sparse_ranks_equal_doubling_over_every_position(spark):
     assert want and {r["id"]: [(x["a"], x["b"]) for x in r["runs"]] for r in got} == want
 
 
+def brute_passages(rows, length=50):
+    """Runs of words that lie in windows which another document has too: their number and words, by document."""
+    split = [(i, [w for w in re.split("[ \\t-\\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) if w]) for i, t in rows]
+    held = Counter(x for _, ws in split for x in {tuple(ws[k : k + length]) for k in range(len(ws) - length + 1)})
+    out = Counter()
+    for i, ws in split:
+        hit = np.zeros(len(ws) + 2, int)
+        for k in range(len(ws) - length + 1):
+            if held[tuple(ws[k : k + length])] > 1:
+                hit[k + 1 : k + 1 + length] = 1
+        out[(i, int((np.diff(hit) == 1).sum()), int(hit.sum()))] += 1
+    return out
+
+
+def test_shared_passages_equal_brute_force(spark, docs):
+    got = repeats.deduplicated(docs).select("doc_id", "n_passages", "n_passage_words").collect()
+    assert Counter(map(tuple, got)) == brute_passages(corpus())
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = repeats.deduplicated(real).select("doc_id", "n_passages", "n_passage_words").collect()
+    assert Counter(map(tuple, got)) == brute_passages([tuple(r) for r in real.collect()])
+
+
+def test_passages_too_short_to_be_removed_are_told(spark):
+    """Passages around 50 words and under 400 bytes, at every place, in other documents, twice in one, and in both."""
+    rnd = random.Random(8)
+    some = lambda n: [rnd.choice("abcdefgh") + str(rnd.randrange(1000)) for _ in range(n)]
+    rows = []
+    for k in range(80):
+        x = some(rnd.choice([40, 49, 50, 51, 52, 55, 60, 75]))
+        there = [some(rnd.randrange(90)) + x + some(rnd.randrange(90)), some(5) + x + some(3) + x, some(200), some(7) + x[rnd.randrange(9) :] + some(1)]
+        there.append(some(120) + (y := some(rnd.choice([60, 90]))) + some(k) + y)  # just within one document
+        rows += [(5 * k + n, rnd.choice([" ", "\n", " \t"]).join(ws).replace("a", rnd.choice("aA"))) for n, ws in enumerate(there)]
+    got = repeats.deduplicated(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    want = brute_passages(rows)
+    assert Counter((r["doc_id"], r["n_passages"], r["n_passage_words"]) for r in got) == want
+    assert sum(n > 0 for _, n, _ in want) > 100 and Counter(tuple(r)[:5] for r in got) == brute_repeats(rows)
+
+
 def test_bits_miss_no_key(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
     bits = Bits(keys.union(keys))
