@@ -46,6 +46,8 @@ LENGTH, GRAM = 400, 200
 WIDTHS = (LENGTH - GRAM + 1, 15, 1)
 #: What tells documents apart: their id and a hash of their text.
 KEY = ("id", "h")
+#: Bytes of text that one round of array operations takes. A worker holds about 100 bytes for each of them, also between tasks.
+PIECE = 1 << 18
 RANKED = "id long, h long, w long, n int, prev long, common long, whole long"
 
 
@@ -152,7 +154,7 @@ def _rank(rows: DataFrame, kind: Kind, level: int, names_only: bool = False, amo
         for batch in sliced(batches):
             ids, hs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             nodes = batch.column(3) if level else None
-            for start, data in chunks(batch.column(2).to_pylist()):
+            for start, data in chunks(batch.column(2).to_pylist(), PIECE):
                 s, q, begin, end = kind.hashes(data)
                 if level == 0:
                     at, first, last = anchors(s, q, begin, end, kind)
@@ -222,6 +224,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "h": F.xxhash64("text")})
 
 
+def _met(docs: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+    """``docs``, which Python has filtered, joined by id and h. Always by a shuffle: after a broadcast, a task would hold a
+    Python worker for the filter and one for what comes after the join, and executors keep all their workers."""
+    return docs.join(few.hint("merge"), list(KEY), how)
+
+
 def removed_runs(ranges: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs of bytes (words) that the windows from first to last starts cover."""
     runs: list[list[int]] = []
@@ -240,7 +248,7 @@ def repeated_runs(docs: DataFrame, kind: Kind = BYTES) -> DataFrame:
         found, nodes = _decided(rows, kind, level)
         out = found if out is None else out.union(found)
         if nodes is not None:
-            rows = docs.where(Bits(nodes.select("h")).test("h")).join(nodes, list(KEY))
+            rows = _met(docs.where(Bits(nodes.select("h")).test("h")), nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -267,7 +275,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     runs = repeated_runs(rows.where(F.octet_length("text") >= LENGTH).select(*KEY, "text"))
     runs = written(runs.join(passages, list(KEY), "full_outer"), "runs")
     may = Bits(runs.select("h"))  # only documents that may have runs are shuffled to them
-    cut = rows.where(may.test("h")).join(runs, list(KEY), "left").select("doc_id", "h", "text", "runs", "n_passages", "n_passage_words")
+    cut = _met(rows.where(may.test("h")), runs, "left").select("doc_id", "h", "text", "runs", "n_passages", "n_passage_words")
     whole = rows.select("doc_id", "h", "text")
     return _left_over(cut, None).unionByName(_left_over(whole, may))
 

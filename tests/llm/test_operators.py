@@ -3,11 +3,13 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tableferry.llm import bpe, compaction, hyperminhash, kd_search, mixing, pii, pu_quality, queries, repeats, sketches, url_templates
 from tableferry.llm.common import Bits, scratch_path
+from tableferry.llm.shingling import powers
 
 from .doubling import repeated_starts
 
@@ -641,6 +644,41 @@ def test_passages_too_short_to_be_removed_are_told(spark):
     assert sum(n > 0 for _, n, _ in want) > 100 and Counter(tuple(r)[:5] for r in got) == brute_repeats(rows)
 
 
+def test_repeats_hold_one_worker_a_task(spark, docs, monkeypatch):
+    """No stage has Python on both sides of a join: what filters documents is shuffled to the ranges, however few these are."""
+    plans = []
+    for name in ("_rank", "_left_over"):
+        run = getattr(repeats, name)
+        monkeypatch.setattr(repeats, name, lambda rows, *a, run=run, **b: plans.append(run(rows, *a, **b)) or plans[-1])
+    repeats.deduplicated(docs.where("doc_id <> 40"))
+    joined = [x for x in ("\n".join(df._jdf.queryExecution().executedPlan().toString() for df in plans)).split("MapInArrow") if "Join" in x]
+    assert len(joined) == 5  # two for bytes, two for words, one for what is left
+    assert all("SortMergeJoin" in x and "Broadcast" not in x for x in joined)
+
+
+@pytest.mark.parametrize("kind", [repeats.BYTES, repeats.WORDS])
+def test_repeats_hold_little_at_once(kind):
+    """Arrays of one task over 4 MB of texts: they follow the piece that is worked on, not the batch."""
+    rnd = random.Random(2)
+    texts = [words(rnd, 300) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(range(2000)), pa.array(texts)], names=["id", "h", "text"])
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = repeats._rank(Rows(), kind, 0)
+    powers.cache_clear()
+    tracemalloc.start()
+    ranges = sum(x.num_rows for x in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ranges > 10_000 and most < 32 << 20
+
+
 def test_bits_miss_no_key(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
     bits = Bits(keys.union(keys))
