@@ -68,8 +68,9 @@ class Mapping:
 class Strategy:
     """How a job runs. After a mapping's error CONTINUE goes on with the others, STOP skips them, and RETRY first tries
     again, from the last checkpoint, if the error may be gone by then. SYNC repeats incremental cycles every
-    ``poll_seconds`` for ``max_hours`` (0: until it is stopped). After each run a target is folded, and what only
-    versions before the last ``keep_versions`` need is deleted once it is ``keep_hours`` old."""
+    ``poll_seconds`` for ``max_hours`` (0: until it is stopped). A reconciliation that would mark more than ``delete_ratio``
+    of the live rows, or change more than ``most_marks`` rows (None: any number), changes none. After each run a target is
+    folded, and what only versions before the last ``keep_versions`` need is deleted once it is ``keep_hours`` old."""
 
     mode: str = "FULL"
     workers: int = 4
@@ -78,7 +79,7 @@ class Strategy:
     lag_seconds: int = 300
     reconcile_minutes: int = 60
     delete_ratio: float = 0.1
-    most_marks: int = 200_000
+    most_marks: int | None = None
     error_policy: str = "CONTINUE"
     keep_versions: int = 20
     keep_hours: float = 24.0

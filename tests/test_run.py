@@ -232,6 +232,20 @@ def test_marks_are_blocked_where_they_look_wrong(spark, monkeypatch):
     assert (counted["n_source"], counted["n_target"], counted["surplus"]) == (90, 108, 18)
 
 
+def test_any_number_of_rows_is_marked_unless_a_limit_is_set(spark):
+    numbered(spark, 50)
+    table, n = filled(spark, 200_100), 200_050
+    held_back = run_waiting(spark, MARKED, table, delete_ratio=1.0, most_marks=200_000)
+    assert "at once" in held_back["blocked"] and held_back["n_marked"] == 0 and marks(table) == []
+    done = run_waiting(spark, MARKED, table, delete_ratio=1.0)
+    assert (done["n_mark"], done["n_marked"], done["blocked"]) == (n, n, None)
+    assert table.read().where("del_yn = 'Y' AND id >= 50").count() == table.read().where("del_yn = 'Y'").count() == n
+    again = run_waiting(spark, MARKED, table, delete_ratio=1.0)
+    assert (again["n_mark"], again["n_marked"], again["blocked"]) == (0, 0, None)
+    numbered(spark, 200_100)  # all come back
+    assert run_waiting(spark, MARKED, table)["n_unmarked"] == n and table.read().where("del_yn = 'Y'").isEmpty()
+
+
 class Clock:
     """Time that passes only by waiting."""
 
