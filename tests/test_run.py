@@ -279,6 +279,24 @@ def test_a_sync_follows_changes_and_reconciles_when_due(spark):
     assert said["n_inserted"] == table.read().count() == 36 and marks(table) == [6]
 
 
+def test_a_sync_marks_any_number_of_rows_that_left(spark):
+    def rows(n):
+        spark.range(n).selectExpr("id", "'n' AS name", "TIMESTAMP_NTZ '2024-01-01 12:00:00' AS ts").createOrReplaceTempView("run_numbers")
+
+    rows(200_100)
+    table, clock = filled(spark, 0), Clock(dt.datetime(2024, 2, 1))
+    strategy = Strategy("SYNC", lag_seconds=300, reconcile_minutes=0, max_hours=0, delete_ratio=1.0)
+
+    def wait(seconds):
+        clock.wait(seconds)
+        rows(50)
+
+    said = run_sync(spark, Job("j", (MARKED,), strategy), {"t": table}, clock=clock, wait=wait, stopped=lambda: len(clock.waits) == 2)
+    assert [(r["t"]["n_marked"], r["t"]["blocked"]) for r in said["reconciled"]] == [(0, None), (200_050, None)]
+    found = table.read()
+    assert found.where("del_yn = 'Y' AND id >= 50").count() == 200_050 and found.where("del_yn IS NULL AND id < 50").count() == 50 and found.count() == 200_100
+
+
 def test_a_sync_waits_longer_after_transient_errors_and_gives_up(spark):
     table, clock = filled(spark, 0), Clock(at(1))
     spark.sql("DROP VIEW IF EXISTS run_gone")
