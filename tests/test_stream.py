@@ -117,6 +117,24 @@ def test_rows_behind_the_watermark_are_taken_but_undo_nothing(spark):
     assert done[0] == 6 and sync.inbox.files() == []  # each row that counts once
 
 
+def test_a_stream_marks_any_number_of_rows_that_left(spark):
+    now = [at(10)]
+    sync = made(spark, lambda: now[0], reconcile_minutes=10)
+
+    def rows(n):
+        return spark.range(n).selectExpr("id", "'n' AS name", "TIMESTAMP_NTZ '2024-01-01 12:01:00' AS ts")
+
+    rows(200_100).createOrReplaceTempView("stream_source")
+    sync.take(rows(200_100), 0)
+    assert sync.table.read().where("del_yn IS NULL").count() == 200_100
+    rows(50).createOrReplaceTempView("stream_source")
+    now[0] = at(21)
+    sync.cycle()
+    found = sync.table.read()
+    assert found.where("del_yn = 'Y' AND id >= 50").count() == 200_050 and found.where("del_yn IS NULL AND id < 50").count() == 50 and found.count() == 200_100
+    assert [r["message"] for r in sync.history.events().where("task = 't reconciled'").orderBy("seq").collect()] == [None, None]  # nothing was blocked
+
+
 def test_a_profile_follows_files_that_come_and_go(spark):
     table = SnapshotTable(spark, new_root(spark, "t"), ["id"], buckets=1)
     assert_rows = lambda: {r["column_name"]: r for r in fileprofile.merged(table).collect()}
